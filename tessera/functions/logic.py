@@ -113,8 +113,8 @@ def format_number(x, fmt: str) -> Column:
     v = c(x).cast("double")
     if m.group("pct"):
         v = v * 100
-    if grouping:
-        txt = F.format_number(v, decimals)
-    else:
-        txt = F.format_string(f"%.{decimals}f", v)
+    # DecimalFormat rounding (half-even on the exact binary value) either way.
+    txt = F.format_number(v, decimals)
+    if not grouping:
+        txt = F.regexp_replace(txt, ",", "")
     return F.concat(F.lit(m.group("prefix")), txt, F.lit(m.group("pct") + m.group("suffix")))
