@@ -170,3 +170,19 @@ def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_po
     d = _distance(F.col("_lp"), F.col("_rp"))
     return j.withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km).select(
         F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "distance_km")
+
+
+def cross(right: DataFrame, max_right_rows: int = 10_000) -> Step:
+    """Join with no key, for scaffolds of dimension members (every region x every
+    segment).  The right side must be small: its row count is checked against
+    ``max_right_rows`` before anything runs, and it is attached as a broadcast
+    hash join on a constant key, so the left side is streamed once and never
+    shuffled."""
+    def step(left: DataFrame) -> DataFrame:
+        n = right.limit(max_right_rows + 1).count()
+        if n > max_right_rows:
+            raise ValueError(f"cross join right side has more than {max_right_rows} rows")
+        k = "_tsr_cross"
+        return (left.withColumn(k, F.lit(1))
+                .join(F.broadcast(right.withColumn(k, F.lit(1))), on=k, how="inner").drop(k))
+    return step
