@@ -1,3 +1,93 @@
-"""Registered queries."""
+"""Registered queries: level-of-detail expressions and context filters."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import filters as flt
+from tessera.operators import lod
+from tessera.plans.registry import register
+from tessera.sources.tables import Tables
+
+
+def _oc(t):
+    """Orders with the customer's nation and segment (base rows of the view)."""
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "c_nationkey", "c_mktsegment")
+
+
+_OC_SQL = ("(SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, c_nationkey, c_mktsegment "
+           "FROM orders JOIN customer ON o_custkey = c_custkey)")
+
+
+@register("lod_fixed", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS cust_total "
+          "FROM orders")
+def q_fixed(spark, d):
+    o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    out = o.transform(lod.fixed(["o_custkey"], {"cust_total": F.sum("o_totalprice")}))
+    return out.select("o_orderkey", F.round("cust_total", 2).alias("cust_total"))
+
+
+@register("lod_fixed_global", "SELECT o_orderkey, round(o_totalprice / max(o_totalprice) OVER (), 8) AS share_of_max "
+          "FROM orders")
+def q_fixed_global(spark, d):
+    o = Tables(spark, d).orders.select("o_orderkey", "o_totalprice")
+    out = o.transform(lod.fixed_global({"max_price": F.max("o_totalprice")}))
+    return out.select("o_orderkey", F.round(F.col("o_totalprice") / F.col("max_price"), 8).alias("share_of_max"))
+
+
+@register("lod_include", f"""SELECT c_mktsegment, round(avg(cust_sum), 4) AS avg_customer_sales FROM
+  (SELECT c_mktsegment, o_custkey, sum(o_totalprice) AS cust_sum FROM {_OC_SQL} GROUP BY 1, 2) GROUP BY 1""")
+def q_include(spark, d):
+    out = _oc(Tables(spark, d)).transform(lod.include(["c_mktsegment"], ["o_custkey"], F.sum("o_totalprice"),
+                                                      F.avg, "avg_customer_sales"))
+    return out.withColumn("avg_customer_sales", F.round("avg_customer_sales", 4))
+
+
+@register("lod_exclude", """SELECT l_returnflag, l_linestatus, qty, flag_qty FROM
+  (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2) v
+  JOIN (SELECT l_returnflag AS f, sum(l_quantity) AS flag_qty FROM lineitem GROUP BY 1) e ON v.l_returnflag = e.f""")
+def q_exclude(spark, d):
+    li = Tables(spark, d).lineitem
+    view = li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
+    return li.transform(lod.exclude(view, ["l_returnflag", "l_linestatus"], ["l_linestatus"],
+                                    F.sum("l_quantity"), "flag_qty"))
+
+
+@register("lod_table", """SELECT l_returnflag, round(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 8)
+  AS share FROM lineitem GROUP BY l_returnflag""")
+def q_table(spark, d):
+    li = Tables(spark, d).lineitem.select("l_returnflag", "l_quantity")
+    with_total = li.transform(lod.table({"total_qty": F.sum("l_quantity")}))
+    return with_total.groupBy("l_returnflag").agg(
+        F.round(F.sum("l_quantity") / F.first("total_qty"), 8).alias("share"))
+
+
+@register("lod_nested", f"""SELECT o_orderkey, round(avg(cust_total) OVER (PARTITION BY c_nationkey), 4) AS nation_avg
+  FROM (SELECT o_orderkey, c_nationkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS cust_total FROM {_OC_SQL})""")
+def q_nested(spark, d):
+    base = _oc(Tables(spark, d))
+    inner = base.transform(lod.fixed(["o_custkey"], {"cust_total": F.sum("o_totalprice")}))
+    outer = inner.transform(lod.fixed(["c_nationkey"], {"nation_avg": F.avg("cust_total")}))
+    return outer.select("o_orderkey", F.round("nation_avg", 4).alias("nation_avg"))
+
+
+@register("lod_aggregate_of", f"""SELECT c_mktsegment, round(avg(cust_total), 4) AS avg_of_lod FROM
+  (SELECT c_mktsegment, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS cust_total FROM {_OC_SQL}) GROUP BY 1""")
+def q_aggregate_of(spark, d):
+    base = _oc(Tables(spark, d))
+    out = base.transform(lod.fixed(["o_custkey"], {"cust_total": F.sum("o_totalprice")})).transform(
+        lod.aggregate_of(["c_mktsegment"], "cust_total", F.avg, "avg_of_lod"))
+    return out.withColumn("avg_of_lod", F.round("avg_of_lod", 4))
+
+
+@register("flt_context", """SELECT o_orderkey, round(cust_total_f, 2) AS cust_total_f FROM (
+  SELECT o_orderkey, o_orderpriority, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS cust_total_f
+  FROM orders WHERE o_orderstatus = 'F') WHERE o_orderpriority = '1-URGENT'""")
+def q_context(spark, d):
+    o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    ctx = o.transform(flt.context(flt.keep_values("o_orderstatus", ["F"])))
+    with_lod = ctx.transform(lod.fixed(["o_custkey"], {"cust_total_f": F.sum("o_totalprice")}))
+    # The dimension filter comes after the FIXED LOD, so it does not change the LOD value.
+    return with_lod.transform(flt.keep_values("o_orderpriority", ["1-URGENT"])).select(
+        "o_orderkey", F.round("cust_total_f", 2).alias("cust_total_f"))

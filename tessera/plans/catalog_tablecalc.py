@@ -1,3 +1,142 @@
-"""Registered queries."""
+"""Registered queries: table calculations and quick table calculations.
+
+The view: orders aggregated by priority and month (``sales``, ``n``); table
+calculations partition by priority and address along the month.  Every step
+uses the skew-safe plans (segmented scans, grouped aggregates joined back).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera import functions as fn
+from tessera.operators import tablecalc as tc
+from tessera.plans.registry import register
+from tessera.sources.tables import Tables
+
+VIEW_SQL = ("(SELECT o_orderpriority AS prio, date_trunc('month', o_orderdate) AS month, "
+            "sum(o_totalprice) AS sales, count(*) AS n FROM orders GROUP BY 1, 2)")
+_P = "PARTITION BY prio ORDER BY month"
+
+
+def view(spark, d) -> DataFrame:
+    return Tables(spark, d).orders.groupBy(
+        F.col("o_orderpriority").alias("prio"), fn.datetrunc("month", "o_orderdate").alias("month")).agg(
+        F.sum("o_totalprice").alias("sales"), F.count(F.lit(1)).alias("n"))
+
+
+def _digits(flag) -> int:
+    # True: 6 decimals.  Averages are taken over the integer count ``n`` so that
+    # exact decimal ties (which the two engines may break differently) cannot
+    # occur at the 6th decimal; sums of 2-decimal prices are exact there too.
+    return 6 if flag is True else int(flag)
+
+
+def _reg(qid: str, step, out: dict[str, object], sql_exprs: dict[str, str]):
+    """Register view -> step -> (prio, month, outputs); rounded where flagged."""
+    def run(spark, d):
+        v = view(spark, d).transform(step)
+        cols = [F.round(F.col(k), _digits(r)).alias(k) if r else F.col(k).alias(k) for k, r in out.items()]
+        return v.select("prio", "month", *cols)
+    # Spark's statistics give null where DuckDB gives NaN (a single-row frame).
+    sel = ", ".join(f"round(nullif({e}, 'NaN'::DOUBLE), {_digits(out[k])}) AS {k}" if out[k] else f"{e} AS {k}"
+                    for k, e in sql_exprs.items())
+    register(qid, f"SELECT prio, month, {sel} FROM {VIEW_SQL}")(run)
+
+
+PART, ORD = ["prio"], ["month"]
+
+# running
+for _agg in ["sum", "avg", "count", "max", "min"]:
+    _sql = {"sum": "sum(sales)", "avg": "avg(n)", "count": "count(sales)", "max": "max(sales)",
+            "min": "min(sales)"}[_agg]
+    _reg(f"tc_running_{_agg}", tc.running(_agg, "n" if _agg == "avg" else "sales", "r", PART, ORD),
+         {"r": _agg != "count"},
+         {"r": f"{_sql} OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"})
+
+# window with a row frame (2 before .. 1 after) and over the whole partition
+for _agg, _sql in [("sum", "sum"), ("avg", "avg"), ("max", "max"), ("min", "min"), ("count", "count")]:
+    _reg(f"tc_window_{_agg}",
+         lambda df, _a=_agg: df.transform(tc.window(_a, "sales", "w", PART, ORD, -2, 1))
+         .transform(tc.window(_a, "sales", "w_all", PART)),
+         {"w": _agg != "count", "w_all": _agg != "count"},
+         {"w": f"{_sql}(sales) OVER ({_P} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)",
+          "w_all": f"{_sql}(sales) OVER (PARTITION BY prio)"})
+for _agg, _sql in [("stdev", "stddev_samp"), ("stdevp", "stddev_pop"), ("var", "var_samp"), ("varp", "var_pop")]:
+    _reg(f"tc_window_{_agg}",
+         lambda df, _a=_agg: df.transform(tc.window(_a, "n", "w", PART, ORD, -3, 0))
+         .transform(tc.window(_a, "n", "w_all", PART)),
+         {"w": True, "w_all": True},
+         {"w": f"{_sql}(n) OVER ({_P} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
+          "w_all": f"{_sql}(n) OVER (PARTITION BY prio)"})
+for _agg, _sql in [("corr", "corr"), ("covar", "covar_samp"), ("covarp", "covar_pop")]:
+    _reg(f"tc_window_{_agg}",
+         lambda df, _a=_agg: df.transform(tc.window(_a, "sales", "w", PART, ORD, -5, 0, y="n"))
+         .transform(tc.window(_a, "sales", "w_all", PART, y="n")),
+         {"w": True, "w_all": True},
+         {"w": f"{_sql}(sales, n) OVER ({_P} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)",
+          "w_all": f"{_sql}(sales, n) OVER (PARTITION BY prio)"})
+_reg("tc_window_median", lambda df: df.transform(tc.window("median", "sales", "w_all", PART))
+     .transform(tc.window("median", "sales", "w", PART, ORD, -2, 2)),
+     {"w_all": True, "w": True},
+     {"w_all": "quantile_cont(sales, 0.5) OVER (PARTITION BY prio)",
+      "w": f"quantile_cont(sales, 0.5) OVER ({_P} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"})
+_reg("tc_window_percentile", lambda df: df.transform(tc.window("percentile_0.9", "sales", "w_all", PART)),
+     {"w_all": True}, {"w_all": "quantile_cont(sales, 0.9) OVER (PARTITION BY prio)"})
+
+# ranks (descending by sales; n has ties)
+_reg("tc_rank", lambda df: df.transform(tc.rank("sales", "r", PART)).transform(tc.rank("n", "r_n", None)),
+     {"r": False, "r_n": False},
+     {"r": "rank() OVER (PARTITION BY prio ORDER BY sales DESC)", "r_n": "rank() OVER (ORDER BY n DESC)"})
+_reg("tc_rank_dense", lambda df: df.transform(tc.rank("n", "r", PART, kind="dense")), {"r": False},
+     {"r": "dense_rank() OVER (PARTITION BY prio ORDER BY n DESC)"})
+_reg("tc_rank_unique", lambda df: df.transform(tc.rank("n", "r", PART, kind="unique", tie_breakers=["month"])),
+     {"r": False}, {"r": "row_number() OVER (PARTITION BY prio ORDER BY n DESC, month)"})
+_reg("tc_rank_modified", lambda df: df.transform(tc.rank("n", "r", PART, kind="modified")), {"r": False},
+     {"r": "count(*) OVER (PARTITION BY prio ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"})
+_reg("tc_rank_percentile", lambda df: df.transform(tc.rank("n", "r", PART, kind="percentile", ascending=True)),
+     {"r": 8}, {"r": "percent_rank() OVER (PARTITION BY prio ORDER BY n)"})
+
+# position
+_reg("tc_index", tc.index("i", PART, ORD), {"i": False}, {"i": f"row_number() OVER ({_P})"})
+_reg("tc_first", tc.first("f", PART, ORD), {"f": False}, {"f": f"1 - row_number() OVER ({_P})"})
+_reg("tc_last", tc.last("l", PART, ORD), {"l": False},
+     {"l": f"count(*) OVER (PARTITION BY prio) - row_number() OVER ({_P})"})
+_reg("tc_size", tc.size("s", PART), {"s": False}, {"s": "count(*) OVER (PARTITION BY prio)"})
+_reg("tc_lookup", lambda df: df.transform(tc.lookup("sales", -2, "back2", PART, ORD))
+     .transform(tc.lookup("sales", 1, "next1", PART, ORD)),
+     {"back2": True, "next1": True},
+     {"back2": f"lag(sales, 2) OVER ({_P})", "next1": f"lead(sales, 1) OVER ({_P})"})
+_reg("tc_previous_value", tc.previous_value("n", 0, "prev", PART, ORD), {"prev": False},
+     {"prev": f"coalesce(lag(n, 1) OVER ({_P}), 0)"})
+
+
+@register("tc_total", f"""SELECT prio, month, round(sales, 4) AS sales, round(t.avg_price, 4) AS total_avg FROM {VIEW_SQL} v
+  JOIN (SELECT o_orderpriority AS p, avg(o_totalprice) AS avg_price FROM orders GROUP BY 1) t ON v.prio = t.p""")
+def q_total(spark, d):
+    base = Tables(spark, d).orders.withColumnRenamed("o_orderpriority", "prio")
+    out = view(spark, d).transform(tc.total(base, ["prio"], {"total_avg": F.avg("o_totalprice")}))
+    return out.select("prio", "month", F.round("sales", 4).alias("sales"), F.round("total_avg", 4).alias("total_avg"))
+
+
+@register("tc_running_countd", """SELECT month, CAST(sum(first_seen) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS BIGINT) AS customers_so_far FROM (SELECT month, count(*) FILTER (WHERE rn = 1) AS first_seen FROM
+  (SELECT date_trunc('month', o_orderdate) AS month, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,
+  o_orderkey) AS rn FROM orders) GROUP BY month)""")
+def q_running_countd(spark, d):
+    base = Tables(spark, d).orders.select("o_custkey", "o_orderkey", fn.datetrunc("month", "o_orderdate").alias("month"))
+    flagged = base.transform(tc.running_countd("o_custkey", "seen", None, ["month", "o_orderkey"]))
+    return flagged.groupBy("month").agg(F.max("seen").alias("customers_so_far"))
+
+
+# quick table calculations
+_reg("qtc_percent_of_total", tc.percent_of_total("sales", "pct", PART), {"pct": 8},
+     {"pct": "sales / sum(sales) OVER (PARTITION BY prio)"})
+_reg("qtc_percent_difference", tc.percent_difference("sales", "pctd", PART, ORD), {"pctd": 8},
+     {"pctd": f"(sales - lag(sales) OVER ({_P})) / lag(sales) OVER ({_P})"})
+_reg("qtc_difference", tc.difference("sales", "diff", PART, ORD), {"diff": True},
+     {"diff": f"sales - lag(sales) OVER ({_P})"})
+_reg("qtc_running", tc.running("avg", "n", "run_avg", PART, ORD), {"run_avg": True},
+     {"run_avg": f"avg(n) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"})
+_reg("qtc_rank", tc.rank("sales", "rk", None), {"rk": False}, {"rk": "rank() OVER (ORDER BY sales DESC)"})
