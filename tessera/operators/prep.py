@@ -227,12 +227,11 @@ def group_replace(col: str, groupings: Mapping[str, Sequence[str]]) -> Step:
     The map is literal and bounded by the user's list, so it is inlined as a
     ``map`` expression (no join, no shuffle).
     """
-    pairs = []
-    for target, members in groupings.items():
-        for m in members:
-            pairs += [F.lit(m), F.lit(target)]
-
     def step(df: DataFrame) -> DataFrame:
+        pairs = []
+        for target, members in groupings.items():
+            for m in members:
+                pairs += [F.lit(m), F.lit(target)]
         if not pairs:
             return df
         m = F.create_map(*pairs)

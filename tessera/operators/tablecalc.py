@@ -174,8 +174,9 @@ def previous_value(value: str, seed, name: str, partition_by=None, order_by=None
                    skew_safe: bool = True) -> Step:
     """PREVIOUS_VALUE(seed) applied to ``value``: the previous row's value, the
     seed on the first row of each partition."""
-    seed_col = seed if isinstance(seed, Column) else F.lit(seed)
-    fn = lambda w: F.coalesce(F.lag(value, 1).over(w), seed_col)
+    def fn(w):
+        seed_col = seed if isinstance(seed, Column) else F.lit(seed)
+        return F.coalesce(F.lag(value, 1).over(w), seed_col)
     return lambda df: scan.framed(df, {name: fn}, partition_by, order_by, -1, 0, skew_safe=skew_safe)
 
 
