@@ -1,3 +1,177 @@
-"""Registered queries."""
+"""Registered queries: analytics pane and view-shaping operators."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera import functions as fn
+from tessera.operators import analytics as AN
+from tessera.plans.registry import register
+from tessera.sources.tables import Tables
+
+# Marks: quantity per (return flag, supplier); scope (pane) = return flag.
+_MARKS_SQL = "(SELECT l_returnflag, l_suppkey, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2)"
+
+
+def marks(spark, d):
+    return Tables(spark, d).lineitem.groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").alias("qty"))
+
+
+@register("an_reference_line", f"""WITH m AS {_MARKS_SQL},
+  mo AS (SELECT l_returnflag, qty AS mode_qty FROM (SELECT l_returnflag, qty, row_number() OVER (
+         PARTITION BY l_returnflag ORDER BY count(*) DESC, qty) AS rn FROM m GROUP BY 1, 2) WHERE rn = 1)
+  SELECT m.l_returnflag, l_suppkey, qty, round(avg(qty) OVER (PARTITION BY m.l_returnflag), 6) AS avg_line,
+  min(qty) OVER (PARTITION BY m.l_returnflag) AS min_line, max(qty) OVER (PARTITION BY m.l_returnflag) AS max_line,
+  round(quantile_cont(qty, 0.5) OVER (PARTITION BY m.l_returnflag), 6) AS median_line,
+  round(quantile_cont(qty, 0.9) OVER (PARTITION BY m.l_returnflag), 6) AS p90_line, mode_qty AS mode_line,
+  CAST(600.0 AS DOUBLE) AS target_line FROM m JOIN mo ON m.l_returnflag = mo.l_returnflag""")
+def q_reference_line(spark, d):
+    out = marks(spark, d).transform(AN.reference_lines("qty", ["l_returnflag"], {
+        "avg_line": "avg", "min_line": "min", "max_line": "max", "median_line": "median",
+        "p90_line": ("percentile", 0.9), "mode_line": "mode", "target_line": ("constant", 600.0)}))
+    return out.withColumns({c: F.round(c, 6) for c in ["avg_line", "median_line", "p90_line"]})
+
+
+@register("an_reference_band", f"""SELECT l_returnflag, l_suppkey, qty,
+  round(quantile_cont(qty, 0.25) OVER (PARTITION BY l_returnflag), 6) AS band_from,
+  round(quantile_cont(qty, 0.75) OVER (PARTITION BY l_returnflag), 6) AS band_to FROM {_MARKS_SQL}""")
+def q_reference_band(spark, d):
+    out = marks(spark, d).transform(AN.reference_band("qty", ["l_returnflag"], 0.25, 0.75))
+    return out.withColumns({c: F.round(c, 6) for c in ["band_from", "band_to"]})
+
+
+@register("an_distribution", f"""SELECT l_returnflag, l_suppkey, qty,
+  round(quantile_cont(qty, 0.1) OVER (PARTITION BY l_returnflag), 6) AS p10,
+  round(quantile_cont(qty, 0.5) OVER (PARTITION BY l_returnflag), 6) AS p50,
+  round(quantile_cont(qty, 0.9) OVER (PARTITION BY l_returnflag), 6) AS p90 FROM {_MARKS_SQL}""")
+def q_distribution(spark, d):
+    out = marks(spark, d).transform(AN.distribution("qty", ["l_returnflag"], [0.1, 0.5, 0.9]))
+    return out.withColumns({c: F.round(c, 6) for c in ["p10", "p50", "p90"]})
+
+
+_Z95 = 1.959963984540054  # two-sided 95 % normal quantile (fixed value)
+
+
+@register("an_confidence_interval", f"""SELECT l_returnflag, round(avg(l_extendedprice), 6) AS mean,
+  round(avg(l_extendedprice) - {_Z95} * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 6) AS ci_low,
+  round(avg(l_extendedprice) + {_Z95} * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice)), 6) AS ci_high,
+  count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag""")
+def q_confidence(spark, d):
+    out = Tables(spark, d).lineitem.transform(AN.confidence_interval("l_extendedprice", ["l_returnflag"], 0.95))
+    return out.withColumns({c: F.round(c, 6) for c in ["mean", "ci_low", "ci_high"]})
+
+
+def _trend_sql(xexpr: str, yexpr: str, where: str = "") -> str:
+    return (f"SELECT l_returnflag, round(regr_slope({yexpr}, {xexpr}), 6) AS slope, "
+            f"round(regr_intercept({yexpr}, {xexpr}), 6) AS intercept, round(regr_r2({yexpr}, {xexpr}), 6) AS r2, "
+            f"CAST(regr_count({yexpr}, {xexpr}) AS BIGINT) AS n FROM lineitem {where} GROUP BY l_returnflag")
+
+
+def _trend_q(model):
+    def run(spark, d):
+        out = Tables(spark, d).lineitem.transform(AN.trend("l_quantity", "l_extendedprice", ["l_returnflag"], model))
+        return out.withColumns({c: F.round(c, 6) for c in ["slope", "intercept", "r2"]})
+    return run
+
+
+register("an_trend_linear", _trend_sql("l_quantity", "l_extendedprice"))(_trend_q("linear"))
+register("an_trend_exponential", _trend_sql("l_quantity", "ln(l_extendedprice)", "WHERE l_extendedprice > 0"))(
+    _trend_q("exponential"))
+register("an_trend_logarithmic", _trend_sql("ln(l_quantity)", "l_extendedprice", "WHERE l_quantity > 0"))(
+    _trend_q("logarithmic"))
+register("an_trend_power", _trend_sql("ln(l_quantity)", "ln(l_extendedprice)",
+                                      "WHERE l_quantity > 0 AND l_extendedprice > 0"))(_trend_q("power"))
+
+
+@register("an_trend_polynomial")
+def q_trend_poly(spark, d):
+    # Quadratic fit of price on quantity per return flag (checked against numpy in tests).
+    out = Tables(spark, d).lineitem.transform(
+        AN.trend_polynomial("l_quantity", "l_extendedprice", 2, ["l_returnflag"]))
+    return out.withColumns({c: F.round(c, 6) for c in ["c0", "c1", "c2"]})
+
+
+_MONTHLY_SQL = ("(SELECT o_orderpriority AS prio, date_trunc('month', o_orderdate) AS month, count(*) AS n "
+                "FROM orders GROUP BY 1, 2)")
+
+
+def _monthly(spark, d):
+    return Tables(spark, d).orders.groupBy(F.col("o_orderpriority").alias("prio"),
+                                           fn.datetrunc("month", "o_orderdate").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("an_trend_moving_average", f"""SELECT prio, month, round(avg(n) OVER (PARTITION BY prio ORDER BY month
+  ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ma3 FROM {_MONTHLY_SQL}""")
+def q_moving_average(spark, d):
+    out = _monthly(spark, d).transform(AN.moving_average("n", 3, "ma3", ["prio"], ["month"]))
+    return out.select("prio", "month", F.round("ma3", 6).alias("ma3"))
+
+
+@register("an_forecast")
+def q_forecast(spark, d):
+    # Monthly order counts per priority -> 6 months ahead with a 95 % interval.
+    m = _monthly(spark, d).withColumn("t", (F.year("month") * 12 + F.month("month")).cast("long"))
+    out = m.transform(AN.forecast(["prio"], "t", "n", periods=6, interval=0.95))
+    return out.withColumns({c: F.round(c, 6) for c in ["forecast", "low", "high"]})
+
+
+@register("an_cluster")
+def q_cluster(spark, d):
+    # Embedding vectors clustered with k chosen by silhouette.
+    e = Tables(spark, d).embeddings
+    return e.transform(AN.cluster("embedding", k=None, seed=42, k_range=range(2, 6))).select("vec_id", "label", "cluster")
+
+
+@register("an_histogram", """SELECT floor(l_extendedprice / 10000) * 10000 AS bin, count(*) AS count FROM lineitem
+  GROUP BY 1""")
+def q_histogram(spark, d):
+    return Tables(spark, d).lineitem.transform(AN.histogram("l_extendedprice", 10000)).withColumn(
+        "bin", F.col("bin").cast("double"))
+
+
+@register("an_box_plot", """SELECT l_returnflag, min(l_extendedprice) AS min, quantile_cont(l_extendedprice, 0.25) AS q1,
+  quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3,
+  max(l_extendedprice) AS max,
+  round(greatest(min(l_extendedprice), quantile_cont(l_extendedprice, 0.25) - 1.5 * (quantile_cont(l_extendedprice, 0.75)
+    - quantile_cont(l_extendedprice, 0.25))), 6) AS whisker_low,
+  round(least(max(l_extendedprice), quantile_cont(l_extendedprice, 0.75) + 1.5 * (quantile_cont(l_extendedprice, 0.75)
+    - quantile_cont(l_extendedprice, 0.25))), 6) AS whisker_high FROM lineitem GROUP BY l_returnflag""")
+def q_box_plot(spark, d):
+    out = Tables(spark, d).lineitem.transform(AN.box_plot("l_extendedprice", ["l_returnflag"]))
+    return out.withColumns({c: F.round(c, 6) for c in ["whisker_low", "whisker_high"]})
+
+
+@register("an_pareto", """SELECT l_suppkey, round(value, 2) AS value, round(sum(value) OVER (ORDER BY value DESC, l_suppkey
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(value) OVER (), 8) AS cumulative_share FROM
+  (SELECT l_suppkey, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1)""")
+def q_pareto(spark, d):
+    out = Tables(spark, d).lineitem.transform(AN.pareto("l_suppkey", F.sum("l_extendedprice")))
+    return out.select("l_suppkey", F.round("value", 2).alias("value"),
+                      F.round("cumulative_share", 8).alias("cumulative_share"))
+
+
+@register("an_waterfall", """SELECT month, n, CAST(sum(n) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+  AS step_end, CAST(sum(n) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT)
+  AS step_start FROM
+  (SELECT date_trunc('month', o_orderdate) AS month, count(*) - 190 AS n FROM orders GROUP BY 1)""")
+def q_waterfall(spark, d):
+    v = Tables(spark, d).orders.groupBy(fn.datetrunc("month", "o_orderdate").alias("month")).agg(
+        (F.count(F.lit(1)) - 190).alias("n"))
+    return v.transform(AN.waterfall("n", ["month"]))
+
+
+@register("an_sparkline", """SELECT o_custkey, list(struct_pack(period := y, value := round(v, 2)) ORDER BY y) AS series
+  FROM (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) GROUP BY o_custkey""")
+def q_sparkline(spark, d):
+    return Tables(spark, d).orders.transform(AN.sparkline(
+        ["o_custkey"], F.year("o_orderdate").cast("long"), F.round(F.sum("o_totalprice"), 2)))
+
+
+@register("an_calendar_heatmap", "SELECT year, week, " + ", ".join(
+    f'count(*) FILTER (WHERE dayofweek(ts) + 1 = {i}) AS "{i}"' for i in range(1, 8)) + """ FROM (SELECT ts,
+  year(ts) AS year, CAST(floor((dayofyear(ts) + dayofweek(date_trunc('year', ts)) - 1) / 7) + 1 AS BIGINT) AS week
+  FROM events) GROUP BY year, week""")
+def q_heatmap(spark, d):
+    out = Tables(spark, d).events.transform(AN.calendar_heatmap("ts", F.count(F.lit(1))))
+    return out.fillna(0, subset=[str(i) for i in range(1, 8)])
