@@ -1,3 +1,111 @@
-"""Registered queries."""
+"""Registered queries: incremental refresh, streaming KPIs, diff and merge."""
 
 from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import register
+from tessera.sources.tables import Tables
+from tessera.streaming import incremental as inc
+from tessera.streaming import kpi
+
+_DAILY_SQL = ("(SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS revenue, count(*) AS n "
+              "FROM orders GROUP BY 1)")
+
+
+def _daily(t):
+    return t.orders.groupBy(F.col("o_orderdate").cast("date").alias("order_day")).agg(
+        F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@register("inc_refresh_policy", f"""SELECT day, round(revenue, 2) AS revenue, n FROM {_DAILY_SQL}
+  WHERE day >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 364 DAY""")
+def q_refresh(spark, d):
+    t = Tables(spark, d)
+    daily = _daily(t)
+    path = inc.scratch_path(spark, "refresh")
+    newest = daily.agg(F.max("order_day")).first()[0]
+    # State before the refresh: every day loaded, the newest days still stale.
+    stale = daily.withColumn("revenue", F.when(F.col("order_day") > F.lit(newest - dt.timedelta(days=3)), F.lit(0.0))
+                             .otherwise(F.col("revenue")))
+    inc.initial_load(stale, "order_day", path)
+    out = inc.refresh_policy(daily, "order_day", path, refresh_days=3, keep_days=365)
+    return out.select(F.col("order_day").alias("day"), F.round("revenue", 2).alias("revenue"), "n")
+
+
+@register("inc_append_stream", "SELECT * FROM events")
+def q_append_stream(spark, d):
+    schema = Tables(spark, d).events.schema
+    sink = inc.scratch_path(spark, "append-sink")
+    inc.append_stream(spark, d, "events.parquet", schema, "event_id", "ts", sink, sink + "-checkpoint")
+    return spark.read.parquet(sink)
+
+
+@register("str_kpi_tumbling", """SELECT date_trunc('day', ts) AS window_start,
+  date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS events, round(sum(value), 2) AS total
+  FROM events GROUP BY 1, 2, 3
+  HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def q_kpi_tumbling(spark, d):
+    schema = Tables(spark, d).events.schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    agg = kpi.kpi_stream(stream, "ts", "day", ["event_type"],
+                         {"events": F.count(F.lit(1)), "total": F.sum("value")}, delay="1 day")
+    sink = inc.scratch_path(spark, "kpi-sink")
+    out = kpi.run_to_table(spark, agg, sink, sink + "-checkpoint")
+    return out.withColumn("total", F.round("total", 2))
+
+
+@register("kpi_vs_target", """SELECT date_trunc('month', o_orderdate) AS period, round(sum(o_totalprice), 2) AS actual,
+  CAST(3000000.0 AS DOUBLE) AS target, round(sum(o_totalprice) - 3000000.0, 2) AS variance,
+  round(sum(o_totalprice) / 3000000.0, 8) AS attainment,
+  CASE WHEN sum(o_totalprice) >= 3000000.0 THEN 'on track' ELSE 'behind' END AS status
+  FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+def q_kpi_vs_target(spark, d):
+    out = kpi.kpi_vs_target(Tables(spark, d).orders, "o_orderdate", "month", F.sum("o_totalprice"), 3_000_000.0,
+                            filters=F.col("o_orderstatus") == "F")
+    return out.withColumns({"actual": F.round("actual", 2), "variance": F.round("variance", 2),
+                            "attainment": F.round("attainment", 8)})
+
+
+_OLD_SQL = ("(SELECT o_orderkey, o_custkey, CASE WHEN o_orderdate >= TIMESTAMP '2000-06-01' THEN 'O' "
+            "ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders "
+            "WHERE o_orderdate < TIMESTAMP '2001-01-01')")
+_NEW_SQL = ("(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders "
+            "WHERE o_orderdate >= TIMESTAMP '1995-06-01')")
+
+
+def _snapshots(t):
+    o = t.orders
+    old = o.filter(F.col("o_orderdate") < F.lit(dt.datetime(2001, 1, 1))).select(
+        "o_orderkey", "o_custkey",
+        F.when(F.col("o_orderdate") >= F.lit(dt.datetime(2000, 6, 1)), F.lit("O"))
+        .otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice", "o_orderpriority")
+    new = o.filter(F.col("o_orderdate") >= F.lit(dt.datetime(1995, 6, 1))).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return old, new
+
+
+@register("inc_table_diff", f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+  CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed'
+  WHEN a.o_custkey IS NOT DISTINCT FROM b.o_custkey AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus
+   AND a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice AND a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority
+  THEN 'unchanged' ELSE 'modified' END AS change FROM {_OLD_SQL} a FULL JOIN {_NEW_SQL} b ON a.o_orderkey = b.o_orderkey""")
+def q_table_diff(spark, d):
+    old, new = _snapshots(Tables(spark, d))
+    return inc.table_diff(old, new, ["o_orderkey"])
+
+
+@register("inc_merge_preserve", f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+  CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_custkey ELSE a.o_custkey END AS o_custkey,
+  CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_orderstatus ELSE a.o_orderstatus END AS o_orderstatus,
+  CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_totalprice ELSE a.o_totalprice END AS o_totalprice,
+  CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_orderpriority ELSE a.o_orderpriority END AS o_orderpriority,
+  a.user_note AS user_note
+  FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 'call customer' END AS user_note FROM {_OLD_SQL}) a
+  FULL JOIN {_NEW_SQL} b ON a.o_orderkey = b.o_orderkey""")
+def q_merge_preserve(spark, d):
+    old, new = _snapshots(Tables(spark, d))
+    target = old.withColumn("user_note", F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("call customer")))
+    return inc.merge_preserve(target, new, ["o_orderkey"], keep=["user_note"])
