@@ -125,8 +125,26 @@ def distinct(cols: Sequence[str] | None = None) -> Step:
 
 
 def distinct_ordered(cols: Sequence[str], order_by) -> Step:
-    """Keep the first row per key along ``order_by`` (deterministic dedup)."""
+    """Keep the first row per key along ``order_by`` (deterministic dedup).
+
+    When the order is all ascending (or all descending) this is a ``min`` (or
+    ``max``) of a struct led by the order columns — an aggregate that Spark
+    merges map-side, so a key holding a third of the rows costs one partial row
+    per task.  Mixed directions fall back to a row_number window.
+    """
+    specs = [(o, "asc") if isinstance(o, str) else o for o in
+             ([order_by] if isinstance(order_by, (str, tuple)) else list(order_by))]
+
     def step(df: DataFrame) -> DataFrame:
+        dirs = {d.lower()[:1] for _, d in specs} if all(isinstance(s, tuple) for s in specs) else {"x"}
+        if len(dirs) == 1 and dirs <= {"a", "d"}:
+            order_names = [n for n, _ in specs]
+            rest = [c for c in df.columns if c not in cols and c not in order_names]
+            packed = F.struct(*[F.col(n).alias(f"_o{i}") for i, n in enumerate(order_names)],
+                              *[F.col(c) for c in rest], *[F.col(n) for n in order_names])
+            pick = F.min(packed) if dirs == {"a"} else F.max(packed)
+            out = df.groupBy(*cols).agg(pick.alias("_best"))
+            return out.select(*cols, *[F.col(f"_best.`{c}`").alias(c) for c in df.columns if c not in cols])
         w = Window.partitionBy(*cols).orderBy(*scan.sort_orders(order_by))
         return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return step
@@ -149,9 +167,9 @@ def remove_last_rows(n: int, order_by) -> Step:
     """
     def step(df: DataFrame) -> DataFrame:
         idx = scan.row_index(df, "_idx", order_by=order_by)
+        from tessera.operators.joins import attach_scalar
         total = df.agg(F.count(F.lit(1)).alias("_total"))
-        return idx.crossJoin(F.broadcast(total)).filter(F.col("_idx") <= F.col("_total") - n) \
-            .drop("_idx", "_total")
+        return attach_scalar(idx, total).filter(F.col("_idx") <= F.col("_total") - n).drop("_idx", "_total")
     return step
 
 

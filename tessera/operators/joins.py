@@ -3,7 +3,8 @@
 Spark chooses the physical join (broadcast hash when AQE measures a side as
 small, else sort-merge with skew splitting).  We only force a broadcast for
 sides whose size is bounded by construction or checked with
-``broadcast_if_small``.
+``broadcast_if_small`` (the optimizer's size estimate, read without running a
+job; a side without a small estimate is left to AQE's runtime measurement).
 """
 
 from __future__ import annotations
@@ -22,22 +23,37 @@ JOIN_KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full"
               "leftOnly": "left_anti", "rightOnly": "right_anti", "notInner": "not_inner"}
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after counting at most ``max_rows + 1`` rows of the side."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# Fixed value: broadcast bound used when the caller gives none (Spark's default
+# broadcast threshold is 10 MiB).
+DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes scaled by the columns
+    read, propagated through operators); no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when the estimated size is within ``max_bytes``.
+
+    Estimates of scans and projections are upper bounds; a side whose estimate
+    is unknown or large gets no hint, and AQE still converts the join at
+    runtime if the measured shuffle output turns out small.
+    """
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row DataFrame (a global aggregate) to every row.
 
-    An equi join on a constant key against a one-row broadcast side: a
-    broadcast hash join, no shuffle of ``df`` and no cartesian product.
+    Planned as an uncorrelated scalar subquery: the aggregate runs once and its
+    value is inlined into the projection — no join, no shuffle of ``df``.
+    More than one row is an error, as for any scalar subquery.
     """
-    k = "_tsr_one"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), on=k, how="inner")
-            .drop(k))
+    cols = one_row.columns
+    sub = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_s")).scalar()
+    return df.withColumns({c: sub[c] for c in cols})
 
 
 def _cond(left: DataFrame, right: DataFrame, left_keys, right_keys) -> Column:
@@ -101,13 +117,13 @@ def align_key_types(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
 
 def related(dim: DataFrame, key: str, columns: Sequence[str], dim_key: str | None = None,
-            max_broadcast_rows: int = 1_000_000) -> Step:
+            max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> Step:
     """Many-to-one lookup (RELATED): left join to the dimension, one row per key."""
     dk = dim_key or key
 
     def step(df: DataFrame) -> DataFrame:
         d = dim.select(F.col(dk).alias("_rk"), *columns).dropDuplicates(["_rk"])
-        d = broadcast_if_small(d, max_broadcast_rows)
+        d = broadcast_if_small(d, max_broadcast_bytes)
         return df.join(d, df[key].eqNullSafe(d["_rk"]), "left").drop("_rk")
     return step
 
@@ -174,15 +190,19 @@ def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_po
 
 def cross(right: DataFrame, max_right_rows: int = 10_000) -> Step:
     """Join with no key, for scaffolds of dimension members (every region x every
-    segment).  The right side must be small: its row count is checked against
-    ``max_right_rows`` before anything runs, and it is attached as a broadcast
-    hash join on a constant key, so the left side is streamed once and never
-    shuffled."""
+    segment).  The right side must be small: at most ``max_right_rows`` rows are
+    read back (more is an error), and they are attached to each left row by
+    exploding a literal array — a generator, so the plan has no cartesian
+    join and the left side is neither shuffled nor broadcast."""
     def step(left: DataFrame) -> DataFrame:
-        n = right.limit(max_right_rows + 1).count()
-        if n > max_right_rows:
+        rows = right.limit(max_right_rows + 1).collect()
+        if len(rows) > max_right_rows:
             raise ValueError(f"cross join right side has more than {max_right_rows} rows")
-        k = "_tsr_cross"
-        return (left.withColumn(k, F.lit(1))
-                .join(F.broadcast(right.withColumn(k, F.lit(1))), on=k, how="inner").drop(k))
+        fields = right.schema.fields
+        if not rows:
+            return left.limit(0).select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        lits = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)])
+                         for r in rows])
+        return left.withColumn("_tsr_x", F.explode(lits)).select(
+            *left.columns, *[F.col(f"_tsr_x.`{f.name}`").alias(f.name) for f in fields])
     return step

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import scan
-from tessera.operators.joins import broadcast_if_small
+from tessera.operators.joins import attach_scalar, broadcast_if_small
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -220,14 +220,20 @@ def dimension_switch(allowed: Sequence[str], choice: str, aggs: Mapping[str, Col
 def rls_user_mapping(mapping: DataFrame, user: str, col: str, user_col: str = "user",
                      value_col: str = "value") -> Step:
     """Keep rows whose ``col`` is allowed for ``user`` by a mapping table; when the
-    user has no mapping the column must equal the user name."""
+    user has no mapping the column must equal the user name.
+
+    The user's mapping rows are few (checked by size estimate before a
+    broadcast hint); whether any exist is a scalar subquery, so building the
+    step runs no job.
+    """
     def step(df: DataFrame) -> DataFrame:
-        allowed = mapping.filter(F.col(user_col) == F.lit(user)).select(F.col(value_col).alias("_allowed")).distinct()
-        allowed = broadcast_if_small(allowed)
-        has_mapping = allowed.limit(1).count() > 0
-        if not has_mapping:
-            return df.filter(F.col(col) == F.lit(user))
-        return df.join(allowed, df[col] == allowed["_allowed"], "left_semi")
+        mine = mapping.filter(F.col(user_col) == F.lit(user))
+        allowed = broadcast_if_small(mine.select(F.col(value_col).alias("_allowed")).distinct()
+                                     .withColumn("_ok", F.lit(True)))
+        has_map = mine.agg((F.count(F.lit(1)) > 0).alias("_has_map"))
+        j = attach_scalar(df.join(allowed, df[col] == allowed["_allowed"], "left"), has_map)
+        keep = F.when(F.col("_has_map"), F.coalesce(F.col("_ok"), F.lit(False))).otherwise(F.col(col) == F.lit(user))
+        return j.filter(keep).drop("_allowed", "_ok", "_has_map")
     return step
 
 
@@ -308,13 +314,8 @@ def relationship_cardinality(left: DataFrame, left_key: str, right: DataFrame, r
         return df.agg(F.count(k).alias(f"{p}_rows"), F.count_distinct(k).alias(f"{p}_distinct"))
     l_ = side(left, left_key, "left")
     r_ = side(right, right_key, "right")
-    j = _one_row_join(l_, r_)
+    j = attach_scalar(l_, r_)
     lone = F.col("left_rows") == F.col("left_distinct")
     rone = F.col("right_rows") == F.col("right_distinct")
     card = (F.when(lone & rone, "1:1").when(~lone & rone, "m:1").when(lone & ~rone, "1:m").otherwise("m:n"))
     return j.withColumn("cardinality", card)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    k = "_tsr_one"
-    return a.withColumn(k, F.lit(1)).join(F.broadcast(b.withColumn(k, F.lit(1))), k).drop(k)

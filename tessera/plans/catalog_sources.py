@@ -90,7 +90,8 @@ def q_custom_sql(spark, d):
 
 @register("src_catalog", _CUST_SQL)
 def q_catalog(spark, d):
-    io.write_table(_customer(spark, d), "tessera_customer_copy")
+    spark.sql("DROP TABLE IF EXISTS tessera_customer_copy")
+    io.write_table(_customer(spark, d), "tessera_customer_copy", path=scratch_path(spark, "table-copy"))
     return io.read_table(spark, "tessera_customer_copy")
 
 
@@ -139,7 +140,7 @@ def q_snk_table(spark, d):
     c = _customer(spark, d)
     schema = T.StructType([T.StructField(f.name, f.dataType, f.name != "c_custkey") for f in c.schema.fields])
     spark.sql("DROP TABLE IF EXISTS tessera_customer_ddl")
-    spark.sql(io.create_table_ddl("tessera_customer_ddl", schema))
+    spark.sql(io.create_table_ddl("tessera_customer_ddl", schema, location=scratch_path(spark, "table-ddl")))
     c.write.mode("overwrite").insertInto("tessera_customer_ddl")
     return spark.table("tessera_customer_ddl")
 

@@ -34,7 +34,7 @@ def sales_by_region_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
            .select("n_nationkey", F.initcap("r_name").alias("region")))
     rows = (lines.join(orders, F.col("l_orderkey") == F.col("order_id"), "inner")
             .transform(joins.join(customers, "customer_id", "c_custkey", how="left", expand=["c_nationkey", "segment"]))
-            .transform(joins.related(geo, "c_nationkey", ["region"], dim_key="n_nationkey", max_broadcast_rows=100_000))
+            .transform(joins.related(geo, "c_nationkey", ["region"], dim_key="n_nationkey"))
             .transform(prep.replace_nulls({"region": "Unknown", "segment": "Unknown"})))
     view = rows.transform(A.group_by(["region", "segment"], {
         "revenue": A.sum_("revenue"),

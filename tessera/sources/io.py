@@ -151,19 +151,23 @@ def apply_types(schema: T.StructType) -> Callable[[DataFrame], DataFrame]:
 # ----------------------------------------------------------------- sinks
 
 def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: list[str] | None = None) -> DataFrame:
+                partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Overwrite a catalog table; with ``path`` it is an external table stored there."""
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if path:
+        w = w.option("path", path)
     w.saveAsTable(name)
     return df.sparkSession.table(name)
 
 
-def create_table_ddl(name: str, schema: T.StructType, fmt: str = "parquet") -> str:
+def create_table_ddl(name: str, schema: T.StructType, fmt: str = "parquet", location: str | None = None) -> str:
     """CREATE TABLE text with types and NOT NULL for non-nullable fields."""
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}{'' if f.nullable else ' NOT NULL'}"
                      for f in schema.fields)
-    return f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING {fmt}"
+    loc = f" LOCATION '{location}'" if location else ""
+    return f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING {fmt}{loc}"
 
 
 def materialise_calcs(df: DataFrame, calcs: Mapping, path: str, fmt: str = "parquet") -> DataFrame:
