@@ -9,11 +9,13 @@ job; a side without a small estimate is left to AQE's runtime measurement).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.spatial import EARTH_RADIUS
 from tessera.functions.spatial import distance as _distance
 
 Step = Callable[[DataFrame], DataFrame]
@@ -167,7 +169,8 @@ def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_po
     cells, so every pair within the radius meets exactly once, and the exact
     haversine test follows.  Longitudes are not wrapped at +-180.
     """
-    deg = max(radius_km / 111.19492664455873, 1e-6)   # degrees of latitude per radius
+    km_per_degree = 2 * math.pi * EARTH_RADIUS["km"] / 360
+    deg = max(radius_km / km_per_degree, 1e-6)   # degrees of latitude per radius
 
     def lon_width(band: Column) -> Column:
         edge = F.least(F.greatest(F.abs(band * deg), F.abs((band + 1) * deg)) + deg, F.lit(89.9))
