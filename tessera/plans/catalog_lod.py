@@ -91,3 +91,42 @@ def q_context(spark, d):
     # The dimension filter comes after the FIXED LOD, so it does not change the LOD value.
     return with_lod.transform(flt.keep_values("o_orderpriority", ["1-URGENT"])).select(
         "o_orderkey", F.round("cust_total_f", 2).alias("cust_total_f"))
+
+
+# ------------------------------------------------------------------ composed view
+
+@register("view_composed", """WITH base AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus,
+    o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderstatus IN ('F', 'O')),
+  ctx AS (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS cust_total FROM base
+    WHERE o_orderpriority <> '5-LOW'),
+  filt AS (SELECT * FROM ctx WHERE c_mktsegment <> 'HOUSEHOLD'),
+  v AS (SELECT c_mktsegment, year(o_orderdate) AS yr, sum(o_totalprice) AS sales, count(DISTINCT o_custkey) AS buyers,
+    avg(cust_total) AS avg_cust_total FROM filt GROUP BY 1, 2 HAVING count(*) > 10),
+  seg AS (SELECT c_mktsegment AS s, sum(o_totalprice) AS segment_sales FROM filt GROUP BY 1)
+SELECT c_mktsegment, yr, round(sales, 2) AS sales, buyers, round(avg_cust_total, 2) AS avg_cust_total,
+  round(segment_sales, 2) AS segment_sales, rank() OVER (PARTITION BY yr ORDER BY sales DESC) AS rank_in_year
+FROM v JOIN seg ON v.c_mktsegment = seg.s""")
+def q_view(spark, d):
+    from tessera.operators import tablecalc as tc
+    from tessera.plans.view import ViewSpec, exclude_step, view
+    t = Tables(spark, d)
+    base = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority", "c_mktsegment") \
+        .withColumn("yr", F.year("o_orderdate"))
+    spec = ViewSpec(
+        dims=["c_mktsegment", "yr"],
+        measures={"sales": F.sum("o_totalprice"), "buyers": F.count_distinct("o_custkey"),
+                  "avg_cust_total": F.avg("cust_total"), "_n": F.count(F.lit(1))},
+        datasource_filters=[flt.keep_values("o_orderstatus", ["F", "O"])],
+        context_filters=[flt.exclude_values("o_orderpriority", ["5-LOW"])],
+        fixed_lods=[(["o_custkey"], {"cust_total": F.sum("o_totalprice")})],
+        dimension_filters=[flt.exclude_values("c_mktsegment", ["HOUSEHOLD"])],
+        measure_filters=[F.col("_n") > 10],
+        view_lods=[exclude_step(["c_mktsegment", "yr"], ["yr"], F.sum("o_totalprice"), "segment_sales")],
+        table_calcs=[tc.rank("sales", "rank_in_year", ["yr"])],
+    )
+    out = view(base, spec)
+    return out.select("c_mktsegment", "yr", F.round("sales", 2).alias("sales"), "buyers",
+                      F.round("avg_cust_total", 2).alias("avg_cust_total"),
+                      F.round("segment_sales", 2).alias("segment_sales"), "rank_in_year")
