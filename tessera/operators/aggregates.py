@@ -4,14 +4,14 @@ Algebraic aggregates (sum, count, min, max, avg, var, corr, ...) are merged
 map-side by Spark's partial aggregation, so a hot group costs one partial row
 per task.  Exact percentiles are the exception: Spark's ``percentile`` keeps
 every distinct value of a group in the final task.  ``exact_percentiles``
-computes them from a skew-safe ordered index instead.
+locates the target ranks from per-segment counts instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions._util import c
@@ -149,46 +149,70 @@ def totals(groups: Sequence[str], aggs: Mapping[str, Column], kind: str = "rollu
 
 
 def exact_percentiles(groups: Sequence[str], value: str, ps: Mapping[str, float],
-                      skew_safe: bool = True) -> Step:
+                      num_segments: int | None = None) -> Step:
     """Exact interpolated percentiles per group without gathering a group in one task.
 
-    Rows get their 1-based position in value order within the group (a
-    skew-safe segmented scan); the group size comes from a partial
-    aggregation.  For each p the two neighbouring positions of
-    ``1 + (n-1) p`` are kept (at most two rows per group and p) and
-    interpolated — the same definition as Spark ``percentile`` and
-    ``quantile_cont``.
+    1. ``repartitionByRange`` on (group, value) cuts every group into balanced
+       segments (a hot group spans many) and tags rows with their segment.
+    2. Rows are counted per (group, segment) — a partial aggregation — and a
+       window over that small table gives each segment's first rank and the
+       group size ``n``.
+    3. For each p the two ranks around ``1 + (n-1) p`` are located in their
+       segments; only those (at most 2 per p and group) segments are numbered
+       by a window, the rows at the target ranks picked, and interpolated.
+
+    Same definition as Spark ``percentile`` and DuckDB ``quantile_cont``; the
+    data is shuffled once, and only the target segments are sorted.
     """
     groups = list(groups)
+    names = list(ps)
 
     def step(df: DataFrame) -> DataFrame:
         base = df.select(*groups, value).filter(F.col(value).isNotNull())
-        idx = scan.row_index(base, "_pos", partition_by=groups, order_by=[value], skew_safe=skew_safe)
-        sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        cond = None
-        for g in groups:
-            t = idx[g].eqNullSafe(sizes[g])
-            cond = t if cond is None else cond & t
-        j = idx.join(sizes, cond, "inner").select(*[idx[g] for g in groups], "_pos", value, "_n") \
-            if groups else joins_attach(idx, sizes)
-        picks = []
-        keep = None
-        for name, p in ps.items():
-            h = F.lit(1.0) + (F.col("_n") - 1) * F.lit(float(p))
-            lo, hi = F.floor(h), F.ceil(h)
-            j = j.withColumns({f"_h_{name}": h, f"_lo_{name}": lo, f"_hi_{name}": hi})
-            term = (F.col("_pos") == F.col(f"_lo_{name}")) | (F.col("_pos") == F.col(f"_hi_{name}"))
-            keep = term if keep is None else keep | term
-        j = j.filter(keep)
-        for name in ps:
-            vlo = F.max(F.when(F.col("_pos") == F.col(f"_lo_{name}"), F.col(value)))
-            vhi = F.max(F.when(F.col("_pos") == F.col(f"_hi_{name}"), F.col(value)))
-            frac = F.first(F.col(f"_h_{name}") - F.col(f"_lo_{name}"))
-            picks.append((vlo + (vhi - vlo) * frac).alias(name))
-        return j.groupBy(*groups).agg(*picks)
+        seg = scan.segment(base, groups, [value], num_segments)
+        S = scan.SEG
+        counts = seg.groupBy(*groups, S).agg(F.count(F.lit(1)).alias("_c"))
+        wg = Window.partitionBy(*groups)
+        counts = counts.withColumns({
+            "_before": F.coalesce(F.sum("_c").over(wg.orderBy(S).rowsBetween(Window.unboundedPreceding, -1)),
+                                  F.lit(0)),
+            "_n": F.sum("_c").over(wg)})
+        # one row per (group, p, lo/hi) target rank
+        spec = F.array(*[F.struct(F.lit(nm).alias("_p"), F.lit(float(ps[nm])).alias("_q")) for nm in names])
+        t = counts.select(*groups, S, "_c", "_before", "_n", F.explode(spec).alias("_t"))
+        h = F.lit(1.0) + (F.col("_n") - 1) * F.col("_t._q")
+        t = t.withColumns({"_p": F.col("_t._p"), "_h": h}).withColumn(
+            "_r", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
+        t = t.filter((F.col("_r") > F.col("_before")) & (F.col("_r") <= F.col("_before") + F.col("_c")))
+        keys = groups + [S]
+        # Target columns get their own names: both sides descend from ``seg``.
+        targets = t.select(*[F.col(k).alias(f"_tk{i}") for i, k in enumerate(keys)], "_p", "_h", "_r",
+                           (F.col("_r") - F.col("_before")).alias("_tlr")).distinct()
+        tkeys = [f"_tk{i}" for i in range(len(keys))]
+        tseg = targets.select(*tkeys).distinct()
+        cand = seg.join(tseg, _ns_cond(keys, tkeys), "left_semi")
+        local = cand.withColumn("_lr", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
+        cond = _ns_cond(keys, tkeys) & (F.col("_lr") == F.col("_tlr"))
+        picked = local.join(targets, cond, "inner").select(*groups, "_p", "_h", "_r", value)
+        aggs = []
+        for nm in names:
+            mine = F.col("_p") == nm
+            lo_v = F.max(F.when(mine & (F.col("_r") == F.floor("_h")), F.col(value)))
+            hi_v = F.max(F.when(mine & (F.col("_r") == F.ceil("_h")), F.col(value)))
+            frac = F.max(F.when(mine, F.col("_h") - F.floor("_h")))
+            aggs.append((lo_v + (hi_v - lo_v) * frac).alias(nm))
+        return picked.groupBy(*groups).agg(*aggs)
     return step
 
 
+def _ns_cond(left_keys: Sequence[str], right_keys: Sequence[str]):
+    cond = None
+    for a, b in zip(left_keys, right_keys):
+        t = F.col(a).eqNullSafe(F.col(b))
+        cond = t if cond is None else cond & t
+    return cond
+
+
 def joins_attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     from tessera.operators.joins import attach_scalar
     return attach_scalar(df, one_row)
