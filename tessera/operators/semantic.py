@@ -310,12 +310,42 @@ def relationship_infer(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def relationship_cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """'one' or 'many' per side from row count vs distinct count -> 1:1, m:1, 1:m, m:n."""
-    def side(df, k, p):
-        return df.agg(F.count(k).alias(f"{p}_rows"), F.count_distinct(k).alias(f"{p}_distinct"))
-    l_ = side(left, left_key, "left")
-    r_ = side(right, right_key, "right")
-    j = attach_scalar(l_, r_)
+    l_ = key_stats(left, [left_key]).select(F.col(f"{left_key}__rows").alias("left_rows"),
+                                            F.col(f"{left_key}__distinct").alias("left_distinct"))
+    r_ = key_stats(right, [right_key]).select(F.col(f"{right_key}__rows").alias("right_rows"),
+                                              F.col(f"{right_key}__distinct").alias("right_distinct"))
+    return _cardinality(attach_scalar(l_, r_))
+
+
+def _cardinality(j: DataFrame) -> DataFrame:
     lone = F.col("left_rows") == F.col("left_distinct")
     rone = F.col("right_rows") == F.col("right_distinct")
     card = (F.when(lone & rone, "1:1").when(~lone & rone, "m:1").when(lone & ~rone, "1:m").otherwise("m:n"))
     return j.withColumn("cardinality", card)
+
+
+def key_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: non-null count and distinct count of each key column, in one
+    aggregation pass (partial aggregation map-side)."""
+    aggs = []
+    for k in keys:
+        aggs += [F.count(k).alias(f"{k}__rows"), F.count_distinct(k).alias(f"{k}__distinct")]
+    return df.agg(*aggs)
+
+
+def relationship_cardinalities(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Cardinality of every name-candidate relationship.  Each table is scanned
+    once for the statistics of all its key columns; the per-pair table is
+    assembled from those one-row results (a handful of numbers per table)."""
+    pairs = relationship_candidates(tables)
+    cols: dict[str, list[str]] = {}
+    for lt, lc, rt, rc in pairs:
+        cols.setdefault(lt, []).append(lc)
+        cols.setdefault(rt, []).append(rc)
+    stats = {t: key_stats(tables[t], sorted(set(cs))).first().asDict() for t, cs in cols.items()}
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(f"{lt}.{lc}", f"{rt}.{rc}", stats[lt][f"{lc}__rows"], stats[lt][f"{lc}__distinct"],
+             stats[rt][f"{rc}__rows"], stats[rt][f"{rc}__distinct"]) for lt, lc, rt, rc in pairs]
+    df = spark.createDataFrame(rows, "left_key string, right_key string, left_rows bigint, left_distinct bigint, "
+                                     "right_rows bigint, right_distinct bigint")
+    return _cardinality(df)

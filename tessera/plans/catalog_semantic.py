@@ -266,10 +266,4 @@ def _card_sql() -> str:
 @register("sem_relationship_cardinality", _card_sql())
 def q_rel_card(spark, d):
     t = Tables(spark, d)
-    out = None
-    for lt, lc, rt, rc in _rel_pairs():
-        one = S.relationship_cardinality(getattr(t, lt), lc, getattr(t, rt), rc).select(
-            F.lit(f"{lt}.{lc}").alias("left_key"), F.lit(f"{rt}.{rc}").alias("right_key"), "left_rows",
-            "left_distinct", "right_rows", "right_distinct", "cardinality")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return S.relationship_cardinalities({n: getattr(t, n) for n in _REL_TABLES})

@@ -177,17 +177,20 @@ def q_script_scalar(spark, d):
                      U.script("bool", lambda q: q > 25, "l_quantity").alias("big"))
 
 
-def _order_stats(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"o_custkey": pdf["o_custkey"].iloc[:1].to_numpy(),
-                         "orders": np.array([len(pdf)], dtype=np.int64),
-                         "top_price": np.array([pdf["o_totalprice"].max()])})
+def _price_band(pdf: pd.DataFrame) -> pd.DataFrame:
+    band = np.where(pdf["o_totalprice"] >= 300000, "large", np.where(pdf["o_totalprice"] >= 100000, "medium", "small"))
+    return pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "band": band,
+                         "price_k": (pdf["o_totalprice"] // 1000).astype("int64")})
 
 
-@register("udf_script_table", "SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS top_price FROM orders "
-          "GROUP BY o_custkey")
+@register("udf_script_table", """SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'large'
+  WHEN o_totalprice >= 100000 THEN 'medium' ELSE 'small' END AS band, CAST(floor(o_totalprice / 1000) AS BIGINT)
+  AS price_k FROM orders""")
 def q_script_table(spark, d):
-    o = Tables(spark, d).orders.select("o_custkey", "o_totalprice")
-    return o.transform(U.script_table(_order_stats, "o_custkey long, orders long, top_price double", by=["o_custkey"]))
+    # A table script over Arrow batches of each partition (mapInPandas): no
+    # grouping, so no key can concentrate rows in one Python worker.
+    o = Tables(spark, d).orders.select("o_orderkey", "o_totalprice")
+    return o.transform(U.script_table(_price_band, "o_orderkey long, band string, price_k long"))
 
 
 @register("udf_predict", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(s.b + s.a * l_quantity, 4)
