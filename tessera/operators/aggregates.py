@@ -101,10 +101,27 @@ def attr(x) -> Column:
 
 
 def collect_points(point) -> Column:
-    """COLLECT: the points of a group (spatial aggregate) as an array."""
+    """COLLECT as a plain aggregate Column: every point of the group (use
+    ``collect_geometry`` when groups can be large)."""
     return F.collect_list(c(point))
 
 
+def collect_geometry(groups: Sequence[str], point: str, name: str = "points", precision: int = 6) -> Step:
+    """COLLECT of a group's points as a multipoint of distinct points snapped to
+    ``precision`` decimal degrees.
+
+    Distinct (group, snapped point) pairs are found by a grouped aggregate
+    (merged map-side) before anything is collected, so a group's array is
+    bounded by the number of grid cells at that precision, not by its rows.
+    """
+    def step(df: DataFrame) -> DataFrame:
+        p = F.col(point)
+        snapped = F.struct(F.round(p["lat"], precision).alias("lat"), F.round(p["lon"], precision).alias("lon"))
+        cells = df.select(*groups, snapped.alias("_pt")).filter(F.col("_pt.lat").isNotNull()).distinct()
+        return cells.groupBy(*groups).agg(F.array_sort(F.collect_list("_pt")).alias(name))
+    return step
+
+
 def sum_if(cond: Column, x) -> Column:
     """SUM(IF cond THEN x END)."""
     return F.sum(F.when(cond, c(x)))

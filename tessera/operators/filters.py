@@ -155,8 +155,14 @@ def remove_blank_rows() -> Step:
 
 
 def skip_rows(n: int, order_by) -> Step:
-    """Drop the first n rows along a total order."""
-    return lambda df: df.orderBy(*scan.sort_orders(order_by)).offset(n)
+    """Drop the first n rows along a total order.
+
+    Rows are numbered by the segmented row index (``orderBy().offset(n)``
+    would pass every row through a single task); the filter keeps the rest.
+    """
+    def step(df: DataFrame) -> DataFrame:
+        return scan.row_index(df, "_idx", order_by=order_by).filter(F.col("_idx") > n).drop("_idx")
+    return step
 
 
 def remove_last_rows(n: int, order_by) -> Step:

@@ -85,12 +85,13 @@ def q_percentile_builtin(spark, d):
     return _li(spark, d).groupBy("l_suppkey").agg(A.percentile("l_quantity", 0.95).alias("p95"))
 
 
-@register("agg_collect", """SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, list_sort(list(struct_pack(lat := CAST(c_custkey % 170 - 85 AS DOUBLE),
-  lon := CAST(c_custkey * 7 % 340 - 170 AS DOUBLE)))) AS points FROM customer GROUP BY c_nationkey""")
+@register("agg_collect", """SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, list_sort(list(DISTINCT struct_pack(
+  lat := CAST(c_custkey % 170 - 85 AS DOUBLE), lon := CAST(c_custkey * 7 % 340 - 170 AS DOUBLE)))) AS points
+  FROM customer GROUP BY c_nationkey""")
 def q_collect(spark, d):
     c = Tables(spark, d).customer
     pt = fn.makepoint((F.col("c_custkey") % 170 - 85).cast("double"), (F.col("c_custkey") * 7 % 340 - 170).cast("double"))
-    return c.groupBy("c_nationkey").agg(F.array_sort(A.collect_points(pt)).alias("points"))
+    return c.withColumn("pt", pt).transform(A.collect_geometry(["c_nationkey"], "pt", "points"))
 
 
 @register("agg_conditional", """SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice END), 2)
