@@ -32,10 +32,6 @@ def _part(part: str) -> str:
     return aliases.get(p, p)
 
 
-def _is_date(col: Column, is_date: bool | None) -> bool:
-    return bool(is_date)
-
-
 def dateadd(part: str, n, d, is_date: bool = False) -> Column:
     """DATEADD(part, n, d). Month arithmetic clamps to the month end.
 
@@ -76,11 +72,18 @@ def datediff(part: str, a, b) -> Column:
     if p == "day":
         return F.datediff(b.cast("date"), a.cast("date")).cast("long")
     secs = {"hour": 3600, "minute": 60, "second": 1}[p]
-    ua = F.unix_seconds(_ts(a).cast("timestamp"))
-    ub = F.unix_seconds(_ts(b).cast("timestamp"))
+    ua, ub = _wall_seconds(a), _wall_seconds(b)
     return (F.floor(ub / secs) - F.floor(ua / secs)).cast("long")
 
 
+def _wall_seconds(d) -> Column:
+    """Seconds since 1970-01-01 00:00 on the wall clock (no time-zone shift,
+    so boundary counts do not depend on the session time zone or DST)."""
+    t = _ts(d)
+    return (_epoch_days(t).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+            + F.floor(F.second(t))).cast("long")
+
+
 # DATENAME text patterns.
 _NAME_PATTERNS = {"month": "MMMM", "weekday": "EEEE"}
 

@@ -34,12 +34,20 @@ def canon(df: DataFrame) -> DataFrame:
     return df.select(*out) if changed else df
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Date semantics are wall-clock: the library runs with a UTC session time
+    zone (streaming windows and NTZ -> TIMESTAMP casts depend on it)."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def register(qid: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if qid in REGISTRY:
             raise ValueError(f"duplicate query id {qid}")
 
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_utc(spark)
             return canon(fn(spark, sf_dir))
         wrapped.__name__ = fn.__name__
         wrapped.__doc__ = fn.__doc__

@@ -133,3 +133,16 @@ def test_spatial(spark):
     sq = F.array(fn.makepoint(F.lit(0.0), F.lit(0.0)), fn.makepoint(F.lit(0.0), F.lit(2.0)),
                  fn.makepoint(F.lit(2.0), F.lit(2.0)), fn.makepoint(F.lit(2.0), F.lit(0.0)))
     assert one(spark, fn.area(sq)) == 4.0
+
+
+def test_datediff_hours_ignore_session_zone(spark):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # wall clock 01:30 -> 03:30 on the US spring-forward day: two hour boundaries
+        got = col_of(spark, fn.datediff("hour", "a", "b"),
+                     [(dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 3, 10, 3, 30))],
+                     "a timestamp_ntz, b timestamp_ntz")
+        assert got == [2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
