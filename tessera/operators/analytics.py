@@ -174,7 +174,7 @@ def trend_polynomial(x: str, y: str, degree: int, group_by: Sequence[str] = ())
     return step
 
 
-def moving_average(value: str, n: int, name: str, partition_by=None, order_by=None, skew_safe: bool = True) -> Step:
+def moving_average(value: str, n: int, name: str, partition_by=None, order_by=None, skew_safe: bool | None = None) -> Step:
     """Trailing mean of the last ``n`` rows (current included)."""
     return lambda df: scan.framed(df, {name: lambda w: F.avg(value).over(w.rowsBetween(-(n - 1), 0))},
                                   partition_by, order_by, -(n - 1), 0, skew_safe=skew_safe)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.spatial import EARTH_RADIUS
+from tessera.operators.sizing import estimated_bytes
 from tessera.functions.spatial import distance as _distance
 
 Step = Callable[[DataFrame], DataFrame]
@@ -30,12 +31,6 @@ JOIN_KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full"
 DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes scaled by the columns
-    read, propagated through operators); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only when the estimated size is within ``max_bytes``.
 

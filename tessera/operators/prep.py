@@ -211,12 +211,12 @@ def proper(cols) -> Step:
     return _map_cols(F.initcap, cols)
 
 
-def fill_down(cols, order_by, partition_by=None, skew_safe: bool = True) -> Step:
+def fill_down(cols, order_by, partition_by=None, skew_safe: bool | None = None) -> Step:
     """Carry the last non-null value forward along ``order_by``."""
     return lambda df: scan.fill(df, _cols(cols), partition_by, order_by, "down", skew_safe)
 
 
-def fill_up(cols, order_by, partition_by=None, skew_safe: bool = True) -> Step:
+def fill_up(cols, order_by, partition_by=None, skew_safe: bool | None = None) -> Step:
     """Carry the next non-null value backward along ``order_by``."""
     return lambda df: scan.fill(df, _cols(cols), partition_by, order_by, "up", skew_safe)
 

@@ -18,7 +18,9 @@ These helpers split each group into *segments* instead:
 
 The result is exact (same values as the single-window form) with work spread
 over ``n`` tasks whatever the key distribution.  ``skew_safe=False`` gives the
-single-window plan, which is cheaper for small, already aggregated views.
+single-window plan; ``None`` (default) picks it only when Catalyst's size
+estimate of the whole input is within one task's budget
+(``tessera.scan.singleTaskBytes``, 32 MiB), so no group can overload a task.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sizing import resolve_skew_safe
+
 SEG = "_tsr_seg"
 _RN = "_tsr_rn"
 _N = "_tsr_n"
@@ -108,7 +112,7 @@ def _carry(local: DataFrame, parts, tail_cols: dict[str, Column], carry_cols: di
 
 
 def running(df: DataFrame, value: str | Column, partition_by=None, order_by=None,
-            aggs: Sequence[str] = ("sum",), prefix: str = "running_", skew_safe: bool = True,
+            aggs: Sequence[str] = ("sum",), prefix: str = "running_", skew_safe: bool | None = None,
             num_segments: int | None = None) -> DataFrame:
     """Running sum/count/min/max/avg of ``value`` along ``order_by`` within ``partition_by``.
 
@@ -116,6 +120,7 @@ def running(df: DataFrame, value: str | Column, partition_by=None, order_by=None
     """
     v = F.col(value) if isinstance(value, str) else value
     parts = _names(partition_by)
+    skew_safe = resolve_skew_safe(df, skew_safe)
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by)) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -151,10 +156,11 @@ def running(df: DataFrame, value: str | Column, partition_by=None, order_by=None
 
 
 def row_index(df: DataFrame, name: str, partition_by=None, order_by=None, start: int = 1,
-              step: int = 1, skew_safe: bool = True, num_segments: int | None = None) -> DataFrame:
+              step: int = 1, skew_safe: bool | None = None, num_segments: int | None = None) -> DataFrame:
     """Row number along a total order (ties must be broken by the caller), as
     ``start + step * (n - 1)``; global when ``partition_by`` is empty."""
     parts = _names(partition_by)
+    skew_safe = resolve_skew_safe(df, skew_safe)
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by))
         return df.withColumn(name, (F.lit(start) + F.lit(step) * (F.row_number().over(w) - 1)).cast("long"))
@@ -166,13 +172,14 @@ def row_index(df: DataFrame, name: str, partition_by=None, order_by=None, start:
 
 
 def ranks(df: DataFrame, value: str, partition_by=None, ascending: bool = False,
-          kinds: Sequence[str] = ("rank",), prefix: str = "", skew_safe: bool = True,
+          kinds: Sequence[str] = ("rank",), prefix: str = "", skew_safe: bool | None = None,
           num_segments: int | None = None) -> DataFrame:
     """Competition ``rank``, ``dense`` rank, ``modified`` (ties take the worst rank)
     and ``percentile`` ((rank-1)/(n-1)) of ``value`` within ``partition_by``.
     Descending by default, as the BI RANK functions are."""
     parts = _names(partition_by)
     o = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
+    skew_safe = resolve_skew_safe(df, skew_safe)
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(o)
         wr = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -204,7 +211,7 @@ def ranks(df: DataFrame, value: str, partition_by=None, ascending: bool = False,
 
 
 def fill(df: DataFrame, cols: Sequence[str], partition_by=None, order_by=None,
-         direction: str = "down", skew_safe: bool = True, num_segments: int | None = None) -> DataFrame:
+         direction: str = "down", skew_safe: bool | None = None, num_segments: int | None = None) -> DataFrame:
     """Fill nulls from the nearest non-null row before (``down``) or after (``up``)."""
     cols = _names(cols)
     parts = _names(partition_by)
@@ -212,6 +219,7 @@ def fill(df: DataFrame, cols: Sequence[str], partition_by=None, order_by=None,
         # Filling up is filling down along the reversed order.
         order_by = _reverse_spec(order_by)
     orders = sort_orders(order_by)
+    skew_safe = resolve_skew_safe(df, skew_safe)
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*orders) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -238,7 +246,7 @@ def _reverse_spec(order_by) -> list[tuple]:
 
 
 def framed(df: DataFrame, exprs: dict, partition_by=None, order_by=None, lo: int = 0, hi: int = 0,
-           skew_safe: bool = True, block: int | None = None, num_segments: int | None = None) -> DataFrame:
+           skew_safe: bool | None = None, block: int | None = None, num_segments: int | None = None) -> DataFrame:
     """Window expressions over a bounded row frame ``rowsBetween(lo, hi)``.
 
     ``exprs`` maps output names to ``fn(window_spec) -> Column``.  Skew-safe
@@ -249,13 +257,14 @@ def framed(df: DataFrame, exprs: dict, partition_by=None, order_by=None, lo: int
     block is larger than ``block + |lo| + hi`` rows.
     """
     parts = _names(partition_by)
+    skew_safe = resolve_skew_safe(df, skew_safe)
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by))
         return df.withColumns({n: f(w) for n, f in exprs.items()})
     back, fwd = max(0, -lo), max(0, hi)
     size = int(block or max(4096, 8 * (back + fwd)))
     idx = row_index(df, "_tsr_fi", partition_by=parts, order_by=order_by, start=0,
-                    num_segments=num_segments)
+                    skew_safe=True, num_segments=num_segments)
     pos = F.col("_tsr_fi")
     blk = F.floor(pos / size)
     main = idx.withColumns({"_tsr_blk": blk, "_tsr_halo": F.lit(False)})

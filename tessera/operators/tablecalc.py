@@ -47,7 +47,7 @@ def _attach_partition_agg(df: DataFrame, parts: list[str], aggs: list[Column]) -
 
 # ----------------------------------------------------------------- running
 
-def running(agg: str, value: str, name: str, partition_by=None, order_by=None, skew_safe: bool = True) -> Step:
+def running(agg: str, value: str, name: str, partition_by=None, order_by=None, skew_safe: bool | None = None) -> Step:
     """RUNNING_SUM / _AVG / _COUNT / _MIN / _MAX along the address."""
     def step(df: DataFrame) -> DataFrame:
         out = scan.running(df, value, partition_by, order_by, aggs=(agg,), prefix="_run_", skew_safe=skew_safe)
@@ -55,7 +55,7 @@ def running(agg: str, value: str, name: str, partition_by=None, order_by=None, s
     return step
 
 
-def running_countd(value: str, name: str, partition_by=None, order_by=None, skew_safe: bool = True) -> Step:
+def running_countd(value: str, name: str, partition_by=None, order_by=None, skew_safe: bool | None = None) -> Step:
     """Running COUNTD: flag each value's first occurrence, running-sum the flags."""
     def step(df: DataFrame) -> DataFrame:
         parts = _names(partition_by)
@@ -70,7 +70,7 @@ def running_countd(value: str, name: str, partition_by=None, order_by=None, skew
 
 def window(agg: str, value: str, name: str, partition_by=None, order_by=None,
            first: int | None = None, last: int | None = None, y: str | None = None,
-           skew_safe: bool = True) -> Step:
+           skew_safe: bool | None = None) -> Step:
     """WINDOW_<agg>(value[, first, last]): whole partition, or a row frame
     ``first..last`` relative to the current row.  ``corr``/``covar``/``covarp``
     take a second column ``y``; ``median`` and ``percentile_<p>`` are exact."""
@@ -115,7 +115,7 @@ def _join_back(df: DataFrame, agg: DataFrame, parts: list[str]) -> DataFrame:
 # ----------------------------------------------------------------- ranks
 
 def rank(value: str, name: str, partition_by=None, ascending: bool = False, kind: str = "rank",
-         tie_breakers: Sequence[str] = (), skew_safe: bool = True) -> Step:
+         tie_breakers: Sequence[str] = (), skew_safe: bool | None = None) -> Step:
     """RANK (competition), RANK_DENSE, RANK_MODIFIED, RANK_PERCENTILE, RANK_UNIQUE.
 
     Descending by default.  ``unique`` breaks ties by ``tie_breakers``.
@@ -132,7 +132,7 @@ def rank(value: str, name: str, partition_by=None, ascending: bool = False, kind
 
 # ----------------------------------------------------------------- position
 
-def index(name: str, partition_by=None, order_by=None, skew_safe: bool = True) -> Step:
+def index(name: str, partition_by=None, order_by=None, skew_safe: bool | None = None) -> Step:
     """INDEX(): 1-based position along the address."""
     return lambda df: scan.row_index(df, name, partition_by, order_by, skew_safe=skew_safe)
 
@@ -143,7 +143,7 @@ def size(name: str, partition_by=None) -> Step:
     return lambda df: _attach_partition_agg(df, parts, [F.count(F.lit(1)).alias(name)])
 
 
-def first(name: str, partition_by=None, order_by=None, skew_safe: bool = True) -> Step:
+def first(name: str, partition_by=None, order_by=None, skew_safe: bool | None = None) -> Step:
     """FIRST(): offset from the current row to the first row (0, -1, -2, ...)."""
     def step(df: DataFrame) -> DataFrame:
         out = scan.row_index(df, "_idx", partition_by, order_by, skew_safe=skew_safe)
@@ -151,7 +151,7 @@ def first(name: str, partition_by=None, order_by=None, skew_safe: bool = True) -
     return step
 
 
-def last(name: str, partition_by=None, order_by=None, skew_safe: bool = True) -> Step:
+def last(name: str, partition_by=None, order_by=None, skew_safe: bool | None = None) -> Step:
     """LAST(): rows from the current row to the last row (..., 2, 1, 0)."""
     def step(df: DataFrame) -> DataFrame:
         parts = _names(partition_by)
@@ -162,7 +162,7 @@ def last(name: str, partition_by=None, order_by=None, skew_safe: bool = True) ->
 
 
 def lookup(value: str, offset: int, name: str, partition_by=None, order_by=None,
-           skew_safe: bool = True) -> Step:
+           skew_safe: bool | None = None) -> Step:
     """LOOKUP(value, offset): the value ``offset`` rows away (negative = before)."""
     def fn(w):
         return F.lag(value, -offset).over(w) if offset < 0 else F.lead(value, offset).over(w)
@@ -171,7 +171,7 @@ def lookup(value: str, offset: int, name: str, partition_by=None, order_by=None,
 
 
 def previous_value(value: str, seed, name: str, partition_by=None, order_by=None,
-                   skew_safe: bool = True) -> Step:
+                   skew_safe: bool | None = None) -> Step:
     """PREVIOUS_VALUE(seed) applied to ``value``: the previous row's value, the
     seed on the first row of each partition."""
     def fn(w):
@@ -205,7 +205,7 @@ def percent_of_total(value: str, name: str, partition_by=None) -> Step:
 
 
 def difference(value: str, name: str, partition_by=None, order_by=None, offset: int = -1,
-               skew_safe: bool = True) -> Step:
+               skew_safe: bool | None = None) -> Step:
     """Difference from the row ``offset`` away (previous by default)."""
     def step(df: DataFrame) -> DataFrame:
         out = lookup(value, offset, "_prev", partition_by, order_by, skew_safe)(df)
@@ -214,7 +214,7 @@ def difference(value: str, name: str, partition_by=None, order_by=None, offset:
 
 
 def percent_difference(value: str, name: str, partition_by=None, order_by=None, offset: int = -1,
-                       skew_safe: bool = True) -> Step:
+                       skew_safe: bool | None = None) -> Step:
     def step(df: DataFrame) -> DataFrame:
         out = lookup(value, offset, "_prev", partition_by, order_by, skew_safe)(df)
         return out.withColumn(name, F.try_divide(F.col(value) - F.col("_prev"), F.col("_prev"))).drop("_prev")

@@ -140,3 +140,18 @@ _reg("qtc_difference", tc.difference("sales", "diff", PART, ORD), {"diff": True}
 _reg("qtc_running", tc.running("avg", "n", "run_avg", PART, ORD), {"run_avg": True},
      {"run_avg": f"avg(n) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"})
 _reg("qtc_rank", tc.rank("sales", "rk", None), {"rk": False}, {"rk": "rank() OVER (ORDER BY sales DESC)"})
+
+
+@register("tc_running_sum_raw", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey,
+  round(sum(l_extendedprice) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey,
+  l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running_price FROM lineitem""")
+def q_running_raw(spark, d):
+    # Raw rows, three return flags: every partition group holds about a third of
+    # the table -- the hot-group case the segmented scan is built for.
+    # (l_orderkey, l_linenumber) is not unique in the test data: the order key
+    # adds part and supplier to make the order total.
+    li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+                                          "l_shipdate", "l_extendedprice")
+    out = li.transform(tc.running("sum", "l_extendedprice", "running_price", ["l_returnflag"],
+                                  ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("running_price", 2).alias("running_price"))

@@ -40,8 +40,8 @@ def _model_groups(rows):
 @given(rows_st)
 def test_running_and_index(spark, rows):
     df = _df(spark, rows)
-    out = scan.running(df, "v", ["g"], ["o", "id"], aggs=("sum", "count", "min", "max"), num_segments=3)
-    out = scan.row_index(out, "idx", ["g"], ["o", "id"], num_segments=3)
+    out = scan.running(df, "v", ["g"], ["o", "id"], aggs=("sum", "count", "min", "max"), num_segments=3, skew_safe=True)
+    out = scan.row_index(out, "idx", ["g"], ["o", "id"], num_segments=3, skew_safe=True)
     got = {r.id: (r.running_sum, r.running_count, r.running_min, r.running_max, r.idx) for r in out.collect()}
     for g, items in _model_groups(rows).items():
         s, c, mn, mx = None, 0, None, None
@@ -59,7 +59,7 @@ def test_running_and_index(spark, rows):
 def test_ranks(spark, rows):
     df = _df(spark, rows).filter("v is not null")
     out = scan.ranks(df, "v", ["g"], ascending=False, kinds=("rank", "dense", "modified", "percentile"),
-                     num_segments=3)
+                     num_segments=3, skew_safe=True)
     got = {r.id: (r.rank, r.dense, r.modified, r.percentile) for r in out.collect()}
     groups = defaultdict(list)
     for i, (g, o, v) in enumerate(rows):
@@ -82,8 +82,8 @@ def test_ranks(spark, rows):
 @given(rows_st)
 def test_fill_down_and_up(spark, rows):
     df = _df(spark, rows)
-    down = {r.id: r.v for r in scan.fill(df, ["v"], ["g"], ["o", "id"], "down", num_segments=3).collect()}
-    up = {r.id: r.v for r in scan.fill(df, ["v"], ["g"], ["o", "id"], "up", num_segments=3).collect()}
+    down = {r.id: r.v for r in scan.fill(df, ["v"], ["g"], ["o", "id"], "down", True, num_segments=3).collect()}
+    up = {r.id: r.v for r in scan.fill(df, ["v"], ["g"], ["o", "id"], "up", True, num_segments=3).collect()}
     for g, items in _model_groups(rows).items():
         last = None
         for o, i, v in items:
@@ -102,7 +102,7 @@ def test_framed_window(spark, rows, lo, hi):
     df = _df(spark, rows)
     out = scan.framed(df, {"w": lambda w: F.sum("v").over(w.rowsBetween(lo, hi)),
                            "prev": lambda w: F.lag("v", 1).over(w)},
-                      ["g"], ["o", "id"], lo, hi, block=4, num_segments=3)
+                      ["g"], ["o", "id"], lo, hi, skew_safe=True, block=4, num_segments=3)
     got = {r.id: (r.w, r.prev) for r in out.collect()}
     for g, items in _model_groups(rows).items():
         for k, (o, i, v) in enumerate(items):
@@ -116,3 +116,16 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], SCHEMA + ", id int")
     assert scan.running(df, "v", ["g"], ["o"]).count() == 0
     assert scan.row_index(df, "i", None, ["o"]).count() == 0
+
+
+def test_hot_key_spreads_over_segments(spark):
+    from pyspark.sql import functions as F
+    # one key holds a third of the rows
+    df = spark.range(3000).select((F.when(F.col("id") % 3 == 0, F.lit("hot"))
+                                   .otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string")))).alias("g"),
+                                  F.col("id").alias("o"))
+    seg = scan.segment(df, ["g"], ["o"], num_segments=8)
+    hot_segments = seg.filter("g = 'hot'").select(scan.SEG).distinct().count()
+    assert hot_segments >= 3
+    sizes = [r["count"] for r in seg.groupBy(scan.SEG).count().collect()]
+    assert max(sizes) <= 2 * (3000 / 8)   # no segment holds the hot key alone
