@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.operators import scan
 from tessera.operators.aggregates import exact_percentiles
 from tessera.operators.joins import attach_scalar
+from tessera.operators.sizing import resolve_skew_safe
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -195,10 +196,17 @@ def total(base: DataFrame, partition_by: Sequence[str], aggs: dict[str, Column])
 
 # ----------------------------------------------------------------- quick table calcs
 
-def percent_of_total(value: str, name: str, partition_by=None) -> Step:
+def percent_of_total(value: str, name: str, partition_by=None, skew_safe: bool | None = None) -> Step:
+    """Share of the partition total.  The total is a grouped aggregate joined
+    back (a scalar subquery without partitions); a view known to be small
+    (``skew_safe=False``, or a size estimate within one task) uses a window
+    over the partition instead, which reads the view once."""
     parts = _names(partition_by)
 
     def step(df: DataFrame) -> DataFrame:
+        if not resolve_skew_safe(df, skew_safe):
+            tot = F.sum(value).over(Window.partitionBy(*parts))
+            return df.withColumn(name, F.try_divide(F.col(value), tot))
         out = _attach_partition_agg(df, parts, [F.sum(value).alias("_tot")])
         return out.withColumn(name, F.try_divide(F.col(value), F.col("_tot"))).drop("_tot")
     return step

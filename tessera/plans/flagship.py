@@ -42,8 +42,8 @@ def sales_by_region_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "avg_qty": A.avg("l_quantity"),
     }))
     # The view has one row per (region, segment): bounded by the dimension
-    # sizes, so the plain single-window rank is the right plan here.
-    view = (view.transform(tablecalc.percent_of_total("revenue", "pct_of_total"))
+    # sizes, so plain windows (total and rank) are the right plans here.
+    view = (view.transform(tablecalc.percent_of_total("revenue", "pct_of_total", skew_safe=False))
             .transform(tablecalc.rank("revenue", "rank_in_region", partition_by=["region"], skew_safe=False)))
     return view.select(
         "region", "segment", F.round("revenue", 2).alias("revenue"), "n_orders",

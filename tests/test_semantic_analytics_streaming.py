@@ -151,3 +151,16 @@ def test_refresh_policy(spark):
     newest = dt.date(2024, 1, 1) + dt.timedelta(days=99)
     assert min(got) == newest - dt.timedelta(days=59)
     assert got[newest] == 99.0 and got[newest - dt.timedelta(days=2)] == 97.0
+
+
+def test_kpi_week_windows_start_on_sunday(spark):
+    src = _scratch()
+    rows = [(dt.datetime(2024, 1, 6, 12), 1.0), (dt.datetime(2024, 1, 7, 12), 2.0), (dt.datetime(2024, 1, 30, 12), 5.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "in"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
+    agg = kpi.kpi_stream(stream, "ts", "week", [], {"total": F.sum("v")}, delay="1 day")
+    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"))
+    got = sorted((r.window_start, r.total) for r in out.collect())
+    # Saturday Jan 6 closes the week that began Sunday Dec 31; Sunday Jan 7 opens the next
+    assert got == [(dt.datetime(2023, 12, 31), 1.0), (dt.datetime(2024, 1, 7), 2.0)]
