@@ -17,6 +17,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -279,16 +280,22 @@ def cluster(features: Sequence[str] | str, k: int | None = None, seed: int = 42,
             stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip")]
         stages.append(StandardScaler(inputCol="_raw", outputCol="_feat", withMean=True, withStd=True))
         prep = Pipeline(stages=stages).fit(d)
-        feat = prep.transform(d)
+        # The search fits and scores several k on the same features: keep them
+        # (memory and disk; recomputed from lineage if an executor is lost).
+        feat = prep.transform(d).persist(StorageLevel.MEMORY_AND_DISK)
         candidates = [k] if k else list(k_range)
         best = None
-        for kk in candidates:
-            model = KMeans(k=kk, seed=seed, featuresCol="_feat", predictionCol=name, maxIter=max_iter).fit(feat)
-            pred = model.transform(feat)
-            score = ClusteringEvaluator(featuresCol="_feat", predictionCol=name).evaluate(pred) if not k else 0.0
-            if best is None or score > best[0]:
-                best = (score, pred)
-        return best[1].drop("_raw", "_feat")
+        try:
+            for kk in candidates:
+                model = KMeans(k=kk, seed=seed, featuresCol="_feat", predictionCol=name, maxIter=max_iter).fit(feat)
+                score = (ClusteringEvaluator(featuresCol="_feat", predictionCol=name).evaluate(model.transform(feat))
+                         if not k else 0.0)
+                if best is None or score > best[0]:
+                    best = (score, model)
+        finally:
+            feat.unpersist()
+        out = best[1].transform(prep.transform(d))
+        return out.drop("_raw", "_feat")
     return step
 
 
