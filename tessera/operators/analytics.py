@@ -12,12 +12,14 @@ the aggregated series (one row per period), and clustering uses
 
 from __future__ import annotations
 
+import sys as _sys
 from collections.abc import Callable, Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,10 @@ from tessera.operators import scan
 from tessera.operators.aggregates import exact_percentiles
 from tessera.operators.joins import attach_scalar
 
+# Functions of this module run inside Python workers; pickle them by value so
+# executors need no installed copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 Step = Callable[[DataFrame], DataFrame]
 
 

@@ -6,13 +6,19 @@ Python runs only where the user brings Python: vectorised through Arrow
 
 from __future__ import annotations
 
+import sys as _sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Functions of this module run inside Python workers; pickle them by value so
+# executors need no installed copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 # SCRIPT_* result types.
 SCRIPT_TYPES = {"bool": "boolean", "int": "bigint", "real": "double", "str": "string"}
 

@@ -7,8 +7,11 @@ operator; the oracle is the table itself.
 
 from __future__ import annotations
 
+import sys as _sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +21,10 @@ from tessera.sources import io
 from tessera.sources.tables import Tables
 from tessera.streaming.incremental import scratch_path
 
+# Functions of this module run inside Python workers; pickle them by value so
+# executors need no installed copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 _CUST_SQL = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 
