@@ -55,3 +55,15 @@ def test_sample_against_oracle(spark, sf_small, qid):
     a = sorted((tuple(_norm(r[c]) for c in order) for r in srows), key=repr)
     b = sorted((tuple(_norm(r[dcols.index(c)]) for c in order) for r in drows), key=repr)
     assert a == b
+
+
+def test_worker_side_modules_pickle_by_value():
+    # Python workers on executors need no installed copy of the package.
+    from pyspark import cloudpickle
+
+    import tessera.operators.analytics  # noqa: F401
+    import tessera.operators.udf  # noqa: F401
+    import tessera.plans.catalog_sources  # noqa: F401
+    registered = cloudpickle.list_registry_pickle_by_value()
+    for mod in ["tessera.operators.analytics", "tessera.operators.udf", "tessera.plans.catalog_sources"]:
+        assert mod in registered
