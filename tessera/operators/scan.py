@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.sizing import resolve_skew_safe
+from tessera.operators.sizing import num_segments, resolve_skew_safe
 
 SEG = "_tsr_seg"
 _RN = "_tsr_rn"
@@ -65,9 +65,7 @@ def _names(cols) -> list[str]:
 
 
 def _num_segments(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return num_segments(df, n)
 
 
 def segment(df: DataFrame, partition_by, order_by, num_segments: int | None = None) -> DataFrame:

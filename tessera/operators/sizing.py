@@ -29,3 +29,33 @@ def resolve_skew_safe(df: DataFrame, skew_safe: bool | None) -> bool:
     if skew_safe is not None:
         return bool(skew_safe)
     return not fits_one_task(df)
+
+
+# Spark conf key for the target size of one range segment of an ordered scan;
+# by default Spark's advisory shuffle partition size (64 MiB).
+SEGMENT_BYTES_CONF = "tessera.scan.segmentBytes"
+
+
+def num_segments(df: DataFrame, requested: int | None = None) -> int:
+    """Range segments for an ordered scan: about one per segment-size of input
+    (by estimate), at least 1 and at most ``spark.sql.shuffle.partitions``."""
+    if requested:
+        return int(requested)
+    conf = df.sparkSession.conf
+    cap = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    target = conf.get(SEGMENT_BYTES_CONF, None) or conf.get(
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
+    target = _parse_bytes(target)
+    est = estimated_bytes(df)
+    return max(1, min(cap, -(-est // max(target, 1))))
+
+
+def _parse_bytes(v: str) -> int:
+    v = str(v).strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    for suffix in ("b", ""):
+        if suffix and v.endswith(suffix):
+            v = v[: -len(suffix)]
+    if v and v[-1] in units:
+        return int(float(v[:-1]) * units[v[-1]])
+    return int(float(v))

@@ -112,13 +112,14 @@ def test_exact_percentiles_match_numpy(spark):
     vals = [("hot", float(x)) for x in rng.normal(size=300)] + [("cold", float(x)) for x in rng.normal(size=7)] + \
         [("one", 5.0), ("nul", None)]
     df = spark.createDataFrame(vals, "g string, v double")
-    out = df.transform(A.exact_percentiles(["g"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95}))
-    got = {r.g: (r.p10, r.p50, r.p95) for r in out.collect()}
-    for g in ["hot", "cold", "one"]:
-        xs = np.array([v for k, v in vals if k == g and v is not None])
-        exp = np.quantile(xs, [0.1, 0.5, 0.95])
-        assert np.allclose(got[g], exp)
-    assert "nul" not in got  # a group with only nulls has no percentile row
+    for segments in (None, 5):
+        out = df.transform(A.exact_percentiles(["g"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95}, segments))
+        got = {r.g: (r.p10, r.p50, r.p95) for r in out.collect()}
+        for g in ["hot", "cold", "one"]:
+            xs = np.array([v for k, v in vals if k == g and v is not None])
+            exp = np.quantile(xs, [0.1, 0.5, 0.95])
+            assert np.allclose(got[g], exp)
+        assert "nul" not in got  # a group with only nulls has no percentile row
 
 
 def test_attr_and_ratio_zero(spark):
