@@ -32,6 +32,17 @@ def q_reference_line(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ["avg_line", "median_line", "p90_line"]})
 
 
+@register("an_reference_line_table", f"""WITH m AS {_MARKS_SQL},
+  mo AS (SELECT qty AS mode_qty FROM m GROUP BY qty ORDER BY count(*) DESC, qty LIMIT 1)
+  SELECT l_returnflag, l_suppkey, qty, round(avg(qty) OVER (), 6) AS avg_line,
+  round(quantile_cont(qty, 0.5) OVER (), 6) AS median_line, mode_qty AS mode_line FROM m, mo""")
+def q_reference_line_table(spark, d):
+    # Table scope: one line for the whole view (global aggregates as scalar subqueries).
+    out = marks(spark, d).transform(AN.reference_lines("qty", [], {
+        "avg_line": "avg", "median_line": "median", "mode_line": "mode"}))
+    return out.withColumns({c: F.round(c, 6) for c in ["avg_line", "median_line"]})
+
+
 @register("an_reference_band", f"""SELECT l_returnflag, l_suppkey, qty,
   round(quantile_cont(qty, 0.25) OVER (PARTITION BY l_returnflag), 6) AS band_from,
   round(quantile_cont(qty, 0.75) OVER (PARTITION BY l_returnflag), 6) AS band_to FROM {_MARKS_SQL}""")

@@ -31,7 +31,8 @@ def q_refresh(spark, d):
     stale = daily.withColumn("revenue", F.when(F.col("order_day") > F.lit(newest - dt.timedelta(days=3)), F.lit(0.0))
                              .otherwise(F.col("revenue")))
     inc.initial_load(stale, "order_day", path)
-    out = inc.refresh_policy(daily, "order_day", path, refresh_days=3, keep_days=365)
+    # the policy finds the date column itself (order_day)
+    out = inc.refresh_policy(daily, None, path, refresh_days=3, keep_days=365)
     return out.select(F.col("order_day").alias("day"), F.round("revenue", 2).alias("revenue"), "n")
 
 

@@ -40,11 +40,23 @@ def _list_partitions(spark: SparkSession, path: str, col: str) -> list[str]:
             if s.isDirectory() and s.getPath().getName().startswith(f"{col}=")]
 
 
+def best_date_column(df: DataFrame) -> str:
+    """The date column an incremental policy keys on when none is named: the
+    first DATE or TIMESTAMP column, preferring names that mention a date."""
+    from pyspark.sql import types as T
+    cands = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if not cands:
+        raise ValueError("no date or timestamp column")
+    named = [c for c in cands if "date" in c.lower() or "day" in c.lower()]
+    return (named or cands)[0]
+
+
 def _period(col: Column, granularity: str) -> Column:
     return F.date_trunc(granularity, col).cast("date")
 
 
-def refresh_policy(source: DataFrame, date_col: str, table_path: str, refresh_days: int = 3,
+def refresh_policy(source: DataFrame, date_col: str | None, table_path: str, refresh_days: int = 3,
                    keep_days: int = 365, partition_col: str = "period", granularity: str = "month") -> DataFrame:
     """Incremental refresh of a period-partitioned parquet table.
 
@@ -62,6 +74,7 @@ def refresh_policy(source: DataFrame, date_col: str, table_path: str, refresh_da
     import datetime as _dt
 
     spark = source.sparkSession
+    date_col = date_col or best_date_column(source)
     newest = source.agg(F.max(F.col(date_col).cast("date"))).first()[0]
     if newest is None:
         return spark.read.parquet(table_path)

@@ -164,3 +164,10 @@ def test_kpi_week_windows_start_on_sunday(spark):
     got = sorted((r.window_start, r.total) for r in out.collect())
     # Saturday Jan 6 closes the week that began Sunday Dec 31; Sunday Jan 7 opens the next
     assert got == [(dt.datetime(2023, 12, 31), 1.0), (dt.datetime(2024, 1, 7), 2.0)]
+
+
+def test_best_date_column(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), dt.date(2024, 1, 2))],
+                               "id int, loaded_at timestamp, order_date date")
+    assert inc.best_date_column(df) == "order_date"
+    assert inc.best_date_column(df.drop("order_date")) == "loaded_at"
