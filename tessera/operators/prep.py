@@ -184,19 +184,19 @@ def trim(cols) -> Step:
 
 def clean_nonprintable(cols) -> Step:
     """Remove control characters."""
-    return _map_cols(lambda c: F.regexp_replace(c, r"\p{Cntrl}", ""), cols)
+    return _map_cols(lambda c: F.regexp_replace(c, r"\p{Cntrl}+", ""), cols)
 
 
 def remove_letters(cols) -> Step:
-    return _map_cols(lambda c: F.regexp_replace(c, r"\p{L}", ""), cols)
+    return _map_cols(lambda c: F.regexp_replace(c, r"\p{L}+", ""), cols)
 
 
 def remove_numbers(cols) -> Step:
-    return _map_cols(lambda c: F.regexp_replace(c, r"\p{N}", ""), cols)
+    return _map_cols(lambda c: F.regexp_replace(c, r"\p{N}+", ""), cols)
 
 
 def remove_punctuation(cols) -> Step:
-    return _map_cols(lambda c: F.regexp_replace(c, r"\p{P}", ""), cols)
+    return _map_cols(lambda c: F.regexp_replace(c, r"\p{P}+", ""), cols)
 
 
 def upper(cols) -> Step:
