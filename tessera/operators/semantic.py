@@ -342,7 +342,22 @@ def relationship_cardinalities(tables: Mapping[str, DataFrame]) -> DataFrame:
     for lt, lc, rt, rc in pairs:
         cols.setdefault(lt, []).append(lc)
         cols.setdefault(rt, []).append(rc)
-    stats = {t: key_stats(tables[t], sorted(set(cs))).first().asDict() for t, cs in cols.items()}
+    # One job for every table: each table's statistics unpivoted to one row per
+    # key column, all unioned, read back once (a few numbers per key column).
+    parts = []
+    for t, cs in cols.items():
+        keys = sorted(set(cs))
+        one = key_stats(tables[t], keys).select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("column"), F.col(f"{k}__rows").cast("long").alias("rows"),
+                     F.col(f"{k}__distinct").cast("long").alias("distinct")) for k in keys])).alias("s"))
+        parts.append(one.select(F.lit(t).alias("table"), "s.*"))
+    union = parts[0]
+    for p_ in parts[1:]:
+        union = union.unionByName(p_)
+    stats: dict[str, dict[str, int]] = {}
+    for r in union.collect():
+        stats.setdefault(r["table"], {}).update({f"{r['column']}__rows": r["rows"],
+                                                 f"{r['column']}__distinct": r["distinct"]})
     spark = next(iter(tables.values())).sparkSession
     rows = [(f"{lt}.{lc}", f"{rt}.{rc}", stats[lt][f"{lc}__rows"], stats[lt][f"{lc}__distinct"],
              stats[rt][f"{rc}__rows"], stats[rt][f"{rc}__distinct"]) for lt, lc, rt, rc in pairs]
