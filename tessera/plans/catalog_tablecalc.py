@@ -27,9 +27,11 @@ def view(spark, d) -> DataFrame:
 
 
 def _digits(flag) -> int:
-    # True: 6 decimals.  Averages are taken over the integer count ``n`` so that
-    # exact decimal ties (which the two engines may break differently) cannot
-    # occur at the 6th decimal; sums of 2-decimal prices are exact there too.
+    # True: 6 decimals; an int gives the digits.  Sums, minimums and maximums of
+    # prices are rounded to cents (exact there whatever the summation order);
+    # averages of prices over k rows can end exactly on a half at the 6th decimal,
+    # a tie the two engines may break differently, so averages use the integer
+    # count ``n``.
     return 6 if flag is True else int(flag)
 
 
@@ -52,7 +54,7 @@ for _agg in ["sum", "avg", "count", "max", "min"]:
     _sql = {"sum": "sum(sales)", "avg": "avg(n)", "count": "count(sales)", "max": "max(sales)",
             "min": "min(sales)"}[_agg]
     _reg(f"tc_running_{_agg}", tc.running(_agg, "n" if _agg == "avg" else "sales", "r", PART, ORD),
-         {"r": _agg != "count"},
+         {"r": {"count": False, "avg": True}.get(_agg, 2)},
          {"r": f"{_sql} OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"})
 
 # window with a row frame (2 before .. 1 after) and over the whole partition
@@ -60,7 +62,7 @@ for _agg, _sql in [("sum", "sum"), ("avg", "avg"), ("max", "max"), ("min", "min"
     _reg(f"tc_window_{_agg}",
          lambda df, _a=_agg: df.transform(tc.window(_a, "sales", "w", PART, ORD, -2, 1))
          .transform(tc.window(_a, "sales", "w_all", PART)),
-         {"w": _agg != "count", "w_all": _agg != "count"},
+         {"w": {"count": False, "avg": True}.get(_agg, 2), "w_all": {"count": False, "avg": True}.get(_agg, 2)},
          {"w": f"{_sql}(sales) OVER ({_P} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)",
           "w_all": f"{_sql}(sales) OVER (PARTITION BY prio)"})
 for _agg, _sql in [("stdev", "stddev_samp"), ("stdevp", "stddev_pop"), ("var", "var_samp"), ("varp", "var_pop")]:
