@@ -186,7 +186,10 @@ def exact_percentiles(groups: Sequence[str], value: str, ps: Mapping[str, float]
 
     def step(df: DataFrame) -> DataFrame:
         base = df.select(*groups, value).filter(F.col(value).isNotNull())
-        seg = scan.segment(base, groups, [value], num_segments)
+        # More segments means less to sort (only target segments are numbered),
+        # so use every shuffle partition unless told otherwise.
+        n = num_segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        seg = scan.segment(base, groups, [value], n)
         S = scan.SEG
         counts = seg.groupBy(*groups, S).agg(F.count(F.lit(1)).alias("_c"))
         wg = Window.partitionBy(*groups)
