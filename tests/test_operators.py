@@ -157,3 +157,29 @@ def test_first_last_size(spark):
     df = spark.createDataFrame([("g", i) for i in range(4)], "g string, t int")
     out = df.transform(tc.first("f", ["g"], ["t"])).transform(tc.last("l", ["g"], ["t"])).transform(tc.size("s", ["g"]))
     assert rows(out, "t", "f", "l", "s") == S([(0, 0, 3, 4), (1, -1, 2, 4), (2, -2, 1, 4), (3, -3, 0, 4)])
+
+
+def test_sizing_choices(spark):
+    from tessera.operators import sizing
+    small = spark.range(100)
+    assert sizing.resolve_skew_safe(small, None) is False      # fits one task
+    assert sizing.resolve_skew_safe(small, True) is True
+    prev = spark.conf.get(sizing.SINGLE_TASK_CONF, None)
+    spark.conf.set(sizing.SINGLE_TASK_CONF, "-1")
+    try:
+        assert sizing.resolve_skew_safe(small, None) is True
+    finally:
+        spark.conf.unset(sizing.SINGLE_TASK_CONF) if prev is None else spark.conf.set(sizing.SINGLE_TASK_CONF, prev)
+    assert sizing.num_segments(small) == 1
+    assert sizing.num_segments(small, 7) == 7
+
+
+def test_view_composition_order(spark):
+    from tessera.plans.view import ViewSpec, view
+    base = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 4.0)], "c string, d string, v double")
+    spec = ViewSpec(dims=["d"], measures={"tot": F.sum("v"), "fixed_avg": F.avg("c_tot")},
+                    fixed_lods=[(["c"], {"c_tot": F.sum("v")})],
+                    dimension_filters=[flt.keep_values("d", ["x"])])
+    got = {r.d: (r.tot, r.fixed_avg) for r in view(base, spec).collect()}
+    # FIXED c_tot is computed before the dimension filter: a -> 3.0, b -> 4.0
+    assert got == {"x": (5.0, 3.5)}
