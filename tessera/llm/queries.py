@@ -74,3 +74,106 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("bigint").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+# The rules of the URL filter.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+# The small labelled URL table: hosts to block and to allow, each with a few paths.
+BLOCK_HOSTS = ("casino-win casino-slots ads-track adserver-click free-bets bet-win spam-farm link-farm "
+               "cheap-pills pills-shop adult-x xxx-cams").split()
+ALLOW_HOSTS = ("tionsh ththth therre weather library news garden school river museum cooking ththere "
+               "onand tionble thering science").split()
+LABELLED_PATHS = ["/en/12.html", "/fr/804?page=2", "/es/77", "/de/410/"]
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The labelled URL table: (url, label), 1 to block."""
+    rows = [(f"https://{sub}{h}.example.{tld}{p}", y)
+            for y, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)) for h in hosts
+            for sub, tld, p in zip(("www.", "m.", "", "blog."), ("com", "org", "com", "org"), LABELLED_PATHS)]
+    values = ", ".join(f"('{u}', {y})" for u, y in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, label)")
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, else by the classifier."""
+    from tessera.llm.url_filter import judge, train
+
+    weights = train(labelled_urls(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, weights).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+),
+windows AS (
+  SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS win
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)
+),
+repeated AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY rid),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(string_split(t, '!!')) - 1 AS n_bangs
+  FROM w LEFT JOIN covered c USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+    OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_bangs > n_words) AS kept,
+  ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT
+    + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+    + 32 * (word_chars > 16 * n_words)::BIGINT + 64 * (10 * n_bangs > n_words)::BIGINT)::BIGINT AS failures
+FROM m
+"""
+
+
+@query("op6_quality_rules", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document and the verdict of the current policy."""
+    from tessera.llm.quality_rules import kept, ledger
+
+    led = ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      (~kept("base")).alias("base_failed"), kept("v2").alias("kept"), "failures")
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the share of the item's shingles."""
+    from tessera.llm.decontam import search
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from tessera.llm.quality_mil import score, train
+    from tessera.llm.sampling import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score(docs, model, keep=["doc_id"]).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, and the flag by its language's threshold."""
+    from tessera.llm.sampling import fold
+    from tessera.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model, cut = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score(docs, model, cut, keep=["doc_id", "lang"]).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "threshold", "flagged")
