@@ -5,7 +5,7 @@ Method: bytes are mapped to Latin-1 so that an Aho-Corasick automaton
 token that starts there.  Encoding walks forward with longest matches and
 backtracks to shorter ones where two neighbours could not stay unmerged under
 the merge ranks.  Whether two tokens can be neighbours is memoised, as are the
-pieces of the pre-tokenizer, so each distinct piece is encoded once per task.
+parts between spaces, so each distinct part is cut and encoded once per task.
 The result equals merging the lowest rank first, in time linear in the piece.
 
 Rows: a null text counts as empty; an empty text has no ids.  Ties, repeated
@@ -29,6 +29,11 @@ from tessera.llm.textops import chunks
 # Pieces remembered by a task; beyond it the memory starts anew (same results).
 PIECE_MEMORY = 400_000
 PAIR_MEMORY = 2_000_000
+# Fixed value: a pattern under which a text may be cut in front of every single space
+# (a space either starts a piece or is a piece).  Only a space between two white-space
+# characters, or between one and the end, belongs to a run that must stay whole.
+SPACE_CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WHOLE_RUN = r"\s (\s|$)"
 
 
 def read_ranks(path: str) -> bytes:
@@ -179,23 +184,32 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, text: str =
 
         encoder = BacktrackingEncoder(parse_ranks(raw.value))
         pieces = regex.compile(pattern).findall
-        memory: dict[str, bytes] = {}
+        whole_run = regex.compile(WHOLE_RUN).search
+        memory: dict[str, bytes] = {}  # parts that follow a space, without it
+
+        def encode_part(part: str) -> bytes:
+            return np.array([t for p in pieces(part) for t in encoder.encode(p.encode("utf-8"))], np.int32).tobytes()
+
+        def encode_spaced(part: str) -> bytes:
+            if len(memory) >= PIECE_MEMORY:
+                memory.clear()
+            code = memory[part] = encode_part(" " + part)
+            return code
+
+        def encode_text(content: str) -> bytes:
+            if pattern != SPACE_CUT_PATTERN or whole_run(content):
+                return encode_part(content)
+            first, *rest = content.split(" ")
+            known = memory.get
+            return b"".join([encode_part(first), *[known(p) or encode_spaced(p) for p in rest]])
+
         for batch in batches:
             col = batch.column(batch.schema.names.index(text))
             for first, rows, data, offs in chunks(col):
                 buf = data.tobytes()
                 ids, bounds = [], [0]
                 for i in range(rows):
-                    out = []
-                    for p in pieces(buf[offs[i]:offs[i + 1]].decode("utf-8")):
-                        code = memory.get(p)
-                        if code is None:
-                            if len(memory) >= PIECE_MEMORY:
-                                memory.clear()
-                            code = np.array(encoder.encode(p.encode("utf-8")), np.int32).tobytes()
-                            memory[p] = code
-                        out.append(code)
-                    row = b"".join(out)
+                    row = encode_text(buf[offs[i]:offs[i + 1]].decode("utf-8"))
                     ids.append(row)
                     bounds.append(bounds[-1] + len(row) // 4)
                 flat = np.frombuffer(b"".join(ids), np.int32)

@@ -2,7 +2,8 @@
 
 Method: a document is a bag of passages of ``PASSAGE`` words.  Every passage is
 encoded from the mean of its hashed word embeddings and a few surface shares
-(symbols, digits, capitals, repeated words, ...).  A gated attention (a tanh
+(symbols, digits, capitals, repeated words, ...); slots that fewer than
+``MIN_TEXTS`` training texts use stay zero.  A gated attention (a tanh
 branch times a sigmoid branch), learnt from document labels only, weights the
 passages; the weighted sum of the encodings is the document's representation,
 scored by a logistic layer.  Trained in numpy on a bounded sample of labelled
@@ -30,7 +31,10 @@ from tessera.llm.textops import chunks, mix, prefix_hash, space_table, span_hash
 PASSAGE = 48
 BUCKETS, DIM, HIDDEN, GATE = 1 << 13, 8, 12, 8
 PER_CLASS, MAX_BYTES = 2500, 32_768
-EPOCHS, BATCH, RATE = 8, 32, 0.05
+EPOCHS, BATCH, RATE = 14, 32, 0.05
+MIN_TEXTS = 4
+# Share of training batches without the words, so that the surface shares are learnt by themselves.
+WORD_DROP = 0.5
 # Byte classes that are counted per passage.
 SYMBOLS, BANGS, STOPS = b"#*$%&|<>_=~^{}[]\\/@", b"!?", b".,;:"
 
@@ -79,7 +83,7 @@ def bags(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     counts = byte[b1] - byte[b0]
     stats = np.concatenate([counts / size, sums[:, :1] / size / 8, sums[:, 1:] / size,
                             np.maximum(sizes, 0)[:, None] / PASSAGE, (sizes <= 0)[:, None]], 1).astype(np.float32)
-    return ids, starts, np.minimum(stats, 4), n_pass
+    return ids, starts, np.minimum(2 * stats, 4), n_pass
 
 
 def passage_inputs(emb: np.ndarray, ids: np.ndarray, starts: np.ndarray, stats: np.ndarray) -> np.ndarray:
@@ -117,8 +121,9 @@ def forward(p: dict, x: np.ndarray, n_pass: np.ndarray) -> dict:
     return {"h": h, "tv": tv, "su": su, "att": att, "z": z, "score": _sig((z @ p["c"] + p["c0"][0]).astype(np.float64)), "first": first}
 
 
-def _train_step(p: dict, state: dict, ids, starts, stats, n_pass, y) -> None:
+def _train_step(p: dict, state: dict, live, ids, starts, stats, n_pass, y, words: bool) -> None:
     x = passage_inputs(p["emb"], ids, starts, stats)
+    x[:, :DIM] *= words
     f = forward(p, x, n_pass)
     g = ((f["score"] - y) / len(y)).astype(np.float32)
     grad = {"c": f["z"].T @ g, "c0": np.array([g.sum()], np.float32)}
@@ -132,12 +137,13 @@ def _train_step(p: dict, state: dict, ids, starts, stats, n_pass, y) -> None:
     grad["v"], grad["u"] = f["h"].T @ gt, f["h"].T @ gu
     gh = (f["att"][:, None] * gz + gt @ p["v"].T + gu @ p["u"].T) * (1 - f["h"] ** 2)
     grad["w"], grad["b"] = x.T @ gh + 1e-4 * p["w"], gh.sum(0)
-    if len(ids):
+    if len(ids) and words:
         size = np.append(starts[1:], len(ids)) - starts
         gx = (gh @ p["w"][:DIM].T) / np.maximum(size, 1)[:, None]
         rows, inv = np.unique(ids, return_inverse=True)
         ge = np.zeros((len(rows), DIM), np.float32)
         np.add.at(ge, inv, np.repeat(gx, size, axis=0).astype(np.float32))
+        rows, ge = rows[live[rows]], ge[live[rows]]
         state["emb"][rows] += ge * ge
         p["emb"][rows] -= RATE * ge / np.sqrt(state["emb"][rows] + 1e-8)
     for k, gr in grad.items():
@@ -157,15 +163,20 @@ def fit(texts: list[str], y, epochs: int = EPOCHS) -> dict | None:
         at = np.concatenate([[0], np.cumsum(n_pass)])
         rows += [(ids[bounds[a]:bounds[b]], starts[a:b] - starts[a], stats[a:b]) for a, b in zip(at[:-1], at[1:])]
     net, rng = Network(), np.random.default_rng(4)
+    texts_with = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        texts_with[np.unique(r[0])] += 1
+    net.live = texts_with >= MIN_TEXTS
+    net.p["emb"][~net.live] = 0
     state = {k: np.zeros_like(v) for k, v in net.p.items()}
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
             pick = [rows[j] for j in order[i:i + BATCH]]
             base = np.cumsum([0] + [len(r[0]) for r in pick])
-            _train_step(net.p, state, np.concatenate([r[0] for r in pick]),
+            _train_step(net.p, state, net.live, np.concatenate([r[0] for r in pick]),
                         np.concatenate([r[1] + b for r, b in zip(pick, base)]), np.concatenate([r[2] for r in pick]),
-                        np.array([len(r[1]) for r in pick]), y[order[i:i + BATCH]])
+                        np.array([len(r[1]) for r in pick]), y[order[i:i + BATCH]], rng.random() >= WORD_DROP)
     return net.p
 
 

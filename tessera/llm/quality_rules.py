@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bangs"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bangs", "n_stutters"]
 
 
 def _rules() -> dict[str, Column]:
@@ -33,10 +33,11 @@ def _rules() -> dict[str, Column]:
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 16 * c("n_words"),
         "shouting": 10 * c("n_bangs") > c("n_words"),
+        "stutter": 10 * c("n_stutters") > 3 * c("n_words"),
     }
 
 
-RULES = ["few_words", "repeated_words", "symbols", "duplicate_lines", "short_words", "long_words", "shouting"]
+RULES = ["few_words", "repeated_words", "symbols", "duplicate_lines", "short_words", "long_words", "shouting", "stutter"]
 # Versioned policies: the rules whose failure rejects a document.
 POLICIES = {"base": ["few_words", "repeated_words"], "v1": ["few_words", "repeated_words", "symbols"], "v2": RULES}
 
@@ -63,6 +64,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
                      F.aggregate("__w", F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)).alias("word_chars"),
                      (F.size(F.split("__t", r"[#*$%&|<>]")) - 1).cast("bigint").alias("n_symbols"),
                      (F.size(F.split("__t", "!!")) - 1).cast("bigint").alias("n_bangs"),
+                     F.size(F.filter("__w", lambda w, i: F.coalesce(F.get(c("__w"), i - 1) == w, F.lit(False)))).cast("bigint").alias("n_stutters"),
                      F.size("__l").cast("bigint").alias("n_lines"),
                      (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
                      windows.alias("__h"))

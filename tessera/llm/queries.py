@@ -121,16 +121,19 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
-    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(string_split(t, '!!')) - 1 AS n_bangs
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(string_split(t, '!!')) - 1 AS n_bangs,
+    len(list_filter(list_zip(w[2:], w[:-2]), lambda p: p[1] = p[2])) AS n_stutters
   FROM w LEFT JOIN covered c USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
-    OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_bangs > n_words) AS kept,
+    OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR 10 * n_bangs > n_words
+    OR 10 * n_stutters > 3 * n_words) AS kept,
   ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT
     + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
-    + 32 * (word_chars > 16 * n_words)::BIGINT + 64 * (10 * n_bangs > n_words)::BIGINT)::BIGINT AS failures
+    + 32 * (word_chars > 16 * n_words)::BIGINT + 64 * (10 * n_bangs > n_words)::BIGINT
+    + 128 * (10 * n_stutters > 3 * n_words)::BIGINT)::BIGINT AS failures
 FROM m
 """
 

@@ -1,7 +1,9 @@
 """Toxicity by a convolutional text classifier.
 
-Method: words are hashed into an embedding table; filters of several widths
-run over the word embeddings; each filter keeps its maximum over the text; a
+Method: words are hashed into an embedding table, each by itself and by its
+first bytes (``PREFIXES``), and the rows are summed; slots that fewer
+than ``MIN_TEXTS`` training texts use stay zero.  Filters of several widths run
+over the word embeddings; each filter keeps its maximum over the text; a
 logistic layer scores the maxima.  The network is trained in numpy on a bounded
 sample of labelled rows (``PER_CLASS`` for each label, texts up to
 ``MAX_BYTES``).  For scoring, each filter tap is multiplied into the embedding
@@ -12,7 +14,7 @@ the training sample: the lowest score at which at least ``PRECISION`` of the
 rows above it are toxic; they only serve the columns ``threshold`` and
 ``flagged``.
 
-Words are runs of letters and digits, A-Z lower-cased.  Rows: a null or empty
+Words are runs of letters and digits, lower-cased.  Rows: a null or empty
 text has no word and scores the filters on padding.  Repeated rows score
 alike; an empty table gives no rows; without labelled rows of both kinds every
 score is 0.5.  ``score threshold flagged`` replace input columns of those names.
@@ -24,28 +26,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.sampling import labelled_sample
-from tessera.llm.textops import chunks, lower_table, non_alnum_table, word_hashes
+from tessera.llm.textops import chunks, mix, non_alnum_table, prefix_hash, span_hash, word_spans
 
 BUCKETS = 1 << 14
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
+PREFIXES = (4, 5, 7)
+MIN_TEXTS = 4
 PER_CLASS, MAX_BYTES = 2500, 32_768
-EPOCHS, BATCH, RATE = 6, 48, 0.08
+PIECE_BYTES = 1 << 18
+EPOCHS, BATCH, RATE = 7, 48, 0.08
+# Toxic rows weigh as much as the others together, up to this factor.
+MAX_WEIGHT = 6.0
 PRECISION = 0.98
 
 
 def padded_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding slots of all words, each text followed by padding (slot 0), and the starts of the texts."""
+    """Embedding slots of all words (one column for the word and each prefix), each text
+    followed by padding (slot 0), and the starts of the texts."""
     pad = max(WIDTHS)
-    h, per_row = word_hashes(data, offs, non_alnum_table(), lower_table())
+    s, e, per_row = word_spans(data, offs, non_alnum_table())
     starts = np.cumsum(per_row + pad) - (per_row + pad)
-    ids = np.zeros(len(h) + pad * len(per_row), np.int32)
-    at = np.arange(len(h)) + np.repeat(np.arange(len(per_row)) * pad, per_row)
-    ids[at] = (h % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+    ids = np.zeros((len(s) + pad * len(per_row), 1 + len(PREFIXES)), np.int32)
+    if len(s):
+        at = np.arange(len(s)) + np.repeat(np.arange(len(per_row)) * pad, per_row)
+        prefix = prefix_hash(data)
+        for k, n in enumerate((None, *PREFIXES)):
+            h = span_hash(prefix, s, e if n is None else np.minimum(e, s + n))
+            ids[at, k] = (mix(h + np.uint64(k)) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
     return ids, starts
 
 
@@ -60,10 +73,11 @@ def _positions(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 class Network:
-    def __init__(self, seed: int = 5):
+    def __init__(self, live: np.ndarray, seed: int = 5):
         r = np.random.default_rng(seed)
+        self.live = live  # slots that may leave zero
         self.emb = r.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
-        self.emb[0] = 0
+        self.emb[~live] = 0
         self.taps = [r.normal(0, (1 / (DIM * w)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = r.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -76,7 +90,7 @@ class Network:
         """One Adagrad step on a batch; returns the loss."""
         n, b = len(ids), len(starts)
         ends = np.append(starts[1:], n)
-        x = self.emb[ids]
+        x = self.emb[ids].sum(1)
         tops, where = [], []
         for w, taps, bias in zip(WIDTHS, self.taps, self.bias):
             z = np.full((n, FILTERS), -np.inf, np.float32)
@@ -99,14 +113,16 @@ class Network:
             gt = np.zeros_like(taps)
             for k in range(w):
                 gt[k] = np.einsum("bf,bfd->df", gf, x[where[i] + k])
-                touched.append(ids[where[i] + k].ravel())
-                updates.append((gf[:, :, None] * taps[k].T[None]).reshape(-1, DIM))
+                part = (gf[:, :, None] * taps[k].T[None]).reshape(-1, DIM)
+                for j in range(ids.shape[1]):
+                    touched.append(ids[where[i] + k, j].ravel())
+                    updates.append(part)
             grads[id(taps)] = gt + 1e-4 * taps
             grads[id(self.bias[i])] = gf.sum(0)
         rows, inv = np.unique(np.concatenate(touched), return_inverse=True)
         ge = np.zeros((len(rows), DIM), np.float32)
         np.add.at(ge, inv, np.concatenate(updates))
-        keep = rows != 0
+        keep = self.live[rows]
         rows, ge = rows[keep], ge[keep]
         state[0][rows] += ge * ge
         self.emb[rows] -= RATE * ge / np.sqrt(state[0][rows] + 1e-8)
@@ -117,20 +133,22 @@ class Network:
         return float(-(weight * np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))).mean())
 
     def compiled(self) -> dict:
-        """For each width, the embedding table times every tap, and the output layer."""
-        return {"tables": [[(self.emb @ t).astype(np.float32) for t in taps] for taps in self.taps],
-                "bias": self.bias, "out": self.out, "out_bias": float(self.out_bias[0])}
+        """The embedding table times every tap, side by side, and the output layer."""
+        return {"table": np.concatenate([self.emb @ t for taps in self.taps for t in taps], 1).astype(np.float32), "bias": self.bias, "out": self.out, "out_bias": float(self.out_bias[0])}
 
 
 def score_ids(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    n = len(ids)
-    tops = []
-    for w, tables, bias in zip(WIDTHS, model["tables"], model["bias"]):
+    n, tops, tap = len(ids), [], 0
+    word = model["table"][ids[:, 0]]
+    for j in range(1, ids.shape[1]):
+        word += model["table"][ids[:, j]]
+    for w, bias in zip(WIDTHS, model["bias"]):
         m = n - w + 1
         z = np.full((n, FILTERS), -np.inf, np.float32)
-        z[:m] = tables[0][ids[:m]]
+        z[:m] = word[:m, tap:tap + FILTERS]
         for k in range(1, w):
-            z[:m] += tables[k][ids[k:m + k]]
+            z[:m] += word[k:m + k, tap + k * FILTERS:tap + (k + 1) * FILTERS]
+        tap += w * FILTERS
         z[~_positions(n, starts, w)] = -np.inf
         tops.append(np.maximum(np.maximum.reduceat(z, starts, axis=0) + bias, 0))
     return 1 / (1 + np.exp(-(np.concatenate(tops, 1) @ model["out"] + model["out_bias"]).astype(np.float64)))
@@ -142,24 +160,30 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS) -> dict | None:
     if not len(y) or y.min() == y.max():
         return None
     rows = []
-    for _, _, data, offs in chunks(pa.array(texts, pa.string())):
+    for _, _, data, offs in chunks(pc.utf8_lower(pa.array(texts, pa.string()))):
         ids, starts = padded_ids(data, offs)
         rows += np.split(ids, starts[1:])
-    net, rng = Network(), np.random.default_rng(3)
+    texts_with = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        texts_with[np.unique(r)] += 1
+    live = texts_with >= MIN_TEXTS
+    live[0] = False
+    weight = np.where(y > 0, np.float32(min(MAX_WEIGHT, max(1.0, (1 - y).sum() / y.sum()))), np.float32(1))
+    net, rng = Network(live), np.random.default_rng(3)
     state = [np.zeros_like(a) for a in net.params()]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
             pick = order[i:i + BATCH]
             starts = np.cumsum([0] + [len(rows[j]) for j in pick])[:-1]
-            net.step(np.concatenate([rows[j] for j in pick]), starts, y[pick], np.ones(len(pick), np.float32), state)
+            net.step(np.concatenate([rows[j] for j in pick]), starts, y[pick], weight[pick], state)
     return net.compiled()
 
 
 def score_texts(model: dict | None, col: pa.Array) -> np.ndarray:
     out = np.full(len(col), 0.5)
     if model is not None:
-        for first, rows, data, offs in chunks(col):
+        for first, rows, data, offs in chunks(pc.utf8_lower(col), PIECE_BYTES):
             out[first:first + rows] = score_ids(model, *padded_ids(data, offs))
     return out
 
