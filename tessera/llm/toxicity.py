@@ -35,7 +35,7 @@ from tessera.llm.sampling import labelled_sample
 from tessera.llm.textops import chunks, mix, non_alnum_table, prefix_hash, span_hash, word_spans
 
 BUCKETS = 1 << 14
-DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
+DIM, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 PREFIXES = (4, 5, 7)
 MIN_TEXTS = 4
 PER_CLASS, MAX_BYTES = 2500, 32_768
@@ -80,8 +80,9 @@ class Network:
         self.emb[~live] = 0
         self.taps = [r.normal(0, (1 / (DIM * w)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-        self.out = r.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
-        self.out_bias = np.zeros(1, np.float32)
+        # Output weights stay at or above zero: a filter is evidence of toxicity or nothing.
+        self.out = np.abs(r.normal(0, 0.3, FILTERS * len(WIDTHS))).astype(np.float32)
+        self.out_bias = np.full(1, -2, np.float32)
 
     def params(self) -> list[np.ndarray]:
         return [self.emb, *self.taps, *self.bias, self.out, self.out_bias]
@@ -130,6 +131,7 @@ class Network:
             gr = grads[id(a)].reshape(a.shape)
             s += gr * gr
             a -= RATE * gr / np.sqrt(s + 1e-8)
+        np.maximum(self.out, 0, out=self.out)
         return float(-(weight * np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))).mean())
 
     def compiled(self) -> dict:
