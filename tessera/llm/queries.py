@@ -180,3 +180,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, cut, keep=["doc_id", "lang"]).select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "threshold", "flagged")
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and its number of links."""
+    from tessera.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
