@@ -188,3 +188,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import join
 
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 200 bytes that occur elsewhere."""
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                      F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
