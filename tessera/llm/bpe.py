@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tessera.llm.textops import chunks
 
 # Pieces remembered by a task; beyond it the memory starts anew (same results).
-PIECE_MEMORY = 400_000
+PIECE_MEMORY = 900_000
 PAIR_MEMORY = 2_000_000
 # Fixed value: a pattern under which a text may be cut in front of every single space
 # (a space either starts a piece or is a piece).  Only a space between two white-space
@@ -54,13 +54,15 @@ class BacktrackingEncoder:
 
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.sizes = {r: len(t) for t, r in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for tok, rank in ranks.items():
-            self.automaton.add_word(tok.decode("latin-1"), (len(tok), rank))
+            self.automaton.add_word(tok.decode("latin-1"), (len(tok) - 1, rank))
         self.automaton.make_automaton()
         self._split: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._reachable: dict[int, bool] = {}
 
     def merge(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
         """Plain merging, lowest rank first, with ranks under ``below``."""
@@ -85,7 +87,10 @@ class BacktrackingEncoder:
         return self._split[token]
 
     def reachable(self, token: int) -> bool:
-        return len(self.bytes_of[token]) == 1 or self.split(token) is not None
+        known = self._reachable.get(token)
+        if known is None:
+            known = self._reachable[token] = self.sizes[token] == 1 or self.split(token) is not None
+        return known
 
     def shorter(self, token: int) -> int | None:
         """The longest reachable token that is a proper prefix of this one."""
@@ -132,36 +137,40 @@ class BacktrackingEncoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
+        n, sizes, fits = len(piece), self.sizes, self._fits
         longest = [-1] * n
-        size = [0] * n
-        for end, (length, rank) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length + 1
-            if length > size[start] and self.reachable(rank):
-                size[start], longest[start] = length, rank
+        for end, (back, rank) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = rank  # ends come in order, so the longest stays
         out: list[int] = []
-        dead = bytearray(n + 1)
-        pos, token = 0, longest[0]
+        dead: set[int] = set()
+        pos, last, token = 0, None, longest[0]
+        if not self.reachable(token):
+            token = self.shorter(token)
         while True:
-            last = out[-1] if out else None
             while token is not None:
-                end = pos + len(self.bytes_of[token])
-                if not dead[end] and (last is None or self.fits(last, token)):
-                    break
+                end = pos + sizes[token]
+                if end not in dead:
+                    if last is None:
+                        break
+                    ok = fits.get((last, token))
+                    if self.fits(last, token) if ok is None else ok:
+                        break
                 token = self.shorter(token)
             if token is None:
-                dead[pos] = 1
+                dead.add(pos)
                 if last is None:
                     raise ValueError("the vocabulary lacks a byte of this piece")
                 out.pop()
-                pos -= len(self.bytes_of[last])
+                pos -= sizes[last]
                 token = self.shorter(last)
+                last = out[-1] if out else None
                 continue
             out.append(token)
-            pos = end
-            if pos == n:
+            if end == n:
                 return out
-            token = longest[pos]
+            pos, last, token = end, token, longest[end]
+            if not self.reachable(token):
+                token = self.shorter(token)
 
 
 def _with_columns(batch: pa.RecordBatch, first: int, rows: int, name: str, values: pa.Array) -> pa.RecordBatch:
