@@ -199,3 +199,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
     return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("bigint").alias("n_removed"),
                       F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_lm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-mixing scores of every document."""
+    from tessera.llm.context_mixing import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
