@@ -5,6 +5,10 @@ them.  The byte string of a word ends in an end mark, that of white space in a
 mark for "a word follows" or "end of text", so the product over all of them is
 a probability of the whole text.
 
+Texts fall into ``CLASSES`` classes by their byte pairs (k-means on at most
+``CLASS_SAMPLE`` training texts), which in practice are languages; the class is
+coded first and is part of some contexts.
+
 Method: every byte is coded as eight binary decisions.  Several predictors,
 each a table of bit counts found by a hashed context (the last 1, 2, 3, 4 or 6
 bytes of the word, or all its bytes so far), give a probability each; their
@@ -44,15 +48,49 @@ END_WORD, MORE, END_TEXT = 0xFE, 0xFE, 0xFF  # bytes that UTF-8 never uses
 ORDERS = (1, 2, 3, 4, 6, 255)  # bytes of context; 255: all of the word
 TABLE_BITS = (16, 18, 19, 20, 20, 21)
 TAGGED = (4, 5)  # predictors whose slots carry a tag
-LONG_MIN = 6
+LONG_MIN = 2
+WITH_CLASS = (0, 1, 2, 5)  # predictors whose context holds the class
+CLASSES, CLASS_SAMPLE, CLASS_BYTES, PAIRS = 6, 2000, 32_768, 512
 PART = 4096  # slots sent together
 GATES = 8
 MAP_STEPS = 33
-BATCH_WORDS = 1024
-RATE = 0.02
+BATCH_WORDS = 512
+RATE = 0.05
 BLOCK_BYTES = 8 << 20
 
 
+# Classes of texts.
+
+def _pair_shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of hashed byte pairs, as unit rows."""
+    rows = len(offs) - 1
+    row = np.repeat(np.arange(rows), np.diff(offs))
+    inside = row[:-1] == row[1:] if len(row) > 1 else np.zeros(0, bool)
+    pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 7) % PAIRS if len(row) > 1 else np.zeros(0, np.int64)
+    x = np.sqrt(np.bincount((row[:-1] * PAIRS + pair)[inside] if len(row) > 1 else pair, minlength=rows * PAIRS).reshape(rows, PAIRS))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def fit_classes(texts: pa.Array, rounds: int = 15) -> np.ndarray:
+    """Centres of the classes, by k-means with far-apart starts."""
+    parts = [_pair_shares(lower_table()[data], offs) for _, _, data, offs in chunks(texts)]
+    x = np.concatenate(parts) if parts else np.zeros((1, PAIRS))
+    rng = np.random.default_rng(1)
+    centres = x[:1]
+    while len(centres) < CLASSES:
+        far = np.maximum(1 - (x @ centres.T).max(1), 0) ** 2 + 1e-12
+        centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum())]]])
+    for _ in range(rounds):
+        z = (x @ centres.T).argmax(1)
+        sums = np.stack([x[z == k].sum(0) if (z == k).any() else centres[k] for k in range(CLASSES)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return centres
+
+
+def classes_of(centres: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return (_pair_shares(data, offs) @ centres.T).argmax(1)
+
+
 # Words of a block.
 
 def _pieces(data: np.ndarray, offs: np.ndarray):
@@ -83,30 +121,32 @@ def _pieces(data: np.ndarray, offs: np.ndarray):
     return s, e, row, tails
 
 
-def _block_words(t: pa.Table) -> pa.Table:
-    """Distinct words (kind 0) and white space keys (kind 1) of a block with their training counts."""
+def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
+    """Distinct (class, word) of a block (kind 0), white space keys (kind 1, class 0) and classes of
+    texts (kind 2) with their training counts."""
     block = t["block"][0].as_py()
     train = ~t["held"].to_numpy()
-    words: dict[bytes, int] = {}
-    spaces: dict[bytes, int] = {}
-    for first, _, data, offs in chunks(t["text"]):
+    found: dict[tuple[int, int, bytes], int] = {}
+    for first, rows, data, offs in chunks(t["text"]):
         data = lower_table()[data]
+        z = classes_of(centres, data, offs)
         s, e, row, tails = _pieces(data, offs)
         if len(s):
-            h = span_hash(prefix_hash(data), s, e)
+            h = span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64)
             _, at, inv = np.unique(h, return_index=True, return_inverse=True)
             n = np.bincount(inv, train[first + row], len(at)).astype(np.int64)
             buf = data.tobytes()
-            for a, b, c in zip(s[at].tolist(), e[at].tolist(), n.tolist()):
-                w = buf[a:b]
-                words[w] = words.get(w, 0) + c
+            for a, b, k, c in zip(s[at].tolist(), e[at].tolist(), z[row[at]].tolist(), n.tolist()):
+                key = (0, k, buf[a:b])
+                found[key] = found.get(key, 0) + c
         for r, key, c in tails:
-            spaces[key] = spaces.get(key, 0) + (c if train[first + r] else 0)
-    n = len(words) + len(spaces)
-    return pa.table({"block": pa.array(np.full(n, block), pa.int32()),
-                     "kind": pa.array(np.repeat([0, 1], [len(words), len(spaces)]), pa.int8()),
-                     "word": pa.array([*words, *spaces], pa.binary()),
-                     "n": pa.array([*words.values(), *spaces.values()], pa.int64())})
+            found[1, 0, key] = found.get((1, 0, key), 0) + (c if train[first + r] else 0)
+        for k, c in zip(*np.unique(z, return_counts=True)):
+            key = (2, 0, bytes([int(k)]))
+            found[key] = found.get(key, 0) + int(train[first:first + rows][z == k].sum())
+    return pa.table({"block": pa.array(np.full(len(found), block), pa.int32()),
+                     "kind": pa.array([k[0] for k in found], pa.int8()), "z": pa.array([k[1] for k in found], pa.int8()),
+                     "word": pa.array([k[2] for k in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
 
 
 # The model.
@@ -124,7 +164,7 @@ def _strings(words: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, out_offs, np.repeat(np.arange(len(kind)), n)
 
 
-def _contexts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, kind: np.ndarray):
+def _contexts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, kind: np.ndarray, z: np.ndarray):
     """Hash of every predictor's context at every coded byte, with the bytes and their rows."""
     prefix = prefix_hash(data)
     at = np.arange(len(data))
@@ -132,8 +172,9 @@ def _contexts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, kind: np.ndar
     coded = (kind[row] == 0) | (at > start)
     at, start, row = at[coded], start[coded], row[coded]
     salt = (kind[row] * 7919 + 1).astype(np.uint64)
-    ctx = [span_hash(prefix, np.maximum(start, at - o), at) + salt * np.uint64(0x2545F4914F6CDD1D)
-           + (at - np.maximum(start, at - o)).astype(np.uint64) for o in ORDERS]
+    with_class = salt + (z[row] * 104729).astype(np.uint64)
+    ctx = [span_hash(prefix, np.maximum(start, at - o), at) + (with_class if k in WITH_CLASS else salt) * np.uint64(0x2545F4914F6CDD1D)
+           + (at - np.maximum(start, at - o)).astype(np.uint64) for k, o in enumerate(ORDERS)]
     return ctx, data[at].astype(np.int64), row
 
 
@@ -169,7 +210,9 @@ def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 def _columns(batch: pa.RecordBatch):
     col = lambda c: batch.column(batch.schema.names.index(c))
-    return col("word"), col("kind").to_numpy().astype(np.int64), col("c").to_numpy().astype(np.float64)
+    kind = col("kind").to_numpy().astype(np.int64)
+    words = _contexts(*_strings(col("word"), kind), kind, col("z").to_numpy().astype(np.int64))
+    return words, kind, col("c").to_numpy().astype(np.float64)
 
 
 def count_tables(vocab: DataFrame) -> dict:
@@ -178,8 +221,7 @@ def count_tables(vocab: DataFrame) -> dict:
         plain = [k for k in range(len(ORDERS)) if k not in TAGGED]
         sums = {k: np.zeros((2, 1 << TABLE_BITS[k])) for k in plain}
         for batch in _runs(batches, 100_000):
-            words, kind, c = _columns(batch)
-            ctx, byte, row = _contexts(*_strings(words, kind), kind)
+            (ctx, byte, row), kind, c = _columns(batch)
             w = c[row]
             for b in range(8):
                 node, y = _bit(byte, b)
@@ -199,8 +241,7 @@ def count_tables(vocab: DataFrame) -> dict:
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, 20_000):
-            words, kind, c = _columns(batch)
-            ctx, byte, row = _contexts(*_strings(words, kind), kind)
+            (ctx, byte, row), kind, c = _columns(batch)
             for k in TAGGED:
                 keys, ys = [], []
                 for b in range(8):
@@ -287,8 +328,7 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
         hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
         bits = np.zeros(SETS)
         for batch in _runs(batches, BATCH_WORDS):
-            words, kind, c = _columns(batch)
-            ctx, byte, row = _contexts(*_strings(words, kind), kind)
+            (ctx, byte, row), kind, c = _columns(batch)
             weight = c[row]
             for b in range(8):
                 node, y = _bit(byte, b)
@@ -318,37 +358,48 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
     return model | {"w": w, "map": (hits + 8 * steps) / (tries + 8)}
 
 
-def log_probs(model: dict, words: pa.Array, kind: np.ndarray) -> np.ndarray:
-    """log10 probability of every string."""
-    ctx, byte, row = _contexts(*_strings(words, kind), kind)
+def log_probs(model: dict, words: pa.Array, kind: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """log10 probability of every string in its class."""
+    ctx, byte, row = _contexts(*_strings(words, kind), kind, z)
     total = np.zeros(len(kind))
     for b in range(8):
         node, y = _bit(byte, b)
         x, gate = _inputs(model, ctx, node, None, None)
-        z = (x * model["w"][gate]).sum(1)
-        p = _refined(1 / (1 + np.exp(-np.clip(z, -30, 30))), z, gate, model["map"])
+        logit = (x * model["w"][gate]).sum(1)
+        p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate, model["map"])
         total += np.bincount(row, np.log10(np.where(y == 1, p, 1 - p)), len(kind))
     return total
 
 
 def _score_words(vocab: DataFrame, model: dict) -> DataFrame:
+    """Add ``lp``, the log10 probability in every class that holds the word (by class; null in others)."""
     sent = vocab.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, 20_000):
-            words, kind, _ = _columns(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_probs(sent.value, words, kind))], names=[*batch.schema.names, "lp"])
-
-    return vocab.mapInArrow(run, "kind byte, word binary, c bigint, blocks array<int>, lp double")
-
-
-def _block_scores(docs: pa.Table, words: pa.Table, n_train: int, n_types: int, n_ends: int) -> pa.Table:
+            col = lambda c: batch.column(batch.schema.names.index(c))
+            kind = col("kind").to_numpy().astype(np.int64)
+            held = col("places")
+            at = np.repeat(np.arange(len(kind)), np.diff(held.offsets.to_numpy()))
+            pair = np.unique(at * CLASSES + held.flatten().field("z").to_numpy())
+            row, z = pair // CLASSES, pair % CLASSES
+            lp = np.full(len(kind) * CLASSES, np.nan)
+            lp[pair] = log_probs(sent.value, col("word").take(pa.array(row)), kind[row], z)
+            bounds = pa.array(np.arange(len(kind) + 1) * CLASSES, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[col(c) for c in ("kind", "word", "c", "places")], pa.ListArray.from_arrays(bounds, pa.array(lp))],
+                                             names=["kind", "word", "c", "places", "lp"])
+
+    return vocab.select("kind", "word", "c", "places").mapInArrow(
+        run, "kind byte, word binary, c bigint, places array<struct<block:int,z:byte>>, lp array<double>")
+
+
+def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp: np.ndarray, n_train: int, n_types: int, n_ends: int) -> pa.Table:
     """Scores of a block's texts from the probabilities and counts of its words."""
     kind = words["kind"].to_numpy()
     plain = words.filter(pa.array(kind == 0))
     data, offs = string_bytes(plain["word"])
     data, offs = data[offs[0]:offs[-1]], offs - offs[0]
-    h = span_hash(prefix_hash(data), offs[:-1], offs[1:])
+    h = span_hash(prefix_hash(data), offs[:-1], offs[1:]) + plain["z"].to_numpy().astype(np.uint64)
     order = np.argsort(h)
     h, c, lp = h[order], plain["c"].to_numpy()[order], plain["lp"].to_numpy()[order]
     spaces = words.filter(pa.array(kind == 1))
@@ -359,11 +410,13 @@ def _block_scores(docs: pa.Table, words: pa.Table, n_train: int, n_types: int, n
     n_bytes = np.zeros(n, np.int64)
     for first, rows, data, offs in chunks(docs["text"]):
         data = lower_table()[data]
+        z = classes_of(centres, data, offs)
         s, e, row, tails = _pieces(data, offs)
         here = slice(first, first + rows)
         n_bytes[here] = np.diff(offs)
+        score[here] += class_lp[z]
         if len(s):
-            at = np.searchsorted(h, span_hash(prefix_hash(data), s, e))
+            at = np.searchsorted(h, span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64))
             tokens[here] += np.bincount(row, minlength=rows)
             known[here] += np.bincount(row, c[at] > 0, rows).astype(np.int64)
             base[here] += np.bincount(row, base_of(c[at]), rows)
@@ -383,19 +436,34 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     blocks = max(partitions, -(-text_bytes_estimate(docs) // BLOCK_BYTES))
     rows = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), (fold(F.col(doc), folds) == held_out).alias("held"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "text"), F.lit(blocks)).cast("int"))
-    found = rows.select("block", "text", "held").groupBy("block").applyInArrow(_block_words, "block int, kind byte, word binary, n bigint")
-    vocab = materialise(found.groupBy("kind", "word").agg(F.sum("n").alias("c"), F.collect_list("block").alias("blocks")), "vocabulary")
+    sample = (rows.where(~F.col("held") & (F.octet_length("text") <= CLASS_BYTES)).select("text")
+              .orderBy(F.xxhash64("text"), "text").limit(CLASS_SAMPLE).toArrow())
+    centres = fit_classes(sample["text"].combine_chunks())
+
+    def words(t: pa.Table) -> pa.Table:
+        return _block_words(t, centres)
+
+    found = rows.select("block", "text", "held").groupBy("block").applyInArrow(words, "block int, kind byte, z byte, word binary, n bigint")
+    by_class = F.array(*[F.sum(F.when(F.col("z") == k, F.col("n")).otherwise(0)) for k in range(CLASSES)])
+    vocab = materialise(found.groupBy("kind", "word").agg(
+        F.sum("n").alias("c"), by_class.alias("by_class"), F.collect_list(F.struct("block", "z")).alias("places")), "vocabulary")
     ends = docs.where(fold(F.col(doc), folds) != held_out).count()
     sums = vocab.where("kind = 0 AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_types = sums["n"] + ends, sums["v"] + (1 if ends else 0)
-    learnt = vocab.where("c > 0").select("kind", "word", "c")
+    class_n = np.zeros(CLASSES)
+    for r in vocab.where("kind = 2").select("word", "c").collect():  # at most one row per class
+        class_n[r["word"][0]] = r["c"]
+    class_lp = np.log10((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES))
+    learnt = (vocab.where("kind < 2 AND c > 0").select("kind", "word", F.posexplode("by_class").alias("z", "c"))
+              .where("c > 0").select("kind", F.col("z").cast("byte").alias("z"), "word", "c"))
     model = learn_mixing(learnt, count_tables(learnt))
-    scored = materialise(_score_words(vocab, model), "scored")
-    here = scored.select(F.explode("blocks").alias("block"), "kind", "word", "c", "lp")
+    scored = materialise(_score_words(vocab.where("kind < 2"), model), "scored")
+    here = scored.select(F.explode("places").alias("p"), "kind", "word", "c", "lp").select(
+        F.col("p.block").alias("block"), F.col("p.z").alias("z"), "kind", "word", "c", F.get("lp", F.col("p.z").cast("int")).alias("lp"))
     kind = docs.schema[doc].dataType.simpleString()
 
     def score(t: pa.Table, w: pa.Table) -> pa.Table:
-        return _block_scores(t, w, n_train, n_types, ends)
+        return _block_scores(t, w, centres, class_lp, n_train, n_types, ends)
 
     return rows.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(
         score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
