@@ -60,6 +60,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _id_text(c: Column) -> Column:
+    """An id as text to join by, nulls too."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def _sets(data, offs):
     words, per_row = word_hashes(data, offs, space_table(), lower_table())
     return shingles(words, per_row, SHINGLE)
@@ -344,10 +349,20 @@ def text_links(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tupl
     found = materialise(prune(block_rows(members).join(met, "k").join(sigs, "k")), "candidates")
     wanted = found.select("k").distinct().join(classes, "k")
     # One row of each wanted text; the id is part of the key, so copies spread over the tasks.
-    same = wanted.select(F.col("k").alias("k2"), F.col("rep").alias("d2"), "copies")
-    texts = (keyed.join(same, (F.col("k") == F.col("k2")) & F.col("d").eqNullSafe(F.col("d2")))
-             .select("k", "copies", "text").dropDuplicates(["k"]))
+    same = wanted.select("k", F.col("rep").alias("d"), "copies").withColumn("d", _id_text(F.col("d")))
+    texts = (keyed.withColumn("d", _id_text(F.col("d"))).join(same, ["k", "d"]).dropDuplicates(["k", "d"]).select("k", "copies", "text"))
     checked = materialise(verify(found.join(texts, "k")), "links")
     label = components(checked)
     per_text = checked.groupBy("k").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     return per_text.join(label, "k", "left"), classes
+
+
+def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group connected by links or copies the one with the
+    smallest id (of several rows with that id and text, one)."""
+    links, classes = text_links(docs, doc, text)
+    label = classes.join(links.select("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    stay = (label.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m"))
+            .select(F.col("m.k").alias("__k"), _id_text(F.col("m.rep")).alias("__d")))
+    keyed = docs.withColumns({"__k": text_key(F.col(text)), "__d": _id_text(F.col(doc))})
+    return keyed.join(stay, ["__k", "__d"]).dropDuplicates(["__k", "__d"]).select(*docs.columns)

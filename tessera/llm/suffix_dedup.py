@@ -431,7 +431,7 @@ def _union_spans(spans: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``spans`` (removed runs of the text's UTF-8 bytes) and ``kept`` (the bytes that remain)."""
+    """Add ``spans`` (removed runs of the text's UTF-8 bytes; null: none) and ``kept`` (the bytes that remain)."""
     spans = repeated_spans(docs, text)
     names = [c for c in docs.columns if c not in ("spans", "kept")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn(
@@ -455,3 +455,18 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], names=[*batch.schema.names, "kept"])
 
     return out.mapInArrow(run, schema)
+
+
+def clean_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with their texts cut: a character that a removed run splits goes with it."""
+    out = remove_repeats(docs, text)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in out.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index(text)
+            kept = [b.decode("utf-8", "ignore") for b in batch.column(batch.schema.names.index("kept")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns)],
+                                             names=batch.schema.names)
+
+    return out.mapInArrow(run, schema).select(*docs.columns)
