@@ -5,7 +5,7 @@ anywhere else in the corpus.
 
 Method: a window of ``LENGTH`` bytes has an anchor, the start of its smallest
 hashed ``GRAM``-byte string; equal windows have equal anchors at the same
-place.  Only suffixes at anchors are kept (about one in seventy), with their
+place.  Only suffixes at anchors are kept (about one in fifty), with their
 context: the bytes before (to the left end of any window of the anchor) and
 after.  Anchors whose string occurs once are dropped.  If all occurrences of an
 anchor share one context, the whole context repeats.  Else the contexts of the
@@ -39,11 +39,11 @@ from tessera.llm.storage import materialise, text_bytes_estimate
 from tessera.llm.textops import chunks, mix, prefix_hash, span_hash
 
 LENGTH = 200
-GRAM = 64
+GRAM = 96
 REACH = LENGTH - GRAM  # bytes before an anchor that its windows can reach
 SHALLOW = 24
 SMALL_GROUP = 24
-MAX_GROUP = 1500
+MAX_GROUP = 50_000
 GRID = 34
 BLOCK_BYTES = 8 << 20
 
@@ -273,8 +273,9 @@ def _twice_per_task(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, keyed.schema)
 
 
-FOUND = "k binary, s bigint, e bigint, gkey bigint, lft binary, rgt binary"
-FOUND_ARROW = pa.schema([("k", pa.binary()), ("s", pa.int64()), ("e", pa.int64()), ("gkey", pa.int64()), ("lft", pa.binary()), ("rgt", pa.binary())])
+FOUND = "k binary, s bigint, e bigint, gkey bigint, ctx bigint, lft binary, rgt binary"
+FOUND_ARROW = pa.schema([("k", pa.binary()), ("s", pa.int64()), ("e", pa.int64()), ("gkey", pa.int64()), ("ctx", pa.int64()),
+                         ("lft", pa.binary()), ("rgt", pa.binary())])
 
 
 def _merge(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,7 +294,7 @@ def _merge(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _local_finds(texts: pa.Table, repeated: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Rows of ``FOUND`` for one block: spans of uniform anchors, contexts of the others."""
+    """Rows of ``FOUND`` for one block: spans of uniform anchors (no gkey), and contexts of the others."""
     first_of: dict[bytes, int] = {}
     copied: set[bytes] = set()
     for i, k in enumerate(texts["k"].to_pylist()):
@@ -305,46 +306,39 @@ def _local_finds(texts: pa.Table, repeated: pa.Table) -> Iterator[pa.RecordBatch
     order = np.argsort(rk)
     rk, uniform = rk[order], repeated["uniform"].to_numpy()[order]
     for first, _, data, offs in chunks(texts["text"]):
-        row, at, key, _, left, right = anchors(data, offs)
-        place = np.minimum(np.searchsorted(rk, key), max(len(rk) - 1, 0))
-        hit = (rk[place] == key) & (left + right >= LENGTH) if len(rk) else np.zeros(len(key), bool)
-        row, at, key, left, right, same = row[hit], at[hit], key[hit], left[hit], right[hit], uniform[place[hit]] if len(rk) else hit
+        row, at, key, ctx, left, right = anchors(data, offs)
+        if len(rk):
+            place = np.minimum(np.searchsorted(rk, key), len(rk) - 1)
+            hit = (rk[place] == key) & (left + right >= LENGTH)
+        else:
+            place = hit = np.zeros(len(key), bool)
+        row, at, key, ctx, left, right, same = row[hit], at[hit], key[hit], ctx[hit], left[hit], right[hit], uniform[place[hit]]
         rel = at - offs[row]
         r, s, e = _merge(row[same], (rel - left)[same], (rel + right)[same])
-        out = {"k": [keys[first + x] for x in r], "s": s.tolist(), "e": e.tolist(), "gkey": [None] * len(r),
-               "lft": [None] * len(r), "rgt": [None] * len(r)}
-        for i, n in enumerate(np.diff(offs).tolist()):
-            if n >= LENGTH and keys[first + i] in copied:  # its copies repeat the whole text
-                for name, v in (("k", keys[first + i]), ("s", 0), ("e", n), ("gkey", None), ("lft", None), ("rgt", None)):
-                    out[name].append(v)
+        whole = [i for i, n in enumerate(np.diff(offs).tolist()) if n >= LENGTH and keys[first + i] in copied]  # repeated by its copies
+        k = [keys[first + x] for x in r] + [keys[first + i] for i in whole]
+        s, e = s.tolist() + [0] * len(whole), e.tolist() + np.diff(offs)[whole].tolist()
+        none = [None] * len(k)
         buf = data.tobytes()
-        for x in np.flatnonzero(~same):
-            p = int(at[x])
-            out["k"].append(keys[first + row[x]])
-            out["s"].append(int(rel[x]))
-            out["e"].append(None)
-            out["gkey"].append(int(key[x].astype(np.int64)))
-            out["lft"].append(buf[p - int(left[x]):p][::-1])
-            out["rgt"].append(buf[p:p + int(right[x])])
-        yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.binary()), pa.array(out["s"], pa.int64()), pa.array(out["e"], pa.int64()),
-                                          pa.array(out["gkey"], pa.int64()), pa.array(out["lft"], pa.binary()), pa.array(out["rgt"], pa.binary())],
-                                         schema=FOUND_ARROW)
+        x = np.flatnonzero(~same)
+        k += [keys[first + i] for i in row[x]]
+        s += (rel - left)[x].tolist()
+        e += (rel + right)[x].tolist()
+        lft = [buf[p - n:p][::-1] for p, n in zip(at[x].tolist(), left[x].tolist())]
+        rgt = [buf[p:p + n] for p, n in zip(at[x].tolist(), right[x].tolist())]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(k, pa.binary()), pa.array(s, pa.int64()), pa.array(e, pa.int64()),
+            pa.array(none + key[x].view(np.int64).tolist(), pa.int64()), pa.array(none + ctx[x].view(np.int64).tolist(), pa.int64()),
+            pa.array(none + lft, pa.binary()), pa.array(none + rgt, pa.binary())], schema=FOUND_ARROW)
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """Contexts (gkey, k, s, lft, rgt) of anchors that meet in groups to spans (k, s, e)."""
-    def group_spans(ks, pos, left, right):
-        classes: dict[tuple[bytes, bytes], list[int]] = {}
-        for i, c in enumerate(zip(left, right)):
-            classes.setdefault(c, []).append(i)
-        names = list(classes)
-        found = shared_stretches([c[0] for c in names], [c[1] for c in names]) if len(names) > 1 else [(0, 0)]
-        for c, (a, b) in zip(names, found):
-            if len(classes[c]) > 1:
-                a, b = len(c[0]), len(c[1])
+    """Different contexts (gkey, k, s, lft, rgt) that meet in groups to spans (k, s, e)."""
+    def group_spans(ks, starts, left, right):
+        for i, (a, b) in enumerate(shared_stretches(left, right)):
             if a + b >= LENGTH:
-                for i in classes[c]:
-                    yield ks[i], pos[i] - a, pos[i] + b
+                at = starts[i] + len(left[i])
+                yield ks[i], at - a, at + b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -379,15 +373,14 @@ def _compare(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "k binary, s bigint, e bigint"))
 
 
-def _divide(rows: DataFrame, step: int) -> DataFrame:
+def _divide(rows: DataFrame, starts, step: int) -> DataFrame:
     """Deal the contexts of large groups to smaller ones: a shared window that starts ``a`` bytes before
-    the anchor also shares the bytes from ``g`` before it to ``LENGTH - g - step + 1``, g = a rounded down
-    to the step.  With step 1 these are whole windows."""
-    starts = F.array(*[F.lit(g) for g in range(0, REACH + 1, step)])
-    out = rows.withColumn("g", F.explode(F.filter(starts, lambda g: (F.length("lft") >= g) & (
-        F.length("rgt") >= F.lit(LENGTH - step + 1) - g))))
-    part = F.concat(F.reverse(F.hex(F.substring("lft", 1, REACH)).substr(F.lit(1), 2 * F.col("g"))),
-                    F.hex("rgt").substr(F.lit(1), 2 * (F.lit(LENGTH - step + 1) - F.col("g"))))
+    the anchor also shares the bytes from ``g`` before it to ``LENGTH - g - step + 1`` after, where g is a
+    rounded down to the step.  With step 1 these are whole windows."""
+    size = LENGTH - step + 1
+    out = rows.withColumn("g", F.explode(F.filter(starts, lambda g: (g <= REACH) & (F.length("lft") >= g) & (
+        F.length("rgt") >= F.lit(size) - g))))
+    part = F.concat(F.hex("lft").substr(F.lit(1), 2 * F.col("g")), F.hex("rgt").substr(F.lit(1), 2 * (F.lit(size) - F.col("g"))))
     return out.withColumn("gkey", F.xxhash64("gkey", "g", part))
 
 
@@ -398,23 +391,29 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = _keyed(docs, text, blocks)
     repeated = materialise(_anchor_counts(keyed), "anchors")
     here = _anchor_blocks(keyed).join(repeated, "akey").select("block", "akey", "uniform").distinct()
-
     found = materialise(_twice_per_task(keyed).groupBy("block").cogroup(here.groupBy("block")).applyInArrow(
         lambda texts, anchors: pa.Table.from_batches(_local_finds(texts, anchors), FOUND_ARROW), FOUND), "found")
     spans = found.where("gkey IS NULL").select("k", "s", "e")
-    rows = found.where("gkey IS NOT NULL").select("gkey", "k", "s", "lft", "rgt")
-    for step in (GRID, 1):
-        sizes = rows.groupBy("gkey").agg(F.count("*").alias("n"))
-        large = materialise(sizes.where(F.col("n") > MAX_GROUP).select("gkey"), "large")
-        pairs = sizes.where((F.col("n") > 1) & (F.col("n") <= MAX_GROUP)).select("gkey")
-        spans = spans.unionByName(materialise(_compare(rows.join(pairs, "gkey")), "spans"))
-        if not large.limit(1).count():
-            break
-        rows = _divide(rows.join(large, "gkey"), step)
-        if step == 1:
-            twice = rows.groupBy("gkey").agg(F.count("*").alias("n")).where("n > 1").select("gkey")
-            spans = spans.unionByName(rows.join(twice, "gkey").select(
-                "k", (F.col("s") - F.col("g")).alias("s"), (F.col("s") - F.col("g") + LENGTH).alias("e")))
+    # A context that occurs twice repeats as a whole; each context that occurs once is compared with one row of every other.
+    mixed = found.where("gkey IS NOT NULL")
+    classes = materialise(mixed.groupBy("gkey", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k", "s")).alias("one")), "contexts")
+    twice = classes.where("n > 1").select("gkey", "ctx")
+    spans = spans.unionByName(mixed.select("gkey", "ctx", "k", "s", "e").join(twice, ["gkey", "ctx"]).select("k", "s", "e"))
+    sizes = classes.groupBy("gkey").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1")
+    chosen = classes.join(sizes, "gkey").select("gkey", "ctx", "d", F.col("one.k").alias("k"), F.col("one.s").alias("s"))
+    rows = mixed.select("gkey", "ctx", "k", "s", "lft", "rgt").join(chosen, ["gkey", "ctx", "k", "s"])
+    spans = spans.unionByName(materialise(_compare(rows.where(F.col("d") <= MAX_GROUP)), "spans"))
+    if sizes.where(F.col("d") > MAX_GROUP).limit(1).count():
+        parts = _divide(rows.where(F.col("d") > MAX_GROUP).drop("d"), F.array(*[F.lit(g) for g in range(0, REACH + 1, GRID)]), GRID)
+        counts = parts.groupBy("gkey").agg(F.count("*").alias("d")).where("d > 1")
+        parts = materialise(parts.join(counts, "gkey"), "parts")
+        spans = spans.unionByName(materialise(_compare(parts.where(F.col("d") <= MAX_GROUP)), "spans"))
+        # Windows of what is still large: only to be counted.
+        windows = _divide(parts.where(F.col("d") > MAX_GROUP).drop("d").withColumnRenamed("g", "g0"),
+                          F.sequence(F.col("g0"), F.col("g0") + GRID - 1), 1)
+        equal = windows.groupBy("gkey").agg(F.count("*").alias("n")).where("n > 1").select("gkey")
+        at = F.col("s") + F.length("lft") - F.col("g")
+        spans = spans.unionByName(windows.join(equal, "gkey").select("k", at.alias("s"), (at + LENGTH).alias("e")))
     return _union_spans(spans)
 
 
