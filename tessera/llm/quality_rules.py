@@ -22,18 +22,17 @@ WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bangs", "n_stutters"]
 
 
-def _rules() -> dict[str, Column]:
-    """Name -> failure, in the order of the bits."""
-    c = F.col
+def _rules(m) -> dict[str, Column]:
+    """Name -> failure of the measurements ``m``, in the order of the bits."""
     return {
-        "few_words": c("n_words") < 20,
-        "repeated_words": 100 * c("n_repeat_words") > 30 * c("n_words"),
-        "symbols": 5 * c("n_symbols") > c("n_words"),
-        "duplicate_lines": 2 * c("n_dup_lines") > c("n_lines"),
-        "short_words": c("word_chars") < 2 * c("n_words"),
-        "long_words": c("word_chars") > 16 * c("n_words"),
-        "shouting": 10 * c("n_bangs") > c("n_words"),
-        "stutter": 10 * c("n_stutters") > 3 * c("n_words"),
+        "few_words": m["n_words"] < 20,
+        "repeated_words": 100 * m["n_repeat_words"] > 30 * m["n_words"],
+        "symbols": 5 * m["n_symbols"] > m["n_words"],
+        "duplicate_lines": 2 * m["n_dup_lines"] > m["n_lines"],
+        "short_words": m["word_chars"] < 2 * m["n_words"],
+        "long_words": m["word_chars"] > 16 * m["n_words"],
+        "shouting": 10 * m["n_bangs"] > m["n_words"],
+        "stutter": 10 * m["n_stutters"] > 3 * m["n_words"],
     }
 
 
@@ -47,44 +46,60 @@ def mask(policy: str | list[str]) -> int:
     return sum(1 << RULES.index(n) for n in names)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements and ``failures`` (bit i set: rule i of ``RULES`` failed)."""
-    keep = [c for c in docs.columns if c not in (*MEASURES, "failures")]
-    c = F.col
-    out = docs.select(*[F.col(f"`{k}`") for k in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
-    # Each array is made in a step of its own and used at least twice, so that it is computed once.
-    out = out.select(*[f"`{k}`" for k in keep], "__t",
-                     F.filter(F.split("__t", SPACE + "+"), lambda w: w != "").alias("__w"),
-                     F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"))
-    windows = F.when(F.size("__w") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("__w") - (WINDOW - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice(c("__w"), i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
-    out = out.select(*[f"`{k}`" for k in keep],
-                     F.size("__w").cast("bigint").alias("n_words"),
-                     F.aggregate("__w", F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)).alias("word_chars"),
-                     (F.size(F.split("__t", r"[#*$%&|<>]")) - 1).cast("bigint").alias("n_symbols"),
-                     (F.size(F.split("__t", "!!")) - 1).cast("bigint").alias("n_bangs"),
-                     F.size(F.filter("__w", lambda w, i: F.coalesce(F.get(c("__w"), i - 1) == w, F.lit(False)))).cast("bigint").alias("n_stutters"),
-                     F.size("__l").cast("bigint").alias("n_lines"),
-                     (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
-                     windows.alias("__h"))
-    # Windows that occur twice: only then sort (hash, place) and compare neighbours.
-    out = out.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.array_sort(
-        F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-        .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    twice = F.filter("__s", lambda x, j: F.coalesce(F.get(c("__s"), j - 1)["h"] == x["h"], F.lit(False))
-                     | F.coalesce(F.get(c("__s"), j + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("__p", F.when(F.size("__s") > 0, F.array_sort(F.transform(twice, lambda x: x["i"])))
-                         .otherwise(F.array().cast("array<int>")))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _windows(w: Column) -> Column:
+    """A hash of every run of ``WINDOW`` words."""
+    return F.when(F.size(w) >= WINDOW, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _repeat_words(h: Column) -> Column:
+    """Words in windows that occur twice: only if there are any, (hash, place) are sorted and neighbours compared."""
+    def places(s):
+        twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False))
+                         | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
     covered = F.aggregate(
-        "__p", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
+        _let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), places),
+        F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
         lambda a, p: F.struct((p + WINDOW).alias("end"), (a["n"] + (p + WINDOW - F.greatest(p, a["end"]))).cast("bigint").alias("n")),
         lambda a: a["n"])
-    out = out.withColumn("n_repeat_words", F.when(F.size("__p") > 0, covered).otherwise(F.lit(0).cast("bigint"))).drop("__h", "__s", "__p")
-    bits = F.lit(0).cast("bigint")
-    for i, failed in enumerate(_rules().values()):
-        bits = bits + F.when(failed, F.lit(1 << i)).otherwise(F.lit(0))
-    return out.withColumn("failures", bits.cast("bigint"))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), covered).otherwise(F.lit(0).cast("bigint"))
+
+
+def _measure(t: Column) -> Column:
+    words = F.filter(F.split(t, SPACE + "+"), lambda w: w != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    measured = _let(words, lambda w: _let(lines, lambda x: _let(_windows(w), lambda h: F.struct(
+        F.size(w).cast("bigint").alias("n_words"),
+        F.aggregate(w, F.lit(0).cast("bigint"), lambda s, v: s + F.length(v)).alias("word_chars"),
+        (F.size(F.split(t, r"[#*$%&|<>]")) - 1).cast("bigint").alias("n_symbols"),
+        F.size(x).cast("bigint").alias("n_lines"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        _repeat_words(h).alias("n_repeat_words"),
+        (F.size(F.split(t, "!!")) - 1).cast("bigint").alias("n_bangs"),
+        F.size(F.filter(w, lambda v, i: F.coalesce(F.get(w, i - 1) == v, F.lit(False)))).cast("bigint").alias("n_stutters")))))
+
+    def with_failures(m):
+        bits = F.lit(0).cast("bigint")
+        for i, failed in enumerate(_rules(m).values()):
+            bits = bits + F.when(failed, F.lit(1 << i)).otherwise(F.lit(0))
+        return F.struct(*[m[c].alias(c) for c in MEASURES], bits.cast("bigint").alias("failures"))
+
+    return _let(measured, with_failures)
+
+
+def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the measurements and ``failures`` (bit i set: rule i of ``RULES`` failed)."""
+    keep = [c for c in docs.columns if c not in (*MEASURES, "failures")]
+    out = docs.withColumn("__m", _measure(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return out.select(*[F.col(f"`{k}`") for k in keep], *[F.col("__m")[c].alias(c) for c in (*MEASURES, "failures")])
 
 
 def kept(policy: str | list[str] = "v2", failures: str = "failures") -> Column:
