@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sampling import fold
-from tessera.llm.storage import materialise, text_bytes_estimate
+from tessera.llm.storage import materialise, text_bytes
 from tessera.llm.textops import chunks, lower_table, mix, prefix_hash, space_table, span_hash, string_bytes, word_spans
 
 END_WORD, MORE, END_TEXT = 0xFE, 0xFE, 0xFF  # bytes that UTF-8 never uses
@@ -56,7 +56,7 @@ GATES = 8
 MAP_STEPS = 33
 BATCH_WORDS = 512
 RATE = 0.05
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 # Classes of texts.
@@ -433,7 +433,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     train_tokens, base_score (unigram), score (log10 probability), bits_per_byte."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(partitions, -(-text_bytes_estimate(docs) // BLOCK_BYTES))
+    blocks = max(partitions, -(-text_bytes(docs, text) // BLOCK_BYTES))
     rows = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), (fold(F.col(doc), folds) == held_out).alias("held"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "text"), F.lit(blocks)).cast("int"))
     sample = (rows.where(~F.col("held") & (F.octet_length("text") <= CLASS_BYTES)).select("text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.session import checkpoint_dir
 
@@ -22,6 +23,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes_estimate(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes read (no job runs)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def text_bytes(df: DataFrame, text: str) -> int:
+    """UTF-8 bytes of a text column, measured (size estimates of plans can be far off)."""
+    return df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint")).alias("n")).first()["n"] or 0

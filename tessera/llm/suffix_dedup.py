@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.storage import materialise, text_bytes_estimate
+from tessera.llm.storage import materialise, text_bytes
 from tessera.llm.textops import chunks, mix, prefix_hash, span_hash
 
 LENGTH = 200
@@ -45,7 +45,7 @@ SHALLOW = 24
 SMALL_GROUP = 24
 MAX_GROUP = 50_000
 GRID = 34
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 # Deep-shallow sorting.
@@ -387,7 +387,7 @@ def _divide(rows: DataFrame, starts, step: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k, spans): for each distinct text with repeated bytes, by its 16-byte key, the maximal runs to remove."""
     spark = docs.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes_estimate(docs) // BLOCK_BYTES))
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text) // BLOCK_BYTES))
     keyed = _keyed(docs, text, blocks)
     repeated = materialise(_anchor_counts(keyed), "anchors")
     here = _anchor_blocks(keyed).join(repeated, "akey").select("block", "akey", "uniform").distinct()
