@@ -8,29 +8,33 @@ These helpers split each group into *segments* instead:
 
 1. ``repartitionByRange(n, g..., o...)`` cuts the (group, order) key space into
    ``n`` balanced ranges (Spark samples the keys); a hot group spans many
-   ranges, and equal keys always land in the same range.
+   ranges, and equal keys always land in the same range.  Range bounds come from
+   a sample, so two plans over the same rows may cut differently: the rows are
+   therefore written with their segment to the shared checkpoint folder once,
+   and everything after reads that table.
 2. Inside each (group, segment) an ordinary window computes the local result.
 3. One summary row per (group, segment) — its count, total, last value... —
    is carried forward along the segments of the group with a window over the
    small summary table.
-4. The carried values join back on (group, segment); the big side is already
-   hash-partitioned on those keys by step 2, so only the summary moves.
-
-The result is exact (same values as the single-window form) with work spread
-over ``n`` tasks whatever the key distribution.  ``skew_safe=False`` gives the
-single-window plan; ``None`` (default) picks it only when Catalyst's size
-estimate of the whole input is within one task's budget
-(``tessera.scan.singleTaskBytes``, 32 MiB), so no group can overload a task.
+4. The carried values join back on (group, segment).
+
+The result is exact (same values and types as the single-window form) with work
+spread over ``n`` tasks whatever the key distribution.  ``skew_safe=False`` gives
+the single-window plan; ``None`` (default) picks it only when the whole input is
+within one task's budget (``tessera.scan.singleTaskBytes``, 32 MiB), so no group
+can overload a task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sizing import num_segments, resolve_skew_safe
+from tessera.session import stored
 
 SEG = "_tsr_seg"
 _RN = "_tsr_rn"
@@ -69,10 +73,14 @@ def _num_segments(df: DataFrame, n: int | None) -> int:
 
 
 def segment(df: DataFrame, partition_by, order_by, num_segments: int | None = None) -> DataFrame:
-    """Range-partition on (partition keys, order keys) and tag each row with its segment."""
+    """Range-partition on (partition keys, order keys) and tag each row with its segment.
+
+    The tagged rows are written to shared storage: a row keeps its segment
+    whatever is later read from them.
+    """
     keys = [F.col(p).asc_nulls_first() for p in _names(partition_by)] + sort_orders(order_by)
     n = _num_segments(df, num_segments)
-    return df.repartitionByRange(n, *keys).withColumn(SEG, F.spark_partition_id())
+    return stored(df.repartitionByRange(n, *keys).withColumn(SEG, F.spark_partition_id()), "segments")
 
 
 def _null_safe_join(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,38 +127,30 @@ def running(df: DataFrame, value: str | Column, partition_by=None, order_by=None
     v = F.col(value) if isinstance(value, str) else value
     parts = _names(partition_by)
     skew_safe = resolve_skew_safe(df, skew_safe)
-    if not skew_safe:
-        w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by)) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        fns = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
-        return df.withColumns({f"{prefix}{a}": fns[a](v).over(w) for a in aggs})
     frame = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local_cols = {
-        "_l_sum": lambda w: F.sum(v).over(frame(w)),
-        "_l_cnt": lambda w: F.count(v).over(frame(w)),
-        "_l_min": lambda w: F.min(v).over(frame(w)),
-        "_l_max": lambda w: F.max(v).over(frame(w)),
-    }
+    fns = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
+    w = frame((Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by)))
+    plain = df.withColumns({f"{prefix}{a}": fns[a](v).over(w) for a in aggs})
+    if not skew_safe:
+        return plain
+    # Only the parts of the aggregates asked for; a sum or average needs its count to tell null from zero.
+    needed = dict.fromkeys(x for a in aggs for x in {"avg": ("sum", "count"), "sum": ("sum", "count")}.get(a, (a,)))
+    local_cols = {f"_l_{a}": (lambda f: lambda w: f(v).over(frame(w)))(fns[a]) for a in needed}
     local, parts = _local(df, parts, order_by, local_cols, num_segments)
-    carried = _carry(
-        local, parts,
-        {"_t_sum": F.col("_l_sum"), "_t_cnt": F.col("_l_cnt"), "_t_min": F.col("_l_min"), "_t_max": F.col("_l_max")},
-        {"_c_sum": lambda w: F.sum("_t_sum").over(w), "_c_cnt": lambda w: F.sum("_t_cnt").over(w),
-         "_c_min": lambda w: F.min("_t_min").over(w), "_c_max": lambda w: F.max("_t_max").over(w)},
-    )
+    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    carried = _carry(local, parts, {f"_t_{a}": F.col(f"_l_{a}") for a in needed},
+                     {f"_c_{a}": (lambda f, a: lambda w: f(f"_t_{a}").over(w))(merge[a], a) for a in needed})
     j = _null_safe_join(local, carried, parts + [SEG])
-    tot_sum = F.when(F.col("_l_cnt") + F.coalesce(F.col("_c_cnt"), F.lit(0)) > 0,
-                     F.coalesce(F.col("_l_sum"), F.lit(0)) + F.coalesce(F.col("_c_sum"), F.lit(0)))
-    tot_cnt = F.col("_l_cnt") + F.coalesce(F.col("_c_cnt"), F.lit(0))
+    both = lambda a: F.coalesce(F.col(f"_l_{a}"), F.lit(0)) + F.coalesce(F.col(f"_c_{a}"), F.lit(0))
     outs = {
-        "sum": tot_sum,
-        "count": tot_cnt.cast("long"),
-        "min": F.least(F.col("_l_min"), F.col("_c_min")),
-        "max": F.greatest(F.col("_l_max"), F.col("_c_max")),
-        "avg": F.try_divide(tot_sum, tot_cnt),
+        "sum": lambda: F.when(both("count") > 0, both("sum")),
+        "count": lambda: both("count"),
+        "min": lambda: F.least(F.col("_l_min"), F.col("_c_min")),
+        "max": lambda: F.greatest(F.col("_l_max"), F.col("_c_max")),
+        "avg": lambda: F.try_divide(both("sum"), both("count")),
     }
-    res = j.withColumns({f"{prefix}{a}": outs[a] for a in aggs})
-    return res.drop(SEG, _RN, _N, "_l_sum", "_l_cnt", "_l_min", "_l_max", "_c_sum", "_c_cnt", "_c_min", "_c_max")
+    res = j.withColumns({f"{prefix}{a}": outs[a]().cast(plain.schema[f"{prefix}{a}"].dataType) for a in aggs})
+    return res.drop(SEG, _RN, _N, *[f"_{k}_{a}" for k in "lc" for a in needed])
 
 
 def row_index(df: DataFrame, name: str, partition_by=None, order_by=None, start: int = 1,
@@ -185,27 +185,22 @@ def ranks(df: DataFrame, value: str, partition_by=None, ascending: bool = False,
                 "modified": F.count(F.lit(1)).over(wr).cast("long"),
                 "percentile": F.percent_rank().over(w)}
         return df.withColumns({f"{prefix}{k}": outs[k] for k in kinds})
-    local_cols = {
-        "_l_rank": lambda w: F.rank().over(w),
-        "_l_dense": lambda w: F.dense_rank().over(w),
-        "_l_mod": lambda w: F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-    }
-    local, parts = _local(df, parts, [o], local_cols, num_segments)
-    tails = local.filter(F.col(_RN) == F.col(_N)).select(*parts, SEG, F.col(_N).alias("_t_n"),
-                                                          F.col("_l_dense").alias("_t_d"))
-    wprev = Window.partitionBy(*parts).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*parts)
-    carried = tails.select(*parts, SEG, F.sum("_t_n").over(wprev).alias("_c_n"),
-                           F.sum("_t_d").over(wprev).alias("_c_d"), F.sum("_t_n").over(wall).alias("_g_n"))
-    j = _null_safe_join(local, carried, parts + [SEG])
-    before = F.coalesce(F.col("_c_n"), F.lit(0))
-    rank = F.col("_l_rank") + before
-    outs = {"rank": rank.cast("long"),
-            "dense": (F.col("_l_dense") + F.coalesce(F.col("_c_d"), F.lit(0))).cast("long"),
-            "modified": (F.col("_l_mod") + before).cast("long"),
-            "percentile": F.when(F.col("_g_n") > 1, (rank - 1) / (F.col("_g_n") - 1)).otherwise(F.lit(0.0))}
-    res = j.withColumns({f"{prefix}{k}": outs[k] for k in kinds})
-    return res.drop(SEG, _RN, _N, "_l_rank", "_l_dense", "_l_mod", "_c_n", "_c_d", "_g_n")
+    # Equal values rank alike: count each (group, value) once and rank the counts, so that
+    # no value's rows meet in one task; then join the ranks back.
+    counts = stored(df.groupBy(*parts, value).agg(F.count(F.lit(1)).alias("_c")), "values")
+    order = [(value, "asc" if ascending else "desc")] if not ascending else [F.col(value).asc_nulls_last()]
+    run = running(counts, "_c", parts, order, aggs=("sum",), prefix="_r_", skew_safe=True, num_segments=num_segments)
+    if "dense" in kinds:
+        run = row_index(run, "_d", parts, order, skew_safe=True, num_segments=num_segments)
+    totals = counts.groupBy(*parts).agg(F.sum("_c").alias("_g_n")) if "percentile" in kinds else None
+    if totals is not None:
+        run = _null_safe_join(run, totals, parts) if parts else run.crossJoin(F.broadcast(totals))
+    j = _null_safe_join(df, run, [*parts, value])
+    rank = F.col("_r_sum") - F.col("_c") + 1
+    outs = {"rank": lambda: rank.cast("long"), "dense": lambda: F.col("_d").cast("long"), "modified": lambda: F.col("_r_sum").cast("long"),
+            "percentile": lambda: F.when(F.col("_g_n") > 1, (rank - 1) / (F.col("_g_n") - 1)).otherwise(F.lit(0.0))}
+    res = j.withColumns({f"{prefix}{k}": outs[k]() for k in kinds})
+    return res.drop("_c", "_r_sum", "_d", "_g_n")
 
 
 def fill(df: DataFrame, cols: Sequence[str], partition_by=None, order_by=None,
@@ -243,39 +238,53 @@ def _reverse_spec(order_by) -> list[tuple]:
     return out
 
 
+def _reach(column: Column) -> tuple[int, int]:
+    """Rows before and after the current one that a window expression reads (from its text)."""
+    text = column._jc.toString()
+    back = fwd = 0
+    for name, args in re.findall(r"\b(lag|lead)\(((?:[^()]|\([^()]*\))*)\) OVER", text):
+        n = int(re.search(r", (-?\d+), [^,]*, (?:true|false)$", args)[1]) * (1 if name == "lead" else -1)
+        back, fwd = max(back, -n), max(fwd, n)
+    for a, b in re.findall(r"ROWS BETWEEN (.+?) AND (.+?)\)", text):
+        if "UNBOUNDED" in a + b:
+            raise ValueError("framed() takes bounded frames only; use running() or an aggregate")
+        a, b = (0 if x == "CURRENT ROW" else int(x) for x in (a, b))
+        back, fwd = max(back, -a), max(fwd, b)
+    return back, fwd
+
+
 def framed(df: DataFrame, exprs: dict, partition_by=None, order_by=None, lo: int = 0, hi: int = 0,
            skew_safe: bool | None = None, block: int | None = None, num_segments: int | None = None) -> DataFrame:
-    """Window expressions over a bounded row frame ``rowsBetween(lo, hi)``.
+    """Window expressions over bounded row frames.
 
     ``exprs`` maps output names to ``fn(window_spec) -> Column``.  Skew-safe
     form: number the rows of each partition (``row_index``), cut them into
-    blocks of ``block`` rows, copy the ``-lo`` last rows of each block into the
-    next block and the ``hi`` first rows into the previous one as read-only
-    context, and evaluate the window per (partition, block).  Exact, and no
-    block is larger than ``block + |lo| + hi`` rows.
+    blocks of ``block`` rows, copy the last rows of each block into the next
+    block and the first rows into the previous one as read-only context, and
+    evaluate the window per (partition, block).  The context is the largest
+    reach of ``lo``, ``hi`` and the expressions themselves (their frames and
+    offsets), and a block has at least that many rows.
     """
     parts = _names(partition_by)
     skew_safe = resolve_skew_safe(df, skew_safe)
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by))
         return df.withColumns({n: f(w) for n, f in exprs.items()})
-    back, fwd = max(0, -lo), max(0, hi)
-    size = int(block or max(4096, 8 * (back + fwd)))
+    w = Window.partitionBy(*parts, "_tsr_blk").orderBy("_tsr_fi")
+    reaches = [_reach(f(w)) for f in exprs.values()]
+    back, fwd = max([0, -lo, *[r[0] for r in reaches]]), max([0, hi, *[r[1] for r in reaches]])
+    size = max(int(block or max(4096, 8 * (back + fwd))), back, fwd, 1)
     idx = row_index(df, "_tsr_fi", partition_by=parts, order_by=order_by, start=0,
                     skew_safe=True, num_segments=num_segments)
     pos = F.col("_tsr_fi")
     blk = F.floor(pos / size)
-    main = idx.withColumns({"_tsr_blk": blk, "_tsr_halo": F.lit(False)})
-    frames = [main]
+    # One pass: each row goes to its block and, near an edge, to the neighbour as context.
+    to = [F.struct(blk.alias("b"), F.lit(False).alias("h"))]
     if back:
-        frames.append(idx.filter(pos % size >= size - back)
-                      .withColumns({"_tsr_blk": blk + 1, "_tsr_halo": F.lit(True)}))
+        to.append(F.when(pos % size >= size - back, F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))))
     if fwd:
-        frames.append(idx.filter(pos % size < fwd)
-                      .withColumns({"_tsr_blk": blk - 1, "_tsr_halo": F.lit(True)}))
-    u = frames[0]
-    for f in frames[1:]:
-        u = u.unionByName(f)
-    w = Window.partitionBy(*parts, "_tsr_blk").orderBy("_tsr_fi")
+        to.append(F.when(pos % size < fwd, F.struct((blk - 1).alias("b"), F.lit(True).alias("h"))))
+    u = idx.withColumn("_tsr_to", F.explode(F.filter(F.array(*to), lambda x: x.isNotNull())))
+    u = u.withColumns({"_tsr_blk": F.col("_tsr_to.b"), "_tsr_halo": F.col("_tsr_to.h")}).drop("_tsr_to")
     out = u.withColumns({n: f(w) for n, f in exprs.items()})
     return out.filter(~F.col("_tsr_halo")).drop("_tsr_fi", "_tsr_blk", "_tsr_halo")

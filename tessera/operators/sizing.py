@@ -13,19 +13,34 @@ DEFAULT_SINGLE_TASK_BYTES = 32 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes scaled by the columns
-    read, propagated through operators; joins and aggregates are estimated
-    from their inputs, so the figure is an upper bound); no job runs."""
+    read); no job runs.  Above joins it can be far too large, never too small."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Rows counted (a job that reads no more columns than the plan needs) times the row width of the schema."""
+    width = sum(_width(f.dataType) for f in df.schema.fields)
+    return df.count() * width
+
+
+def _width(t) -> int:
+    return {"string": 32, "binary": 64, "decimal": 16}.get(t.typeName(), 8) + 8
+
+
+def task_bytes(df: DataFrame) -> int:
+    """The budget of one task (``SINGLE_TASK_CONF``)."""
+    return int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(DEFAULT_SINGLE_TASK_BYTES)))
+
+
 def fits_one_task(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(DEFAULT_SINGLE_TASK_BYTES)))
-    return estimated_bytes(df) <= limit
+    """True if the whole input fits one task: by the estimate if that is small, else by count."""
+    limit = task_bytes(df)
+    return estimated_bytes(df) <= limit or measured_bytes(df) <= limit
 
 
 def resolve_skew_safe(df: DataFrame, skew_safe: bool | None) -> bool:
     """``None`` (the default everywhere): segmented plan unless the whole input
-    fits one task by estimate."""
+    fits one task.  Both plans give the same rows and types; only the cost differs."""
     if skew_safe is not None:
         return bool(skew_safe)
     return not fits_one_task(df)
@@ -37,17 +52,17 @@ SEGMENT_BYTES_CONF = "tessera.scan.segmentBytes"
 
 
 def num_segments(df: DataFrame, requested: int | None = None) -> int:
-    """Range segments for an ordered scan: about one per segment-size of input
-    (by estimate), at least 1 and at most ``spark.sql.shuffle.partitions``."""
+    """Range segments for an ordered scan: one per segment-size of input, as many as that takes."""
     if requested:
         return int(requested)
     conf = df.sparkSession.conf
-    cap = int(conf.get("spark.sql.shuffle.partitions", "200"))
     target = conf.get(SEGMENT_BYTES_CONF, None) or conf.get(
         "spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
-    target = _parse_bytes(target)
+    target = max(_parse_bytes(target), 1)
     est = estimated_bytes(df)
-    return max(1, min(cap, -(-est // max(target, 1))))
+    if est > target:
+        est = min(est, measured_bytes(df))
+    return max(1, -(-est // target))
 
 
 def _parse_bytes(v: str) -> int:

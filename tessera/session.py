@@ -6,13 +6,15 @@ coalescing, skew-join splitting, broadcast conversion by measured size) and
 the UI off.  On a cluster the caller's existing session is reused untouched.
 
 ``checkpoint_dir`` returns the shared folder named by ``spark.checkpoint.dir``;
-only when the session has none (local tests) does it pick a fresh scratch one.
+only in local mode without one does it pick a fresh scratch folder, elsewhere it
+raises an error.  ``stored`` writes rows there once and reads them back.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -62,6 +64,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def stored(df, name: str):
+    """The rows of ``df``, written once to the shared checkpoint folder and read from there: every later
+    use sees the same rows, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

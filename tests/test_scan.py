@@ -129,3 +129,46 @@ def test_hot_key_spreads_over_segments(spark):
     assert hot_segments >= 3
     sizes = [r["count"] for r in seg.groupBy(scan.SEG).count().collect()]
     assert max(sizes) <= 2 * (3000 / 8)   # no segment holds the hot key alone
+
+
+def test_segmented_equals_plain_on_many_rows(spark):
+    """200,000 rows, several input partitions and an unused column, with and without exchange reuse."""
+    from pyspark.sql import functions as F
+    df = (spark.range(200_000, numPartitions=6)
+          .select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("g"),
+                  (F.xxhash64("id") % 5000).alias("o"), F.col("id"),
+                  F.when(F.col("id") % 7 != 0, (F.xxhash64("id", F.lit(1)) % 100).cast("int")).alias("v"),
+                  F.concat(F.lit("payload"), "id").alias("unused")))
+    calls = [lambda **k: scan.row_index(df, "i", ["g"], ["o", "id"], **k),
+             lambda **k: scan.running(df, "v", ["g"], ["o", "id"], aggs=("sum", "max", "avg"), **k),
+             lambda **k: scan.ranks(df, "v", ["g"], kinds=("rank", "dense", "modified", "percentile"), **k),
+             lambda **k: scan.fill(df, ["v"], ["g"], ["o", "id"], "down", **k),
+             lambda **k: scan.framed(df, {"p": lambda w: F.lag("v", 3).over(w), "s": lambda w: F.sum("v").over(w.rowsBetween(-2, 1))},
+                                     ["g"], ["o", "id"], 0, 0, **k)]
+    reuse = spark.conf.get("spark.sql.exchange.reuse", "true")
+    try:
+        for call in calls:
+            plain = call(skew_safe=False)
+            want = plain.select(F.count("*"), F.bit_xor(F.xxhash64(*plain.columns))).first()
+            for on in ("true", "false"):
+                spark.conf.set("spark.sql.exchange.reuse", on)
+                got = call(skew_safe=True, num_segments=7)
+                assert got.schema == plain.schema or [f.dataType for f in got.schema] == [f.dataType for f in plain.select(*got.columns).schema]
+                assert got.select(*plain.columns).select(F.count("*"), F.bit_xor(F.xxhash64(*plain.columns))).first() == want
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+
+
+def test_running_max_of_a_date(spark):
+    df = spark.sql("SELECT id, date_add(date'2020-01-01', cast(id * 7 % 11 AS int)) AS d FROM range(20)")
+    rows = [sorted(tuple(r) for r in scan.running(df, "d", None, ["id"], aggs=("max",), skew_safe=s, num_segments=3).collect()) for s in (True, False)]
+    assert rows[0] == rows[1]
+
+
+def test_framed_unbounded_frame_is_refused(spark):
+    import pytest
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = _df(spark, [("a", 1, 1)])
+    with pytest.raises(ValueError):
+        scan.framed(df, {"s": lambda w: F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))}, ["g"], ["o"], skew_safe=True)
