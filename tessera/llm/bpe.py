@@ -17,6 +17,7 @@ as in the tiktoken library.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from tessera.llm.textops import chunks
 
 # Pieces remembered by a task; beyond it the memory starts anew (same results).
-PIECE_MEMORY = 900_000
+PIECE_MEMORY = 600_000
 PAIR_MEMORY = 2_000_000
 # Fixed value: a pattern under which a text may be cut in front of every single space
 # (a space either starts a piece or is a piece).  Only a space between two white-space
@@ -196,8 +197,16 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, text: str =
         whole_run = regex.compile(WHOLE_RUN).search
         memory: dict[str, bytes] = {}  # parts that follow a space, without it
 
+        by_piece: dict[str, bytes] = {}
+
+        def encode_piece(piece: str) -> bytes:
+            if len(by_piece) >= PIECE_MEMORY:
+                by_piece.clear()
+            code = by_piece[piece] = array("i", encoder.encode(piece.encode("utf-8"))).tobytes()
+            return code
+
         def encode_part(part: str) -> bytes:
-            return np.array([t for p in pieces(part) for t in encoder.encode(p.encode("utf-8"))], np.int32).tobytes()
+            return b"".join([by_piece.get(p) or encode_piece(p) for p in pieces(part)])
 
         def encode_spaced(part: str) -> bytes:
             if len(memory) >= PIECE_MEMORY:

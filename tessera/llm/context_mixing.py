@@ -33,6 +33,7 @@ training texts every count is 0.  The result has its own columns only.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,7 @@ PART = 4096  # slots sent together
 GATES = 8
 MAP_STEPS = 33
 BATCH_WORDS = 512
+TASK_WORDS = 300_000
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
 
@@ -232,10 +234,12 @@ def count_tables(vocab: DataFrame) -> dict:
             used = np.flatnonzero(sums[k].reshape(2, -1, PART).any((0, 2)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()),
-                 pa.array([sums[k][:, u * PART:(u + 1) * PART].tobytes() for u in used], pa.binary())], names=["k", "part", "n"])
+                 pa.array([zlib.compress(sums[k][:, u * PART:(u + 1) * PART].tobytes(), 1) for u in used], pa.binary())], names=["k", "part", "n"])
 
     def add_up(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in t["n"].to_pylist())
+        total = np.zeros(2 * PART)
+        for x in t["n"].to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.float64)
         return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
                          "n": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
@@ -456,6 +460,8 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     class_lp = np.log10((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES))
     learnt = (vocab.where("kind < 2 AND c > 0").select("kind", "word", F.posexplode("by_class").alias("z", "c"))
               .where("c > 0").select("kind", F.col("z").cast("byte").alias("z"), "word", "c"))
+    # Every task sends tables of a fixed size, so a task gets many words.
+    learnt = learnt.coalesce(max(1, -(-sums["v"] // TASK_WORDS)))
     model = learn_mixing(learnt, count_tables(learnt))
     scored = materialise(_score_words(vocab.where("kind < 2"), model), "scored")
     here = scored.select(F.explode("places").alias("p"), "kind", "word", "c", "lp").select(
