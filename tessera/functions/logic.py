@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from tessera.functions._util import c, lit_or_col
 
 
+def to_integer(x: Column, t: str = "bigint") -> Column:
+    """Toward zero, exact for every 64-bit integer: whole numbers (and text that
+    is one) cast directly, other text through a decimal, so '1.5' gives 1 and
+    '9007199254740993' keeps its last digit.  What does not convert is null."""
+    text = x.cast("string")
+    return F.coalesce(x.try_cast("bigint"), text.try_cast("decimal(38,10)").try_cast("bigint")).try_cast(t)
+
+
 def int_(x) -> Column:
-    """INT(x): toward zero; text goes through double so '1.5' gives 1."""
-    return c(x).try_cast("double").try_cast("long")
+    """INT(x): toward zero."""
+    return to_integer(c(x))
 
 
 def float_(x) -> Column:

@@ -100,25 +100,20 @@ def attr(x) -> Column:
     return F.when(F.min(x) == F.max(x), F.min(x))
 
 
-def collect_points(point) -> Column:
-    """COLLECT as a plain aggregate Column: every point of the group (use
-    ``collect_geometry`` when groups can be large)."""
-    return F.collect_list(c(point))
-
-
-def collect_geometry(groups: Sequence[str], point: str, name: str = "points", precision: int = 6) -> Step:
-    """COLLECT of a group's points as a multipoint of distinct points snapped to
-    ``precision`` decimal degrees.
-
-    Distinct (group, snapped point) pairs are found by a grouped aggregate
-    (merged map-side) before anything is collected, so a group's array is
-    bounded by the number of grid cells at that precision, not by its rows.
+def collect_geometry(groups: Sequence[str], point: str, name: str = "points", precision: int | None = None) -> Step:
+    """COLLECT of a group's points as a multipoint, in order: every point, repeats
+    too.  With ``precision`` it is a multipoint of the distinct points snapped to
+    so many decimal degrees, found by a grouped aggregate before anything is
+    collected, so a group's array is bounded by the grid cells at that precision.
     """
     def step(df: DataFrame) -> DataFrame:
         p = F.col(point)
-        snapped = F.struct(F.round(p["lat"], precision).alias("lat"), F.round(p["lon"], precision).alias("lon"))
-        cells = df.select(*groups, snapped.alias("_pt")).filter(F.col("_pt.lat").isNotNull()).distinct()
-        return cells.groupBy(*groups).agg(F.array_sort(F.collect_list("_pt")).alias(name))
+        if precision is None:
+            pts = df.select(*groups, F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")).alias("_pt")).filter(F.col("_pt.lat").isNotNull())
+        else:
+            snapped = F.struct(F.round(p["lat"], precision).alias("lat"), F.round(p["lon"], precision).alias("lon"))
+            pts = df.select(*groups, snapped.alias("_pt")).filter(F.col("_pt.lat").isNotNull()).distinct()
+        return pts.groupBy(*groups).agg(F.array_sort(F.collect_list("_pt")).alias(name))
     return step
 
 
@@ -231,8 +226,3 @@ def _ns_cond(left_keys: Sequence[str], right_keys: Sequence[str]):
         t = F.col(a).eqNullSafe(F.col(b))
         cond = t if cond is None else cond & t
     return cond
-
-
-def joins_attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    from tessera.operators.joins import attach_scalar
-    return attach_scalar(df, one_row)

@@ -13,6 +13,7 @@ the aggregated series (one row per period), and clustering uses
 from __future__ import annotations
 
 import sys as _sys
+from functools import reduce
 from collections.abc import Callable, Mapping, Sequence
 from statistics import NormalDist
 
@@ -50,11 +51,11 @@ def mode_of(df: DataFrame, scope: Sequence[str], value: str, name: str) -> DataF
     """Most frequent value per scope (ties: the smallest value).
 
     Counts per (scope, value) are a partial aggregation; the pick is a
-    max over (count, -value) structs per scope — no window, no group gathered.
+    min over (-count, value) structs per scope — no window, no group gathered.
     """
     counts = df.groupBy(*scope, value).agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy(*scope).agg(F.max(F.struct(F.col("_n"), (-F.col(value)).alias("_neg"))).alias("_b"))
-    return best.select(*scope, (-F.col("_b._neg")).alias(name))
+    best = counts.groupBy(*scope).agg(F.min(F.struct((-F.col("_n")).alias("_neg"), F.col(value).alias("_v"))).alias("_b"))
+    return best.select(*scope, F.col("_b._v").alias(name))
 
 
 def reference_lines(value: str, scope: Sequence[str], kinds: Mapping[str, object]) -> Step:
@@ -278,12 +279,19 @@ def cluster(features: Sequence[str] | str, k: int | None = None, seed: int = 42,
     from pyspark.ml.functions import array_to_vector
 
     def step(df: DataFrame) -> DataFrame:
+        # Rows with a null or NaN feature cannot be placed: they stay, without a cluster.
+        names = [features] if isinstance(features, str) else list(features)
+        number = lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
+        whole = (F.col(features).isNotNull() & F.forall(features, number)) if isinstance(features, str) else \
+            reduce(lambda p, q: p & q, [number(F.col(n)) for n in names])
+        apart = df.filter(~whole)
+        df = df.filter(whole)
         if isinstance(features, str):
             d = df.withColumn("_raw", array_to_vector(F.col(features).cast("array<double>")))
             stages = []
         else:
             d = df
-            stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip")]
+            stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error")]
         stages.append(StandardScaler(inputCol="_raw", outputCol="_feat", withMean=True, withStd=True))
         prep = Pipeline(stages=stages).fit(d)
         # The search fits and scores several k on the same features: keep them
@@ -301,7 +309,8 @@ def cluster(features: Sequence[str] | str, k: int | None = None, seed: int = 42,
         finally:
             feat.unpersist()
         out = best[1].transform(prep.transform(d))
-        return out.drop("_raw", "_feat")
+        out = out.drop("_raw", "_feat")
+        return out.unionByName(apart.withColumn(name, F.lit(None).cast(out.schema[name].dataType)))
     return step
 
 
@@ -363,7 +372,3 @@ def calendar_heatmap(date_col: str, measure: Column) -> Step:
         d = df.withColumns({"year": F.year(date_col), "week": week(date_col), "_wd": F.dayofweek(date_col)})
         return d.groupBy("year", "week").pivot("_wd", list(range(1, 8))).agg(measure)
     return step
-
-
-def plain_window(partition_by, order_by) -> Window:
-    return Window.partitionBy(*partition_by).orderBy(*scan.sort_orders(order_by))

@@ -108,14 +108,15 @@ def bottom_n(n: int, by: str, tie_breakers: Sequence[str] = ()) -> Step:
 def top_n_members(dim: str, measure: Column, n: int, descending: bool = True) -> Step:
     """Keep rows whose ``dim`` member is among the top n by an aggregate measure.
 
-    Aggregate (partial + final) -> n best members -> semi join; the member list is
-    at most n rows, so the semi join broadcasts a bounded side.
+    Aggregate (partial + final) -> n best members -> semi join, broadcast if Spark
+    finds the members small.
     """
     def step(df: DataFrame) -> DataFrame:
         agg = df.groupBy(dim).agg(measure.alias("_m"))
         o = F.col("_m").desc_nulls_last() if descending else F.col("_m").asc_nulls_last()
         best = agg.orderBy(o, F.col(dim).asc_nulls_first()).limit(n).select(dim)
-        return df.join(F.broadcast(best), df[dim].eqNullSafe(best[dim]), "left_semi")
+        best = best.withColumnRenamed(dim, "_tsr_member")
+        return df.join(best, df[dim].eqNullSafe(best["_tsr_member"]), "left_semi")
     return step
 
 

@@ -119,7 +119,9 @@ def related(dim: DataFrame, key: str, columns: Sequence[str], dim_key: str | Non
     dk = dim_key or key
 
     def step(df: DataFrame) -> DataFrame:
-        d = dim.select(F.col(dk).alias("_rk"), *columns).dropDuplicates(["_rk"])
+        # Of several rows of a key the smallest (by the columns in their order) is taken, in every run.
+        one = F.min(F.struct(*[F.col(c) for c in columns])).alias("_v")
+        d = dim.groupBy(F.col(dk).alias("_rk")).agg(one).select("_rk", *[F.col("_v")[c].alias(c) for c in columns])
         d = broadcast_if_small(d, max_broadcast_bytes)
         return df.join(d, df[key].eqNullSafe(d["_rk"]), "left").drop("_rk")
     return step
@@ -158,49 +160,47 @@ def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_po
     """Pairs of points no further apart than ``radius_km`` (great-circle).
 
     An equi join on grid cells instead of a cartesian product: latitude bands
-    one radius high, and inside band ``b`` longitude cells wide enough for the
-    radius at the band's pole-side edge.  Each right point is keyed by its own
-    (band, cell); each left point by the 3 neighbouring bands x 3 neighbouring
-    cells, so every pair within the radius meets exactly once, and the exact
-    haversine test follows.  Longitudes are not wrapped at +-180.
+    one radius high, and band ``b`` cut into equal longitude cells at least as
+    wide as the radius at the band's pole-side edge.  Cells wrap around at +-180
+    degrees, and a band within reach of a pole is one cell.  Each right point is
+    keyed by its own (band, cell); each left point by the 3 neighbouring bands x
+    3 neighbouring cells, so every pair within the radius meets exactly once,
+    and the exact haversine test follows.
     """
     km_per_degree = 2 * math.pi * EARTH_RADIUS["km"] / 360
     deg = max(radius_km / km_per_degree, 1e-6)   # degrees of latitude per radius
 
-    def lon_width(band: Column) -> Column:
-        edge = F.least(F.greatest(F.abs(band * deg), F.abs((band + 1) * deg)) + deg, F.lit(89.9))
-        return F.lit(deg) / F.cos(F.radians(edge))
+    def cells(band: Column) -> Column:
+        edge = F.greatest(F.abs(band * deg), F.abs((band + 1) * deg)) + deg
+        width = F.lit(deg) / F.cos(F.radians(F.least(edge, F.lit(89.9))))
+        return F.when(edge >= 90 - deg, F.lit(1)).otherwise(F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))).cast("bigint")
 
-    r = (right.select(F.col(right_id).alias("_rid"), F.col(right_point).alias("_rp"))
-         .withColumn("_cy", F.floor(F.col("_rp")["lat"] / deg))
-         .withColumn("_cx", F.floor(F.col("_rp")["lon"] / lon_width(F.col("_cy")))))
+    def cell(lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / (F.lit(360.0) / n)), n).cast("bigint")
+
+    band = lambda p: F.floor(p["lat"] / deg)
+    r = right.select(F.col(right_id).alias("_rid"), F.col(right_point).alias("_rp")).withColumn("_cy", band(F.col("_rp")))
+    r = r.withColumn("_cx", cell(F.col("_rp")["lon"], cells(F.col("_cy"))))
     l_ = (left.select(F.col(left_id).alias("_lid"), F.col(left_point).alias("_lp"))
-          .withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_lp")["lat"] / deg) - 1,
-                                                  F.floor(F.col("_lp")["lat"] / deg) + 1)))
-          .withColumn("_cx0", F.floor(F.col("_lp")["lon"] / lon_width(F.col("_cy"))))
-          .withColumn("_cx", F.explode(F.sequence(F.col("_cx0") - 1, F.col("_cx0") + 1)))
-          .drop("_cx0"))
+          .withColumn("_cy", F.explode(F.sequence(band(F.col("_lp")) - 1, band(F.col("_lp")) + 1)))
+          .withColumn("_nx", cells(F.col("_cy"))).withColumn("_c0", cell(F.col("_lp")["lon"], F.col("_nx")))
+          .withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_c0") + k, F.col("_nx")) for k in (-1, 0, 1)]))))
+          .drop("_nx", "_c0"))
     j = l_.join(r, ["_cy", "_cx"])
     d = _distance(F.col("_lp"), F.col("_rp"))
     return j.withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km).select(
         F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "distance_km")
 
 
-def cross(right: DataFrame, max_right_rows: int = 10_000) -> Step:
+def cross(right: DataFrame) -> Step:
     """Join with no key, for scaffolds of dimension members (every region x every
-    segment).  The right side must be small: at most ``max_right_rows`` rows are
-    read back (more is an error), and they are attached to each left row by
-    exploding a literal array — a generator, so the plan has no cartesian
-    join and the left side is neither shuffled nor broadcast."""
+    segment).  Left rows are dealt to as many salts as there are shuffle
+    partitions and the right rows copied to each, so it is an equi join that
+    Spark spreads and can split; neither side passes through the driver or has
+    a size limit."""
     def step(left: DataFrame) -> DataFrame:
-        rows = right.limit(max_right_rows + 1).collect()
-        if len(rows) > max_right_rows:
-            raise ValueError(f"cross join right side has more than {max_right_rows} rows")
-        fields = right.schema.fields
-        if not rows:
-            return left.limit(0).select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-        lits = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)])
-                         for r in rows])
-        return left.withColumn("_tsr_x", F.explode(lits)).select(
-            *left.columns, *[F.col(f"_tsr_x.`{f.name}`").alias(f.name) for f in fields])
+        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = left.withColumn("_tsr_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
+        copies = right.withColumn("_tsr_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return salted.join(copies, "_tsr_salt").drop("_tsr_salt")
     return step

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.logic import to_integer
 from tessera.operators import scan
 
 Step = Callable[[DataFrame], DataFrame]
@@ -59,8 +60,7 @@ def change_type(types: Mapping[str, str | T.DataType]) -> Step:
 def _try_cast(col: Column, t) -> Column:
     t_name = t if isinstance(t, str) else t.simpleString()
     if t_name in ("int", "integer", "bigint", "long", "smallint", "tinyint"):
-        # '1.5' -> 1, as the BI INT() does; direct string->int would be null.
-        return col.try_cast("double").try_cast(t_name)
+        return to_integer(col, t_name)
     return col.try_cast(t_name)
 
 
@@ -131,10 +131,17 @@ def promote_headers(order_by) -> Step:
             return df
         header = [str(v) if v is not None else f"Column{i + 1}" for i, v in enumerate(first[0])]
         cond = None
-        for c_, v in zip(df.columns, first[0]):
-            term = F.col(c_).eqNullSafe(F.lit(v))
+        for f, v in zip(df.schema.fields, first[0]):
+            term = F.col(f"`{f.name}`").eqNullSafe(F.lit(v).cast(f.dataType))
             cond = term if cond is None else cond & term
-        return df.filter(~cond).toDF(*header)
+        # Rows equal to the header row stay, but for one of them.
+        more = df.filter(cond).count() - 1
+        body = df.filter(~cond)
+        if more:
+            same = df.sparkSession.range(more).select(
+                *[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(df.schema.fields, first[0])])
+            body = body.union(same)
+        return body.toDF(*header)
     return step
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scan
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -43,39 +45,48 @@ def unpivot_other(keep: Sequence[str], attribute: str = "Attribute", value: str
 
 
 def pivot(pivot_col: str, value_col: str, agg: str = "sum", values: Sequence | None = None,
-          group_by: Sequence[str] | None = None, max_values: int = 10_000) -> Step:
+          group_by: Sequence[str] | None = None) -> Step:
     """Rows -> columns with an aggregate.  Give ``values`` to skip the distinct
-    pass; otherwise at most ``max_values`` distinct members are read (a bound on
-    the output width, checked)."""
+    pass; otherwise every distinct member becomes a column, null (named
+    ``null``) too: the members are the output's schema, so they are read."""
     fns = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
            "countd": F.count_distinct, "median": F.median}
 
     def step(df: DataFrame) -> DataFrame:
-        vals = values
-        if vals is None:
-            rows = df.select(pivot_col).distinct().limit(max_values + 1).collect()
-            if len(rows) > max_values:
-                raise ValueError(f"pivot column {pivot_col} has more than {max_values} members")
-            vals = sorted(r[0] for r in rows if r[0] is not None)
         keys = list(group_by) if group_by is not None else [c for c in df.columns if c not in (pivot_col, value_col)]
-        return df.groupBy(*keys).pivot(pivot_col, list(vals)).agg(fns[agg](value_col))
+        if values is not None:
+            return df.groupBy(*keys).pivot(pivot_col, list(values)).agg(fns[agg](value_col))
+        vals = [r[0] for r in df.select(pivot_col).distinct().collect()]
+        members = sorted(v for v in vals if v is not None)
+        if None not in vals:
+            return df.groupBy(*keys).pivot(pivot_col, members).agg(fns[agg](value_col))
+        # One conditional aggregate per member.
+        out = [fns[agg](F.when(F.col(pivot_col) == F.lit(v), F.col(value_col))).alias(str(v)) for v in members]
+        out.append(fns[agg](F.when(F.col(pivot_col).isNull(), F.col(value_col))).alias("null"))
+        return df.groupBy(*keys).agg(*out)
     return step
 
 
-def transpose(index_col: str, max_columns: int = 10_000) -> Step:
+def transpose(index_col: str) -> Step:
     """Rows <-> columns: each value column becomes a row, each row a column named
-    by its ``index_col`` value.  Built from unpivot + pivot, so the work is a
-    distributed aggregation; the output width (rows of the input) is checked
-    against ``max_columns``."""
+    by its ``index_col`` value (null: ``null``; the second and further rows of a
+    value get ``_2``, ``_3``, ... in the order of their other columns).  Built
+    from unpivot + pivot, so the work is a distributed aggregation; only the
+    column names, which are the output's schema, are read."""
     def step(df: DataFrame) -> DataFrame:
         value_cols = [c for c in df.columns if c != index_col]
-        long = df.select(F.col(index_col).cast("string").alias("_idx"),
-                         *[F.col(c).cast("string").alias(c) for c in value_cols]) \
-            .unpivot("_idx", value_cols, "key", "_v")
-        idx = [r[0] for r in df.select(F.col(index_col).cast("string")).limit(max_columns + 1).collect()]
-        if len(idx) > max_columns:
-            raise ValueError(f"transpose would create more than {max_columns} columns")
-        return long.groupBy("key").pivot("_idx", idx).agg(F.first("_v"))
+        named = df.select(F.coalesce(F.col(index_col).cast("string"), F.lit("null")).alias("_idx"),
+                          *[F.col(c).cast("string").alias(c) for c in value_cols])
+        names = [r[0] for r in named.select("_idx").collect()]
+        seen: dict[str, int] = {}
+        for n in names:
+            seen[n] = seen.get(n, 0) + 1
+        if any(k > 1 for k in seen.values()):
+            named = scan.row_index(named, "_k", ["_idx"], value_cols)
+            named = named.withColumn("_idx", F.when(F.col("_k") > 1, F.concat_ws("_", "_idx", "_k")).otherwise(F.col("_idx"))).drop("_k")
+            names = [n if k == 1 else f"{n}_{k}" for n in seen for k in range(1, seen[n] + 1)]
+        long = named.unpivot("_idx", value_cols, "key", "_v")
+        return long.groupBy("key").pivot("_idx", names).agg(F.first("_v"))
     return step
 
 

@@ -169,6 +169,11 @@ def param_list(spark: SparkSession, values: Sequence, name: str = "value") -> Da
     return spark.createDataFrame([(v,) for v in values], [name])
 
 
+def param_members(df: DataFrame, column: str, name: str = "value") -> DataFrame:
+    """List parameter domain: the members of a column, as a DataFrame of any size."""
+    return df.select(F.col(column).alias(name)).distinct()
+
+
 def param_value(value, default=None) -> Column:
     """A scalar parameter inlined as a literal (folded by Catalyst)."""
     return F.lit(value if value is not None else default)

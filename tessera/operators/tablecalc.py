@@ -227,9 +227,3 @@ def percent_difference(value: str, name: str, partition_by=None, order_by=None,
         out = lookup(value, offset, "_prev", partition_by, order_by, skew_safe)(df)
         return out.withColumn(name, F.try_divide(F.col(value) - F.col("_prev"), F.col("_prev"))).drop("_prev")
     return step
-
-
-def plain_window(partition_by=None, order_by=None) -> Window:
-    """A window spec for callers who know the partitions are small."""
-    parts = _names(partition_by)
-    return Window.partitionBy(*parts).orderBy(*scan.sort_orders(order_by))

@@ -85,7 +85,7 @@ def q_percentile_builtin(spark, d):
     return _li(spark, d).groupBy("l_suppkey").agg(A.percentile("l_quantity", 0.95).alias("p95"))
 
 
-@register("agg_collect", """SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, list_sort(list(DISTINCT struct_pack(
+@register("agg_collect", """SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, list_sort(list(struct_pack(
   lat := CAST(c_custkey % 170 - 85 AS DOUBLE), lon := CAST(c_custkey * 7 % 340 - 170 AS DOUBLE)))) AS points
   FROM customer GROUP BY c_nationkey""")
 def q_collect(spark, d):

@@ -106,7 +106,7 @@ def q_calc_key(spark, d):
 def q_cross(spark, d):
     t = Tables(spark, d)
     segs = t.customer.select("c_mktsegment").distinct()
-    return t.region.select("r_name").transform(J.cross(segs, max_right_rows=1000)).groupBy(
+    return t.region.select("r_name").transform(J.cross(segs)).groupBy(
         "r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.logic import to_integer
+
 # Delimiters tried by the CSV delimiter detector, in order.
 CANDIDATE_DELIMITERS = [",", ";", "\t", "|"]
 
@@ -140,7 +142,7 @@ def apply_types(schema: T.StructType) -> Callable[[DataFrame], DataFrame]:
         for f in schema.fields:
             c = F.col(f.name)
             if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-                c = c.try_cast("double").try_cast(f.dataType)
+                c = to_integer(c, f.dataType.simpleString())
             else:
                 c = c.try_cast(f.dataType)
             out.append(c.alias(f.name))
