@@ -33,6 +33,7 @@ training texts every count is 0.  The result has its own columns only.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -321,12 +322,22 @@ def _refined(p: np.ndarray, z: np.ndarray, gate: np.ndarray, table: np.ndarray)
     return np.clip((p + m) / 2, 1e-6, 1 - 1e-6)
 
 
+def _send(df: DataFrame, model: dict):
+    """Broadcast the tables, compressed: their size is fixed by ``TABLE_BITS``."""
+    return df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model, 5), 1))
+
+
+def _received(sent) -> dict:
+    return pickle.loads(zlib.decompress(sent.value))
+
+
 def learn_mixing(vocab: DataFrame, model: dict) -> dict:
     """Mixing weights and the adaptive map, learnt online over (kind, word, c)."""
-    sent = vocab.sparkSession.sparkContext.broadcast(model)
+    sent = _send(vocab, model)
     k1 = len(ORDERS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _received(sent)
         w = np.full((SETS, k1), 0.3)
         power = np.full((SETS, k1), 1e-3)
         hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
@@ -336,7 +347,7 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
             weight = c[row]
             for b in range(8):
                 node, y = _bit(byte, b)
-                x, gate = _inputs(sent.value, ctx, node, np.ones(len(node), np.float32), y)
+                x, gate = _inputs(tables, ctx, node, np.ones(len(node), np.float32), y)
                 z = (x * w[gate]).sum(1)
                 err = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 low, share = _place(z)
@@ -353,6 +364,7 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
                                              names=["w", "bits", "hits", "tries"])
 
     rows = vocab.mapInArrow(run, "w binary, bits binary, hits binary, tries binary").toArrow().to_pylist()  # a row per task
+    sent.destroy()
     total = {c: sum((np.frombuffer(r[c]) for r in rows), np.zeros(s)) for c, s in
              (("w", SETS * k1), ("bits", SETS), ("hits", SETS * MAP_STEPS), ("tries", SETS * MAP_STEPS))}
     bits = total["bits"][:, None]
@@ -375,11 +387,10 @@ def log_probs(model: dict, words: pa.Array, kind: np.ndarray, z: np.ndarray) ->
     return total
 
 
-def _score_words(vocab: DataFrame, model: dict) -> DataFrame:
+def _score_words(vocab: DataFrame, sent) -> DataFrame:
     """Add ``lp``, the log10 probability in every class that holds the word (by class; null in others)."""
-    sent = vocab.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _received(sent)
         for batch in _runs(batches, 20_000):
             col = lambda c: batch.column(batch.schema.names.index(c))
             kind = col("kind").to_numpy().astype(np.int64)
@@ -388,7 +399,7 @@ def _score_words(vocab: DataFrame, model: dict) -> DataFrame:
             pair = np.unique(at * CLASSES + held.flatten().field("z").to_numpy())
             row, z = pair // CLASSES, pair % CLASSES
             lp = np.full(len(kind) * CLASSES, np.nan)
-            lp[pair] = log_probs(sent.value, col("word").take(pa.array(row)), kind[row], z)
+            lp[pair] = log_probs(model, col("word").take(pa.array(row)), kind[row], z)
             bounds = pa.array(np.arange(len(kind) + 1) * CLASSES, pa.int32())
             yield pa.RecordBatch.from_arrays([*[col(c) for c in ("kind", "word", "c", "places")], pa.ListArray.from_arrays(bounds, pa.array(lp))],
                                              names=["kind", "word", "c", "places", "lp"])
@@ -463,7 +474,9 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     # Every task sends tables of a fixed size, so a task gets many words.
     learnt = learnt.coalesce(max(1, -(-sums["v"] // TASK_WORDS)))
     model = learn_mixing(learnt, count_tables(learnt))
-    scored = materialise(_score_words(vocab.where("kind < 2"), model), "scored")
+    sent = _send(docs, model)
+    scored = materialise(_score_words(vocab.where("kind < 2"), sent), "scored")
+    sent.destroy()
     here = scored.select(F.explode("places").alias("p"), "kind", "word", "c", "lp").select(
         F.col("p.block").alias("block"), F.col("p.z").alias("z"), "kind", "word", "c", F.get("lp", F.col("p.z").cast("int")).alias("lp"))
     kind = docs.schema[doc].dataType.simpleString()
