@@ -4,18 +4,20 @@ Algebraic aggregates (sum, count, min, max, avg, var, corr, ...) are merged
 map-side by Spark's partial aggregation, so a hot group costs one partial row
 per task.  Exact percentiles are the exception: Spark's ``percentile`` keeps
 every distinct value of a group in the final task.  ``exact_percentiles``
-locates the target ranks from per-segment counts instead.
+brackets the target ranks with a sketch and counts instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions._util import c
 from tessera.operators import scan
+from tessera.operators.joins import attach_scalar, broadcast_if_small
+from tessera.session import stored
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -160,63 +162,68 @@ def totals(groups: Sequence[str], aggs: Mapping[str, Column], kind: str = "rollu
     return step
 
 
-def exact_percentiles(groups: Sequence[str], value: str, ps: Mapping[str, float],
-                      num_segments: int | None = None) -> Step:
-    """Exact interpolated percentiles per group without gathering a group in one task.
+# Rank error of the sketch is one in ACCURACY; the bracket reaches MARGIN of the rows to both sides.
+ACCURACY = 10_000
+MARGIN = 0.001
 
-    1. ``repartitionByRange`` on (group, value) cuts every group into balanced
-       segments (a hot group spans many) and tags rows with their segment.
-    2. Rows are counted per (group, segment) — a partial aggregation — and a
-       window over that small table gives each segment's first rank and the
-       group size ``n``.
-    3. For each p the two ranks around ``1 + (n-1) p`` are located in their
-       segments; only those (at most 2 per p and group) segments are numbered
-       by a window, the rows at the target ranks picked, and interpolated.
 
-    Same definition as Spark ``percentile`` and DuckDB ``quantile_cont``; the
-    data is shuffled once, and only the target segments are sorted.
+def exact_percentiles(groups: Sequence[str], value: str, ps: Mapping[str, float], num_segments: int | None = None) -> Step:
+    """Exact interpolated percentiles per group without gathering or sorting a group.
+
+    1. One pass of partial aggregates: rows and a quantile sketch per group.  The
+       sketch brackets each target rank (by ten times its rank error; a group
+       of few rows is bracketed whole).
+    2. A second pass, with the brackets attached, counts the rows below each
+       bracket and counts the values inside it, each distinct value once.
+    3. A running count over those few values finds the values at the two ranks
+       around ``1 + (n-1) p``, which are interpolated.
+
+    Same definition as Spark ``percentile`` and DuckDB ``quantile_cont``.  No
+    pass shuffles the rows (a brackets table too large to broadcast is joined on
+    the groups, which Spark can split); equal values are counted, not sorted.
+    Integers and decimals are compared as doubles, as those two do.
     """
     groups = list(groups)
     names = list(ps)
 
     def step(df: DataFrame) -> DataFrame:
-        base = df.select(*groups, value).filter(F.col(value).isNotNull())
-        # More segments means less to sort (only target segments are numbered),
-        # so use every shuffle partition unless told otherwise.
-        n = num_segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        seg = scan.segment(base, groups, [value], n)
-        S = scan.SEG
-        counts = seg.groupBy(*groups, S).agg(F.count(F.lit(1)).alias("_c"))
-        wg = Window.partitionBy(*groups)
-        counts = counts.withColumns({
-            "_before": F.coalesce(F.sum("_c").over(wg.orderBy(S).rowsBetween(Window.unboundedPreceding, -1)),
-                                  F.lit(0)),
-            "_n": F.sum("_c").over(wg)})
-        # one row per (group, p, lo/hi) target rank
-        spec = F.array(*[F.struct(F.lit(nm).alias("_p"), F.lit(float(ps[nm])).alias("_q")) for nm in names])
-        t = counts.select(*groups, S, "_c", "_before", "_n", F.explode(spec).alias("_t"))
-        h = F.lit(1.0) + (F.col("_n") - 1) * F.col("_t._q")
-        t = t.withColumns({"_p": F.col("_t._p"), "_h": h}).withColumn(
-            "_r", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
-        t = t.filter((F.col("_r") > F.col("_before")) & (F.col("_r") <= F.col("_before") + F.col("_c")))
-        keys = groups + [S]
-        # Target columns get their own names: both sides descend from ``seg``.
-        targets = t.select(*[F.col(k).alias(f"_tk{i}") for i, k in enumerate(keys)], "_p", "_h", "_r",
-                           (F.col("_r") - F.col("_before")).alias("_tlr")).distinct()
-        tkeys = [f"_tk{i}" for i in range(len(keys))]
-        tseg = targets.select(*tkeys).distinct()
-        cand = seg.join(tseg, _ns_cond(keys, tkeys), "left_semi")
-        local = cand.withColumn("_lr", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-        cond = _ns_cond(keys, tkeys) & (F.col("_lr") == F.col("_tlr"))
-        picked = local.join(targets, cond, "inner").select(*groups, "_p", "_h", "_r", value)
+        base = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(value).cast("double").alias("_v")).filter(
+            F.col("_v").isNotNull())
+        keys = [f"_g{i}" for i in range(len(groups))]
+        marks = sorted({round(min(1.0, max(0.0, ps[nm] + d)), 12) for nm in names for d in (-MARGIN, MARGIN)})
+        few = int(4 / MARGIN)
+        sketch = base.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.percentile_approx("_v", [float(m) for m in marks], ACCURACY).alias("_q"))
+        at = lambda p, d: F.col("_q")[marks.index(round(min(1.0, max(0.0, p + d)), 12))]
+        spec = [F.struct(
+            F.lit(nm).alias("p"), (F.lit(1.0) + (F.col("_n") - 1) * float(ps[nm])).alias("h"),
+            F.when((F.col("_n") <= few) | (F.lit(ps[nm] - MARGIN) <= 0), F.col("_min")).otherwise(at(ps[nm], -MARGIN)).alias("lo"),
+            F.when((F.col("_n") <= few) | (F.lit(ps[nm] + MARGIN) >= 1), F.col("_max")).otherwise(at(ps[nm], MARGIN)).alias("hi")) for nm in names]
+        brackets = stored(sketch.select(*keys, F.array(*spec).alias("_b")), "brackets")
+        if keys:
+            side = broadcast_if_small(brackets.withColumnsRenamed({k: f"_b{k}" for k in keys}))
+            rows = base.join(side, _ns_cond(keys, [f"_b{k}" for k in keys]))
+        else:
+            rows = attach_scalar(base, brackets)
+        below = rows.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_c{i}") for i in range(len(names))])
+        inside = rows.select(*keys, "_v", F.explode(F.filter("_b", lambda b: F.col("_v").between(b["lo"], b["hi"]))).alias("_t")).groupBy(
+            *keys, F.col("_t.p").alias("_p"), F.col("_t.h").alias("_h"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+        run = scan.running(stored(inside, "inside"), "_c", [*keys, "_p"], ["_v"], aggs=("sum",), prefix="_r_", num_segments=num_segments)
+        low = below.select(*[F.col(k).alias(f"_b{k}") for k in keys], F.explode(F.array(*[
+            F.struct(F.lit(nm).alias("p"), F.col(f"_c{i}").alias("c")) for i, nm in enumerate(names)])).alias("_l")).select(
+            *[f"_b{k}" for k in keys], F.col("_l.p").alias("_bp"), F.col("_l.c").alias("_below"))
+        ranked = run.join(low, _ns_cond([*keys, "_p"], [*[f"_b{k}" for k in keys], "_bp"]))
+        last = F.col("_below") + F.col("_r_sum")
+        holds = lambda r: (r > last - F.col("_c")) & (r <= last)
         aggs = []
         for nm in names:
             mine = F.col("_p") == nm
-            lo_v = F.max(F.when(mine & (F.col("_r") == F.floor("_h")), F.col(value)))
-            hi_v = F.max(F.when(mine & (F.col("_r") == F.ceil("_h")), F.col(value)))
+            lo_v = F.max(F.when(mine & holds(F.floor("_h")), F.col("_v")))
+            hi_v = F.max(F.when(mine & holds(F.ceil("_h")), F.col("_v")))
             frac = F.max(F.when(mine, F.col("_h") - F.floor("_h")))
             aggs.append((lo_v + (hi_v - lo_v) * frac).alias(nm))
-        return picked.groupBy(*groups).agg(*aggs)
+        return ranked.groupBy(*keys).agg(*aggs).select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], *names)
     return step
 
 

@@ -145,40 +145,46 @@ def trend(x: str, y: str, group_by: Sequence[str] = (), model: str = "linear") -
 
 
 def trend_polynomial(x: str, y: str, degree: int, group_by: Sequence[str] = ()) -> Step:
-    """Polynomial least squares of ``degree`` per group.
+    """Polynomial least squares of ``degree`` per group: coefficients c0..cn.
 
-    One aggregate collects sum(x^k) for k <= 2*degree and sum(x^k y) for
-    k <= degree; the (degree+1)^2 normal equations are solved per group in
-    ``applyInPandas`` on that one-row-per-group table.
+    A first aggregate finds mean and spread of x; a second collects the power
+    sums of the centred and scaled x (so they keep their precision for large x).
+    The normal equations are solved batch-wise (``mapInPandas``) on that
+    one-row-per-group table and expanded back to powers of x.
     """
     group_by = list(group_by)
 
     def step(df: DataFrame) -> DataFrame:
         X, Y = F.col(x).cast("double"), F.col(y).cast("double")
-        d = df.filter(X.isNotNull() & Y.isNotNull())
-        sums = [F.sum(F.pow(X, k)).alias(f"sx{k}") for k in range(2 * degree + 1)]
-        sums += [F.sum(F.pow(X, k) * Y).alias(f"sxy{k}") for k in range(degree + 1)]
-        agg = d.groupBy(*group_by).agg(*sums)
-        if not group_by:
-            agg = agg.withColumn("_g", F.lit(1))
-        keys = group_by or ["_g"]
-        key_fields = [f for f in agg.schema.fields if f.name in keys]
-        schema = T.StructType(key_fields + [T.StructField(f"c{k}", T.DoubleType()) for k in range(degree + 1)])
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            for _, r in pdf.iterrows():
-                A = np.array([[r[f"sx{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)], dtype=float)
-                b = np.array([r[f"sxy{i}"] for i in range(degree + 1)], dtype=float)
-                try:
-                    coef = np.linalg.solve(A, b)
-                except np.linalg.LinAlgError:
-                    coef = np.linalg.lstsq(A, b, rcond=None)[0]
-                rows.append([r[k] for k in keys] + list(coef))
-            return pd.DataFrame(rows, columns=keys + [f"c{k}" for k in range(degree + 1)])
-
-        out = agg.groupBy(*keys).applyInPandas(solve, schema)
-        return out.drop("_g") if not group_by else out
+        d = df.filter(X.isNotNull() & Y.isNotNull()).select(*group_by, X.alias("_x"), Y.alias("_y"))
+        shape = d.groupBy(*group_by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+        j = _attach(d, shape, group_by)
+        u = (F.col("_x") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0))
+        sums = [F.sum(F.pow(u, k)).alias(f"sx{k}") for k in range(2 * degree + 1)]
+        sums += [F.sum(F.pow(u, k) * F.col("_y")).alias(f"sxy{k}") for k in range(degree + 1)]
+        agg = j.groupBy(*group_by, "_m", "_s").agg(*sums)
+        schema = T.StructType([f for f in agg.schema.fields if f.name in group_by]
+                              + [T.StructField(f"c{k}", T.DoubleType()) for k in range(degree + 1)])
+
+        def solve(batches):
+            for pdf in batches:
+                n = degree + 1
+                sx = pdf[[f"sx{k}" for k in range(2 * degree + 1)]].to_numpy(float)
+                b = pdf[[f"sxy{k}" for k in range(n)]].to_numpy(float)
+                m, s = pdf["_m"].to_numpy(float), pdf["_s"].to_numpy(float)
+                coef = np.zeros((len(pdf), n))
+                for r in range(len(pdf)):
+                    A = np.array([[sx[r, i + k] for k in range(n)] for i in range(n)])
+                    scaled = np.polynomial.Polynomial(np.linalg.lstsq(A, b[r], rcond=None)[0])
+                    s1 = s[r] if s[r] > 0 else 1.0
+                    c = scaled(np.polynomial.Polynomial([-m[r] / s1, 1 / s1])).coef
+                    coef[r, :len(c)] = c
+                out = pdf[group_by].copy()
+                for k in range(n):
+                    out[f"c{k}"] = coef[:, k]
+                yield out
+
+        return agg.mapInPandas(solve, schema)
     return step
 
 

@@ -187,6 +187,7 @@ def ranks(df: DataFrame, value: str, partition_by=None, ascending: bool = False,
         return df.withColumns({f"{prefix}{k}": outs[k] for k in kinds})
     # Equal values rank alike: count each (group, value) once and rank the counts, so that
     # no value's rows meet in one task; then join the ranks back.
+    df = stored(df, "ranked")  # both sides of the join must see the same values
     counts = stored(df.groupBy(*parts, value).agg(F.count(F.lit(1)).alias("_c")), "values")
     order = [(value, "asc" if ascending else "desc")] if not ascending else [F.col(value).asc_nulls_last()]
     run = running(counts, "_c", parts, order, aggs=("sum",), prefix="_r_", skew_safe=True, num_segments=num_segments)

@@ -94,12 +94,22 @@ register("an_trend_power", _trend_sql("ln(l_quantity)", "ln(l_extendedprice)",
                                       "WHERE l_quantity > 0 AND l_extendedprice > 0"))(_trend_q("power"))
 
 
-@register("an_trend_polynomial")
+@register("an_trend_polynomial", """WITH d AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS x,
+    CAST(l_extendedprice AS DOUBLE) AS y, avg(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_returnflag) AS m FROM lineitem),
+  s AS (SELECT l_returnflag, any_value(m) AS m, CAST(count(*) AS DOUBLE) AS n, sum(x - m) AS a1, sum((x - m) ** 2) AS a2,
+    sum((x - m) ** 3) AS a3, sum((x - m) ** 4) AS a4, sum(y) AS b0, sum((x - m) * y) AS b1, sum((x - m) ** 2 * y) AS b2
+    FROM d GROUP BY l_returnflag),
+  t AS (SELECT *, n * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a2 * a3) + a2 * (a1 * a3 - a2 * a2) AS det FROM s),
+  k AS (SELECT l_returnflag, m,
+    (b0 * (a2 * a4 - a3 * a3) - a1 * (b1 * a4 - a3 * b2) + a2 * (b1 * a3 - a2 * b2)) / det AS k0,
+    (n * (b1 * a4 - a3 * b2) - b0 * (a1 * a4 - a3 * a2) + a2 * (a1 * b2 - b1 * a2)) / det AS k1,
+    (n * (a2 * b2 - b1 * a3) - a1 * (a1 * b2 - b1 * a2) + b0 * (a1 * a3 - a2 * a2)) / det AS k2 FROM t)
+  SELECT l_returnflag, round(k0 - k1 * m + k2 * m * m, 4) AS c0, round(k1 - 2 * k2 * m, 4) AS c1, round(k2, 4) AS c2 FROM k""")
 def q_trend_poly(spark, d):
-    # Quadratic fit of price on quantity per return flag (checked against numpy in tests).
+    # Quadratic fit of price on quantity per return flag.
     out = Tables(spark, d).lineitem.transform(
         AN.trend_polynomial("l_quantity", "l_extendedprice", 2, ["l_returnflag"]))
-    return out.withColumns({c: F.round(c, 6) for c in ["c0", "c1", "c2"]})
+    return out.withColumns({c: F.round(c, 4) for c in ["c0", "c1", "c2"]})
 
 
 _MONTHLY_SQL = ("(SELECT o_orderpriority AS prio, date_trunc('month', o_orderdate) AS month, count(*) AS n "

@@ -105,7 +105,8 @@ def append_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
     """Stream ingest of only-new rows: file source -> event-time watermark ->
     de-duplication of the key within the watermark -> parquet file sink with a
     checkpoint (exactly-once file sink).  Runs with ``availableNow`` and
-    returns the finished query."""
+    returns the finished query; ``kpi.late_rows`` tells how many rows came after
+    the watermark had passed and were not written."""
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(source_dir)
               .withColumn("_event_time", F.col(event_time).cast("timestamp"))
               .withWatermark("_event_time", delay)
@@ -120,22 +121,20 @@ def append_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
 def table_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], name: str = "change") -> DataFrame:
     """added / removed / modified / unchanged per key.
 
-    Full outer join on the keys; rows present on both sides compare an
-    ``xxhash64`` of the non-key columns and, when the hashes agree, the values
-    themselves (null-safe), so a hash collision cannot hide a change.
+    Full outer join on the keys; rows present on both sides compare their
+    values (null-safe).  A key that occurs several times gives a row for each
+    pair of its rows.
     """
     keys = list(keys)
     cols = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, F.xxhash64(*[F.col(c) for c in cols]).alias("_h_old"),
-                   *[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_in_old"))
-    n = new.select(*keys, F.xxhash64(*[F.col(c) for c in cols]).alias("_h_new"),
-                   *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
+    o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_in_old"))
+    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
     j = o.join(n, keys, "full")
     same = F.lit(True)
     for c in cols:
         same = same & F.col(f"_o_{c}").eqNullSafe(F.col(f"_n_{c}"))
     change = (F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "removed")
-              .when((F.col("_h_old") == F.col("_h_new")) & same, "unchanged").otherwise("modified"))
+              .when(same, "unchanged").otherwise("modified"))
     return j.select(*keys, change.alias(name))
 
 

@@ -18,7 +18,7 @@ GRAINS = {"hour": "1 hour", "day": "1 day", "week": "7 days"}
 
 def kpi_stream(stream: DataFrame, event_time: str, grain: str, group_by: list[str],
                measures: Mapping[str, Column], delay: str = "1 day") -> DataFrame:
-    """Tumbling-window KPI aggregation with late data dropped past the watermark.
+    """Tumbling-window KPI aggregation; rows past the watermark are not added (see ``late_rows``).
 
     Weeks start on Sunday (the 7-day windows are offset from the Thursday epoch).
     """
@@ -32,13 +32,31 @@ def kpi_stream(stream: DataFrame, event_time: str, grain: str, group_by: list[st
                       F.col("w.end").cast("timestamp_ntz").alias("window_end"), *group_by, *measures)
 
 
-def run_to_table(spark: SparkSession, stream_df: DataFrame, sink_path: str, checkpoint: str) -> DataFrame:
-    """Run a streaming aggregate in append mode to a parquet sink (availableNow)
-    and return the finalised windows."""
-    q = (stream_df.writeStream.outputMode("append").format("parquet").option("path", sink_path)
+def run_to_table(spark: SparkSession, stream_df: DataFrame, sink_path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run a streaming aggregate (availableNow) and return every window, closed or still open.
+
+    The stream runs in update mode; each micro-batch writes the windows that it
+    changed to a folder of its own (overwritten if the batch is repeated), and
+    the table is the latest version of each key.  Rows that came after the
+    watermark had passed are counted by :func:`late_rows` of the last run's query,
+    kept as ``run_to_table.last_query``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_path}/_batch={batch_id}")
+
+    q = (stream_df.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink_path)
+    run_to_table.last_query = q
+    versions = spark.read.parquet(sink_path)
+    rest = [c for c in stream_df.columns if c not in keys]
+    latest = versions.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("_v"))
+    return latest.select(*[F.col(c) if c in keys else F.col("_v")[c].alias(c) for c in stream_df.columns])
+
+
+def late_rows(query) -> int:
+    """Rows that the finished query's stateful operators dropped because they came after the watermark."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def kpi_vs_target(df: DataFrame, date_col: str, grain: str, measure: Column, target: float | Column,

@@ -66,13 +66,55 @@ def test_lookupvalue_not_unique_is_null(spark):
     assert rows(out, "k", "v") == S([(1, None), (2, "z"), (3, None)])
 
 
-def test_cross_is_bounded(spark):
-    import pytest
-    left = spark.createDataFrame([(1,), (2,)], "a int")
+def test_cross(spark):
+    left = spark.createDataFrame([(1,), (2,), (2,)], "a int")
     right = spark.createDataFrame([("x",), ("y",), ("z",)], "b string")
-    assert left.transform(J.cross(right)).count() == 6
-    with pytest.raises(ValueError):
-        left.transform(J.cross(right, max_right_rows=2))
+    assert rows(left.transform(J.cross(right)), "a", "b") == S([(a, b) for a in (1, 2, 2) for b in "xyz"])
+    assert left.transform(J.cross(right.limit(0))).count() == 0
+
+
+def test_promote_headers_keeps_equal_rows(spark):
+    df = spark.createDataFrame([(0, "name"), (0, "name"), (1, "ann")], "i int, a string")
+    assert rows(df.transform(prep.promote_headers(["i", "a"])), "0", "name") == S([(0, "name"), (1, "ann")])
+
+
+def test_pivot_keeps_the_null_member(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", None, 5), ("b", "x", 2)], "k string, p string, v int")
+    out = df.transform(reshape.pivot("p", "v", "sum", group_by=["k"]))
+    assert rows(out, "k", "x", "null") == S([("a", 1, 5), ("b", 2, None)])
+
+
+def test_transpose_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([("i", 1), ("i", 2), (None, 3)], "n string, v int")
+    assert rows(df.transform(reshape.transpose("n")), "key", "i", "i_2", "null") == [("v", "1", "2", "3")]
+
+
+def test_integers_are_exact(spark):
+    from tessera.functions import logic
+    df = spark.createDataFrame([("9007199254740993", 9007199254740993), ("-1.9", -1), ("1e3", 1000), ("x", None), (None, None)], "s string, want long")
+    out = df.withColumn("i", logic.int_(F.col("s"))).transform(prep.change_type({"s": "bigint"})).collect()
+    assert all(r.i == r.want and r.s == r.want for r in out)
+
+
+def test_related_takes_the_same_row_every_time(spark):
+    dim = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, "c", 0)], "k int, n string, v int")
+    out = spark.createDataFrame([(1,), (2,), (3,)], "k int").transform(J.related(dim, "k", ["n", "v"]))
+    assert rows(out, "k", "n", "v") == S([(1, "a", 9), (2, "c", 0), (3, None, None)])
+
+
+def test_distance_across_the_date_line_and_the_pole(spark):
+    pts = [(0, 10.0, 179.95), (1, 10.0, -179.95), (2, 89.99, 0.0), (3, 89.99, 180.0), (4, 0.0, 0.0), (5, -89.99, 90.0), (6, -89.99, -90.0)]
+    df = spark.createDataFrame(pts, "id int, lat double, lon double").select("id", F.struct("lat", "lon").alias("p"))
+    for radius in (100.0, 12.0):
+        out = J.within_distance(df, df.withColumnRenamed("id", "id2"), "p", "p", radius, "id", "id2")
+        assert sorted((r.id, r.id2) for r in out.collect() if r.id < r.id2) == [(0, 1), (2, 3), (5, 6)]
+
+
+def test_exact_percentiles_with_ties(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") % 50 * (F.col("id") % 4 != 0).cast("int")).alias("v"))
+    ps = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.99995, "e": 1.0}
+    want = df.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in ps.items()])
+    assert rows(df.transform(A.exact_percentiles(["g"], "v", ps)), "g", *ps) == rows(want, "g", *ps)
 
 
 def test_promote_demote_headers(spark):

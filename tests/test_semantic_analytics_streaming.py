@@ -117,17 +117,18 @@ def test_append_stream_dedups(spark):
     assert sorted(r.id for r in got.collect()) == [1, 2]
 
 
-def test_kpi_stream_drops_late_windows(spark):
+def test_kpi_stream_reports_open_windows(spark):
     src = _scratch()
     rows = [(dt.datetime(2024, 1, 1, 10), 1.0), (dt.datetime(2024, 1, 2, 10), 2.0), (dt.datetime(2024, 1, 5, 10), 3.0)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
     df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "in"))
     stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
     agg = kpi.kpi_stream(stream, "ts", "day", [], {"total": F.sum("v")}, delay="1 day")
-    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"))
+    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"), ["window_start", "window_end"])
     got = sorted((r.window_start.date(), r.total) for r in out.collect())
-    # the window of Jan 5 is still open (watermark = Jan 4 10:00), so it is not emitted
-    assert got == [(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 1, 2), 2.0)]
+    # the window of Jan 5 is still open (watermark = Jan 4 10:00); it is there all the same
+    assert got == [(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 1, 2), 2.0), (dt.date(2024, 1, 5), 3.0)]
+    assert kpi.late_rows(kpi.run_to_table.last_query) == 0
 
 
 def test_table_diff_and_merge(spark):
@@ -160,10 +161,10 @@ def test_kpi_week_windows_start_on_sunday(spark):
     df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "in"))
     stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
     agg = kpi.kpi_stream(stream, "ts", "week", [], {"total": F.sum("v")}, delay="1 day")
-    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"))
+    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"), ["window_start", "window_end"])
     got = sorted((r.window_start, r.total) for r in out.collect())
     # Saturday Jan 6 closes the week that began Sunday Dec 31; Sunday Jan 7 opens the next
-    assert got == [(dt.datetime(2023, 12, 31), 1.0), (dt.datetime(2024, 1, 7), 2.0)]
+    assert got == [(dt.datetime(2023, 12, 31), 1.0), (dt.datetime(2024, 1, 7), 2.0), (dt.datetime(2024, 1, 28), 5.0)]
 
 
 def test_best_date_column(spark):
