@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, text: str =
 
         for batch in batches:
             col = batch.column(batch.schema.names.index(text))
-            for first, rows, data, offs in chunks(col):
+            for first, rows, data, offs in chunks(col, 1 << 20):
                 buf = data.tobytes()
                 ids, bounds = [], [0]
                 for i in range(rows):

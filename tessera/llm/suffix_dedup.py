@@ -232,30 +232,25 @@ def _keyed(docs: DataFrame, text: str, blocks: int) -> DataFrame:
     return docs.select(t.alias("text"), k.alias("k")).withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
 
 
-def _anchor_counts(keyed: DataFrame) -> DataFrame:
-    """(akey, uniform) of the anchors that occur at least twice; uniform: all contexts are equal."""
+def _anchor_rows(keyed: DataFrame) -> DataFrame:
+    """(block, akey, ctx) of all anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in chunks(batch.column("text")):
-                _, _, key, ctx, _, _ = anchors(data, offs)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))], names=["akey", "ctx"])
+            blocks = batch.column("block").to_numpy()
+            parts = [(blocks[first + row], key, ctx) for first, _, data, offs in chunks(batch.column("text"))
+                     for row, _, key, ctx, _, _ in [anchors(data, offs)]]
+            if parts:
+                block, key, ctx = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))],
+                                                 names=["block", "akey", "ctx"])
 
-    rows = keyed.select("text").mapInArrow(run, "akey bigint, ctx bigint")
-    return (rows.groupBy("akey").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-            .where("n > 1").select("akey", (F.col("a") == F.col("b")).alias("uniform")))
+    return keyed.select("text", "block").mapInArrow(run, "block int, akey bigint, ctx bigint")
 
 
-def _anchor_blocks(keyed: DataFrame) -> DataFrame:
-    """(block, akey), without most repeats."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            for first, _, data, offs in chunks(batch.column("text")):
-                row, _, key, _, _, _ = anchors(data, offs)
-                pair = np.unique(np.stack([blocks[first + row].astype(np.int64), key.view(np.int64)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].astype(np.int32)), pa.array(pair[:, 1])], names=["block", "akey"])
-
-    return keyed.select("text", "block").mapInArrow(run, "block int, akey bigint")
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(akey, uniform) of the anchors that occur at least twice; uniform: all contexts are equal."""
+    return (rows.groupBy("akey").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
+            .where("n > 1").select("akey", (F.col("a") == F.col("b")).alias("uniform")))
 
 
 def _twice_per_task(keyed: DataFrame) -> DataFrame:
@@ -389,8 +384,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text) // BLOCK_BYTES))
     keyed = _keyed(docs, text, blocks)
-    repeated = materialise(_anchor_counts(keyed), "anchors")
-    here = _anchor_blocks(keyed).join(repeated, "akey").select("block", "akey", "uniform").distinct()
+    rows = materialise(_anchor_rows(keyed), "anchors")
+    here = rows.select("block", "akey").join(_repeated(rows), "akey").distinct()
     found = materialise(_twice_per_task(keyed).groupBy("block").cogroup(here.groupBy("block")).applyInArrow(
         lambda texts, anchors: pa.Table.from_batches(_local_finds(texts, anchors), FOUND_ARROW), FOUND), "found")
     spans = found.where("gkey IS NULL").select("k", "s", "e")
