@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tessera.llm.textops import chunks
 
 # Pieces remembered by a task; beyond it the memory starts anew (same results).
-PIECE_MEMORY = 600_000
+PIECE_MEMORY = 300_000
 PAIR_MEMORY = 2_000_000
 # Fixed value: a pattern under which a text may be cut in front of every single space
 # (a space either starts a piece or is a piece).  Only a space between two white-space
@@ -47,63 +47,56 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(tok): int(rank) for tok, rank in (line.split() for line in raw.splitlines() if line)}
 
 
+def merge(ranks: dict[bytes, int], piece: bytes, below: float = float("inf")) -> list[bytes]:
+    """Plain merging, lowest rank first, with ranks under ``below``."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best, at = below, -1
+        for i in range(len(parts) - 1):
+            r = ranks.get(parts[i] + parts[i + 1])
+            if r is not None and r < best:
+                best, at = r, i
+        if at < 0:
+            break
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def token_tables(ranks: dict[bytes, int]) -> dict[str, list[int]]:
+    """For each rank: ``left`` and ``right``, the tokens whose merge makes it (-1: a single byte; -2: no
+    merge reaches it), and ``shorter``, the longest reachable token that is a proper prefix (-1: none)."""
+    n = max(ranks.values(), default=-1) + 1
+    out = {k: [-1] * n for k in ("left", "right", "shorter")}
+    for tok, rank in ranks.items():
+        if len(tok) > 1:
+            parts = merge(ranks, tok, rank)
+            whole = len(parts) == 2
+            out["left"][rank], out["right"][rank] = (ranks[parts[0]], ranks[parts[1]]) if whole else (-2, -2)
+    for tok, rank in ranks.items():
+        for k in range(len(tok) - 1, 0, -1):
+            r = ranks.get(tok[:k])
+            if r is not None and out["left"][r] != -2:
+                out["shorter"][rank] = r
+                break
+    return out
+
+
 class BacktrackingEncoder:
     """Exact BPE for single pieces by longest match and backtracking."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], tables: dict[str, list[int]] | None = None):
         import ahocorasick
 
         self.ranks = ranks
+        self.tables = tables or token_tables(ranks)
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.sizes = {r: len(t) for t, r in ranks.items()}
+        self.sizes = [len(self.bytes_of.get(r, b"")) for r in range(len(self.tables["left"]))]
         self.automaton = ahocorasick.Automaton()
         for tok, rank in ranks.items():
-            self.automaton.add_word(tok.decode("latin-1"), (len(tok) - 1, rank))
+            if self.tables["left"][rank] != -2:
+                self.automaton.add_word(tok.decode("latin-1"), (len(tok) - 1, rank))
         self.automaton.make_automaton()
-        self._split: dict[int, tuple[int, int] | None] = {}
-        self._shorter: dict[int, int | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._reachable: dict[int, bool] = {}
-
-    def merge(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
-        """Plain merging, lowest rank first, with ranks under ``below``."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = below, -1
-            for i in range(len(parts) - 1):
-                r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and r < best:
-                    best, at = r, i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes this one; None for a single byte or a token no merge reaches."""
-        if token not in self._split:
-            tok = self.bytes_of[token]
-            parts = self.merge(tok, token) if len(tok) > 1 else [tok]
-            self._split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
-        return self._split[token]
-
-    def reachable(self, token: int) -> bool:
-        known = self._reachable.get(token)
-        if known is None:
-            known = self._reachable[token] = self.sizes[token] == 1 or self.split(token) is not None
-        return known
-
-    def shorter(self, token: int) -> int | None:
-        """The longest reachable token that is a proper prefix of this one."""
-        if token not in self._shorter:
-            tok, found = self.bytes_of[token], None
-            for n in range(len(tok) - 1, 0, -1):
-                r = self.ranks.get(tok[:n])
-                if r is not None and self.reachable(r):
-                    found = r
-                    break
-            self._shorter[token] = found
-        return self._shorter[token]
+        self._fits: dict[int, bool] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """True if merging by rank would leave these two tokens as neighbours.
@@ -112,66 +105,55 @@ class BacktrackingEncoder:
         first.  At each step the two parts that touch must not form a token of
         a rank lower than what was merged later, else that merge came first.
         """
-        key = (left, right)
-        known = self._fits.get(key)
-        if known is not None:
-            return known
+        before, after, bytes_of = self.tables["left"], self.tables["right"], self.bytes_of
         a, b, limit, ok = left, right, float("inf"), True
         while True:
-            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            joined = self.ranks.get(bytes_of[a] + bytes_of[b])
             if joined is not None and joined < limit:
                 ok = False
                 break
-            sa, sb = self.split(a), self.split(b)
-            if sa is None and sb is None:
+            if after[a] < 0 and before[b] < 0:
                 break
-            if sb is None or (sa is not None and a > b):
-                limit, a = a, sa[1]  # a merge of equal rank further left came first
+            if before[b] < 0 or (after[a] >= 0 and a > b):
+                limit, a = a, after[a]  # a merge of equal rank further left came first
             else:
-                limit, b = b + 1, sb[0]
+                limit, b = b + 1, before[b]
         if len(self._fits) >= PAIR_MEMORY:
             self._fits.clear()
-        self._fits[key] = ok
+        self._fits[left * len(self.sizes) + right] = ok
         return ok
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, sizes, fits = len(piece), self.sizes, self._fits
+        n, sizes, shorter, known, span = len(piece), self.sizes, self.tables["shorter"], self._fits.get, len(self.sizes)
         longest = [-1] * n
         for end, (back, rank) in self.automaton.iter(piece.decode("latin-1")):
             longest[end - back] = rank  # ends come in order, so the longest stays
+        if -1 in longest and any(self.ranks.get(piece[i:i + 1]) is None for i in range(n)):
+            raise ValueError("the vocabulary lacks a byte of this piece")
         out: list[int] = []
         dead: set[int] = set()
-        pos, last, token = 0, None, longest[0]
-        if not self.reachable(token):
-            token = self.shorter(token)
+        pos, last, token = 0, -1, longest[0]
         while True:
-            while token is not None:
-                end = pos + sizes[token]
-                if end not in dead:
-                    if last is None:
-                        break
-                    ok = fits.get((last, token))
-                    if self.fits(last, token) if ok is None else ok:
-                        break
-                token = self.shorter(token)
-            if token is None:
-                dead.add(pos)
-                if last is None:
-                    raise ValueError("the vocabulary lacks a byte of this piece")
-                out.pop()
-                pos -= sizes[last]
-                token = self.shorter(last)
-                last = out[-1] if out else None
+            ok = last < 0 or known(last * span + token)
+            if ok is None:
+                ok = self.fits(last, token)
+            end = pos + sizes[token]
+            if ok and end not in dead:
+                out.append(token)
+                if end == n:
+                    return out
+                pos, last, token = end, token, longest[end]
                 continue
-            out.append(token)
-            if end == n:
-                return out
-            pos, last, token = end, token, longest[end]
-            if not self.reachable(token):
-                token = self.shorter(token)
+            token = shorter[token]
+            while token < 0:  # nothing fits here: shorten the token before
+                dead.add(pos)
+                token = out.pop()
+                pos -= sizes[token]
+                last = out[-1] if out else -1
+                token = shorter[token]
 
 
 def _with_columns(batch: pa.RecordBatch, first: int, rows: int, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -187,12 +169,13 @@ def _replaced(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType
 
 def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``token_ids`` (array<int>): every match of ``pattern`` encoded by itself, without special tokens."""
-    raw = docs.sparkSession.sparkContext.broadcast(read_ranks(vocab_path))
+    raw = read_ranks(vocab_path)
+    sent = docs.sparkSession.sparkContext.broadcast((raw, token_tables(parse_ranks(raw))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encoder = BacktrackingEncoder(parse_ranks(raw.value))
+        encoder = BacktrackingEncoder(parse_ranks(sent.value[0]), sent.value[1])
         pieces = regex.compile(pattern).findall
         whole_run = regex.compile(WHOLE_RUN).search
         memory: dict[str, bytes] = {}  # parts that follow a space, without it
