@@ -42,7 +42,7 @@ COORDS = 64
 LEAF = 64
 DEPTH = 4
 RECALL = 0.97
-BLOCK = 512
+BLOCK = 256
 # Equal coordinates below which a pair is not verified: four standard deviations under the threshold.
 MIN_EQUAL = int(THRESHOLD * COORDS - 4 * math.sqrt(COORDS * THRESHOLD * (1 - THRESHOLD)))
 
