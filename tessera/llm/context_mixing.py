@@ -39,6 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,8 @@ BATCH_WORDS = 512
 TASK_WORDS = 300_000
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
+RUN_BYTES = 1 << 19
+MERGE_TASKS = 64  # tables that are added up at a time
 
 
 # Classes of texts.
@@ -124,32 +128,81 @@ def _pieces(data: np.ndarray, offs: np.ndarray):
     return s, e, row, tails
 
 
+def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The spans of ``data`` as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
 def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
     """Distinct (class, word) of a block (kind 0), white space keys (kind 1, class 0) and classes of
     texts (kind 2) with their training counts."""
-    block = t["block"][0].as_py()
     train = ~t["held"].to_numpy()
-    found: dict[tuple[int, int, bytes], int] = {}
-    for first, rows, data, offs in chunks(t["text"]):
+    found: list[tuple] = []  # per run: hashes, place, size, class and training count of its words
+    texts: list[np.ndarray] = []
+    others: dict[tuple[int, bytes], int] = {}
+    base = 0
+    for first, rows, data, offs in chunks(t["text"], RUN_BYTES):
         data = lower_table()[data]
         z = classes_of(centres, data, offs)
         s, e, row, tails = _pieces(data, offs)
         if len(s):
             h = span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64)
-            _, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(inv, train[first + row], len(at)).astype(np.int64)
-            buf = data.tobytes()
-            for a, b, k, c in zip(s[at].tolist(), e[at].tolist(), z[row[at]].tolist(), n.tolist()):
-                key = (0, k, buf[a:b])
-                found[key] = found.get(key, 0) + c
+            h, at, inv = np.unique(h, return_index=True, return_inverse=True)
+            found.append((h, base + s[at], (e - s)[at], z[row[at]], np.bincount(inv, train[first + row], len(at))))
+            texts.append(data)
+            base += len(data)
         for r, key, c in tails:
-            found[1, 0, key] = found.get((1, 0, key), 0) + (c if train[first + r] else 0)
-        for k, c in zip(*np.unique(z, return_counts=True)):
-            key = (2, 0, bytes([int(k)]))
-            found[key] = found.get(key, 0) + int(train[first:first + rows][z == k].sum())
-    return pa.table({"block": pa.array(np.full(len(found), block), pa.int32()),
-                     "kind": pa.array([k[0] for k in found], pa.int8()), "z": pa.array([k[1] for k in found], pa.int8()),
-                     "word": pa.array([k[2] for k in found], pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+            others[1, key] = others.get((1, key), 0) + (c if train[first + r] else 0)
+        for k in range(CLASSES):
+            key = (2, bytes([k]))
+            others[key] = others.get(key, 0) + int(train[first:first + rows][z == k].sum())
+    keys = list(others)
+    word, kind, z, n = pa.array([k[1] for k in keys], pa.binary()), [k[0] for k in keys], [0] * len(keys), list(others.values())
+    if found:
+        h, place, size, cls, c = (np.concatenate(x) for x in zip(*found))
+        _, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        word = pa.concat_arrays([_cut(np.concatenate(texts), place[at], size[at]), word])
+        kind, z = np.concatenate([np.zeros(len(at)), kind]), np.concatenate([cls[at], z])
+        n = np.concatenate([np.bincount(inv, c, len(at)), n])
+    return pa.table({"block": pa.array(np.full(len(word), t["block"][0].as_py()), pa.int32()), "kind": pa.array(np.asarray(kind).astype(np.int8)),
+                     "z": pa.array(np.asarray(z).astype(np.int8)), "word": word, "n": pa.array(np.asarray(n).astype(np.int64))})
+
+
+VOCABULARY = "kind byte, word binary, c bigint, by_class array<bigint>, places array<struct<block:int,z:byte>>"
+
+
+def _vocabulary(found: DataFrame) -> DataFrame:
+    """One row per (kind, word): its training count in all, by class, and the (block, class) pairs that hold it."""
+    def emit(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        n, z = t["n"].to_numpy(), t["z"].to_numpy().astype(np.int64)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        by_class = np.bincount(group * CLASSES + z, n, len(starts) * CLASSES).astype(np.int64)
+        places = pa.StructArray.from_arrays([t["block"].combine_chunks(), t["z"].combine_chunks()], names=["block", "z"])
+        heads = pa.array(starts)
+        return pa.RecordBatch.from_arrays(
+            [t["kind"].combine_chunks().take(heads), t["word"].combine_chunks().take(heads), pa.array(np.add.reduceat(n, starts)),
+             pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * CLASSES, pa.int32()), pa.array(by_class)),
+             pa.ListArray.from_arrays(pa.array(np.append(starts, t.num_rows), pa.int32()), places)],
+            names=["kind", "word", "c", "by_class", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            same = pc.and_(pc.equal(t["word"].slice(1), t["word"].slice(0, t.num_rows - 1)),
+                           pc.equal(t["kind"].slice(1), t["kind"].slice(0, t.num_rows - 1)))
+            starts = np.concatenate([[0], np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1]) if t.num_rows else np.zeros(0, np.int64)
+            if len(starts) > 1:
+                yield emit(t.slice(0, int(starts[-1])), starts[:-1])
+                t = t.slice(int(starts[-1]))
+            rest = t
+        if rest is not None and rest.num_rows:
+            yield emit(rest, np.zeros(1, np.int64))
+
+    return found.repartition("kind", "word").sortWithinPartitions("kind", "word").mapInArrow(run, VOCABULARY)
 
 
 # The model.
@@ -218,68 +271,92 @@ def _columns(batch: pa.RecordBatch):
     return words, kind, col("c").to_numpy().astype(np.float64)
 
 
-def count_tables(vocab: DataFrame) -> dict:
-    """Bit counts of all predictors over (kind, word, c), c > 0."""
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_tables(vocab: DataFrame, tasks: int) -> dict:
+    """Bit counts of all predictors over (kind, z, word, c), c > 0, which come in ``tasks`` partitions.
+
+    Each task fills tables of a fixed size, which are added up part by part.
+    A slot of a tagged table holds one context: within a task a new one takes
+    the slot if it was seen more often, and in the sum the tag with most counts
+    stays.
+    """
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [k for k in range(len(ORDERS)) if k not in TAGGED]
-        sums = {k: np.zeros((2, 1 << TABLE_BITS[k])) for k in plain}
-        for batch in _runs(batches, 100_000):
+        sums = {k: np.zeros((2, 1 << b)) for k, b in enumerate(TABLE_BITS)}
+        tags = {k: np.zeros(1 << TABLE_BITS[k], np.uint16) for k in TAGGED}
+        for batch in _runs(batches, 40_000):
             (ctx, byte, row), kind, c = _columns(batch)
             w = c[row]
+            often = (w >= LONG_MIN) | (kind[row] == 1)
+            long: dict[int, list] = {k: [] for k in TAGGED}
             for b in range(8):
                 node, y = _bit(byte, b)
                 for k in plain:
                     slot = _slot(_keys(ctx[k], node), k)
                     np.add.at(sums[k].reshape(-1), slot + y * (1 << TABLE_BITS[k]), w)
-        for k in plain:
+                for k in TAGGED:
+                    key = _keys(ctx[k][often], node[often])
+                    long[k].append(((_slot(key, k) << 16) | _tag(key), w[often] * (1 - y[often]), w[often] * y[often]))
+            for k in TAGGED:
+                ident, n0, n1 = (np.concatenate(x) for x in zip(*long[k]))
+                _take_slots(tags[k], sums[k], *_by_ident(ident, n0, n1))
+        task = TaskContext.get().partitionId()
+        for k in range(len(ORDERS)):
             used = np.flatnonzero(sums[k].reshape(2, -1, PART).any((0, 2)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()),
-                 pa.array([zlib.compress(sums[k][:, u * PART:(u + 1) * PART].tobytes(), 1) for u in used], pa.binary())], names=["k", "part", "n"])
+            pack = lambda u, k=k: zlib.compress(sums[k][:, u * PART:(u + 1) * PART].astype(np.float32).tobytes()
+                                                + (tags[k][u * PART:(u + 1) * PART].tobytes() if k in TAGGED else b""), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()),
+                                              pa.array(np.full(len(used), task), pa.int32()), pa.array([pack(u) for u in used], pa.binary())],
+                                             names=["k", "part", "task", "n"])
 
     def add_up(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        total = np.zeros(2 * PART)
+        k, total, tag, every = key[0].as_py(), np.zeros((2, PART)), np.zeros(PART, np.uint16), []
         for x in t["n"].to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.float64)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
-                         "n": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, 20_000):
-            (ctx, byte, row), kind, c = _columns(batch)
-            for k in TAGGED:
-                keys, ys = [], []
-                for b in range(8):
-                    node, y = _bit(byte, b)
-                    keys.append(_keys(ctx[k], node))
-                    ys.append(y)
-                key, y, w = np.concatenate(keys), np.concatenate(ys), np.tile(c[row], 8)
-                ident = (_slot(key, k) << 16) | _tag(key)
-                ident, inv = np.unique(ident, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ident), k), pa.int32()), pa.array(ident >> 16, pa.int32()), pa.array(ident & 65535, pa.int32()),
-                     pa.array(np.bincount(inv, w * (1 - y), len(ident))), pa.array(np.bincount(inv, w * y, len(ident)))],
-                    names=["k", "slot", "tag", "n0", "n1"])
-
+            raw = zlib.decompress(x)
+            n = np.frombuffer(raw[:8 * PART], np.float32).reshape(2, PART).astype(np.float64)
+            if k in TAGGED:
+                every.append(((np.arange(PART) << 16) | np.frombuffer(raw[8 * PART:], np.uint16), n[0], n[1]))
+            else:
+                total += n
+        if every:
+            _take_slots(tag, total, *_by_ident(*(np.concatenate(x) for x in zip(*every))))
+        out = zlib.compress(total.astype(np.float32).tobytes() + (tag.tobytes() if k in TAGGED else b""), 1)
+        return pa.table({"k": pa.array([k], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
+                         "task": pa.array([0], pa.int32()), "n": pa.array([out], pa.binary())})
+
+    schema = "k int, part int, task int, n binary"
+    parts = vocab.mapInArrow(fill, schema)
+    if tasks > MERGE_TASKS:
+        parts = parts.groupBy("k", "part", F.floor(F.col("task") / MERGE_TASKS)).applyInArrow(add_up, schema)
     counts = [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
     tags = {k: np.zeros(1 << TABLE_BITS[k], np.uint16) for k in TAGGED}
-    parts = (vocab.mapInArrow(dense, "k int, part int, n binary").groupBy("k", "part").applyInArrow(add_up, "k int, part int, n binary"))
-    for r in parts.toArrow().to_pylist():  # tables of a fixed size
-        counts[r["k"]][:, r["part"] * PART:(r["part"] + 1) * PART] = np.frombuffer(r["n"], np.float32).reshape(2, -1)
-    long = (vocab.where((F.col("c") >= LONG_MIN) | (F.col("kind") == 1)).mapInArrow(tagged, "k int, slot int, tag int, n0 double, n1 double")
-            .groupBy("k", "slot", "tag").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-            .groupBy("k", "slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "tag", "n0")).alias("m"))
-            .select("k", "slot", F.col("m.tag").cast("int").alias("tag"), F.col("m.n0").cast("float").alias("n0"),
-                    (F.col("m.n") - F.col("m.n0")).cast("float").alias("n1")))
-    t = long.toArrow()  # at most one row per slot
-    k, slot = t["k"].to_numpy(), t["slot"].to_numpy()
-    for j in TAGGED:
-        mine = k == j
-        counts[j][0, slot[mine]], counts[j][1, slot[mine]] = t["n0"].to_numpy()[mine], t["n1"].to_numpy()[mine]
-        tags[j][slot[mine]] = t["tag"].to_numpy()[mine]
+    for r in parts.groupBy("k", "part").applyInArrow(add_up, schema).toLocalIterator():  # tables of a fixed size
+        raw, at = zlib.decompress(r["n"]), slice(r["part"] * PART, (r["part"] + 1) * PART)
+        counts[r["k"]][:, at] = np.frombuffer(raw[:8 * PART], np.float32).reshape(2, -1)
+        if r["k"] in TAGGED:
+            tags[r["k"]][at] = np.frombuffer(raw[8 * PART:], np.uint16)
     return {"counts": counts, "tags": tags}
 
 
+def _by_ident(ident: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums by (slot, tag); of the tags of a slot the one with most counts."""
+    ident, inv = np.unique(ident, return_inverse=True)
+    n0, n1 = np.bincount(inv, n0, len(ident)), np.bincount(inv, n1, len(ident))
+    order = np.lexsort((n0 + n1, ident >> 16))
+    slot = ident[order] >> 16
+    last = order[np.append(slot[1:] != slot[:-1], True)] if len(order) else order
+    return ident[last], n0[last], n1[last]
+
+
+def _take_slots(tags: np.ndarray, sums: np.ndarray, ident: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> None:
+    slot, tag = ident >> 16, (ident & 65535).astype(np.uint16)
+    held = sums[0, slot] + sums[1, slot]
+    same = (tags[slot] == tag) & (held > 0)
+    sums[0, slot[same]] += n0[same]
+    sums[1, slot[same]] += n1[same]
+    won = ~same & (n0 + n1 > held)
+    tags[slot[won]], sums[0, slot[won]], sums[1, slot[won]] = tag[won], n0[won], n1[won]
+
+
 def _gate(n: np.ndarray) -> np.ndarray:
     """0 for an unseen context up to 7 for one seen often."""
     return np.minimum(np.log2(n + 1).astype(np.int64), GATES - 1)
@@ -351,8 +428,9 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
                 z = (x * w[gate]).sum(1)
                 err = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 low, share = _place(z)
-                np.add.at(hits, (gate, low + (share > 0.5)), weight * y)
-                np.add.at(tries, (gate, low + (share > 0.5)), weight)
+                cell = gate * MAP_STEPS + low + (share > 0.5)
+                hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
+                tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
                 mass = np.bincount(gate, weight, SETS)
                 grad = np.stack([np.bincount(gate, weight * err * x[:, k], SETS) for k in range(k1)], 1)
                 grad /= np.maximum(mass, 1)[:, None]
@@ -423,7 +501,7 @@ def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp
     n = docs.num_rows
     tokens, known, base, score = np.ones(n, np.int64), np.full(n, n_ends > 0, np.int64), np.full(n, base_of(n_ends)), np.zeros(n)
     n_bytes = np.zeros(n, np.int64)
-    for first, rows, data, offs in chunks(docs["text"]):
+    for first, rows, data, offs in chunks(docs["text"], RUN_BYTES):
         data = lower_table()[data]
         z = classes_of(centres, data, offs)
         s, e, row, tails = _pieces(data, offs)
@@ -459,9 +537,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
         return _block_words(t, centres)
 
     found = rows.select("block", "text", "held").groupBy("block").applyInArrow(words, "block int, kind byte, z byte, word binary, n bigint")
-    by_class = F.array(*[F.sum(F.when(F.col("z") == k, F.col("n")).otherwise(0)) for k in range(CLASSES)])
-    vocab = materialise(found.groupBy("kind", "word").agg(
-        F.sum("n").alias("c"), by_class.alias("by_class"), F.collect_list(F.struct("block", "z")).alias("places")), "vocabulary")
+    vocab = materialise(_vocabulary(found), "vocabulary")
     ends = docs.where(fold(F.col(doc), folds) != held_out).count()
     sums = vocab.where("kind = 0 AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_types = sums["n"] + ends, sums["v"] + (1 if ends else 0)
@@ -472,8 +548,9 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     learnt = (vocab.where("kind < 2 AND c > 0").select("kind", "word", F.posexplode("by_class").alias("z", "c"))
               .where("c > 0").select("kind", F.col("z").cast("byte").alias("z"), "word", "c"))
     # Every task sends tables of a fixed size, so a task gets many words.
-    learnt = learnt.coalesce(max(1, -(-sums["v"] // TASK_WORDS)))
-    model = learn_mixing(learnt, count_tables(learnt))
+    tasks = max(1, -(-sums["v"] // TASK_WORDS))
+    learnt = learnt.coalesce(tasks)
+    model = learn_mixing(learnt, count_tables(learnt, tasks))
     sent = _send(docs, model)
     scored = materialise(_score_words(vocab.where("kind < 2"), sent), "scored")
     sent.destroy()
