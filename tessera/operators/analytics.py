@@ -208,12 +208,14 @@ def _holt(y: np.ndarray, alpha: float, beta: float):
 
 
 def forecast(group_by: Sequence[str], time_col: str, value: str, periods: int, interval: float = 0.95,
-             ignore_last: int = 0, model: str = "auto") -> Step:
+             ignore_last: int = 0, model: str = "auto", periods_back: int = 0) -> Step:
     """Forecast ``periods`` steps per series with Holt's additive-trend exponential
     smoothing (``model='trend'``), simple smoothing (``'level'``) or the better
     of the two by in-sample squared error (``'auto'``; parameters from a
     fixed grid, deterministic).  Input is the aggregated series: one row per
     (group, period) with consecutive integer periods in ``time_col``.
+    ``periods_back`` steps before the first period are forecast from the series
+    in reverse.
 
     Output: group, period index, forecast, low, high (prediction interval from
     the in-sample residual spread, widening with the horizon).
@@ -237,24 +239,27 @@ def forecast(group_by: Sequence[str], time_col: str, value: str, periods: int, i
             y = pdf[value].to_numpy(dtype=float)
             if len(y) == 0:
                 return pd.DataFrame(columns=[f.name for f in schema.fields])
-            best = None
-            for a in grid:
-                for b in ([0.0] if model == "level" else grid):
-                    if model == "trend" and b == 0.0:
-                        continue
-                    lvl, tr, fitted = _holt(y, a, b) if b > 0 else _holt_level(y, a)
-                    sse = float(np.sum((y - fitted) ** 2))
-                    if best is None or sse < best[0] - 1e-12:
-                        best = (sse, lvl, tr, a, b)
-            sse, lvl, tr, a, b = best
-            sigma = np.sqrt(sse / max(len(y) - 1, 1))
-            last_t = int(pdf[time_col].iloc[-1])
-            rows = []
             key_vals = [pdf[k].iloc[0] for k in keys]
-            for h in range(1, periods + 1):
-                f = lvl + h * tr
-                width = z * sigma * np.sqrt(1 + (h - 1) * a * a * (1 + h * b) ** 2)
-                rows.append(key_vals + [last_t + h, f, f - width, f + width])
+
+            def ahead(series: np.ndarray, steps: int, first: int, sign: int) -> list[list]:
+                best = None
+                for a in grid:
+                    for b in {"level": [0.0], "trend": grid}.get(model, [0.0, *grid]):
+                        lvl, tr, fitted = _holt(series, a, b) if b > 0 else _holt_level(series, a)
+                        sse = float(np.sum((series - fitted) ** 2))
+                        if best is None or sse < best[0] - 1e-12:
+                            best = (sse, lvl, tr, a, b)
+                sse, lvl, tr, a, b = best
+                sigma = np.sqrt(sse / max(len(series) - 1, 1))
+                rows = []
+                for h in range(1, steps + 1):
+                    f = lvl + h * tr
+                    width = z * sigma * np.sqrt(1 + (h - 1) * a * a * (1 + h * b) ** 2)
+                    rows.append(key_vals + [first + sign * h, f, f - width, f + width])
+                return rows
+
+            rows = ahead(y[::-1], periods_back, int(pdf[time_col].iloc[0]), -1) if periods_back else []
+            rows += ahead(y, periods, int(pdf[time_col].iloc[-1]), 1)
             return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
         out = d.groupBy(*keys).applyInPandas(fit, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dates import datepart
 from tessera.operators import scan
+from tessera.session import stored
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -192,6 +193,12 @@ def sort(specs) -> Step:
     return lambda df: df.orderBy(*scan.sort_orders(specs))
 
 
+def with_position(sorted_df: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a sorted DataFrame in the order in which it holds them, from 1."""
+    kept = stored(sorted_df.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return scan.row_index(kept, name, order_by=["_at"]).drop("_at")
+
+
 def manual_sort_key(col: str, order: Sequence) -> Column:
     """Sort key from a hand-written member order; unlisted members go last."""
     pos = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(col))
@@ -205,8 +212,8 @@ def sort_manual(col: str, order: Sequence, tie_breakers: Sequence[str] = ()) ->
 def sort_computed(dim: str, measure: Column, descending: bool = True) -> Step:
     """Sort rows by an aggregate of another field per ``dim`` member."""
     def step(df: DataFrame) -> DataFrame:
-        keys = df.groupBy(dim).agg(measure.alias("_sort_key"))
-        j = df.join(keys, on=dim, how="left")
+        keys = df.groupBy(F.col(dim).alias("_sort_dim")).agg(measure.alias("_sort_key"))
+        j = df.join(keys, df[dim].eqNullSafe(keys["_sort_dim"]), "left").drop("_sort_dim")
         o = F.col("_sort_key").desc_nulls_last() if descending else F.col("_sort_key").asc_nulls_last()
         return j.orderBy(o, F.col(dim)).drop("_sort_key")
     return step

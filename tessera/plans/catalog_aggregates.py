@@ -60,9 +60,12 @@ _simple("agg_of_expression",
         "round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2)", group="l_returnflag")
 
 
-@register("agg_countd_approx")
+@register("agg_countd_approx", """SELECT l_suppkey, count(DISTINCT l_partkey) AS exact, TRUE AS within
+  FROM lineitem GROUP BY l_suppkey""")
 def q_countd_approx(spark, d):
-    return _li(spark, d).groupBy("l_suppkey").agg(A.countd("l_partkey", approx=True).alias("v"))
+    # The sketch's value must lie within four standard errors of the exact count.
+    both = _li(spark, d).groupBy("l_suppkey").agg(A.countd("l_partkey", approx=True, rsd=0.02).alias("v"), A.countd("l_partkey").alias("exact"))
+    return both.select("l_suppkey", "exact", (F.abs(F.col("v") - F.col("exact")) <= 1 + 0.08 * F.col("exact")).alias("within"))
 
 
 @register("agg_median", """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_price

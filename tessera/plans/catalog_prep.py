@@ -401,22 +401,23 @@ def q_sort(spark, d):
         flt.sort([("o_orderpriority", "asc"), ("o_totalprice", "desc")]))
 
 
-@register("srt_manual", """SELECT c_custkey, c_mktsegment, CAST(coalesce(nullif(list_position(['MACHINERY', 'AUTOMOBILE',
-  'BUILDING'], c_mktsegment), 0), 4) AS BIGINT) AS sort_key FROM customer ORDER BY sort_key, c_custkey""")
+@register("srt_manual", """SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY coalesce(nullif(list_position(
+  ['MACHINERY', 'AUTOMOBILE', 'BUILDING'], c_mktsegment), 0), 4), c_custkey) AS position FROM customer""")
 def q_sort_manual(spark, d):
     c = T(spark, d).customer.select("c_custkey", "c_mktsegment")
-    key = flt.manual_sort_key("c_mktsegment", ["MACHINERY", "AUTOMOBILE", "BUILDING"])
-    return c.withColumn("sort_key", key).orderBy("sort_key", "c_custkey")
+    return flt.with_position(c.transform(flt.sort_manual("c_mktsegment", ["MACHINERY", "AUTOMOBILE", "BUILDING"], ["c_custkey"])))
 
 
-@register("srt_computed", """SELECT n_name, round(sum(c_acctbal) OVER (PARTITION BY n_name), 2) AS sort_key, c_custkey
-  FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@register("srt_computed", """SELECT n_name, c_custkey, rank() OVER (ORDER BY s DESC, n_name) AS first_position FROM (
+  SELECT n_name, c_custkey, round(sum(c_acctbal) OVER (PARTITION BY n_name), 2) AS s
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def q_sort_computed(spark, d):
     t = T(spark, d)
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "c_acctbal")
-    keys = c.groupBy("n_name").agg(F.round(F.sum("c_acctbal"), 2).alias("sort_key"))
-    return c.transform(flt.sort_computed("n_name", F.sum("c_acctbal"))).join(keys, "n_name").select(
-        "n_name", "sort_key", "c_custkey")
+    out = flt.with_position(c.transform(flt.sort_computed("n_name", F.sum("c_acctbal"))))
+    # Rows of a member tie: compare the position of its first row.
+    first = out.groupBy("n_name").agg(F.min("position").alias("first_position"))
+    return out.select("n_name", "c_custkey").join(first, "n_name")
 
 
 # ------------------------------------------------------------------ reshape (2.6)

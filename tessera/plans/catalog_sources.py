@@ -67,9 +67,9 @@ def q_geojson(spark, d):
         F.struct(F.lit("Point").alias("type"),
                  F.array((F.col("c_custkey") * 7 % 340 - 170).cast("double"),
                          (F.col("c_custkey") % 170 - 85).cast("double")).alias("coordinates")).alias("geometry"))
-    # One FeatureCollection document per input partition (bounded by the partition size).
-    docs = (c.repartition(4).withColumn("_pid", F.spark_partition_id())
-            .groupBy("_pid").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
+    # FeatureCollection documents of about 1,000 features each.
+    groups = max(1, c.count() // 1000)
+    docs = (c.groupBy(F.pmod(F.xxhash64("c_custkey"), F.lit(groups)).alias("_doc")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
                                                     F.collect_list(feature).alias("features"))).alias("value")))
     path = scratch_path(spark, "geojson")
     docs.select("value").write.mode("overwrite").text(path)
