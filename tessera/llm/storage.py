@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
-
-
-def shared_path(spark, name: str) -> str:
-    """A fresh path under the folder that the cluster names in ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to shared storage once and read them back."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tessera.session import stored as materialise  # noqa: F401  write once, read back
 
 
 def text_bytes(df: DataFrame, text: str) -> int:
