@@ -9,7 +9,8 @@ Texts fall into ``CLASSES`` classes by their byte pairs (k-means on at most
 ``CLASS_SAMPLE`` training texts), which in practice are languages; the class is
 coded first and is part of some contexts.
 
-Method: every byte is coded as eight binary decisions.  Several predictors,
+Method: every byte is coded as a path of binary decisions, shorter for bytes
+that are more common in the training words.  Several predictors,
 each a table of bit counts found by a hashed context (the last 1, 2, 3, 4 or 6
 bytes of the word, or all its bytes so far), give a probability each; their
 logits are added with weights that a gate picks by how often the two longest
@@ -33,6 +34,7 @@ training texts every count is 0.  The result has its own columns only.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -58,7 +60,8 @@ CLASSES, CLASS_SAMPLE, CLASS_BYTES, PAIRS = 6, 2000, 32_768, 512
 PART = 4096  # slots sent together
 GATES = 8
 MAP_STEPS = 33
-BATCH_WORDS = 512
+BATCH_WORDS = 256
+SCORE_WORDS = 4_000
 TASK_WORDS = 300_000
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
@@ -238,8 +241,37 @@ def _keys(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     return mix(ctx + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _bit(byte: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-    return (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
+def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """A binary tree over the 256 bytes, with short paths for common ones: for each byte the number of
+    its decisions and where they start in the lists of nodes passed and turns taken."""
+    heap = [(float(c) + 1, b, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent: dict[int, tuple[int, int]] = {}
+    new = 256
+    while len(heap) > 1:
+        (x, _, left), (y, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[left], parent[right] = (new, 0), (new, 1)
+        heapq.heappush(heap, (x + y, new, new))
+        new += 1
+    size, start, node, turn = [], [], [], []
+    for b in range(256):
+        path, at = [], b
+        while at in parent:
+            path.append(parent[at])
+            at = parent[at][0]
+        start.append(len(node))
+        size.append(len(path))
+        node += [p[0] for p in reversed(path)]
+        turn += [p[1] for p in reversed(path)]
+    return {k: np.array(v, np.int64) for k, v in (("size", size), ("start", start), ("node", node), ("turn", turn))}
+
+
+def _decisions(code: dict, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All decisions of a byte string: place of the byte, node, turn."""
+    n = code["size"][byte]
+    place = np.repeat(np.arange(len(byte)), n)
+    at = np.arange(len(place)) + np.repeat(code["start"][byte] - (np.cumsum(n) - n), n)
+    return place, code["node"][at], code["turn"][at]
 
 
 def _slot(key: np.ndarray, k: int) -> np.ndarray:
@@ -271,7 +303,22 @@ def _columns(batch: pa.RecordBatch):
     return words, kind, col("c").to_numpy().astype(np.float64)
 
 
-def count_tables(vocab: DataFrame, tasks: int) -> dict:
+def byte_counts(vocab: DataFrame) -> np.ndarray:
+    """How often each byte is coded, over (kind, z, word, c)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256)
+        for batch in _runs(batches, 20_000):
+            (_, byte, row), _, c = _columns(batch)
+            total += np.bincount(byte, c[row], 256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
+
+    counts = np.zeros(256)
+    for r in vocab.mapInArrow(run, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        counts[r["byte"]] = r["n"]
+    return counts
+
+
+def count_tables(vocab: DataFrame, tasks: int, code: dict) -> dict:
     """Bit counts of all predictors over (kind, z, word, c), c > 0, which come in ``tasks`` partitions.
 
     Each task fills tables of a fixed size, which are added up part by part.
@@ -283,22 +330,17 @@ def count_tables(vocab: DataFrame, tasks: int) -> dict:
         plain = [k for k in range(len(ORDERS)) if k not in TAGGED]
         sums = {k: np.zeros((2, 1 << b)) for k, b in enumerate(TABLE_BITS)}
         tags = {k: np.zeros(1 << TABLE_BITS[k], np.uint16) for k in TAGGED}
-        for batch in _runs(batches, 40_000):
+        for batch in _runs(batches, 20_000):
             (ctx, byte, row), kind, c = _columns(batch)
-            w = c[row]
-            often = (w >= LONG_MIN) | (kind[row] == 1)
-            long: dict[int, list] = {k: [] for k in TAGGED}
-            for b in range(8):
-                node, y = _bit(byte, b)
-                for k in plain:
-                    slot = _slot(_keys(ctx[k], node), k)
-                    np.add.at(sums[k].reshape(-1), slot + y * (1 << TABLE_BITS[k]), w)
-                for k in TAGGED:
-                    key = _keys(ctx[k][often], node[often])
-                    long[k].append(((_slot(key, k) << 16) | _tag(key), w[often] * (1 - y[often]), w[often] * y[often]))
+            place, node, y = _decisions(code, byte)
+            w = c[row][place]
+            often = np.flatnonzero((w >= LONG_MIN) | (kind[row][place] == 1))
+            for k in plain:
+                slot = _slot(_keys(ctx[k][place], node), k)
+                np.add.at(sums[k].reshape(-1), slot + y * (1 << TABLE_BITS[k]), w)
             for k in TAGGED:
-                ident, n0, n1 = (np.concatenate(x) for x in zip(*long[k]))
-                _take_slots(tags[k], sums[k], *_by_ident(ident, n0, n1))
+                key = _keys(ctx[k][place[often]], node[often])
+                _take_slots(tags[k], sums[k], *_by_ident((_slot(key, k) << 16) | _tag(key), w[often] * (1 - y[often]), w[often] * y[often]))
         task = TaskContext.get().partitionId()
         for k in range(len(ORDERS)):
             used = np.flatnonzero(sums[k].reshape(2, -1, PART).any((0, 2)))
@@ -329,12 +371,12 @@ def count_tables(vocab: DataFrame, tasks: int) -> dict:
         parts = parts.groupBy("k", "part", F.floor(F.col("task") / MERGE_TASKS)).applyInArrow(add_up, schema)
     counts = [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
     tags = {k: np.zeros(1 << TABLE_BITS[k], np.uint16) for k in TAGGED}
-    for r in parts.groupBy("k", "part").applyInArrow(add_up, schema).toLocalIterator():  # tables of a fixed size
+    for r in parts.groupBy("k", "part").applyInArrow(add_up, schema).toArrow().to_pylist():  # tables of a fixed size
         raw, at = zlib.decompress(r["n"]), slice(r["part"] * PART, (r["part"] + 1) * PART)
         counts[r["k"]][:, at] = np.frombuffer(raw[:8 * PART], np.float32).reshape(2, -1)
         if r["k"] in TAGGED:
             tags[r["k"]][at] = np.frombuffer(raw[8 * PART:], np.uint16)
-    return {"counts": counts, "tags": tags}
+    return {"counts": counts, "tags": tags, "code": code}
 
 
 def _by_ident(ident: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,25 +404,54 @@ def _gate(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(n + 1).astype(np.int64), GATES - 1)
 
 
-def _inputs(model: dict, ctx: list[np.ndarray], node: np.ndarray, own: np.ndarray | None, y: np.ndarray | None):
-    """Logits of all predictors and the gate; with ``own``, without the word's own occurrence."""
-    n = len(node)
-    x = np.empty((n, len(ORDERS) + 1), np.float32)
-    x[:, -1] = 0.3
-    seen = []
+def _gates(g: dict[int, np.ndarray]) -> np.ndarray:
+    return np.where(g[5] > 0, 8 + g[5], np.where(g[4] > 0, 16 + g[4], g[3])).astype(np.int64)
+
+
+def _training_inputs(model: dict, ctx: list[np.ndarray], place: np.ndarray, node: np.ndarray, y: np.ndarray):
+    """Logits of all predictors and the gate, without the word's own occurrence."""
+    x = np.empty((len(ORDERS) + 1, len(node)), np.float32)
+    x[-1] = 0.3
+    seen, y = {}, y.astype(np.float32)
     for k in range(len(ORDERS)):
-        key = _keys(ctx[k], node)
+        key = _keys(ctx[k][place], node)
         slot = _slot(key, k)
-        n0, n1 = model["counts"][k][0, slot], model["counts"][k][1, slot]
+        pair = model["pairs"][k][slot]
         if k in TAGGED:
-            known = model["tags"][k][slot] == _tag(key)
-            n0, n1 = n0 * known, n1 * known
-        if own is not None:
-            n0, n1 = np.maximum(n0 - own * (1 - y), 0), np.maximum(n1 - own * y, 0)
-        x[:, k] = np.log((n1 + 0.05) / (n0 + 0.05))
-        seen.append(n0 + n1)
-    gate = np.where(seen[5] > 0, 8 + _gate(seen[5]), np.where(seen[4] > 0, 16 + _gate(seen[4]), _gate(seen[3])))
-    return x, gate
+            pair = pair * (model["tags"][k][slot] == _tag(key))
+        n0, n1 = np.maximum(pair.real - (1 - y), 0), np.maximum(pair.imag - y, 0)
+        x[k] = np.log((n1 + LEAST) / (n0 + LEAST))
+        if k >= 3:
+            seen[k] = _gate(n0 + n1)
+    return x, _gates(seen)
+
+
+def _scoring_inputs(model: dict, ctx: list[np.ndarray], place: np.ndarray, node: np.ndarray):
+    """The same from the whole counts, which are packed for it: logit, gate and tag of a slot in 8 bytes."""
+    x = np.empty((len(ORDERS) + 1, len(node)), np.float32)
+    x[-1] = 0.3
+    seen = {}
+    for k in range(len(ORDERS)):
+        key = _keys(ctx[k][place], node)
+        slot = model["packed"][k][_slot(key, k)]
+        if k in TAGGED:
+            slot = slot * ((slot >> np.uint64(48)) == (key >> np.uint64(48)))
+        x[k] = (slot & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
+        if k >= 3:
+            seen[k] = (slot >> np.uint64(32)) & np.uint64(255)
+    return x, _gates({k: v.astype(np.int64) for k, v in seen.items()})
+
+
+LEAST = np.float32(0.05)  # added to both counts of a slot
+
+
+def _packed(model: dict) -> list[np.ndarray]:
+    out = []
+    for k, (n0, n1) in enumerate(model["counts"]):
+        logit = np.log((n1 + LEAST) / (n0 + LEAST)).astype(np.float32).view(np.uint32).astype(np.uint64)
+        tag = model["tags"][k].astype(np.uint64) if k in TAGGED else np.zeros(len(n0), np.uint64)
+        out.append(logit | (_gate(n0 + n1).astype(np.uint64) << np.uint64(32)) | (tag << np.uint64(48)))
+    return out
 
 
 SETS = 3 * GATES
@@ -415,28 +486,27 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _received(sent)
+        tables["pairs"] = [(n0 + 1j * n1).astype(np.complex64) for n0, n1 in tables["counts"]]
         w = np.full((SETS, k1), 0.3)
         power = np.full((SETS, k1), 1e-3)
         hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
         bits = np.zeros(SETS)
         for batch in _runs(batches, BATCH_WORDS):
             (ctx, byte, row), kind, c = _columns(batch)
-            weight = c[row]
-            for b in range(8):
-                node, y = _bit(byte, b)
-                x, gate = _inputs(tables, ctx, node, np.ones(len(node), np.float32), y)
-                z = (x * w[gate]).sum(1)
-                err = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                low, share = _place(z)
-                cell = gate * MAP_STEPS + low + (share > 0.5)
-                hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
-                tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
-                mass = np.bincount(gate, weight, SETS)
-                grad = np.stack([np.bincount(gate, weight * err * x[:, k], SETS) for k in range(k1)], 1)
-                grad /= np.maximum(mass, 1)[:, None]
-                power += grad * grad
-                w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
-                bits += mass
+            place, node, y = _decisions(tables["code"], byte)
+            x, gate = _training_inputs(tables, ctx, place, node, y)
+            weight = c[row][place]
+            z = np.einsum("kn,nk->n", x, w[gate])
+            err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
+            low, share = _place(z)
+            cell = gate * MAP_STEPS + low + (share > 0.5)
+            hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
+            tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
+            mass = np.bincount(gate, weight, SETS)
+            grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
+            power += grad * grad
+            w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
+            bits += mass
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w * bits[:, None], bits, hits, tries)],
                                              names=["w", "bits", "hits", "tries"])
@@ -455,21 +525,19 @@ def learn_mixing(vocab: DataFrame, model: dict) -> dict:
 def log_probs(model: dict, words: pa.Array, kind: np.ndarray, z: np.ndarray) -> np.ndarray:
     """log10 probability of every string in its class."""
     ctx, byte, row = _contexts(*_strings(words, kind), kind, z)
-    total = np.zeros(len(kind))
-    for b in range(8):
-        node, y = _bit(byte, b)
-        x, gate = _inputs(model, ctx, node, None, None)
-        logit = (x * model["w"][gate]).sum(1)
-        p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate, model["map"])
-        total += np.bincount(row, np.log10(np.where(y == 1, p, 1 - p)), len(kind))
-    return total
+    place, node, y = _decisions(model["code"], byte)
+    x, gate = _scoring_inputs(model, ctx, place, node)
+    logit = np.einsum("kn,nk->n", x, model["w"][gate])
+    p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate, model["map"])
+    return np.bincount(row[place], np.log10(np.where(y == 1, p, 1 - p)), len(kind))
 
 
 def _score_words(vocab: DataFrame, sent) -> DataFrame:
     """Add ``lp``, the log10 probability in every class that holds the word (by class; null in others)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _received(sent)
-        for batch in _runs(batches, 20_000):
+        model["packed"] = _packed(model)
+        for batch in _runs(batches, SCORE_WORDS):
             col = lambda c: batch.column(batch.schema.names.index(c))
             kind = col("kind").to_numpy().astype(np.int64)
             held = col("places")
@@ -550,7 +618,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     # Every task sends tables of a fixed size, so a task gets many words.
     tasks = max(1, -(-sums["v"] // TASK_WORDS))
     learnt = learnt.coalesce(tasks)
-    model = learn_mixing(learnt, count_tables(learnt, tasks))
+    model = learn_mixing(learnt, count_tables(learnt, tasks, byte_code(byte_counts(learnt))))
     sent = _send(docs, model)
     scored = materialise(_score_words(vocab.where("kind < 2"), sent), "scored")
     sent.destroy()

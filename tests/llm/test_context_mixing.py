@@ -58,7 +58,8 @@ def test_bytes_of_a_context_share_at_most_one(spark):
     rng = np.random.default_rng(1)
     model = {"counts": [rng.integers(0, 9, (2, 1 << b)).astype(np.float32) for b in M.TABLE_BITS],
              "tags": {k: np.zeros(1 << M.TABLE_BITS[k], np.uint16) for k in M.TAGGED},
-             "w": rng.normal(0.3, 0.2, (M.SETS, len(M.ORDERS) + 1)), "map": rng.random((M.SETS, M.MAP_STEPS))}
+             "code": M.byte_code(rng.integers(0, 1000, 256)), "w": rng.normal(0.3, 0.2, (M.SETS, len(M.ORDERS) + 1)), "map": rng.random((M.SETS, M.MAP_STEPS))}
+    model["packed"] = M._packed(model)
     words = pa.array([b"th" + bytes([b]) for b in range(256)], pa.binary())
     kind, z = np.ones(256, np.int64), np.zeros(256, np.int64)
     stem = M.log_probs(model, pa.array([b"th"], pa.binary()), kind[:1], z[:1])[0]
