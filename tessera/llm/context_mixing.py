@@ -65,7 +65,7 @@ SCORE_WORDS = 4_000
 TASK_WORDS = 300_000
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 18
 MERGE_TASKS = 64  # tables that are added up at a time
 
 
@@ -74,10 +74,12 @@ MERGE_TASKS = 64  # tables that are added up at a time
 def _pair_shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Square roots of the shares of hashed byte pairs, as unit rows."""
     rows = len(offs) - 1
-    row = np.repeat(np.arange(rows), np.diff(offs))
-    inside = row[:-1] == row[1:] if len(row) > 1 else np.zeros(0, bool)
-    pair = (data[:-1].astype(np.int64) * 31 + data[1:].astype(np.int64) * 7) % PAIRS if len(row) > 1 else np.zeros(0, np.int64)
-    x = np.sqrt(np.bincount((row[:-1] * PAIRS + pair)[inside] if len(row) > 1 else pair, minlength=rows * PAIRS).reshape(rows, PAIRS))
+    cell = np.repeat(np.arange(rows, dtype=np.int32) * PAIRS, np.diff(offs))
+    pair = data.astype(np.uint16)
+    cell[1:] += (pair[:-1] * np.uint16(31) + pair[1:] * np.uint16(7)) % np.uint16(PAIRS)
+    starts = offs[:-1][offs[1:] > offs[:-1]]  # the first byte of a row has no pair
+    x = np.bincount(np.delete(cell, starts) if len(cell) else cell, minlength=rows * PAIRS).reshape(rows, PAIRS)
+    x = np.sqrt(x, dtype=np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -205,7 +207,7 @@ def _vocabulary(found: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield emit(rest, np.zeros(1, np.int64))
 
-    return found.repartition("kind", "word").sortWithinPartitions("kind", "word").mapInArrow(run, VOCABULARY)
+    return found.repartition("word", "kind").sortWithinPartitions("word", "kind").mapInArrow(run, VOCABULARY)
 
 
 # The model.
@@ -307,9 +309,12 @@ def byte_counts(vocab: DataFrame) -> np.ndarray:
     """How often each byte is coded, over (kind, z, word, c)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
-        for batch in _runs(batches, 20_000):
-            (_, byte, row), _, c = _columns(batch)
-            total += np.bincount(byte, c[row], 256)
+        for batch in _runs(batches, 100_000):
+            col = lambda c: batch.column(batch.schema.names.index(c))
+            kind, c = col("kind").to_numpy(), col("c").to_numpy().astype(np.float64)
+            data, offs, row = _strings(col("word"), kind)
+            coded = (kind[row] == 0) | (np.arange(len(data)) > offs[:-1][row])
+            total += np.bincount(data[coded], c[row[coded]], 256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
     counts = np.zeros(256)
@@ -536,7 +541,6 @@ def _score_words(vocab: DataFrame, sent) -> DataFrame:
     """Add ``lp``, the log10 probability in every class that holds the word (by class; null in others)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _received(sent)
-        model["packed"] = _packed(model)
         for batch in _runs(batches, SCORE_WORDS):
             col = lambda c: batch.column(batch.schema.names.index(c))
             kind = col("kind").to_numpy().astype(np.int64)
@@ -569,7 +573,7 @@ def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp
     n = docs.num_rows
     tokens, known, base, score = np.ones(n, np.int64), np.full(n, n_ends > 0, np.int64), np.full(n, base_of(n_ends)), np.zeros(n)
     n_bytes = np.zeros(n, np.int64)
-    for first, rows, data, offs in chunks(docs["text"], RUN_BYTES):
+    for first, rows, data, offs in chunks(docs["text"]):
         data = lower_table()[data]
         z = classes_of(centres, data, offs)
         s, e, row, tails = _pieces(data, offs)
@@ -619,7 +623,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     tasks = max(1, -(-sums["v"] // TASK_WORDS))
     learnt = learnt.coalesce(tasks)
     model = learn_mixing(learnt, count_tables(learnt, tasks, byte_code(byte_counts(learnt))))
-    sent = _send(docs, model)
+    sent = _send(docs, {"packed": _packed(model), **{k: model[k] for k in ("code", "w", "map")}})
     scored = materialise(_score_words(vocab.where("kind < 2"), sent), "scored")
     sent.destroy()
     here = scored.select(F.explode("places").alias("p"), "kind", "word", "c", "lp").select(
