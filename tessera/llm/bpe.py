@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tessera.llm.textops import chunks
 
 # Pieces remembered by a task; beyond it the memory starts anew (same results).
-PIECE_MEMORY = 300_000
+PIECE_MEMORY = 200_000
 PAIR_MEMORY = 2_000_000
 # Fixed value: a pattern under which a text may be cut in front of every single space
 # (a space either starts a piece or is a piece).  Only a space between two white-space
