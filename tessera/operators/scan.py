@@ -33,6 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import attach_scalar
 from tessera.operators.sizing import num_segments, resolve_skew_safe
 from tessera.session import stored
 
@@ -195,7 +196,7 @@ def ranks(df: DataFrame, value: str, partition_by=None, ascending: bool = False,
         run = row_index(run, "_d", parts, order, skew_safe=True, num_segments=num_segments)
     totals = counts.groupBy(*parts).agg(F.sum("_c").alias("_g_n")) if "percentile" in kinds else None
     if totals is not None:
-        run = _null_safe_join(run, totals, parts) if parts else run.crossJoin(F.broadcast(totals))
+        run = _null_safe_join(run, totals, parts) if parts else attach_scalar(run, totals)
     j = _null_safe_join(df, run, [*parts, value])
     rank = F.col("_r_sum") - F.col("_c") + 1
     outs = {"rank": lambda: rank.cast("long"), "dense": lambda: F.col("_d").cast("long"), "modified": lambda: F.col("_r_sum").cast("long"),
