@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.textops import chunks
 
-# Pieces remembered by a task; beyond it the memory starts anew (same results).
-PIECE_MEMORY = 200_000
+# Parts and pieces remembered by a task: two generations of so many; what is used again moves to the new one.
+PIECE_MEMORY = 150_000
 PAIR_MEMORY = 2_000_000
 # Fixed value: a pattern under which a text may be cut in front of every single space
 # (a space either starts a piece or is a piece).  Only a space between two white-space
@@ -156,6 +156,23 @@ class BacktrackingEncoder:
                 token = shorter[token]
 
 
+class Memory:
+    """Results by text, of bounded size: when the new generation is full it becomes the old one."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+    def again(self, key: str) -> bytes | None:
+        value = self.old.get(key)
+        return value if value is None else self.keep(key, value)
+
+
 def _with_columns(batch: pa.RecordBatch, first: int, rows: int, name: str, values: pa.Array) -> pa.RecordBatch:
     part = batch.slice(first, rows)
     keep = [i for i, n in enumerate(batch.schema.names) if n != name]
@@ -178,31 +195,27 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, text: str =
         encoder = BacktrackingEncoder(parse_ranks(sent.value[0]), sent.value[1])
         pieces = regex.compile(pattern).findall
         whole_run = regex.compile(WHOLE_RUN).search
-        memory: dict[str, bytes] = {}  # parts that follow a space, without it
-
-        by_piece: dict[str, bytes] = {}
+        parts, by_piece = Memory(PIECE_MEMORY), Memory(PIECE_MEMORY)
 
         def encode_piece(piece: str) -> bytes:
-            if len(by_piece) >= PIECE_MEMORY:
-                by_piece.clear()
-            code = by_piece[piece] = array("i", encoder.encode(piece.encode("utf-8"))).tobytes()
-            return code
+            code = by_piece.again(piece)
+            return code or by_piece.keep(piece, array("i", encoder.encode(piece.encode("utf-8"))).tobytes())
 
         def encode_part(part: str) -> bytes:
-            return b"".join([by_piece.get(p) or encode_piece(p) for p in pieces(part)])
+            known = by_piece.new.get
+            return b"".join([known(p) or encode_piece(p) for p in pieces(part)])
 
-        def encode_spaced(part: str) -> bytes:
-            if len(memory) >= PIECE_MEMORY:
-                memory.clear()
-            code = memory[part] = encode_part(" " + part)
-            return code
+        def encode_spaced(part: str) -> bytes:  # parts that follow a space, without it
+            return parts.again(part) or parts.keep(part, encode_part(" " + part))
 
         def encode_text(content: str) -> bytes:
             if pattern != SPACE_CUT_PATTERN or whole_run(content):
                 return encode_part(content)
             first, *rest = content.split(" ")
-            known = memory.get
-            return b"".join([encode_part(first), *[known(p) or encode_spaced(p) for p in rest]])
+            out = [encode_part(first)]
+            for p in rest:
+                out.append(parts.new.get(p) or encode_spaced(p))
+            return b"".join(out)
 
         for batch in batches:
             col = batch.column(batch.schema.names.index(text))
