@@ -11,20 +11,22 @@ coded first and is part of some contexts.
 
 Method: every byte is coded as a path of binary decisions, shorter for bytes
 that are more common in the training words.  Several predictors,
-each a table of bit counts found by a hashed context (the last 1, 2, 3, 4 or 6
+each with bit counts found by a hashed context (the last 1, 2, 3, 4 or 6
 bytes of the word, or all its bytes so far), give a probability each; their
 logits are added with weights that a gate picks by how often the two longest
 contexts were seen; an adaptive map refines the sum from what happened at the
-same predicted probability.  Counts come from all training texts.  Weights and
-map are learnt online, batch by batch in one pass over all training words,
-predicting each word without its own occurrence; the weights of the tasks are
+same predicted probability.  Counts come from all training texts: every context
+of every training word has its own, words seen once too.  Weights and map are
+learnt online, batch by batch in one pass over all training words, predicting
+each word without its own occurrence; the weights of the blocks of words are
 averaged by the bits that they saw.
 
 At scale: texts are dealt to blocks by a hash; a block sends its distinct words
 once, so counting and looking up are one shuffle of words per block, not of
-tokens.  Tables have fixed sizes (``TABLE_BITS``) and are sums over all
-training words; the two longest contexts keep, per slot, the context seen most
-(words seen ``LONG_MIN`` times or more), told apart by a tag.
+tokens.  Distinct (class, word) pairs are dealt to blocks of about ``UNITS`` by
+a hash; each sends the sums of its (predictor, context, byte) keys to shards of
+the key range, which add all blocks up and send back the whole counts of the
+block's contexts.  No task holds a table of the whole model.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Rows: a null text counts as empty; an empty
 text is scored for its end.  Repeated rows are learnt and scored one by one; a
@@ -35,14 +37,11 @@ training texts every count is 0.  The result has its own columns only.
 from __future__ import annotations
 
 import heapq
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +51,20 @@ from tessera.llm.textops import chunks, lower_table, mix, prefix_hash, space_tab
 
 END_WORD, MORE, END_TEXT = 0xFE, 0xFE, 0xFF  # bytes that UTF-8 never uses
 ORDERS = (1, 2, 3, 4, 6, 255)  # bytes of context; 255: all of the word
+# Tables of a given size, which only ``log_probs`` reads.
 TABLE_BITS = (16, 18, 19, 20, 20, 21)
 TAGGED = (4, 5)  # predictors whose slots carry a tag
-LONG_MIN = 2
 WITH_CLASS = (0, 1, 2, 5)  # predictors whose context holds the class
 CLASSES, CLASS_SAMPLE, CLASS_BYTES, PAIRS = 6, 2000, 32_768, 512
-PART = 4096  # slots sent together
 GATES = 8
 MAP_STEPS = 33
 BATCH_WORDS = 256
 SCORE_WORDS = 4_000
-TASK_WORDS = 300_000
+UNITS = 60_000  # (class, word) pairs of a block of the model
+KEYS_OF_UNIT, SHARD_KEYS = 20, 3_000_000  # guess of the keys that a unit sends; keys of a shard
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
 RUN_BYTES = 1 << 18
-MERGE_TASKS = 64  # tables that are added up at a time
 
 
 # Classes of texts.
@@ -298,11 +296,11 @@ def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _columns(batch: pa.RecordBatch):
+def _columns(batch: pa.RecordBatch, count: str = "c"):
     col = lambda c: batch.column(batch.schema.names.index(c))
     kind = col("kind").to_numpy().astype(np.int64)
     words = _contexts(*_strings(col("word"), kind), kind, col("z").to_numpy().astype(np.int64))
-    return words, kind, col("c").to_numpy().astype(np.float64)
+    return words, kind, col(count).to_numpy().astype(np.float64)
 
 
 def byte_counts(vocab: DataFrame) -> np.ndarray:
@@ -323,85 +321,125 @@ def byte_counts(vocab: DataFrame) -> np.ndarray:
     return counts
 
 
-def count_tables(vocab: DataFrame, tasks: int, code: dict) -> dict:
-    """Bit counts of all predictors over (kind, z, word, c), c > 0, which come in ``tasks`` partitions.
+def _pair_keys(ctx: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
+    """For every predictor and coded byte: 56 bits of hash of (predictor, context), then the byte."""
+    return np.concatenate([(mix(x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & ~np.uint64(255)) | byte.astype(np.uint64)
+                           for k, x in enumerate(ctx)])
 
-    Each task fills tables of a fixed size, which are added up part by part.
-    A slot of a tagged table holds one context: within a task a new one takes
-    the slot if it was seen more often, and in the sum the tag with most counts
-    stays.
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+
+
+def _blob(x: np.ndarray) -> bytes:
+    return x.tobytes()
+
+
+def context_counts(units: DataFrame, blocks: int, shards: int) -> DataFrame:
+    """(block, keys, n): for every block of (kind, z, word, cz), the whole counts over all blocks of every
+    (predictor, context, byte) of the contexts that occur in it.
+
+    A block sends the sums of its own keys, zeros too, to the shards of the key
+    range; a shard adds all blocks up and answers each block with its contexts.
     """
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = [k for k in range(len(ORDERS)) if k not in TAGGED]
-        sums = {k: np.zeros((2, 1 << b)) for k, b in enumerate(TABLE_BITS)}
-        tags = {k: np.zeros(1 << TABLE_BITS[k], np.uint16) for k in TAGGED}
-        for batch in _runs(batches, 20_000):
-            (ctx, byte, row), kind, c = _columns(batch)
-            place, node, y = _decisions(code, byte)
-            w = c[row][place]
-            often = np.flatnonzero((w >= LONG_MIN) | (kind[row][place] == 1))
-            for k in plain:
-                slot = _slot(_keys(ctx[k][place], node), k)
-                np.add.at(sums[k].reshape(-1), slot + y * (1 << TABLE_BITS[k]), w)
-            for k in TAGGED:
-                key = _keys(ctx[k][place[often]], node[often])
-                _take_slots(tags[k], sums[k], *_by_ident((_slot(key, k) << 16) | _tag(key), w[often] * (1 - y[often]), w[often] * y[often]))
-        task = TaskContext.get().partitionId()
-        for k in range(len(ORDERS)):
-            used = np.flatnonzero(sums[k].reshape(2, -1, PART).any((0, 2)))
-            pack = lambda u, k=k: zlib.compress(sums[k][:, u * PART:(u + 1) * PART].astype(np.float32).tobytes()
-                                                + (tags[k][u * PART:(u + 1) * PART].tobytes() if k in TAGGED else b""), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()),
-                                              pa.array(np.full(len(used), task), pa.int32()), pa.array([pack(u) for u in used], pa.binary())],
-                                             names=["k", "part", "task", "n"])
-
-    def add_up(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        k, total, tag, every = key[0].as_py(), np.zeros((2, PART)), np.zeros(PART, np.uint16), []
-        for x in t["n"].to_pylist():
-            raw = zlib.decompress(x)
-            n = np.frombuffer(raw[:8 * PART], np.float32).reshape(2, PART).astype(np.float64)
-            if k in TAGGED:
-                every.append(((np.arange(PART) << 16) | np.frombuffer(raw[8 * PART:], np.uint16), n[0], n[1]))
-            else:
-                total += n
-        if every:
-            _take_slots(tag, total, *_by_ident(*(np.concatenate(x) for x in zip(*every))))
-        out = zlib.compress(total.astype(np.float32).tobytes() + (tag.tobytes() if k in TAGGED else b""), 1)
-        return pa.table({"k": pa.array([k], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
-                         "task": pa.array([0], pa.int32()), "n": pa.array([out], pa.binary())})
-
-    schema = "k int, part int, task int, n binary"
-    parts = vocab.mapInArrow(fill, schema)
-    if tasks > MERGE_TASKS:
-        parts = parts.groupBy("k", "part", F.floor(F.col("task") / MERGE_TASKS)).applyInArrow(add_up, schema)
-    counts = [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
-    tags = {k: np.zeros(1 << TABLE_BITS[k], np.uint16) for k in TAGGED}
-    for r in parts.groupBy("k", "part").applyInArrow(add_up, schema).toArrow().to_pylist():  # tables of a fixed size
-        raw, at = zlib.decompress(r["n"]), slice(r["part"] * PART, (r["part"] + 1) * PART)
-        counts[r["k"]][:, at] = np.frombuffer(raw[:8 * PART], np.float32).reshape(2, -1)
-        if r["k"] in TAGGED:
-            tags[r["k"]][at] = np.frombuffer(raw[8 * PART:], np.uint16)
-    return {"counts": counts, "tags": tags, "code": code}
-
-
-def _by_ident(ident: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums by (slot, tag); of the tags of a slot the one with most counts."""
-    ident, inv = np.unique(ident, return_inverse=True)
-    n0, n1 = np.bincount(inv, n0, len(ident)), np.bincount(inv, n1, len(ident))
-    order = np.lexsort((n0 + n1, ident >> 16))
-    slot = ident[order] >> 16
-    last = order[np.append(slot[1:] != slot[:-1], True)] if len(order) else order
-    return ident[last], n0[last], n1[last]
-
-
-def _take_slots(tags: np.ndarray, sums: np.ndarray, ident: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> None:
-    slot, tag = ident >> 16, (ident & 65535).astype(np.uint16)
-    held = sums[0, slot] + sums[1, slot]
-    same = (tags[slot] == tag) & (held > 0)
-    sums[0, slot[same]] += n0[same]
-    sums[1, slot[same]] += n1[same]
-    won = ~same & (n0 + n1 > held)
-    tags[slot[won]], sums[0, slot[won]], sums[1, slot[won]] = tag[won], n0[won], n1[won]
+    def ask(t: pa.Table) -> pa.Table:
+        found = []
+        for batch in _runs(iter(t.combine_chunks().to_batches()), SCORE_WORDS * 4):
+            (ctx, byte, row), _, c = _columns(batch, "cz")
+            found.append(_summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS))))
+        keys, n = _summed(*(np.concatenate(x) for x in zip(*found)))
+        shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        at = np.searchsorted(shard, np.arange(shards + 1))
+        use = np.flatnonzero(np.diff(at))
+        return pa.table({"shard": pa.array(use, pa.int32()), "block": pa.array(np.full(len(use), t["mb"][0].as_py()), pa.int32()),
+                         "keys": pa.array([_blob(keys[at[i]:at[i + 1]]) for i in use], pa.binary()),
+                         "n": pa.array([_blob(n[at[i]:at[i + 1]]) for i in use], pa.binary())})
+
+    def answer(t: pa.Table) -> pa.Table:
+        asked = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        keys, n = _summed(np.concatenate(asked), np.concatenate([np.frombuffer(x, np.int64) for x in t["n"].to_pylist()]))
+        keys, n = keys[n > 0], n[n > 0]
+        ctx, out = keys >> np.uint64(8), []
+        for x in asked:
+            want = x >> np.uint64(8)
+            want = want[np.append(True, want[1:] != want[:-1])]
+            lo, hi = np.searchsorted(ctx, want), np.searchsorted(ctx, want, "right")
+            at = np.arange((hi - lo).sum()) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+            out.append((_blob(keys[at]), _blob(n[at])))
+        return pa.table({"block": t["block"], "keys": pa.array([x[0] for x in out], pa.binary()), "n": pa.array([x[1] for x in out], pa.binary())})
+
+    asked = units.select("mb", "kind", "z", "word", "cz").groupBy("mb").applyInArrow(ask, "shard int, block int, keys binary, n binary")
+    return asked.groupBy("shard").applyInArrow(answer, "block int, keys binary, n binary")
+
+
+def block_models(units: DataFrame, blocks: int, shards: int) -> DataFrame:
+    """One row per block: its units in a fixed order (an Arrow stream), and the counts of their contexts."""
+    def run(u: pa.Table, a: pa.Table) -> pa.Table:
+        u = u.drop_columns(["mb"]).combine_chunks().sort_by([("kind", "ascending"), ("word", "ascending"), ("z", "ascending")])
+        u = u.take(pa.array(np.random.default_rng(7).permutation(u.num_rows))).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, u.schema) as w:
+            w.write_table(u)
+        keys, n = (np.concatenate([np.frombuffer(x, d) for x in a[c].to_pylist()] or [np.zeros(0, d)]) for c, d in (("keys", np.uint64), ("n", np.int64)))
+        order = np.argsort(keys)
+        return pa.table({"units": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "keys": pa.array([_blob(keys[order])], pa.binary()),
+                         "n": pa.array([_blob(n[order])], pa.binary())})
+
+    return units.groupBy("mb").cogroup(context_counts(units, blocks, shards).groupBy("block")).applyInArrow(run, "units binary, keys binary, n binary")
+
+
+def _models(batches: Iterator[pa.RecordBatch], code: dict) -> Iterator[tuple[pa.Table, dict]]:
+    """The blocks of a task: units and the bit counts of their contexts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            units, keys, n = (batch.column(c)[i].as_buffer() for c in ("units", "keys", "n"))
+            keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
+            ctx = keys >> np.uint64(8)
+            new = np.append(True, ctx[1:] != ctx[:-1])[:len(ctx)]
+            place, node, y = _decisions(code, (keys & np.uint64(255)).astype(np.int64))
+            nodes = (np.cumsum(new) - 1)[place] * 512 + node
+            order = np.argsort(nodes, kind="stable")
+            nodes, w, y = nodes[order], n[place[order]].astype(np.float64), y[order]
+            starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])[:len(nodes)])
+            sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (w * (1 - y), w * y)]
+            yield pa.ipc.open_stream(units).read_all().combine_chunks(), {"ctx": ctx[new], "nodes": nodes[starts], "n0": sums[0], "n1": sums[1], "code": code}
+
+
+def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool):
+    """Logits of all predictors and the gate at every decision, from whole counts; ``own``: without the
+    word's own occurrence.  With the turns, the row of each decision and the training counts of the rows."""
+    (ctx, byte, row), kind, c = _columns(batch, "cz")
+    code, n = model["code"], len(byte)
+    keys, inv = np.unique(_pair_keys(ctx, byte), return_inverse=True)
+    want = keys >> np.uint64(8)
+    at = np.minimum(np.searchsorted(model["ctx"], want), max(len(model["ctx"]) - 1, 0))
+    known = model["ctx"][at] == want if len(model["ctx"]) else np.zeros(len(want), bool)
+    path, node, turn = _decisions(code, (keys & np.uint64(255)).astype(np.int64))
+    query = np.where(known, at, -1)[path] * 512 + node
+    spot = np.minimum(np.searchsorted(model["nodes"], query), max(len(model["nodes"]) - 1, 0))
+    hit = (model["nodes"][spot] == query) if len(model["nodes"]) else np.zeros(len(query), bool)
+    n0, n1 = (np.where(hit, model[m][spot] if len(model["nodes"]) else 0, 0) for m in ("n0", "n1"))
+    if own:
+        n0, n1 = np.maximum(n0 - (1 - turn), 0), np.maximum(n1 - turn, 0)
+    logit, gate = np.log((n1 + LEAST) / (n0 + LEAST)).astype(np.float32), _gate(n0 + n1).astype(np.int8)
+    first = np.cumsum(code["size"][(keys & np.uint64(255)).astype(np.int64)])
+    first = np.append(0, first[:-1])
+    place, _, y = _decisions(code, byte)
+    size = code["size"][byte]
+    step = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
+    x = np.empty((len(ORDERS) + 1, len(place)), np.float32)
+    x[-1] = 0.3
+    seen = {}
+    for k in range(len(ORDERS)):
+        spot = first[inv[k * n:(k + 1) * n]][place] + step
+        x[k] = logit[spot]
+        if k >= 3:
+            seen[k] = gate[spot].astype(np.int64)
+    return x, _gates(seen), y, row[place], c
 
 
 def _gate(n: np.ndarray) -> np.ndarray:
@@ -413,26 +451,8 @@ def _gates(g: dict[int, np.ndarray]) -> np.ndarray:
     return np.where(g[5] > 0, 8 + g[5], np.where(g[4] > 0, 16 + g[4], g[3])).astype(np.int64)
 
 
-def _training_inputs(model: dict, ctx: list[np.ndarray], place: np.ndarray, node: np.ndarray, y: np.ndarray):
-    """Logits of all predictors and the gate, without the word's own occurrence."""
-    x = np.empty((len(ORDERS) + 1, len(node)), np.float32)
-    x[-1] = 0.3
-    seen, y = {}, y.astype(np.float32)
-    for k in range(len(ORDERS)):
-        key = _keys(ctx[k][place], node)
-        slot = _slot(key, k)
-        pair = model["pairs"][k][slot]
-        if k in TAGGED:
-            pair = pair * (model["tags"][k][slot] == _tag(key))
-        n0, n1 = np.maximum(pair.real - (1 - y), 0), np.maximum(pair.imag - y, 0)
-        x[k] = np.log((n1 + LEAST) / (n0 + LEAST))
-        if k >= 3:
-            seen[k] = _gate(n0 + n1)
-    return x, _gates(seen)
-
-
 def _scoring_inputs(model: dict, ctx: list[np.ndarray], place: np.ndarray, node: np.ndarray):
-    """The same from the whole counts, which are packed for it: logit, gate and tag of a slot in 8 bytes."""
+    """Logits and the gate from tables of a given size, packed: logit, gate and tag of a slot in 8 bytes."""
     x = np.empty((len(ORDERS) + 1, len(node)), np.float32)
     x[-1] = 0.3
     seen = {}
@@ -475,87 +495,74 @@ def _refined(p: np.ndarray, z: np.ndarray, gate: np.ndarray, table: np.ndarray)
     return np.clip((p + m) / 2, 1e-6, 1 - 1e-6)
 
 
-def _send(df: DataFrame, model: dict):
-    """Broadcast the tables, compressed: their size is fixed by ``TABLE_BITS``."""
-    return df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model, 5), 1))
-
-
-def _received(sent) -> dict:
-    return pickle.loads(zlib.decompress(sent.value))
-
-
-def learn_mixing(vocab: DataFrame, model: dict) -> dict:
-    """Mixing weights and the adaptive map, learnt online over (kind, word, c)."""
-    sent = _send(vocab, model)
+def learn_mixing(models: DataFrame, code: dict) -> dict:
+    """Mixing weights and the adaptive map, learnt online over the training words of each block and
+    averaged over the blocks by the bits that they saw."""
     k1 = len(ORDERS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _received(sent)
-        tables["pairs"] = [(n0 + 1j * n1).astype(np.complex64) for n0, n1 in tables["counts"]]
-        w = np.full((SETS, k1), 0.3)
-        power = np.full((SETS, k1), 1e-3)
-        hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
-        bits = np.zeros(SETS)
-        for batch in _runs(batches, BATCH_WORDS):
-            (ctx, byte, row), kind, c = _columns(batch)
-            place, node, y = _decisions(tables["code"], byte)
-            x, gate = _training_inputs(tables, ctx, place, node, y)
-            weight = c[row][place]
-            z = np.einsum("kn,nk->n", x, w[gate])
-            err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
-            low, share = _place(z)
-            cell = gate * MAP_STEPS + low + (share > 0.5)
-            hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
-            tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
-            mass = np.bincount(gate, weight, SETS)
-            grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
-            power += grad * grad
-            w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
-            bits += mass
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w * bits[:, None], bits, hits, tries)],
-                                             names=["w", "bits", "hits", "tries"])
-
-    rows = vocab.mapInArrow(run, "w binary, bits binary, hits binary, tries binary").toArrow().to_pylist()  # a row per task
-    sent.destroy()
+        for units, model in _models(batches, code):
+            units = units.filter(pc.greater(units["cz"], 0)).combine_chunks()
+            w = np.full((SETS, k1), 0.3)
+            power = np.full((SETS, k1), 1e-3)
+            hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
+            bits = np.zeros(SETS)
+            for batch in _runs(iter(units.to_batches()), SCORE_WORDS):
+                all_x, all_gate, all_y, row, c = _exact_inputs(model, batch, True)
+                ends = np.searchsorted(row, np.arange(0, batch.num_rows + BATCH_WORDS, BATCH_WORDS))
+                for i, j in zip(ends[:-1], ends[1:]):
+                    x, gate, y, weight = all_x[:, i:j], all_gate[i:j], all_y[i:j], c[row[i:j]]
+                    z = np.einsum("kn,nk->n", x, w[gate])
+                    err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
+                    low, share = _place(z)
+                    cell = gate * MAP_STEPS + low + (share > 0.5)
+                    hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
+                    tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
+                    mass = np.bincount(gate, weight, SETS)
+                    grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
+                    power += grad * grad
+                    w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
+                    bits += mass
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w * bits[:, None], bits, hits, tries)],
+                                                 names=["w", "bits", "hits", "tries"])
+
+    rows = models.mapInArrow(run, "w binary, bits binary, hits binary, tries binary").toArrow().to_pylist()  # a row per block
+    rows.sort(key=lambda r: (r["bits"], r["w"]))  # sums in one order
     total = {c: sum((np.frombuffer(r[c]) for r in rows), np.zeros(s)) for c, s in
              (("w", SETS * k1), ("bits", SETS), ("hits", SETS * MAP_STEPS), ("tries", SETS * MAP_STEPS))}
     bits = total["bits"][:, None]
     w = np.where(bits > 0, total["w"].reshape(SETS, k1) / np.maximum(bits, 1), 0.3)
     steps = 1 / (1 + np.exp(-(np.arange(MAP_STEPS) * 16 / (MAP_STEPS - 1) - 8)))
     hits, tries = total["hits"].reshape(SETS, -1), total["tries"].reshape(SETS, -1)
-    return model | {"w": w, "map": (hits + 8 * steps) / (tries + 8)}
+    return {"code": code, "w": w, "map": (hits + 8 * steps) / (tries + 8)}
+
+
+def _log_mix(model: dict, x: np.ndarray, gate: np.ndarray, y: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    logit = np.einsum("kn,nk->n", x, model["w"][gate])
+    p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate, model["map"])
+    return np.bincount(row, np.log10(np.where(y == 1, p, 1 - p)), rows)
 
 
 def log_probs(model: dict, words: pa.Array, kind: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """log10 probability of every string in its class."""
+    """log10 probability of every string in its class, from packed tables."""
     ctx, byte, row = _contexts(*_strings(words, kind), kind, z)
     place, node, y = _decisions(model["code"], byte)
-    x, gate = _scoring_inputs(model, ctx, place, node)
-    logit = np.einsum("kn,nk->n", x, model["w"][gate])
-    p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate, model["map"])
-    return np.bincount(row[place], np.log10(np.where(y == 1, p, 1 - p)), len(kind))
+    return _log_mix(model, *_scoring_inputs(model, ctx, place, node), y, row[place], len(kind))
+
 
+def score_units(models: DataFrame, mixing: dict) -> DataFrame:
+    """(kind, z, word, c, blocks, lp): lp is the log10 probability of the word in the class."""
+    names = ["kind", "z", "word", "c", "blocks"]
 
-def _score_words(vocab: DataFrame, sent) -> DataFrame:
-    """Add ``lp``, the log10 probability in every class that holds the word (by class; null in others)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _received(sent)
-        for batch in _runs(batches, SCORE_WORDS):
-            col = lambda c: batch.column(batch.schema.names.index(c))
-            kind = col("kind").to_numpy().astype(np.int64)
-            held = col("places")
-            at = np.repeat(np.arange(len(kind)), np.diff(held.offsets.to_numpy()))
-            pair = np.unique(at * CLASSES + held.flatten().field("z").to_numpy())
-            row, z = pair // CLASSES, pair % CLASSES
-            lp = np.full(len(kind) * CLASSES, np.nan)
-            lp[pair] = log_probs(model, col("word").take(pa.array(row)), kind[row], z)
-            bounds = pa.array(np.arange(len(kind) + 1) * CLASSES, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[col(c) for c in ("kind", "word", "c", "places")], pa.ListArray.from_arrays(bounds, pa.array(lp))],
-                                             names=["kind", "word", "c", "places", "lp"])
+        for units, model in _models(batches, mixing["code"]):
+            for batch in _runs(iter(units.to_batches()), SCORE_WORDS):
+                x, gate, y, row, _ = _exact_inputs(model, batch, False)
+                lp = _log_mix(mixing, x, gate, y, row, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lp)], names=[*names, "lp"])
 
-    return vocab.select("kind", "word", "c", "places").mapInArrow(
-        run, "kind byte, word binary, c bigint, places array<struct<block:int,z:byte>>, lp array<double>")
+    return models.mapInArrow(run, "kind byte, z byte, word binary, c bigint, blocks array<int>, lp double")
 
 
 def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp: np.ndarray, n_train: int, n_types: int, n_ends: int) -> pa.Table:
@@ -617,17 +624,17 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     for r in vocab.where("kind = 2").select("word", "c").collect():  # at most one row per class
         class_n[r["word"][0]] = r["c"]
     class_lp = np.log10((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES))
-    learnt = (vocab.where("kind < 2 AND c > 0").select("kind", "word", F.posexplode("by_class").alias("z", "c"))
-              .where("c > 0").select("kind", F.col("z").cast("byte").alias("z"), "word", "c"))
-    # Every task sends tables of a fixed size, so a task gets many words.
-    tasks = max(1, -(-sums["v"] // TASK_WORDS))
-    learnt = learnt.coalesce(tasks)
-    model = learn_mixing(learnt, count_tables(learnt, tasks, byte_code(byte_counts(learnt))))
-    sent = _send(docs, {"packed": _packed(model), **{k: model[k] for k in ("code", "w", "map")}})
-    scored = materialise(_score_words(vocab.where("kind < 2"), sent), "scored")
-    sent.destroy()
-    here = scored.select(F.explode("places").alias("p"), "kind", "word", "c", "lp").select(
-        F.col("p.block").alias("block"), F.col("p.z").alias("z"), "kind", "word", "c", F.get("lp", F.col("p.z").cast("int")).alias("lp"))
+    n_units = vocab.where("kind < 2").agg(F.coalesce(F.sum(F.size(F.array_distinct("places.z"))), F.lit(0)).alias("n")).first()["n"]
+    model_blocks = max(1, -(-n_units // UNITS), min(12, n_units // 5_000))
+    shards = max(1, -(-n_units * KEYS_OF_UNIT // SHARD_KEYS), min(12, model_blocks))
+    units = (vocab.where("kind < 2").select("kind", "word", "c", "by_class", "places", F.explode(F.array_distinct("places.z")).alias("z"))
+             .select(F.pmod(F.xxhash64("kind", "word"), F.lit(model_blocks)).cast("int").alias("mb"), "kind", "z", "word", "c",
+                     F.get("by_class", F.col("z").cast("int")).alias("cz"), F.expr("transform(filter(places, p -> p.z = z), p -> p.block)").alias("blocks")))
+    learnt = units.where("cz > 0").select("kind", "z", "word", F.col("cz").alias("c"))
+    code = byte_code(byte_counts(learnt))
+    models = materialise(block_models(units, model_blocks, shards), "models")
+    scored = materialise(score_units(models, learn_mixing(models, code)), "scored")
+    here = scored.select(F.explode("blocks").alias("block"), "z", "kind", "word", "c", "lp")
     kind = docs.schema[doc].dataType.simpleString()
 
     def score(t: pa.Table, w: pa.Table) -> pa.Table:

@@ -77,3 +77,19 @@ def test_learns_the_corpus(spark, sf_small):
                                                    "doc_id long, text string")).collect()
     worse = [r.bits_per_byte for r in both if r.doc_id >= 10_000 and r.n_tokens > 20]
     assert min(worse) > max(r.bits_per_byte for r in held)
+
+
+def test_words_seen_once_are_known(spark):
+    """Held-out words that training saw once score far better than words that it never saw."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+    once, often = [word() for _ in range(2000)], [word() for _ in range(2000)]
+    running = once + often + often
+    rnd.shuffle(running)
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:300]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:40]
+    rows = [(d, " ".join(running[20 * k:20 * k + 20])) for k, d in enumerate(train)]
+    rows += [(d, " ".join(rnd.sample(once, 20) if k % 2 else [word() for _ in range(20)])) for k, d in enumerate(held)]
+    bits = {r.doc_id: r.bits_per_byte for r in M.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    known, new = (sum(bits[d] for d in held[k::2]) / len(held[k::2]) for k in (1, 0))
+    assert known < 0.25 * new, (known, new)
