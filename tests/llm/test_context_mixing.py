@@ -79,6 +79,29 @@ def test_learns_the_corpus(spark, sf_small):
     assert min(worse) > max(r.bits_per_byte for r in held)
 
 
+def test_counts_are_whole(spark):
+    """Every (predictor, context, byte) has its whole count in every block, words seen once too."""
+    rnd = random.Random(5)
+    words = list({"".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 12))).encode() for _ in range(800)})
+    rows = [(i % 7, 0, i % 3, bytearray(w), 1 if i % 4 else rnd.randint(0, 40), 0, [0]) for i, w in enumerate(words)]
+    units = spark.createDataFrame(rows, "mb int, kind byte, z byte, word binary, cz long, c long, blocks array<int>")
+    t = pa.table({"kind": pa.array([0] * len(rows), pa.int8()), "z": pa.array([r[2] for r in rows], pa.int8()),
+                  "word": pa.array(words, pa.binary()), "cz": pa.array([r[4] for r in rows], pa.int64())})
+    (ctx, byte, row), _, c = M._columns(t.to_batches()[0], "cz")
+    want = Counter()
+    for key, n in zip(M._pair_keys(ctx, byte).tolist(), np.tile(c[row], len(M.ORDERS)).tolist()):
+        want[key] += int(n)
+    blocks = M.block_models(units, 7, 5).collect()
+    assert len(blocks) == 7
+    for b in blocks:
+        got = dict(zip(np.frombuffer(b["keys"], np.uint64).tolist(), np.frombuffer(b["n"], np.int64).tolist()))
+        assert all(want[k] == n for k, n in got.items())
+        u = pa.ipc.open_stream(pa.py_buffer(bytes(b["units"]))).read_all().combine_chunks()
+        (ctx, byte, _), _, _ = M._columns(u.to_batches()[0], "cz")
+        asked = set((M._pair_keys(ctx, byte) >> np.uint64(8)).tolist())
+        assert {k for k, n in want.items() if n and k >> 8 in asked} == set(got)
+
+
 def test_words_seen_once_are_known(spark):
     """Held-out words that training saw once score far better than words that it never saw."""
     rnd = random.Random(8)
