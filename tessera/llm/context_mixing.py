@@ -5,8 +5,8 @@ them.  The byte string of a word ends in an end mark, that of white space in a
 mark for "a word follows" or "end of text", so the product over all of them is
 a probability of the whole text.
 
-Texts fall into ``CLASSES`` classes by their byte pairs (k-means on at most
-``CLASS_SAMPLE`` training texts), which in practice are languages; the class is
+Texts fall into ``CLASSES`` classes by their byte pairs (k-means over
+every distinct training text), which in practice are languages; the class is
 coded first and is part of some contexts.
 
 Method: every byte is coded as a path of binary decisions, shorter for bytes
@@ -37,6 +37,7 @@ training texts every count is 0.  The result has its own columns only.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,8 @@ ORDERS = (1, 2, 3, 4, 6, 255)  # bytes of context; 255: all of the word
 TABLE_BITS = (16, 18, 19, 20, 20, 21)
 TAGGED = (4, 5)  # predictors whose slots carry a tag
 WITH_CLASS = (0, 1, 2, 5)  # predictors whose context holds the class
-CLASSES, CLASS_SAMPLE, CLASS_BYTES, PAIRS = 6, 2000, 32_768, 512
+CLASSES, PAIRS = 6, 512
+PACK, STARTS, STILL = 512, 4, 1e-3  # texts of a row of pair counts; sets of starts; change of a centre at which k-means ends
 GATES = 8
 MAP_STEPS = 33
 BATCH_WORDS = 256
@@ -69,32 +71,106 @@ RUN_BYTES = 1 << 18
 
 # Classes of texts.
 
-def _pair_shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs, as unit rows."""
+def _pair_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Counts of hashed byte pairs, a row for each text."""
     rows = len(offs) - 1
     cell = np.repeat(np.arange(rows, dtype=np.int32) * PAIRS, np.diff(offs))
     pair = data.astype(np.uint16)
     cell[1:] += (pair[:-1] * np.uint16(31) + pair[1:] * np.uint16(7)) % np.uint16(PAIRS)
     starts = offs[:-1][offs[1:] > offs[:-1]]  # the first byte of a row has no pair
-    x = np.bincount(np.delete(cell, starts) if len(cell) else cell, minlength=rows * PAIRS).reshape(rows, PAIRS)
-    x = np.sqrt(x, dtype=np.float32)
+    return np.bincount(np.delete(cell, starts) if len(cell) else cell, minlength=rows * PAIRS).reshape(rows, PAIRS)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of the pairs, as unit rows."""
+    x = np.sqrt(counts, dtype=np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def fit_classes(texts: pa.Array, rounds: int = 15) -> np.ndarray:
-    """Centres of the classes, by k-means with far-apart starts."""
-    parts = [_pair_shares(lower_table()[data], offs) for _, _, data, offs in chunks(texts)]
-    x = np.concatenate(parts) if parts else np.zeros((1, PAIRS))
-    rng = np.random.default_rng(1)
-    centres = x[:1]
-    while len(centres) < CLASSES:
-        far = np.maximum(1 - (x @ centres.T).max(1), 0) ** 2 + 1e-12
-        centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum())]]])
+def _pair_shares(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return _shares(_pair_counts(data, offs))
+
+
+def _pair_table(texts: DataFrame) -> DataFrame:
+    """(h, v): pair counts of every distinct text, ``PACK`` texts a row."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows, data, offs in chunks(batch.column("text")):
+                v = [zlib.compress(x.tobytes(), 1) for x in _pair_counts(lower_table()[data], offs).astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(first, rows), pa.array(v, pa.binary())], names=["h", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, PACK):
+            h = b"".join(x[:8] for x in batch.column("h").to_pylist())
+            v = zlib.compress(b"".join(zlib.decompress(x) for x in batch.column("v").to_pylist()), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([h], pa.binary()), pa.array([v], pa.binary())], names=["h", "v"])
+
+    keyed = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("h"), "text")
+    distinct = keyed.mapInArrow(count, "h binary, v binary").groupBy("h").agg(F.first("v").alias("v"))
+    return materialise(distinct.mapInArrow(pack, "h binary, v binary"), "pairs")
+
+
+def fit_classes(texts: DataFrame, rounds: int = 8) -> np.ndarray:
+    """Centres of the classes: k-means over every distinct text, with far-apart starts.
+
+    A start is drawn with its squared distance as weight, by a hash of the text;
+    a round adds up the vectors of each class.  Of ``STARTS`` sets of centres
+    that go through the same passes, the one that fits all texts best is taken.
+    """
+    table = _pair_table(texts)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for h, v in zip(batch.column("h").to_pylist(), batch.column("v").to_pylist()):
+                yield np.frombuffer(h, np.uint64), _shares(np.frombuffer(zlib.decompress(v), np.uint32).reshape(-1, PAIRS))
+
+    def start(sets: np.ndarray) -> np.ndarray | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[float, bytes]] = {}
+            for h, x in rows_of(batches):
+                for r, centres in enumerate(sets):
+                    far = np.maximum(1 - (x @ centres.T).max(1), 0).astype(np.float64) ** 2 + 1e-12 if len(centres) else np.ones(len(x))
+                    u = (mix(h + np.uint64(r * CLASSES + len(centres))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 + 2.0 ** -54
+                    draw = np.log(u) / far
+                    i = int(draw.argmax())
+                    if r not in best or draw[i] > best[r][0]:
+                        best[r] = (float(draw[i]), x[i].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([v[0] for v in best.values()], pa.float64()),
+                                              pa.array([v[1] for v in best.values()], pa.binary())], names=["r", "draw", "x"])
+
+        found = table.mapInArrow(run, "r int, draw double, x binary").toArrow().to_pylist()  # a row per task and set
+        found.sort(key=lambda f: (f["draw"], f["x"]))
+        last = {f["r"]: np.frombuffer(f["x"], np.float32) for f in found}
+        return np.stack([last[r] for r in range(STARTS)])[:, None] if last else None
+
+    def sums(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, fit = np.zeros((STARTS, CLASSES, PAIRS)), np.zeros(STARTS)
+            for _, x in rows_of(batches):
+                for r, centres in enumerate(sets):
+                    near = x @ centres.T
+                    total[r] += (near.argmax(1) == np.arange(CLASSES)[:, None]).astype(np.float32) @ x
+                    fit[r] += near.max(1).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(total.ravel(), fit).tobytes()], pa.binary())], names=["x"])
+
+        found = table.mapInArrow(run, "x binary").toArrow().to_pylist()  # a row per task
+        total = sum((np.frombuffer(f["x"]) for f in found), np.zeros(STARTS * (CLASSES * PAIRS + 1)))
+        return total[:-STARTS].reshape(STARTS, CLASSES, PAIRS), total[-STARTS:]
+
+    sets = np.zeros((STARTS, 0, PAIRS), np.float32)
+    while sets.shape[1] < CLASSES:
+        x = start(sets)
+        if x is None:
+            return np.zeros((CLASSES, PAIRS), np.float32)
+        sets = np.concatenate([sets, x], 1)
     for _ in range(rounds):
-        z = (x @ centres.T).argmax(1)
-        sums = np.stack([x[z == k].sum(0) if (z == k).any() else centres[k] for k in range(CLASSES)])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return centres
+        total, fit = sums(sets)
+        norm = np.linalg.norm(total, axis=2, keepdims=True)
+        new = np.where(norm > 0, np.round(total / np.maximum(norm, 1e-9), 6), sets).astype(np.float32)
+        still, sets = np.abs(new - sets).max() < STILL, new
+        if still:
+            break
+    return sets[int(np.round(fit / max(fit.max(), 1e-9), 6).argmax())]
 
 
 def classes_of(centres: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -608,9 +684,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     blocks = max(partitions, -(-text_bytes(docs, text) // BLOCK_BYTES))
     rows = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), (fold(F.col(doc), folds) == held_out).alias("held"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "text"), F.lit(blocks)).cast("int"))
-    sample = (rows.where(~F.col("held") & (F.octet_length("text") <= CLASS_BYTES)).select("text")
-              .orderBy(F.xxhash64("text"), "text").limit(CLASS_SAMPLE).toArrow())
-    centres = fit_classes(sample["text"].combine_chunks())
+    centres = fit_classes(rows.where(~F.col("held")).select("text"))
 
     def words(t: pa.Table) -> pa.Table:
         return _block_words(t, centres)

@@ -116,3 +116,18 @@ def test_words_seen_once_are_known(spark):
     bits = {r.doc_id: r.bits_per_byte for r in M.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     known, new = (sum(bits[d] for d in held[k::2]) / len(held[k::2]) for k in (1, 0))
     assert known < 0.25 * new, (known, new)
+
+
+def test_classes_come_from_all_distinct_texts(spark):
+    """Copies count once and long texts count: six alphabets give six classes."""
+    rnd = random.Random(4)
+    text = lambda k, n: "".join(chr(97 + 4 * k + rnd.randrange(4)) for _ in range(n))
+    texts = [text(k, 300) for k in range(5) for _ in range(20)] + [text(5, 40_000) for _ in range(3)]
+    low = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("min_by(text, xxhash64(text)) AS t").first().t
+    rows = spark.createDataFrame([(t,) for t in texts + [low] * 2500], "text string")
+    centres = M.fit_classes(rows)
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    z = M.classes_of(centres, np.concatenate(data), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    groups = [set(z[20 * k:20 * k + 20].tolist()) for k in range(6)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 6, groups
+    assert np.allclose(centres, M.fit_classes(rows.repartition(7)), atol=1e-5)
