@@ -12,6 +12,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def labelled(labels: DataFrame, label: str, folds: int = 3, held_out: int = 1, doc: str = "doc_id") -> DataFrame:
+    """(k, y): the label of every id outside the held-out fold; null ids and labels are left out."""
+    return (labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull() & (fold(F.col(doc), folds) != held_out))
+            .groupBy(F.col(doc).alias("k")).agg(F.max(label).cast("int").alias("y")))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int,
                     folds: int = 3, held_out: int = 1, doc: str = "doc_id", text: str = "text", extra: list[str] = ()) -> pa.Table:
     """At most ``per_class`` rows for each label value outside the held-out fold, as (text, label, *extra).
@@ -22,8 +28,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Both sides of the join are bounded: the ids by ``per_class``, the result
     by ``2 * per_class * max_bytes``.
     """
-    known = (labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull() & (fold(F.col(doc), folds) != held_out))
-             .groupBy(F.col(doc).alias("k")).agg(F.max(label).cast("int").alias("y")))
+    known = labelled(labels, label, folds, held_out, doc)
     picks = None
     for value in (0, 1):
         one = known.where(F.col("y") == value).orderBy(F.xxhash64("k"), "k").limit(per_class)

@@ -10,9 +10,9 @@ sample of labelled rows (``PER_CLASS`` for each label, texts up to
 table once, so a filter is a sum of table rows and documents are only scanned.
 
 The score depends on the text alone.  Thresholds are calibrated by language on
-the training sample: the lowest score at which at least ``PRECISION`` of the
-rows above it are toxic; they only serve the columns ``threshold`` and
-``flagged``.
+all labelled rows outside the held-out fold, at their own label ratio: the
+lowest score at which at least ``PRECISION`` of the rows above it are toxic;
+they only serve the columns ``threshold`` and ``flagged``.
 
 Words are runs of letters and digits, lower-cased.  Rows: a null or empty
 text has no word and scores the filters on padding.  Repeated rows score
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.sampling import labelled_sample
+from tessera.llm.sampling import fold, labelled, labelled_sample
 from tessera.llm.textops import chunks, mix, non_alnum_table, prefix_hash, span_hash, word_spans
 
 BUCKETS = 1 << 14
@@ -44,6 +44,7 @@ EPOCHS, BATCH, RATE = 7, 48, 0.08
 # Toxic rows weigh as much as the others together, up to this factor.
 MAX_WEIGHT = 6.0
 PRECISION = 0.98
+BINS = 200
 
 
 def padded_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,28 +191,45 @@ def score_texts(model: dict | None, col: pa.Array) -> np.ndarray:
     return out
 
 
-def thresholds(scores: np.ndarray, y: np.ndarray, langs: list, precision: float = PRECISION) -> dict:
-    """Per language, the lowest score at which the rows above are toxic at the wanted precision; key None: all."""
+def thresholds(rows: DataFrame, precision: float = PRECISION) -> dict:
+    """Per language, the lowest score at which the rows above are toxic at the wanted precision; key None: all.
+
+    From all of (lang, score, y), by counts per language and score bin (``BINS`` for
+    each unit of the logit); a threshold lies between two bins.
+    """
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    bins = (rows.groupBy("lang", F.floor(F.log(p / (1 - p)) * BINS).alias("bin"))
+            .agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"), F.sum("y").alias("toxic")).toArrow())
+    langs = np.array(bins["lang"].to_pylist(), object)
+    bin_, low, high, n, toxic = (bins[c].to_numpy() for c in ("bin", "low", "high", "n", "toxic"))
     out = {}
     for lang in [None, *sorted({x for x in langs if x is not None})]:
-        pick = np.array([lang is None or x == lang for x in langs], bool)
-        s, t = scores[pick], y[pick]
-        order = np.argsort(-s, kind="stable")
-        good = np.cumsum(t[order]) >= precision * np.arange(1, len(s) + 1)
-        if t.sum() and good.any():
+        pick = np.ones(len(langs), bool) if lang is None else langs == lang
+        if not toxic[pick].sum():
+            continue
+        at, inv = np.unique(-bin_[pick], return_inverse=True)  # highest bin first
+        bottom, top = np.full(len(at), np.inf), np.zeros(len(at))
+        np.minimum.at(bottom, inv, low[pick])
+        np.maximum.at(top, inv, high[pick])
+        good = np.cumsum(np.bincount(inv, toxic[pick])) >= precision * np.cumsum(np.bincount(inv, n[pick]))
+        if good.any():
             k = np.flatnonzero(good)[-1]
-            below = s[order][k + 1] if k + 1 < len(s) else 0.0
-            out[lang] = float((s[order][k] + below) / 2)
+            out[lang] = float((bottom[k] + (top[k + 1] if k + 1 < len(at) else 0.0)) / 2)
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", lang: str | None = "lang") -> tuple[dict | None, dict]:
-    """The network and the thresholds by language, from the labelled rows outside the held-out fold."""
-    sample = labelled_sample(docs, labels, label, PER_CLASS, MAX_BYTES, extra=[lang] if lang else [])
-    y = np.array(sample["y"].to_pylist(), np.float32)
-    model = fit(sample["t"].to_pylist(), y)
-    cut = thresholds(score_texts(model, sample["t"].combine_chunks()), y, sample[lang].to_pylist()) if lang and len(y) else {}
-    return model, cut
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", lang: str | None = "lang", folds: int = 3, held_out: int = 1,
+          doc: str = "doc_id", text: str = "text") -> tuple[dict | None, dict]:
+    """The network, and the thresholds by language from all labelled rows outside the held-out fold."""
+    sample = labelled_sample(docs, labels, label, PER_CLASS, MAX_BYTES, folds, held_out, doc, text)
+    model = fit(sample["t"].to_pylist(), np.array(sample["y"].to_pylist(), np.float32))
+    if not lang or model is None:
+        return model, {}
+    known = labelled(labels, label, folds, held_out, doc).select(F.col("k").alias("known_id"), "y")
+    rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc), folds) != held_out)).select(
+        F.col(doc).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    scored = score(rows, model, keep=["id", "lang"]).select("id", "lang", "score")
+    return model, thresholds(scored.join(known, F.col("id") == F.col("known_id")).select("lang", "score", "y"))
 
 
 def score(docs: DataFrame, model: dict | None, cut: dict | None = None, text: str = "text", lang: str = "lang",

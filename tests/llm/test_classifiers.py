@@ -65,6 +65,25 @@ def test_toxicity_held_out(tables):
     assert max(alike) - min(alike) < 1e-6
 
 
+def test_thresholds_cover_all_labelled_rows(tables, monkeypatch):
+    """At the true label ratio and for every language, also those that the fitting sample does not hold."""
+    docs, labels = tables
+    monkeypatch.setattr(X, "PER_CLASS", 40)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id").between(100, 130), "fr").otherwise(F.col("lang")))
+    model, cut = X.train(docs, labels)
+    kept = X.score(docs, model).join(labels.where("toxic IS NOT NULL"), "doc_id").where(fold(F.col("doc_id"), 3) != 1).where("text IS NOT NULL").collect()
+    for lang in (None, "de", "en", "fr"):
+        rows = sorted(((r.score, r.toxic) for r in kept if lang in (None, r.lang)), reverse=True)
+        hits, best = 0, None
+        for i, (s, y) in enumerate(rows):
+            hits += y
+            if hits >= X.PRECISION * (i + 1):
+                best = s
+        above = [y for s, y in rows if s >= cut[lang]]
+        assert sum(above) >= X.PRECISION * len(above)
+        assert abs(len(above) - sum(s >= best for s, _ in rows)) <= 2, (lang, best, cut[lang])
+
+
 def test_quality_held_out(tables):
     docs, labels = tables
     out = Q.score(docs, Q.train(docs, labels), attention=True)
