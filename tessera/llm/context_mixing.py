@@ -411,78 +411,105 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
 
 
-def _blob(x: np.ndarray) -> bytes:
-    return x.tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """An array by byte planes, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
-def context_counts(units: DataFrame, blocks: int, shards: int) -> DataFrame:
-    """(block, keys, n): for every block of (kind, z, word, cz), the whole counts over all blocks of every
-    (predictor, context, byte) of the contexts that occur in it.
+def _unpack(raw: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins, in order."""
+    return np.append(True, x[1:] != x[:-1])[:len(x)]
+
+
+def _own_keys(units: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block's units, in order, and their training counts in it."""
+    found = []
+    for batch in _runs(iter(units.combine_chunks().to_batches()), SCORE_WORDS * 4):
+        (ctx, byte, row), _, c = _columns(batch, "cz")
+        found.append(_summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS))))
+    return _summed(*(np.concatenate(x) for x in zip(*found)))
+
+
+ANSWER = ("m", np.uint16), ("b", np.uint8), ("n", np.int64)  # bytes seen in each context, those bytes, their counts
+
+
+def context_counts(units: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, m, b, n): for every block of (kind, z, word, cz), the whole counts over all blocks of every
+    (predictor, context, byte) of the contexts that occur in it, in the order of its contexts.
 
     A block sends the sums of its own keys, zeros too, to the shards of the key
     range; a shard adds all blocks up and answers each block with its contexts.
     """
     def ask(t: pa.Table) -> pa.Table:
-        found = []
-        for batch in _runs(iter(t.combine_chunks().to_batches()), SCORE_WORDS * 4):
-            (ctx, byte, row), _, c = _columns(batch, "cz")
-            found.append(_summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS))))
-        keys, n = _summed(*(np.concatenate(x) for x in zip(*found)))
+        keys, n = _own_keys(t)
         shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         at = np.searchsorted(shard, np.arange(shards + 1))
         use = np.flatnonzero(np.diff(at))
         return pa.table({"shard": pa.array(use, pa.int32()), "block": pa.array(np.full(len(use), t["mb"][0].as_py()), pa.int32()),
-                         "keys": pa.array([_blob(keys[at[i]:at[i + 1]]) for i in use], pa.binary()),
-                         "n": pa.array([_blob(n[at[i]:at[i + 1]]) for i in use], pa.binary())})
+                         "keys": pa.array([_pack(np.diff(keys[at[i]:at[i + 1]], prepend=np.uint64(0))) for i in use], pa.binary()),
+                         "n": pa.array([_pack(n[at[i]:at[i + 1]]) for i in use], pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        keys, n = _summed(np.concatenate(asked), np.concatenate([np.frombuffer(x, np.int64) for x in t["n"].to_pylist()]))
+        asked = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in t["keys"].to_pylist()]
+        keys, n = _summed(np.concatenate(asked), np.concatenate([_unpack(x, np.int64) for x in t["n"].to_pylist()]))
         keys, n = keys[n > 0], n[n > 0]
         ctx, out = keys >> np.uint64(8), []
         for x in asked:
             want = x >> np.uint64(8)
-            want = want[np.append(True, want[1:] != want[:-1])]
-            lo, hi = np.searchsorted(ctx, want), np.searchsorted(ctx, want, "right")
-            at = np.arange((hi - lo).sum()) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
-            out.append((_blob(keys[at]), _blob(n[at])))
-        return pa.table({"block": t["block"], "keys": pa.array([x[0] for x in out], pa.binary()), "n": pa.array([x[1] for x in out], pa.binary())})
+            want = want[_heads(want)]
+            lo = np.searchsorted(ctx, want)
+            m = np.searchsorted(ctx, want, "right") - lo
+            at = np.arange(m.sum()) + np.repeat(lo - (np.cumsum(m) - m), m)
+            out.append((m, keys[at] & np.uint64(255), n[at]))
+        return pa.table({"block": t["block"], "shard": t["shard"],
+                         **{c: pa.array([_pack(x[i].astype(d)) for x in out], pa.binary()) for i, (c, d) in enumerate(ANSWER)}})
 
     asked = units.select("mb", "kind", "z", "word", "cz").groupBy("mb").applyInArrow(ask, "shard int, block int, keys binary, n binary")
-    return asked.groupBy("shard").applyInArrow(answer, "block int, keys binary, n binary")
+    return asked.groupBy("shard").applyInArrow(answer, "block int, shard int, m binary, b binary, n binary")
 
 
-def block_models(units: DataFrame, blocks: int, shards: int) -> DataFrame:
+def block_models(units: DataFrame, shards: int) -> DataFrame:
     """One row per block: its units in a fixed order (an Arrow stream), and the counts of their contexts."""
     def run(u: pa.Table, a: pa.Table) -> pa.Table:
         u = u.drop_columns(["mb"]).combine_chunks().sort_by([("kind", "ascending"), ("word", "ascending"), ("z", "ascending")])
-        u = u.take(pa.array(np.random.default_rng(7).permutation(u.num_rows))).combine_chunks()
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, u.schema) as w:
+        with pa.ipc.new_stream(sink, u.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(u)
-        keys, n = (np.concatenate([np.frombuffer(x, d) for x in a[c].to_pylist()] or [np.zeros(0, d)]) for c, d in (("keys", np.uint64), ("n", np.int64)))
-        order = np.argsort(keys)
-        return pa.table({"units": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "keys": pa.array([_blob(keys[order])], pa.binary()),
-                         "n": pa.array([_blob(n[order])], pa.binary())})
+        a = a.sort_by("shard")
+        return pa.table({"units": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                         **{c: pa.array([_pack(np.concatenate([_unpack(x, d) for x in a[c].to_pylist()]))], pa.binary()) for c, d in ANSWER}})
+
+    return units.groupBy("mb").cogroup(context_counts(units, shards).groupBy("block")).applyInArrow(run, "units binary, m binary, b binary, n binary")
+
 
-    return units.groupBy("mb").cogroup(context_counts(units, blocks, shards).groupBy("block")).applyInArrow(run, "units binary, keys binary, n binary")
+def _whole_counts(row: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Units of a block, all keys of their contexts in order, and the counts."""
+    units = pa.ipc.open_stream(pa.py_buffer(row["units"])).read_all().combine_chunks()
+    m, b, n = (_unpack(row[c], d) for c, d in ANSWER)
+    ctx = _own_keys(units)[0] >> np.uint64(8)
+    return units, np.repeat(ctx[_heads(ctx)], m) << np.uint64(8) | b.astype(np.uint64), n
 
 
 def _models(batches: Iterator[pa.RecordBatch], code: dict) -> Iterator[tuple[pa.Table, dict]]:
     """The blocks of a task: units and the bit counts of their contexts."""
     for batch in batches:
         for i in range(batch.num_rows):
-            units, keys, n = (batch.column(c)[i].as_buffer() for c in ("units", "keys", "n"))
-            keys, n = np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)
+            units, keys, n = _whole_counts({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+            units = units.take(pa.array(np.random.default_rng(7).permutation(units.num_rows))).combine_chunks()
             ctx = keys >> np.uint64(8)
-            new = np.append(True, ctx[1:] != ctx[:-1])[:len(ctx)]
+            new = _heads(ctx)
             place, node, y = _decisions(code, (keys & np.uint64(255)).astype(np.int64))
             nodes = (np.cumsum(new) - 1)[place] * 512 + node
             order = np.argsort(nodes, kind="stable")
             nodes, w, y = nodes[order], n[place[order]].astype(np.float64), y[order]
-            starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])[:len(nodes)])
+            starts = np.flatnonzero(_heads(nodes))
             sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (w * (1 - y), w * y)]
-            yield pa.ipc.open_stream(units).read_all().combine_chunks(), {"ctx": ctx[new], "nodes": nodes[starts], "n0": sums[0], "n1": sums[1], "code": code}
+            yield units, {"ctx": ctx[new], "nodes": nodes[starts], "n0": sums[0], "n1": sums[1], "code": code}
 
 
 def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool):
@@ -706,7 +733,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
                      F.get("by_class", F.col("z").cast("int")).alias("cz"), F.expr("transform(filter(places, p -> p.z = z), p -> p.block)").alias("blocks")))
     learnt = units.where("cz > 0").select("kind", "z", "word", F.col("cz").alias("c"))
     code = byte_code(byte_counts(learnt))
-    models = materialise(block_models(units, model_blocks, shards), "models")
+    models = materialise(block_models(units, shards), "models")
     scored = materialise(score_units(models, learn_mixing(models, code)), "scored")
     here = scored.select(F.explode("blocks").alias("block"), "z", "kind", "word", "c", "lp")
     kind = docs.schema[doc].dataType.simpleString()

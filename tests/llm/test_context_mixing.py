@@ -91,12 +91,12 @@ def test_counts_are_whole(spark):
     want = Counter()
     for key, n in zip(M._pair_keys(ctx, byte).tolist(), np.tile(c[row], len(M.ORDERS)).tolist()):
         want[key] += int(n)
-    blocks = M.block_models(units, 7, 5).collect()
+    blocks = M.block_models(units, 5).collect()
     assert len(blocks) == 7
     for b in blocks:
-        got = dict(zip(np.frombuffer(b["keys"], np.uint64).tolist(), np.frombuffer(b["n"], np.int64).tolist()))
+        u, keys, n = M._whole_counts({c: bytes(v) for c, v in b.asDict().items()})
+        got = dict(zip(keys.tolist(), n.tolist()))
         assert all(want[k] == n for k, n in got.items())
-        u = pa.ipc.open_stream(pa.py_buffer(bytes(b["units"]))).read_all().combine_chunks()
         (ctx, byte, _), _, _ = M._columns(u.to_batches()[0], "cz")
         asked = set((M._pair_keys(ctx, byte) >> np.uint64(8)).tolist())
         assert {k for k, n in want.items() if n and k >> 8 in asked} == set(got)
