@@ -62,8 +62,8 @@ GATES = 8
 MAP_STEPS = 33
 BATCH_WORDS = 256
 SCORE_WORDS = 4_000
-UNITS = 60_000  # (class, word) pairs of a block of the model
-KEYS_OF_UNIT, SHARD_KEYS = 20, 3_000_000  # guess of the keys that a unit sends; keys of a shard
+UNITS = 20_000  # (class, word) pairs of a block of the model
+KEYS_OF_UNIT, SHARD_KEYS = 20, 1_000_000  # guess of the keys that a unit sends; keys of a shard
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
 RUN_BYTES = 1 << 18
