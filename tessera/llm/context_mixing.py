@@ -64,6 +64,7 @@ BATCH_WORDS = 256
 SCORE_WORDS = 4_000
 UNITS = 20_000  # (class, word) pairs of a block of the model
 KEYS_OF_UNIT, SHARD_KEYS = 20, 1_000_000  # guess of the keys that a unit sends; keys of a shard
+PIECE_KEYS = 100_000
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
 RUN_BYTES = 1 << 18
@@ -429,7 +430,7 @@ def _heads(x: np.ndarray) -> np.ndarray:
 def _own_keys(units: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a block's units, in order, and their training counts in it."""
     found = []
-    for batch in _runs(iter(units.combine_chunks().to_batches()), SCORE_WORDS * 4):
+    for batch in _runs(iter(units.combine_chunks().to_batches()), SCORE_WORDS):
         (ctx, byte, row), _, c = _columns(batch, "cz")
         found.append(_summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS))))
     return _summed(*(np.concatenate(x) for x in zip(*found)))
@@ -495,21 +496,35 @@ def _whole_counts(row: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return units, np.repeat(ctx[_heads(ctx)], m) << np.uint64(8) | b.astype(np.uint64), n
 
 
+def _bit_counts(keys: np.ndarray, n: np.ndarray, code: dict) -> dict:
+    """Bit counts of all contexts, made in pieces of ``PIECE_KEYS`` that end with a context."""
+    ctx = keys >> np.uint64(8)
+    new = _heads(ctx)
+    ident, cuts = np.cumsum(new) - 1, [0]
+    while cuts[-1] < len(keys):
+        cuts.append(int(np.searchsorted(ident, ident[min(cuts[-1] + PIECE_KEYS, len(keys)) - 1], "right")))
+    parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        place, node, y = _decisions(code, (keys[i:j] & np.uint64(255)).astype(np.int64))
+        nodes = ident[i:j][place] * 512 + node
+        order = np.argsort(nodes, kind="stable")
+        nodes, w, y = nodes[order], n[i:j][place[order]].astype(np.float64), y[order]
+        starts = np.flatnonzero(_heads(nodes))
+        parts.append((nodes[starts], np.add.reduceat(w * (1 - y), starts), np.add.reduceat(w * y, starts)))
+    nodes, n0, n1 = (np.concatenate(x) for x in zip(*parts))
+    return {"ctx": ctx[new], "nodes": nodes, "n0": n0, "n1": n1, "code": code}
+
+
 def _models(batches: Iterator[pa.RecordBatch], code: dict) -> Iterator[tuple[pa.Table, dict]]:
-    """The blocks of a task: units and the bit counts of their contexts."""
+    """The blocks of a task: units and the bit counts of their contexts, which hold until the next block."""
     for batch in batches:
         for i in range(batch.num_rows):
             units, keys, n = _whole_counts({c: batch.column(c)[i].as_py() for c in batch.schema.names})
             units = units.take(pa.array(np.random.default_rng(7).permutation(units.num_rows))).combine_chunks()
-            ctx = keys >> np.uint64(8)
-            new = _heads(ctx)
-            place, node, y = _decisions(code, (keys & np.uint64(255)).astype(np.int64))
-            nodes = (np.cumsum(new) - 1)[place] * 512 + node
-            order = np.argsort(nodes, kind="stable")
-            nodes, w, y = nodes[order], n[place[order]].astype(np.float64), y[order]
-            starts = np.flatnonzero(_heads(nodes))
-            sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (w * (1 - y), w * y)]
-            yield units, {"ctx": ctx[new], "nodes": nodes[starts], "n0": sums[0], "n1": sums[1], "code": code}
+            model = _bit_counts(keys, n, code)
+            del keys, n
+            yield units, model
+            model.clear()
 
 
 def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool):
