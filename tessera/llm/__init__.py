@@ -12,6 +12,9 @@
 ``jaccard_join``     chosen-path Jaccard join on word n-grams
 ``chat``             chat formatting with Spark expressions
 ``toxicity``         convolutional toxicity classifier
+``periodic_runs``    runs of periodic words by maximal pairs of the LCP-interval tree
+``language_gru``     language identification by a bidirectional GRU over bytes
+``whitening``        embedding whitening from the polarisation covariance
 ``queries``          the registered queries and their SQL
 """
 

@@ -207,3 +207,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.context_mixing import score_documents
 
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite embedding on the leading components of the distinct quantised vectors; ``deviation`` is null beyond 64 bits
+    (``deviation_exact`` has it)."""
+    from tessera.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained",
+        "identity_error", F.col("deviation").alias("deviation_exact"))
