@@ -218,3 +218,19 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         "vec_id", "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained",
         "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words of every document (every tenth has a planted periodic tail) and digests of them and of the collapsed text."""
+    from tessera.llm.periodic_runs import collapse, strongest, with_planted_tail
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = docs.withColumn("text", with_planted_tail("text", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    out = collapse(planted, keep=["doc_id"]).withColumn("best", strongest(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit(""))).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
