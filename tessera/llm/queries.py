@@ -234,3 +234,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit(""))).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from tessera.llm.language_gru import identify, train
+    from tessera.llm.sampling import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
