@@ -15,10 +15,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import scan
+from tessera.operators import carry, scan
 from tessera.operators.aggregates import exact_percentiles
 from tessera.operators.joins import attach_scalar
 from tessera.operators.sizing import resolve_skew_safe
+from tessera.session import stored
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -72,12 +73,16 @@ def running_countd(value: str, name: str, partition_by=None, order_by=None, skew
 def window(agg: str, value: str, name: str, partition_by=None, order_by=None,
            first: int | None = None, last: int | None = None, y: str | None = None,
            skew_safe: bool | None = None) -> Step:
-    """WINDOW_<agg>(value[, first, last]): whole partition, or a row frame
-    ``first..last`` relative to the current row.  ``corr``/``covar``/``covarp``
-    take a second column ``y``; ``median`` and ``percentile_<p>`` are exact."""
+    """WINDOW_<agg>(value[, first, last]): the whole partition, or a row frame
+    ``first..last`` relative to the current row.  With ``last`` alone the frame
+    runs from FIRST() to ``last``, with ``first`` alone from ``first`` to LAST().
+    ``corr``/``covar``/``covarp`` take a second column ``y``; ``median`` and
+    ``percentile_<p>`` are exact and take bounded frames or the whole partition;
+    ``countd`` counts distinct non-null values in any frame."""
     parts = _names(partition_by)
+    percentile = agg == "median" or agg.startswith("percentile_")
 
-    def agg_col(extra=None):
+    def agg_col():
         if agg in _PAIR_AGGS:
             return _PAIR_AGGS[agg](value, y)
         if agg == "median":
@@ -90,20 +95,81 @@ def window(agg: str, value: str, name: str, partition_by=None, order_by=None,
 
     def step(df: DataFrame) -> DataFrame:
         if first is None and last is None:
-            if agg == "median" or agg.startswith("percentile_"):
+            if percentile:
                 p = 0.5 if agg == "median" else float(agg.split("_", 1)[1])
                 pct = exact_percentiles(parts, value, {name: p})(df)
                 if not parts:
                     return attach_scalar(df, pct)
                 return _join_back(df, pct, parts)
             return _attach_partition_agg(df, parts, [agg_col().alias(name)])
-        lo = first if first is not None else 0
-        hi = last if last is not None else 0
-        return scan.framed(df, {name: lambda w: agg_col().over(w.rowsBetween(lo, hi))},
-                           parts, order_by, lo, hi, skew_safe=skew_safe)
+        if agg == "countd":
+            return _framed_countd(df, value, name, parts, order_by, first, last, skew_safe)
+        if first is None or last is None:
+            if percentile:
+                raise ValueError("WINDOW_MEDIAN and WINDOW_PERCENTILE take a bounded frame or the whole partition")
+            return _half_open(df, agg, value, y, name, parts, order_by, first, last, skew_safe)
+        return scan.framed(df, {name: lambda w: agg_col().over(w.rowsBetween(first, last))},
+                           parts, order_by, first, last, skew_safe=skew_safe)
     return step
 
 
+def _half_open(df: DataFrame, agg: str, value: str, y: str | None, name: str, parts: list[str], order_by, first: int | None,
+               last: int | None, skew_safe: bool | None) -> DataFrame:
+    """Frames FIRST()..last and first..LAST(): a running aggregate (of the reversed order for the second), read ``last``
+    rows further on; past the end of the partition it is the partition's own."""
+    skew_safe = resolve_skew_safe(df, skew_safe)
+    out = scan.row_index(df, "_tsr_p", parts, order_by, skew_safe=skew_safe)
+    order, k = ("_tsr_p", last) if first is None else (("_tsr_p", "desc"), -first)
+    moments = agg not in ("sum", "avg", "min", "max", "count")
+    if moments:
+        out = carry.running_moments(out, value, y if agg in _PAIR_AGGS else None, parts, order, prefix="_tsr_m_", skew_safe=skew_safe)
+        out = out.withColumn("_tsr_r", carry.statistic(agg, "_tsr_m_"))
+    else:
+        out = scan.running(out, value, parts, order, aggs=(agg,), prefix="_tsr_r_", skew_safe=skew_safe).withColumnRenamed(f"_tsr_r_{agg}", "_tsr_r")
+    got = F.col("_tsr_r")
+    if k:
+        shift = (lambda w: F.lag("_tsr_r", -k).over(w)) if k < 0 else (lambda w: F.lead("_tsr_r", k).over(w))
+        out = scan.framed(out, {"_tsr_s": shift}, parts, order, min(k, 0), max(k, 0), skew_safe=skew_safe)
+        got = F.col("_tsr_s")
+    if k > 0:
+        # The last k rows of the order see the whole partition: the running value of its last row.
+        n = F.count(F.lit(1)).alias("_tsr_n")
+        end = F.max_by("_tsr_r", "_tsr_p") if first is None else F.min_by("_tsr_r", "_tsr_p")
+        out = stored(out, "frames")
+        out = _attach_partition_agg(out, parts, [n, end.alias("_tsr_e")])
+        place = F.col("_tsr_p") if first is None else F.col("_tsr_n") + 1 - F.col("_tsr_p")
+        got = F.when(place + k > F.col("_tsr_n"), F.col("_tsr_e")).otherwise(got)
+    if agg == "count":
+        got = F.coalesce(got, F.lit(0))  # an empty frame
+    return out.withColumn(name, got).drop("_tsr_p", "_tsr_r", "_tsr_s", "_tsr_n", "_tsr_e", *[f"_tsr_m_{c}" for c in carry.TWO])
+
+
+def _framed_countd(df: DataFrame, value: str, name: str, parts: list[str], order_by, first: int | None, last: int | None,
+                   skew_safe: bool | None) -> DataFrame:
+    """COUNTD over a frame: each row is its value's first one in the frames of an interval of rows, which starts after the
+    frames that still hold the previous occurrence; +1 and -1 at the interval's ends, and a running sum of those."""
+    skew_safe = resolve_skew_safe(df, skew_safe)
+    # Numbered once and stored: both uses see the same numbers, whatever the ties.
+    rows = stored(scan.row_index(df, "_tsr_p", parts, order_by, skew_safe=skew_safe), "frames")
+    seen = rows.where(F.col(value).isNotNull()).select(*parts, F.col(value).alias("_tsr_v"), "_tsr_p")
+    seen = scan.framed(seen, {"_tsr_q": lambda w: F.lag("_tsr_p", 1).over(w)}, [*parts, "_tsr_v"], "_tsr_p", -1, 0, skew_safe=skew_safe)
+    p, q = F.col("_tsr_p"), F.col("_tsr_q")
+    # With FIRST() a frame holds every earlier occurrence, with LAST() every later one.
+    start = F.lit(1) if last is None else p - last
+    if first is not None:
+        start = F.greatest(start, F.coalesce(q - first + 1, F.lit(1)))
+        ends = F.array(F.struct(F.greatest(start, F.lit(1)).alias("at"), F.lit(1).alias("d")), F.struct((p - first + 1).alias("at"), F.lit(-1).alias("d")))
+        live = F.greatest(start, F.lit(1)) <= p - first
+    else:
+        ends = F.array(F.struct(F.greatest(start, F.lit(1)).alias("at"), F.lit(1).alias("d")))
+        live = q.isNull()
+    events = (seen.where(live).select(*parts, F.explode(ends).alias("_tsr_x")).groupBy(*parts, F.col("_tsr_x.at").alias("_tsr_p"))
+              .agg(F.sum("_tsr_x.d").alias("_tsr_d")))
+    out = scan._null_safe_join(rows, events, [*parts, "_tsr_p"]).withColumn("_tsr_d", F.coalesce("_tsr_d", F.lit(0)))
+    out = scan.running(out, "_tsr_d", parts, "_tsr_p", aggs=("sum",), prefix="_tsr_r_", skew_safe=skew_safe)
+    return out.withColumn(name, F.col("_tsr_r_sum").cast("long")).drop("_tsr_p", "_tsr_d", "_tsr_r_sum")
+
+
 def _join_back(df: DataFrame, agg: DataFrame, parts: list[str]) -> DataFrame:
     r = agg.withColumnsRenamed({p: f"_tc_{p}" for p in parts})
     cond = None
@@ -181,6 +247,13 @@ def previous_value(value: str, seed, name: str, partition_by=None, order_by=None
     return lambda df: scan.framed(df, {name: fn}, partition_by, order_by, -1, 0, skew_safe=skew_safe)
 
 
+def recurrence(name: str, seed, rate=1.0, flow=0.0, lower=None, upper=None, partition_by=None, order_by=None,
+               skew_safe: bool | None = None) -> Step:
+    """A formula that uses PREVIOUS_VALUE(seed) of itself: ``PREVIOUS_VALUE(seed) * rate + flow``, kept between ``lower`` and
+    ``upper``.  Balances, decayed totals, compounded growth and stock levels are of this form; see :func:`carry.recurrence`."""
+    return lambda df: carry.recurrence(df, name, seed, rate, flow, lower, upper, partition_by, order_by, skew_safe=skew_safe)
+
+
 def total(base: DataFrame, partition_by: Sequence[str], aggs: dict[str, Column]) -> Step:
     """TOTAL(agg): the aggregate re-computed from the *base rows* at the
     partition level (never an average of averages), joined onto the view."""

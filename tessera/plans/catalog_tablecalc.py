@@ -157,3 +157,74 @@ def q_running_raw(spark, d):
     out = li.transform(tc.running("sum", "l_extendedprice", "running_price", ["l_returnflag"],
                                   ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("running_price", 2).alias("running_price"))
+
+
+# frames from the first row or to the last one, and distinct values in moving frames
+_FROM, _TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND", "AND UNBOUNDED FOLLOWING"
+for _agg, _sql in [("sum", "sum"), ("max", "max"), ("count", "count")]:
+    _reg(f"tc_window_{_agg}_half_open",
+         lambda df, _a=_agg: df.transform(tc.window(_a, "sales", "upto", PART, ORD, None, 2))
+         .transform(tc.window(_a, "sales", "since", PART, ORD, -1, None)),
+         {"upto": {"count": False}.get(_agg, 2), "since": {"count": False}.get(_agg, 2)},
+         {"upto": f"{_sql}(sales) OVER ({_P} {_FROM} 2 FOLLOWING)", "since": f"{_sql}(sales) OVER ({_P} ROWS BETWEEN 1 PRECEDING {_TO})"})
+for _agg, _sql in [("var", "var_samp"), ("stdevp", "stddev_pop")]:
+    _reg(f"tc_window_{_agg}_half_open",
+         lambda df, _a=_agg: df.transform(tc.window(_a, "n", "upto", PART, ORD, None, 0))
+         .transform(tc.window(_a, "n", "since", PART, ORD, 2, None)),
+         {"upto": True, "since": True},
+         {"upto": f"{_sql}(n) OVER ({_P} {_FROM} CURRENT ROW)", "since": f"{_sql}(n) OVER ({_P} ROWS BETWEEN 2 FOLLOWING {_TO})"})
+for _agg, _sql in [("corr", "corr"), ("covarp", "covar_pop")]:
+    _reg(f"tc_window_{_agg}_half_open",
+         lambda df, _a=_agg: df.withColumn("k", F.month("month"))
+         .transform(tc.window(_a, "n", "upto", PART, ORD, None, -1, y="k"))
+         .transform(tc.window(_a, "n", "since", PART, ORD, 0, None, y="k")),
+         {"upto": 8, "since": 8},
+         {"upto": f"{_sql}(n, month(month)) OVER ({_P} {_FROM} 1 PRECEDING)",
+          "since": f"{_sql}(n, month(month)) OVER ({_P} ROWS BETWEEN CURRENT ROW {_TO})"})
+
+
+@register("tc_window_countd", """WITH o AS (SELECT l_returnflag AS flag, l_partkey AS part, row_number() OVER (PARTITION BY l_returnflag
+  ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem),
+ moves AS (SELECT flag, part, p, lag(p) OVER (PARTITION BY flag, part ORDER BY p) AS q FROM o)
+SELECT flag, part, p, (SELECT count(*) FROM moves b WHERE b.flag = a.flag AND b.p BETWEEN a.p - 20 AND a.p + 5
+  AND (b.q IS NULL OR b.q < a.p - 20)) AS around,
+ CAST(sum(CASE WHEN q IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY flag ORDER BY p) AS BIGINT) AS so_far FROM moves a""")
+def q_window_countd(spark, d):
+    # Three flags hold all rows: distinct parts among the 20 rows before and 5 after each row, and since the first row.
+    li = Tables(spark, d).lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"), "l_shipdate", "l_orderkey",
+                                          "l_linenumber", "l_suppkey")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "part", "l_suppkey"]
+    out = (li.transform(tc.index("p", ["flag"], order))
+           .transform(tc.window("countd", "part", "around", ["flag"], ["p"], -20, 5))
+           .transform(tc.window("countd", "part", "so_far", ["flag"], ["p"], None, 0)))
+    return out.select("flag", "part", "p", "around", "so_far")
+
+
+_STEPS = "(SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {o}) AS i FROM {t})"
+
+
+@register("tc_previous_value_recursive", f"""WITH RECURSIVE v AS {_STEPS.format(k='prio', o='month', t=VIEW_SQL)},
+ r AS (SELECT prio, month, i, n, least(400::DOUBLE, greatest(0, 75 + n::DOUBLE)) AS stock, n::DOUBLE AS total FROM v WHERE i = 1
+  UNION ALL SELECT v.prio, v.month, v.i, v.n, least(400::DOUBLE, greatest(0, r.stock * 0.75::DOUBLE + v.n)), r.total * 1.02::DOUBLE + v.n
+  FROM r JOIN v ON v.prio = r.prio AND v.i = r.i + 1)
+SELECT prio, month, round(stock, 6) AS stock, round(total, 6) AS total FROM r""")
+def q_previous_recursive(spark, d):
+    """Formulas on their own previous value: a decayed stock between bounds, and compounded growth."""
+    out = (view(spark, d).transform(tc.recurrence("stock", 100.0, 0.75, F.col("n"), 0.0, 400.0, PART, ORD))
+           .transform(tc.recurrence("total", 0.0, 1.02, F.col("n"), partition_by=PART, order_by=ORD)))
+    return out.select("prio", "month", F.round("stock", 6).alias("stock"), F.round("total", 6).alias("total"))
+
+
+@register("tc_running_balance_raw", f"""WITH RECURSIVE v AS {_STEPS.format(k='o_custkey', o='o_orderdate, o_orderkey', t='orders')},
+ r AS (SELECT o_custkey, o_orderkey, i, least(250000.0, greatest(0.0, 1000.0 + CASE WHEN o_orderstatus = 'F' THEN -o_totalprice
+   ELSE o_totalprice END)) AS b FROM v WHERE i = 1
+  UNION ALL SELECT v.o_custkey, v.o_orderkey, v.i, least(250000.0, greatest(0.0, r.b + CASE WHEN v.o_orderstatus = 'F'
+   THEN -v.o_totalprice ELSE v.o_totalprice END)) FROM r JOIN v ON v.o_custkey = r.o_custkey AND v.i = r.i + 1)
+SELECT o_custkey, o_orderkey, round(b, 2) AS balance FROM r""")
+def q_balance_raw(spark, d):
+    """A balance with a floor and a ceiling over raw rows, by customer."""
+    price = F.col("o_totalprice")
+    out = Tables(spark, d).orders.transform(tc.recurrence(
+        "b", 1000.0, flow=F.when(F.col("o_orderstatus") == "F", -price).otherwise(price), lower=0.0, upper=250000.0,
+        partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"]))
+    return out.select("o_custkey", "o_orderkey", F.round("b", 2).alias("balance"))
