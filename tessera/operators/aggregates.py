@@ -165,47 +165,60 @@ def totals(groups: Sequence[str], aggs: Mapping[str, Column], kind: str = "rollu
 # Rank error of the sketch is one in ACCURACY; the bracket reaches MARGIN of the rows to both sides.
 ACCURACY = 10_000
 MARGIN = 0.001
+# Groups of at most so many values are left to Spark's percentile.
+FEW = 4000
 
 
 def exact_percentiles(groups: Sequence[str], value: str, ps: Mapping[str, float], num_segments: int | None = None) -> Step:
     """Exact interpolated percentiles per group without gathering or sorting a group.
 
     1. One pass of partial aggregates: rows and a quantile sketch per group.  The
-       sketch brackets each target rank (by ten times its rank error; a group
-       of few rows is bracketed whole).
+       sketch brackets each target rank (by ten times its rank error).  Groups of
+       at most ``FEW`` values go to Spark's own ``percentile``.
     2. A second pass, with the brackets attached, counts the rows below each
        bracket and counts the values inside it, each distinct value once.
     3. A running count over those few values finds the values at the two ranks
        around ``1 + (n-1) p``, which are interpolated.
 
-    Same definition as Spark ``percentile`` and DuckDB ``quantile_cont``.  No
-    pass shuffles the rows (a brackets table too large to broadcast is joined on
-    the groups, which Spark can split); equal values are counted, not sorted.
+    Same definition as Spark ``percentile`` and DuckDB ``quantile_cont``; a group with
+    only nulls gives nulls.  Large groups' rows are not shuffled (a brackets table
+    too large to broadcast is joined on the groups, which Spark can split); equal
+    values are counted, not sorted.  A rank outside its bracket is an error.
     Integers and decimals are compared as doubles, as those two do.
     """
     groups = list(groups)
     names = list(ps)
 
     def step(df: DataFrame) -> DataFrame:
-        base = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(value).cast("double").alias("_v")).filter(
-            F.col("_v").isNotNull())
+        base = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(value).cast("double").alias("_v"))
         keys = [f"_g{i}" for i in range(len(groups))]
         marks = sorted({round(min(1.0, max(0.0, ps[nm] + d)), 12) for nm in names for d in (-MARGIN, MARGIN)})
-        few = int(4 / MARGIN)
         sketch = base.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
             F.percentile_approx("_v", [float(m) for m in marks], ACCURACY).alias("_q"))
         at = lambda p, d: F.col("_q")[marks.index(round(min(1.0, max(0.0, p + d)), 12))]
         spec = [F.struct(
             F.lit(nm).alias("p"), (F.lit(1.0) + (F.col("_n") - 1) * float(ps[nm])).alias("h"),
-            F.when((F.col("_n") <= few) | (F.lit(ps[nm] - MARGIN) <= 0), F.col("_min")).otherwise(at(ps[nm], -MARGIN)).alias("lo"),
-            F.when((F.col("_n") <= few) | (F.lit(ps[nm] + MARGIN) >= 1), F.col("_max")).otherwise(at(ps[nm], MARGIN)).alias("hi")) for nm in names]
-        brackets = stored(sketch.select(*keys, F.array(*spec).alias("_b")), "brackets")
+            F.when(F.lit(ps[nm] - MARGIN <= 0), F.col("_min")).otherwise(at(ps[nm], -MARGIN)).alias("lo"),
+            F.when(F.lit(ps[nm] + MARGIN >= 1), F.col("_max")).otherwise(at(ps[nm], MARGIN)).alias("hi")) for nm in names]
+        brackets = stored(sketch.select(*keys, (F.col("_n") > FEW).alias("_many"), F.array(*spec).alias("_b")), "brackets")
         if keys:
             side = broadcast_if_small(brackets.withColumnsRenamed({k: f"_b{k}" for k in keys}))
             rows = base.join(side, _ns_cond(keys, [f"_b{k}" for k in keys]))
         else:
             rows = attach_scalar(base, brackets)
+        sizes = brackets.agg(F.max("_many").alias("many"), F.min("_many").alias("few")).first()
+        found = []
+        if not sizes["many"] or not sizes["few"]:
+            # Groups of few rows (or none but nulls): Spark's own percentile holds their values.
+            few = rows if not sizes["many"] else rows.where(~F.col("_many"))
+            found.append(few.groupBy(*keys).agg(*[F.percentile("_v", float(ps[nm])).alias(nm) for nm in names]))
+        if sizes["many"]:
+            found.append(bracketed(rows if sizes["few"] else rows.where("_many"), keys))
+        out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        return out.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], *names)
+
+    def bracketed(rows: DataFrame, keys: list[str]) -> DataFrame:
         below = rows.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_c{i}") for i in range(len(names))])
         inside = rows.select(*keys, "_v", F.explode(F.filter("_b", lambda b: F.col("_v").between(b["lo"], b["hi"]))).alias("_t")).groupBy(
             *keys, F.col("_t.p").alias("_p"), F.col("_t.h").alias("_h"), "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -222,8 +235,9 @@ def exact_percentiles(groups: Sequence[str], value: str, ps: Mapping[str, float]
             lo_v = F.max(F.when(mine & holds(F.floor("_h")), F.col("_v")))
             hi_v = F.max(F.when(mine & holds(F.ceil("_h")), F.col("_v")))
             frac = F.max(F.when(mine, F.col("_h") - F.floor("_h")))
-            aggs.append((lo_v + (hi_v - lo_v) * frac).alias(nm))
-        return ranked.groupBy(*keys).agg(*aggs).select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], *names)
+            outside = F.raise_error(F.lit(f"percentile {nm}: the target rank lies outside its bracket; raise aggregates.MARGIN")).cast("double")
+            aggs.append(F.when(lo_v.isNull() | hi_v.isNull(), outside).otherwise(lo_v + (hi_v - lo_v) * frac).alias(nm))
+        return ranked.groupBy(*keys).agg(*aggs)
     return step
 
 

@@ -57,6 +57,57 @@ def q_kpi_tumbling(spark, d):
     return out.withColumn("total", F.round("total", 2))
 
 
+# Arrival in three files: the first third of the time span, the second third, and the rest; every tenth event comes in
+# the last file whatever its time, and every seventh event of the first file comes again in the second.
+_SPAN = "(SELECT min(ts) AS lo, max(ts) - min(ts) AS span FROM events)"
+_ARRIVALS_SQL = f"""arrivals AS (SELECT e.*, CASE WHEN event_id % 10 = 0 OR ts >= lo + span * 2 / 3 THEN 2 WHEN ts >= lo + span / 3 THEN 1
+  ELSE 0 END AS b FROM events e, {_SPAN}), files AS (SELECT * FROM arrivals UNION ALL SELECT * REPLACE (1 AS b) FROM arrivals
+  WHERE b = 0 AND event_id % 7 = 0), marks AS (SELECT b, max(epoch_ms(ts)) - 86400000 AS top FROM files GROUP BY b),
+ timed AS (SELECT f.*, epoch_ms(ts) AS ms, coalesce((SELECT max(top) FROM marks m WHERE m.b < f.b), 0) AS wm FROM files f)"""
+
+
+def _arrivals(spark, d) -> str:
+    e = Tables(spark, d).events
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    at = lambda k: F.lit(lo + (hi - lo) * k / 3)
+    b = F.when((F.col("event_id") % 10 == 0) | (F.col("ts") >= at(2)), 2).when(F.col("ts") >= at(1), 1).otherwise(0)
+    path = inc.scratch_path(spark, "arrivals")
+    for k in range(3):
+        again = e.where((b == 0) & (F.col("event_id") % 7 == 0)) if k == 1 else e.limit(0)
+        e.where(b == k).unionByName(again).coalesce(1).write.parquet(f"{path}/file{k}")
+    return path
+
+
+def _arriving(spark, d):
+    return (spark.readStream.schema(Tables(spark, d).events.schema).option("maxFilesPerTrigger", 1).parquet(f"{_arrivals(spark, d)}/*"))
+
+
+@register("inc_append_late", f"""WITH {_ARRIVALS_SQL} SELECT event_id, CASE WHEN ms < wm THEN 'late'
+  WHEN row_number() OVER (PARTITION BY event_id, ms < wm ORDER BY b) > 1 THEN 'duplicate' ELSE 'new' END AS status,
+  round(value, 6) AS value FROM timed""")
+def q_append_late(spark, d):
+    """Three arrivals with late and repeated rows: written and quarantined rows together are all rows."""
+    sink = inc.scratch_path(spark, "checked-sink")
+    inc.append_checked(_arriving(spark, d), "event_id", "ts", sink, sink + "-checkpoint", "1 day", "400 days")
+    cols = ["event_id", F.round("value", 6).alias("value")]
+    return inc.appended(spark, sink).select(*cols, F.lit("new").alias("status")).unionByName(
+        inc.quarantined(spark, sink).select(*cols, F.col(inc.STATUS).alias("status"))).select("event_id", "status", "value")
+
+
+@register("str_kpi_calendar", f"""WITH {_ARRIVALS_SQL} SELECT date_trunc('month', ts) AS window_start,
+  date_trunc('month', ts) + INTERVAL 1 MONTH AS window_end, event_type, count(*) AS events, round(sum(value), 2) AS total,
+  max(value) AS top, epoch_ms(date_trunc('month', any_value(ts)) + INTERVAL 1 MONTH) <= (SELECT max(top) FROM marks) AS closed
+  FROM timed WHERE epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) > (SELECT coalesce(max(top), 0) FROM marks m WHERE m.b < timed.b - 1)
+  GROUP BY 1, 2, 3""")
+def q_kpi_calendar(spark, d):
+    """Monthly KPIs of the three arrivals; a row whose day an earlier batch has closed does not count (a batch closes days by
+    the events of the batches before it)."""
+    sink = inc.scratch_path(spark, "calendar-sink")
+    out, _ = kpi.calendar_stream(spark, _arriving(spark, d), "ts", "month", ["event_type"], {
+        "events": ("count", F.lit(1)), "total": ("sum", F.col("value")), "top": ("max", F.col("value"))}, sink, sink + "-checkpoint")
+    return out.withColumn("total", F.round("total", 2))
+
+
 @register("kpi_vs_target", """SELECT date_trunc('month', o_orderdate) AS period, round(sum(o_totalprice), 2) AS actual,
   CAST(3000000.0 AS DOUBLE) AS target, round(sum(o_totalprice) - 3000000.0, 2) AS variance,
   round(sum(o_totalprice) / 3000000.0, 8) AS attainment,
@@ -97,6 +148,16 @@ def q_table_diff(spark, d):
     return inc.table_diff(old, new, ["o_orderkey"])
 
 
+@register("inc_row_diff", f"""SELECT o_custkey, o_orderstatus, CAST(sum(o) AS BIGINT) AS n_old, CAST(sum(n) AS BIGINT) AS n_new FROM (
+  SELECT nullif(o_custkey % 50, 0) AS o_custkey, o_orderstatus, 1 AS o, 0 AS n FROM {_OLD_SQL}
+  UNION ALL SELECT nullif(o_custkey % 50, 0), o_orderstatus, 0, 1 FROM {_NEW_SQL}) GROUP BY 1, 2""")
+def q_row_diff(spark, d):
+    # Repeated rows and null keys on both sides.
+    some = lambda t: t.select(F.nullif(F.col("o_custkey") % 50, F.lit(0)).alias("o_custkey"), "o_orderstatus")
+    old, new = _snapshots(Tables(spark, d))
+    return inc.row_diff(some(old), some(new), ["o_custkey"])
+
+
 @register("inc_merge_preserve", f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
   CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_custkey ELSE a.o_custkey END AS o_custkey,
   CASE WHEN b.o_orderkey IS NOT NULL THEN b.o_orderstatus ELSE a.o_orderstatus END AS o_orderstatus,

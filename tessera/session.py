@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -73,8 +75,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def stored(df, name: str):
     """The rows of ``df``, written once to the shared checkpoint folder and read from there: every later
-    use sees the same rows, and a lost executor costs no recomputation."""
+    use sees the same rows, and a lost executor costs no recomputation.
+
+    Columns that files cannot hold as they are come back all the same: names that differ by case only or occur
+    twice, intervals (written as text) and void columns.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kinds = [f.dataType.typeName() for f in df.schema.fields]
+    plain = len({c.lower() for c in df.columns}) == len(df.columns) and not {"void", "interval"} & set(kinds)
+    flat = df if plain else df.toDF(*[f"c{i}" for i in range(len(kinds))])
+    if not plain:
+        flat = flat.select(*[F.col(c).cast("string") if k == "interval" else F.col(c) for c, k in zip(flat.columns, kinds) if k != "void"],
+                           *([F.lit(0).alias("rows")] if set(kinds) == {"void"} else []))
+    flat.write.parquet(path)
+    back = spark.read.schema(flat.schema).parquet(path)
+    if plain:
+        return back
+    restored = [F.lit(None) if k == "void" else F.col(f"c{i}").cast("interval") if k == "interval" else F.col(f"c{i}")
+                for i, k in enumerate(kinds)]
+    return back.select(*[c.alias(f"c{i}") for i, c in enumerate(restored)]).toDF(*df.columns)
+
+
+def discard(spark: SparkSession, older_than_hours: float = 0.0) -> int:
+    """Remove the tables that :func:`stored` left in the shared checkpoint folder, if they were last written more than
+    ``older_than_hours`` ago; returns how many.  For the caller, once no DataFrame that reads them is used any more."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("tessera-")
+           and s.getModificationTime() <= time.time() * 1000 - older_than_hours * 3_600_000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)

@@ -10,10 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from tessera.operators import reshape
 from tessera.session import checkpoint_dir
 
 
@@ -106,7 +111,7 @@ def append_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
     de-duplication of the key within the watermark -> parquet file sink with a
     checkpoint (exactly-once file sink).  Runs with ``availableNow`` and
     returns the finished query; ``kpi.late_rows`` tells how many rows came after
-    the watermark had passed and were not written."""
+    the watermark had passed and were not written (:func:`append_checked` keeps them)."""
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(source_dir)
               .withColumn("_event_time", F.col(event_time).cast("timestamp"))
               .withWatermark("_event_time", delay)
@@ -118,38 +123,144 @@ def append_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
     return q
 
 
+class _Sorter(StatefulProcessor):
+    """Marks the rows of a key: ``new``, ``duplicate`` (within the horizon of the last new one), ``late`` or ``no_time``.
+
+    The state is the event time of the key's last new row; an event-time timer at the end of its horizon drops it.
+    """
+
+    def __init__(self, horizon_ms: int):
+        self.horizon = horizon_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        kept = before = self.kept.get()[0] if self.kept.exists() else None
+        on_time = []
+        for row in rows:
+            if row["ms"] is None:
+                yield Row(row=row["row"], status="no_time")
+            elif row["ms"] < watermark:
+                yield Row(row=row["row"], status="late")
+            else:
+                on_time.append((row["ms"], row["row"]))
+        # Within a batch the earliest row is the new one, whatever the order of arrival.
+        for ms, row in sorted(on_time, key=lambda r: (r[0], str(r[1]))):
+            new = kept is None or abs(ms - kept) >= self.horizon
+            kept = ms if new else kept
+            yield Row(row=row, status="new" if new else "duplicate")
+        if kept != before:
+            self.kept.update((kept,))
+            self.handle.registerTimer(kept + self.horizon)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.kept.exists() and self.kept.get()[0] + self.horizon <= expiredTimerInfo.getExpiryTimeInMs():
+            self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATUS = "_status"
+
+
+def append_checked(stream: DataFrame, key: str, event_time: str, sink_path: str, checkpoint: str, delay: str = "1 day",
+                   horizon: str = "30 days"):
+    """Stream ingest that keeps every row: new rows of each key, and beside them those that are not.
+
+    A row whose event time is before the watermark (the latest event time of earlier batches less ``delay``) is
+    ``late``; one of a key that already has a new row less than ``horizon`` away in event time is a ``duplicate``;
+    one without event time is ``no_time``.  All go to ``sink_path``, by batch and status; a batch that is repeated
+    overwrites its own folder.  Read them with :func:`appended` and :func:`quarantined`: together they are all
+    rows.  Null keys are one key.  Keyed state is one number, dropped by an event-time timer; it lives in RocksDB, so
+    it may outgrow memory.  The rows that one key has in one batch are sorted in one task: key by something that
+    identifies a row.  Runs with ``availableNow`` and returns the finished query.
+    """
+    spark = stream.sparkSession
+    horizon_ms = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00+00:00' + interval '{horizon}') AS ms").first()["ms"]
+    fields = [f.name for f in stream.schema.fields]
+    timed = stream.withColumn("_event_time", F.col(event_time).cast("timestamp")).withWatermark("_event_time", delay)
+    # Without the event-time column itself the engine passes late rows on instead of dropping them.
+    rows = timed.select(F.col(key).alias("key"), F.unix_millis("_event_time").alias("ms"), F.struct(*fields).alias("row"))
+    schema = T.StructType([T.StructField("row", stream.schema), T.StructField("status", T.StringType())])
+    marked = rows.groupBy("key").transformWithState(_Sorter(horizon_ms), schema, "append", "EventTime")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("row.*", F.col("status").alias(STATUS)).write.mode("overwrite").partitionBy(STATUS).parquet(f"{sink_path}/_batch={batch_id}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKS)
+    try:
+        q = marked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    q.awaitTermination()
+    return q
+
+
+def _checked(spark: SparkSession, sink_path: str) -> DataFrame:
+    return spark.read.option("basePath", sink_path).parquet(f"{sink_path}/_batch=*")
+
+
+def appended(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The new rows that :func:`append_checked` wrote."""
+    return _checked(spark, sink_path).where(F.col(STATUS) == "new").drop("_batch", STATUS)
+
+
+def quarantined(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The rows that it did not take, with their ``_status`` and ``_batch``."""
+    return _checked(spark, sink_path).where(F.col(STATUS) != "new")
+
+
+def row_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Multiset difference of two tables: every distinct row with how often it occurs in each (``n_old``, ``n_new``).
+
+    Rows are compared null-safe and as a whole; a column that one table lacks is null there, a column of another
+    type is compared as text.  Maps, which cannot be grouped, are compared as sorted entries.  One shuffle, with
+    partial counts, so a row or key that fills the table costs one row per task.
+    """
+    sides = reshape.union([new.withColumn("_side", F.lit(1))])(old.withColumn("_side", F.lit(0)))
+    value = {f.name: F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+             for f in sides.schema.fields if f.name != "_side"}
+    rows = sides.select(*[v.alias(c) for c, v in value.items()], "_side")
+    return rows.groupBy(*[F.col(f"`{c}`") for c in value]).agg(
+        F.count_if(F.col("_side") == 0).alias("n_old"), F.count_if(F.col("_side") == 1).alias("n_new"))
+
+
 def table_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], name: str = "change") -> DataFrame:
-    """added / removed / modified / unchanged per key.
+    """One row per key: added / removed / modified / unchanged.
 
-    Full outer join on the keys; rows present on both sides compare their
-    values (null-safe).  A key that occurs several times gives a row for each
-    pair of its rows.
+    A key's rows are compared as a multiset (:func:`row_diff`), in any order: repeated rows count, null keys are a
+    key like any other, and a column that one table lacks is null there.
     """
     keys = list(keys)
-    cols = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in cols], F.lit(True).alias("_in_old"))
-    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
-    j = o.join(n, keys, "full")
-    same = F.lit(True)
-    for c in cols:
-        same = same & F.col(f"_o_{c}").eqNullSafe(F.col(f"_n_{c}"))
-    change = (F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "removed")
-              .when(same, "unchanged").otherwise("modified"))
-    return j.select(*keys, change.alias(name))
+    per_key = row_diff(old, new, keys).groupBy(*keys).agg(
+        F.sum("n_old").alias("_o"), F.sum("n_new").alias("_n"), F.sum(F.abs(F.col("n_new") - F.col("n_old"))).alias("_d"))
+    change = F.when(F.col("_o") == 0, "added").when(F.col("_n") == 0, "removed").when(F.col("_d") == 0, "unchanged").otherwise("modified")
+    return per_key.select(*keys, change.alias(name))
 
 
 def merge_preserve(target: DataFrame, source: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Upsert ``source`` into ``target``: source values win, except the ``keep``
     columns (user edits) which come from the target when it has the row.
-    Target rows missing from the source stay."""
+    Target rows missing from the source stay.  Null keys match each other."""
     keys = list(keys)
     keep = list(keep)
     cols = [c for c in source.columns if c not in keys]
-    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in target.columns if c not in keys],
+    t = target.select(*[F.col(k).alias(f"_tk_{k}") for k in keys], *[F.col(c).alias(f"_t_{c}") for c in target.columns if c not in keys],
                       F.lit(True).alias("_in_t"))
-    s = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
-    j = t.join(s, keys, "full")
-    out_cols: list[Column] = [F.col(k) for k in keys]
+    s = source.select(*[F.col(k).alias(f"_sk_{k}") for k in keys], *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
+    j = t.join(s, reduce(and_, [F.col(f"_tk_{k}").eqNullSafe(F.col(f"_sk_{k}")) for k in keys]), "full")
+    out_cols: list[Column] = [F.when(F.col("_in_t").isNotNull(), F.col(f"_tk_{k}")).otherwise(F.col(f"_sk_{k}")).alias(k) for k in keys]
     for c in dict.fromkeys(cols + [c for c in target.columns if c not in keys]):
         has_t = f"_t_{c}" in j.columns
         has_s = f"_s_{c}" in j.columns

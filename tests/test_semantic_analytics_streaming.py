@@ -124,11 +124,56 @@ def test_kpi_stream_reports_open_windows(spark):
     df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "in"))
     stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
     agg = kpi.kpi_stream(stream, "ts", "day", [], {"total": F.sum("v")}, delay="1 day")
-    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"), ["window_start", "window_end"])
+    out, query = kpi.run(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"), ["window_start", "window_end"])
     got = sorted((r.window_start.date(), r.total) for r in out.collect())
     # the window of Jan 5 is still open (watermark = Jan 4 10:00); it is there all the same
     assert got == [(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 1, 2), 2.0), (dt.date(2024, 1, 5), 3.0)]
-    assert kpi.late_rows(kpi.run_to_table.last_query) == 0
+    assert kpi.late_rows(query) == 0
+
+
+def _arrive(spark, src, batches, schema):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, "in", f"file{k}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "in", "*"))
+
+
+def test_append_checked_keeps_every_row(spark):
+    src, day = _scratch(), lambda d, h=0: dt.datetime(2024, 1, d, h)
+    batches = [
+        [(1, day(1), 2**53 + 1), (1, day(1, 5), None), (None, day(2), 3), (2, None, 4), (3, day(10), 5)],
+        [(4, day(2), 6), (1, day(10, 1), 7), (None, day(10, 2), 8), (5, day(20), 9), (5, day(20), 9)],
+        [(3, day(19, 12), 10), (1, day(21), 11), (6, day(18), 12)],
+    ]
+    stream = _arrive(spark, src, batches, "id bigint, ts timestamp_ntz, v bigint")
+    sink = os.path.join(src, "out")
+    inc.append_checked(stream, "id", "ts", sink, sink + "-ck", delay="1 day", horizon="9 days")
+    new = sorted(((r.id, r.ts, r.v) for r in inc.appended(spark, sink).collect()), key=str)
+    # The new row of key 1 on day 1 is out of its horizon on day 10; key 3's on day 10 is on day 19.
+    assert new == sorted([(1, day(1), 2**53 + 1), (None, day(2), 3), (3, day(10), 5), (1, day(10, 1), 7), (5, day(20), 9),
+                          (3, day(19, 12), 10), (1, day(21), 11)], key=str)
+    apart = sorted(((r.id, r.v, r._status, r._batch) for r in inc.quarantined(spark, sink).collect()), key=str)
+    assert apart == sorted([(1, None, "duplicate", 0), (2, 4, "no_time", 0), (4, 6, "late", 1), (None, 8, "duplicate", 1), (5, 9, "duplicate", 1),
+                            (6, 12, "late", 2)], key=str)
+    assert inc.appended(spark, sink).columns == ["id", "ts", "v"]
+    # Nothing new arrived: a second run adds nothing.
+    inc.append_checked(spark.readStream.schema("id bigint, ts timestamp_ntz, v bigint").parquet(os.path.join(src, "in", "*")), "id", "ts", sink,
+                       sink + "-ck", delay="1 day", horizon="9 days")
+    assert inc.appended(spark, sink).count() + inc.quarantined(spark, sink).count() == 13
+
+
+def test_calendar_periods_close(spark):
+    src, at = _scratch(), lambda m, d: dt.datetime(2024, m, d, 12)
+    batches = [[("a", at(1, 5), 1.0), ("a", at(1, 31), 2.0), (None, at(2, 1), 4.0)], [("a", at(4, 2), 8.0)],
+               [("a", at(3, 30), 16.0)], [("a", at(1, 6), 32.0), ("a", at(4, 3), None)]]
+    stream = _arrive(spark, src, batches, "g string, ts timestamp_ntz, v double")
+    out, query = kpi.calendar_stream(spark, stream, "ts", "quarter", ["g"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "m": ("max", F.col("v"))},
+                                     os.path.join(src, "out"), os.path.join(src, "ck"), delay="5 days")
+    got = sorted(((r.window_start.date(), r.window_end.date(), r.g, r.n, r.s, r.m, r.closed) for r in out.collect()), key=str)
+    q1, q2, q3 = dt.date(2024, 1, 1), dt.date(2024, 4, 1), dt.date(2024, 7, 1)
+    # March 30 is within five days of April 2; January 6 is not, and counts as late.
+    assert got == sorted([(q1, q2, "a", 3, 19.0, 16.0, False), (q1, q2, None, 1, 4.0, 4.0, False), (q2, q3, "a", 2, 8.0, 8.0, False)], key=str)
+    assert kpi.late_rows(query) == 1
+    assert kpi.watermark_ms(query, "5 days") == int(dt.datetime(2024, 3, 29, 12, tzinfo=dt.timezone.utc).timestamp() * 1000)
 
 
 def test_table_diff_and_merge(spark):
@@ -161,7 +206,7 @@ def test_kpi_week_windows_start_on_sunday(spark):
     df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "in"))
     stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
     agg = kpi.kpi_stream(stream, "ts", "week", [], {"total": F.sum("v")}, delay="1 day")
-    out = kpi.run_to_table(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"), ["window_start", "window_end"])
+    out, query = kpi.run(spark, agg, os.path.join(src, "out"), os.path.join(src, "ck"), ["window_start", "window_end"])
     got = sorted((r.window_start, r.total) for r in out.collect())
     # Saturday Jan 6 closes the week that began Sunday Dec 31; Sunday Jan 7 opens the next
     assert got == [(dt.datetime(2023, 12, 31), 1.0), (dt.datetime(2024, 1, 7), 2.0), (dt.datetime(2024, 1, 28), 5.0)]
