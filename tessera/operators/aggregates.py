@@ -59,6 +59,17 @@ def countd(x, approx: bool = False, rsd: float = 0.05) -> Column:
     return F.approx_count_distinct(c(x), rsd) if approx else F.count_distinct(c(x))
 
 
+def countd_sketch(x, lg_k: int = 12) -> Column:
+    """A mergeable sketch of the distinct non-null values of ``x`` (compared as text); its standard error is about 1 / sqrt(2 ** lg_k)."""
+    return F.hll_sketch_agg(c(x).cast("string"), lg_k)
+
+
+def countd_of(sketch) -> Column:
+    """COUNTD of all rows that stored sketches cover, as an aggregate over those sketches: views roll up to coarser levels, and
+    refreshed periods replace theirs, without the base rows.  No sketch gives 0."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c(sketch))), F.lit(0).cast("bigint"))
+
+
 def median(x, approx: bool = False) -> Column:
     return F.percentile_approx(c(x), 0.5, 10000) if approx else F.median(c(x))
 

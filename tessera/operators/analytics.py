@@ -5,9 +5,8 @@ aggregates attached back to the marks.  Trend lines are closed-form least
 squares from ``regr_*`` aggregates (merged map-side); the polynomial fit
 gathers its power sums in one aggregate and solves the small normal
 equations per group inside ``applyInPandas`` (one row per group).  The
-forecast runs exponential smoothing per series with ``applyInPandas`` over
-the aggregated series (one row per period), and clustering uses
-``pyspark.ml`` KMeans.
+forecast gathers each aggregated series into one row and smooths all series
+of a batch together, and clustering uses ``pyspark.ml`` KMeans.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -196,86 +196,185 @@ def moving_average(value: str, n: int, name: str, partition_by=None, order_by=No
 
 # ----------------------------------------------------------------- forecast
 
-def _holt(y: np.ndarray, alpha: float, beta: float):
-    level, trend_ = y[0], (y[1] - y[0]) if len(y) > 1 else 0.0
-    fitted = [y[0]]
-    for t in range(1, len(y)):
-        prev_level = level
-        fitted.append(level + trend_)
-        level = alpha * y[t] + (1 - alpha) * (level + trend_)
-        trend_ = beta * (level - prev_level) + (1 - beta) * trend_
-    return level, trend_, np.array(fitted)
+GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
+MAX_PERIODS = 100_000
+
+
+def smooth(y: np.ndarray, n: np.ndarray, alpha: float, beta: float | None = None, gamma: float | None = None, season: int = 0) -> dict:
+    """Exponential smoothing of all series at once: level (``beta`` None), additive trend, or additive trend and season.
+
+    ``y`` has a series a row, its first ``n`` columns.  Starts: the first value and (trend) the first difference; with
+    a season the first season's mean, the mean step to the second and the first season's deviations.  Returns level,
+    trend and season after the last value and the errors of the one-step fits (NaN where there is none).
+    """
+    rows, steps = y.shape
+    err = np.full(y.shape, np.nan)
+    if season:
+        level = y[:, :season].mean(1)
+        slope = (y[:, season:2 * season].mean(1) - level) / season
+        cycle = y[:, :season] - level[:, None]
+        start = season
+    else:
+        level = y[:, 0].copy()
+        slope = np.where(n > 1, y[:, min(1, steps - 1)] - y[:, 0], 0.0) if beta is not None else np.zeros(rows)
+        cycle, start = np.zeros((rows, 1)), 1
+        err[:, 0] = 0.0
+    m = max(season, 1)
+    for t in range(start, steps):
+        on = t < n
+        c = cycle[:, t % m] if season else 0.0
+        ahead = level + slope
+        new = alpha * (y[:, t] - c) + (1 - alpha) * ahead
+        err[:, t] = np.where(on, y[:, t] - ahead - c, np.nan)
+        if beta is not None:
+            slope = np.where(on, beta * (new - level) + (1 - beta) * slope, slope)
+        level = np.where(on, new, level)
+        if season:
+            cycle[:, t % m] = np.where(on, gamma * (y[:, t] - new) + (1 - gamma) * c, c)
+    return {"level": level, "slope": slope, "cycle": cycle, "err": err}
+
+
+def find_season(y: np.ndarray, max_season: int = 24) -> int:
+    """The lag (from 2, with two whole seasons in the series) of the highest peak of the autocorrelation around the series' line,
+    if that is beyond chance (2 / sqrt(n)); else 0."""
+    n = len(y)
+    top = min(max_season, n // 2)
+    if top < 2:
+        return 0
+    t = np.arange(n)
+    d = y - np.polyval(np.polyfit(t, y, 1), t)
+    var = float(d @ d)
+    if var <= 1e-12 * max(float(y @ y), 1e-300):
+        return 0
+    r = np.array([float(d[k:] @ d[:n - k]) / var for k in range(min(top + 2, n))])
+    peaks = [k for k in range(2, top + 1) if r[k] > r[k - 1] and (k + 1 >= len(r) or r[k] >= r[k + 1]) and r[k] > 2 / np.sqrt(n)]
+    return max(peaks, key=lambda k: (r[k], -k), default=0)
+
+
+def fill_missing(t: Sequence[int], v: Sequence[float | None], rule: str) -> np.ndarray:
+    """Values of all periods from the first to the last; absent and null ones by rule: ``interpolate`` (a straight line between the
+    neighbours), ``previous`` or ``zero``.  Null values before the first or after the last known one take that one."""
+    if t[-1] - t[0] >= MAX_PERIODS:
+        raise ValueError(f"a series spans over {MAX_PERIODS} periods")
+    y = np.full(t[-1] - t[0] + 1, np.nan)
+    y[np.asarray(t) - t[0]] = [np.nan if x is None else x for x in v]
+    gone = np.isnan(y)
+    if rule == "zero":
+        return np.where(gone, 0.0, y)
+    at = np.flatnonzero(~gone)
+    if not len(at):
+        return y[:0]
+    if rule == "previous":
+        return y[at[np.maximum(np.searchsorted(at, np.arange(len(y)), side="right") - 1, 0)]]
+    return np.interp(np.arange(len(y)), at, y[at])
+
+
+def _matrix(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(s) for s in series])
+    y = np.zeros((len(series), int(n.max())))
+    for i, s in enumerate(series):
+        y[i, :len(s)] = s
+    return y, n
+
+
+def _best_fit(series: list[np.ndarray], model: str, season: int | None, max_season: int, params: tuple | None) -> list[dict]:
+    """For each series the fit of least AICc over the models asked for and the grid (or the given parameters)."""
+    out: list[dict] = [{} for _ in series]
+    lags = [(find_season(s, max_season) if season is None else season) if model in ("auto", "seasonal") else 0 for s in series]
+    lags = [k if len(s) >= 2 * k else 0 for k, s in zip(lags, series)]
+    fixed = lambda i: [params[i]] if params else GRID
+    for lag in sorted(set(lags)):
+        rows = [i for i, k in enumerate(lags) if k == lag]
+        y, n = _matrix([series[i] for i in rows])
+        tries = []
+        if model in ("auto", "level"):
+            tries += [(a, None, None, 0) for a in fixed(0)]
+        if model in ("auto", "trend") or (model == "seasonal" and not lag):
+            tries += [(a, b, None, 0) for a in fixed(0) for b in fixed(1)]
+        if lag and model in ("auto", "seasonal"):
+            tries += [(a, b, g, lag) for a in fixed(0) for b in fixed(1) for g in fixed(2)]
+        best = np.full(len(rows), np.inf)
+        for a, b, g, m in tries:
+            f = smooth(y, n, a, b, g, m)
+            e = f["err"][:, lag:]  # all models over the same periods
+            k = 2 if b is None else 4 if not m else 5 + m
+            count = np.maximum(n - lag, 1)
+            mse = np.nansum(e * e, 1) / count
+            score = count * np.log(np.maximum(mse, 1e-300)) + 2 * k + np.where(count > k + 1, 2 * k * (k + 1) / np.maximum(count - k - 1, 1), 2.0 * k * (k + 1))
+            for j in np.flatnonzero(score < best - 1e-9):
+                best[j] = score[j]
+                last = int(n[j])
+                out[rows[j]] = {"level": f["level"][j], "slope": f["slope"][j] if b is not None else 0.0,
+                                "cycle": np.roll(f["cycle"][j], -(last % m)) if m else np.zeros(1), "a": a, "b": b or 0.0, "season": m,
+                                "sigma": float(np.sqrt(np.nansum(e[j] ** 2) / max(count[j] - 1, 1)))}
+    return out
 
 
 def forecast(group_by: Sequence[str], time_col: str, value: str, periods: int, interval: float = 0.95,
-             ignore_last: int = 0, model: str = "auto", periods_back: int = 0) -> Step:
-    """Forecast ``periods`` steps per series with Holt's additive-trend exponential
-    smoothing (``model='trend'``), simple smoothing (``'level'``) or the better
-    of the two by in-sample squared error (``'auto'``; parameters from a
-    fixed grid, deterministic).  Input is the aggregated series: one row per
-    (group, period) with consecutive integer periods in ``time_col``.
-    ``periods_back`` steps before the first period are forecast from the series
-    in reverse.
-
-    Output: group, period index, forecast, low, high (prediction interval from
-    the in-sample residual spread, widening with the horizon).
+             ignore_last: int = 0, model: str = "auto", periods_back: int = 0, season: int | None = None, max_season: int = 24,
+             missing: str = "interpolate", params: tuple | None = None) -> Step:
+    """Forecast ``periods`` steps per series by exponential smoothing: ``model`` ``level``, ``trend`` (additive), ``seasonal``
+    (additive trend and season) or the best of them (``auto``) by corrected AIC over a fixed grid of parameters.
+
+    Input is the aggregated series: one row per (group, period) with integer periods in ``time_col``; of several rows of a
+    period one would be lost, so that is an error.  Absent periods and null values are filled by ``missing``
+    (``interpolate``, ``previous`` or ``zero``).  ``season`` is the season's length; by default it is found by
+    autocorrelation, up to ``max_season``; without one ``seasonal`` falls back to ``trend``.  ``params`` fixes
+    (alpha, beta, gamma).  ``ignore_last`` periods are left out; ``periods_back`` steps before the first are forecast
+    from the series in reverse.  All series of a batch are smoothed together, as one matrix.
+
+    Output: group, period, forecast, low, high (prediction interval from the in-sample residual spread, widening with
+    the horizon).  A series without known values gives no rows; null periods are left out; null groups are a group.
     """
     group_by = list(group_by)
     z = NormalDist().inv_cdf(0.5 + interval / 2)
-    grid = [0.1, 0.3, 0.5, 0.7, 0.9]
 
     def step(df: DataFrame) -> DataFrame:
-        keys = group_by or ["_g"]
-        d = df if group_by else df.withColumn("_g", F.lit(1))
-        key_fields = [f for f in d.schema.fields if f.name in keys]
-        schema = T.StructType(key_fields + [
-            T.StructField(time_col, T.LongType()), T.StructField("forecast", T.DoubleType()),
-            T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(time_col)
-            if ignore_last:
-                pdf = pdf.iloc[:-ignore_last] if len(pdf) > ignore_last else pdf.iloc[:0]
-            y = pdf[value].to_numpy(dtype=float)
-            if len(y) == 0:
-                return pd.DataFrame(columns=[f.name for f in schema.fields])
-            key_vals = [pdf[k].iloc[0] for k in keys]
-
-            def ahead(series: np.ndarray, steps: int, first: int, sign: int) -> list[list]:
-                best = None
-                for a in grid:
-                    for b in {"level": [0.0], "trend": grid}.get(model, [0.0, *grid]):
-                        lvl, tr, fitted = _holt(series, a, b) if b > 0 else _holt_level(series, a)
-                        sse = float(np.sum((series - fitted) ** 2))
-                        if best is None or sse < best[0] - 1e-12:
-                            best = (sse, lvl, tr, a, b)
-                sse, lvl, tr, a, b = best
-                sigma = np.sqrt(sse / max(len(series) - 1, 1))
-                rows = []
-                for h in range(1, steps + 1):
-                    f = lvl + h * tr
-                    width = z * sigma * np.sqrt(1 + (h - 1) * a * a * (1 + h * b) ** 2)
-                    rows.append(key_vals + [first + sign * h, f, f - width, f + width])
-                return rows
-
-            rows = ahead(y[::-1], periods_back, int(pdf[time_col].iloc[0]), -1) if periods_back else []
-            rows += ahead(y, periods, int(pdf[time_col].iloc[-1]), 1)
-            return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-        out = d.groupBy(*keys).applyInPandas(fit, schema)
-        return out.drop("_g") if not group_by else out
+        rows = df.where(F.col(time_col).isNotNull()).groupBy(*group_by).agg(F.array_sort(F.collect_list(F.struct(
+            F.col(time_col).cast("long").alias("t"), F.col(value).cast("double").alias("v")))).alias("_s"))
+        src = rows.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group_by)], F.col("_s.t").alias("t"), F.col("_s.v").alias("v"))
+        schema = T.StructType([*[df.schema[g] for g in group_by], T.StructField(time_col, T.LongType()),
+                               *[T.StructField(c, T.DoubleType()) for c in ("forecast", "low", "high")]])
+        k_groups = len(group_by)
+
+        def steps(fit: dict, count: int, first: int, sign: int) -> list[tuple]:
+            out = []
+            for h in range(1, count + 1):
+                f = fit["level"] + h * fit["slope"] + fit["cycle"][(h - 1) % len(fit["cycle"])]
+                width = z * fit["sigma"] * np.sqrt(1 + (h - 1) * fit["a"] ** 2 * (1 + h * fit["b"]) ** 2)
+                out.append((first + sign * h, float(f), float(f - width), float(f + width)))
+            return out
+
+        def run(batches):
+            for batch in batches:
+                at, starts, series = [], [], []
+                for i, (t, v) in enumerate(zip(batch.column(k_groups).to_pylist(), batch.column(k_groups + 1).to_pylist())):
+                    if len(set(t)) < len(t):
+                        raise ValueError("forecast needs one row per group and period")
+                    y = fill_missing(t, v, missing) if t else np.zeros(0)
+                    y = y[:max(len(y) - ignore_last, 0)]
+                    if len(y):
+                        at.append(i)
+                        starts.append(t[0])
+                        series.append(y)
+                if not series:
+                    continue
+                out: list[list[tuple]] = [[] for _ in series]
+                if periods_back:
+                    for o, fit, first in zip(out, _best_fit([s[::-1] for s in series], model, season, max_season, params), starts):
+                        o += steps(fit, periods_back, first, -1)
+                for o, fit, first, s in zip(out, _best_fit(series, model, season, max_season, params), starts, series):
+                    o += steps(fit, periods, first + len(s) - 1, 1)
+                pick = pa.array(np.repeat(at, [len(o) for o in out]), pa.int64())
+                flat = [r for o in out for r in o]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(pick) for k in range(k_groups)], pa.array([r[0] for r in flat], pa.int64()),
+                     *[pa.array([r[k] for r in flat], pa.float64()) for k in (1, 2, 3)]], names=schema.names)
+
+        return src.mapInArrow(run, schema)
     return step
 
 
-def _holt_level(y: np.ndarray, alpha: float):
-    level = y[0]
-    fitted = [y[0]]
-    for t in range(1, len(y)):
-        fitted.append(level)
-        level = alpha * y[t] + (1 - alpha) * level
-    return level, 0.0, np.array(fitted)
-
-
 # ----------------------------------------------------------------- clustering
 
 def cluster(features: Sequence[str] | str, k: int | None = None, seed: int = 42, k_range: Sequence[int] = range(2, 7),
@@ -325,6 +424,22 @@ def cluster(features: Sequence[str] | str, k: int | None = None, seed: int = 42,
     return step
 
 
+def nearest_centre(features: str, centres: Sequence[Sequence[float]], name: str = "cluster", distance: str | None = None) -> Step:
+    """The number (from 0) of the nearest of the given centres to an array column, by squared Euclidean distance; ties go to the
+    first.  Null vectors, null or NaN entries and vectors of another length give null."""
+    def step(df: DataFrame) -> DataFrame:
+        x = F.col(features).cast("array<double>")
+        whole = (F.size(x) == len(centres[0])) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
+        far = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+               for c in centres]
+        best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far)]))
+        out = df.withColumn("_tsr_near", F.when(whole, best))
+        if distance:
+            out = out.withColumn(distance, F.col("_tsr_near.d"))
+        return out.withColumn(name, F.col("_tsr_near.i")).drop("_tsr_near")
+    return step
+
+
 # ----------------------------------------------------------------- view shapes
 
 def histogram(value: str, size: float, name: str = "bin") -> Step:

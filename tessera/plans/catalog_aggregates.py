@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera import functions as fn
 from tessera.operators import aggregates as A
 from tessera.plans.registry import register
+from tessera.session import stored
 from tessera.sources.tables import Tables
 
 
@@ -68,6 +69,22 @@ def q_countd_approx(spark, d):
     return both.select("l_suppkey", "exact", (F.abs(F.col("v") - F.col("exact")) <= 1 + 0.08 * F.col("exact")).alias("within"))
 
 
+@register("agg_countd_mergeable", """SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS exact, TRUE AS within
+  FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def q_countd_mergeable(spark, d):
+    # Sketches by month, flag and status are stored; every coarser level is rolled up from that table alone.
+    li = _li(spark, d)
+    months = stored(li.groupBy("l_returnflag", "l_linestatus", F.trunc("l_shipdate", "month").alias("month")).agg(
+        A.countd_sketch("l_partkey").alias("parts")), "sketches")
+    rolled = months.cube("l_returnflag", "l_linestatus").agg(A.countd_of("parts").alias("v"))
+    exact = li.cube("l_returnflag", "l_linestatus").agg(A.countd("l_partkey").alias("exact"))
+    same = F.lit(True)
+    for k in ("l_returnflag", "l_linestatus"):
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
+    both = exact.alias("e").join(rolled.alias("r"), same)
+    return both.select("e.l_returnflag", "e.l_linestatus", "exact", (F.abs(F.col("v") - F.col("exact")) <= 1 + 0.065 * F.col("exact")).alias("within"))
+
+
 @register("agg_median", """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_price
   FROM lineitem GROUP BY l_returnflag""")
 def q_median(spark, d):

@@ -137,6 +137,56 @@ def q_forecast(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ["forecast", "low", "high"]})
 
 
+_SERIES_SQL = f"""s AS (SELECT prio, year(month) * 12 + month(month) AS t, n FROM {_MONTHLY_SQL} WHERE month(month) <> 7),
+ grid AS (SELECT prio, unnest(range(min(t), max(t) + 1)) AS t FROM s GROUP BY prio),
+ v AS (SELECT g.prio, g.t, coalesce(s.n, 0)::DOUBLE AS y, row_number() OVER (PARTITION BY g.prio ORDER BY g.t) AS i
+  FROM grid g LEFT JOIN s ON s.prio = g.prio AND s.t = g.t),
+ ends AS (SELECT prio, max(t) AS t, max(i) AS i FROM v GROUP BY prio)"""
+
+
+def _gapped(spark, d):
+    # No July: the missing months count as zero.
+    m = _monthly(spark, d).where(F.month("month") != 7)
+    return m.withColumn("t", (F.year("month") * 12 + F.month("month")).cast("long"))
+
+
+@register("an_forecast_level", f"""WITH {_SERIES_SQL} SELECT v.prio, e.t + h AS t,
+  round(sum(CASE WHEN v.i = 1 THEN 1 ELSE 0.3 END * pow(0.7, e.i - v.i) * y), 6) AS forecast
+  FROM v JOIN ends e ON e.prio = v.prio, range(1, 4) r(h) GROUP BY v.prio, e.t + h""")
+def q_forecast_level(spark, d):
+    # Simple smoothing has a closed form.
+    out = _gapped(spark, d).transform(AN.forecast(["prio"], "t", "n", 3, model="level", missing="zero", params=(0.3, None, None)))
+    return out.select("prio", "t", F.round("forecast", 6).alias("forecast"))
+
+
+@register("an_forecast_seasonal", f"""WITH RECURSIVE {_SERIES_SQL},
+ st AS (SELECT prio, avg(y) FILTER (i <= 12) AS l1, avg(y) FILTER (i BETWEEN 13 AND 24) AS l2, list(y ORDER BY i) FILTER (i <= 12) AS y1
+  FROM v GROUP BY prio),
+ r AS (SELECT prio, 12::BIGINT AS i, l1 AS l, (l2 - l1) / 12 AS b, list_transform(y1, lambda x: x - l1) AS s FROM st
+  UNION ALL SELECT r.prio, v.i, 0.3::DOUBLE * (y - s[1]) + 0.7::DOUBLE * (l + b),
+   0.1::DOUBLE * (0.3::DOUBLE * (y - s[1]) + 0.7::DOUBLE * (l + b) - l) + 0.9::DOUBLE * b,
+   list_append(s[2:], 0.2::DOUBLE * (y - 0.3::DOUBLE * (y - s[1]) - 0.7::DOUBLE * (l + b)) + 0.8::DOUBLE * s[1])
+  FROM r JOIN v ON v.prio = r.prio AND v.i = r.i + 1)
+SELECT r.prio, e.t + h AS t, round(l + h * b + s[h], 6) AS forecast FROM r JOIN ends e ON e.prio = r.prio AND e.i = r.i, range(1, 7) x(h)""")
+def q_forecast_seasonal(spark, d):
+    # Trend and season of 12 months with fixed parameters, against the same recursion in SQL.
+    out = _gapped(spark, d).transform(AN.forecast(["prio"], "t", "n", 6, model="seasonal", season=12, missing="zero", params=(0.3, 0.1, 0.2)))
+    return out.select("prio", "t", F.round("forecast", 6).alias("forecast"))
+
+
+# Three centres in 64 dimensions.
+_CENTRES = [[round(0.1 * ((i * (k + 2)) % 5 - 2), 1) for i in range(64)] for k in range(3)]
+
+
+@register("an_cluster_assign", "WITH d AS (SELECT vec_id, [" + ", ".join(
+    f"list_sum(list_transform(list_zip(embedding, {c}::DOUBLE[]), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))" for c in _CENTRES) +
+    "] AS far FROM embeddings) SELECT vec_id, CAST(list_position(far, list_min(far)) - 1 AS BIGINT) AS cluster, round(list_min(far), 6) AS distance FROM d")
+def q_cluster_assign(spark, d):
+    # The assignment step of k-means, with given centres.
+    out = Tables(spark, d).embeddings.transform(AN.nearest_centre("embedding", _CENTRES, distance="distance"))
+    return out.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
 @register("an_cluster")
 def q_cluster(spark, d):
     # Embedding vectors clustered with k chosen by silhouette.
