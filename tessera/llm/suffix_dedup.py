@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,7 @@ SMALL_GROUP = 24
 MAX_GROUP = 50_000
 GRID = 34
 BLOCK_BYTES = 16 << 20
+CUT_BYTES = 1 << 21  # texts cut at a time
 
 
 # Deep-shallow sorting.
@@ -414,53 +415,65 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _union_spans(spans: DataFrame) -> DataFrame:
     """Maximal runs of each key, as an array of (s, e)."""
-    one = spans.distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x"))
-    kind = "array<struct<s:bigint,e:bigint>>"
-    last = lambda acc: F.element_at(acc, -1)
-    merged = F.aggregate("x", F.array().cast(kind), lambda acc, v: F.when(
-        (F.size(acc) > 0) & (last(acc)["e"] >= v["s"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], v["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(v))).cast(kind))
-    return one.select("k", merged.alias("spans"))
+    w = Window.partitionBy("k").orderBy("s", "e")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.distinct().withColumn("new", F.when(before >= F.col("s"), 0).otherwise(1))
+    runs = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("k", "run").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+
+
+def _with_spans(docs: DataFrame, text: str) -> DataFrame:
+    """The columns by number (``c0``, ``c1``, ...), the text as ``t`` and its ``spans``."""
+    spans = repeated_spans(docs, text).withColumnRenamed("k", "key")
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"`{text}`").alias("t"),
+                        F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))).alias("key"))
+    return keyed.join(spans, "key", "left").drop("key")
+
+
+def _kept(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows of about ``CUT_BYTES``, and what is left of their texts."""
+    for first, rows, data, offs in chunks(batch.column(batch.num_columns - 2), CUT_BYTES):
+        part = batch.slice(first, rows)
+        kept = []
+        for r, cuts in enumerate(part.column(batch.num_columns - 1).to_pylist()):
+            b = data[offs[r]:offs[r + 1]]
+            if cuts:
+                keep = np.ones(len(b), bool)
+                for c in cuts:
+                    keep[c["s"]:c["e"]] = False
+                b = b[keep]
+            kept.append(b.tobytes())
+        yield part, kept
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``spans`` (removed runs of the text's UTF-8 bytes; null: none) and ``kept`` (the bytes that remain)."""
-    spans = repeated_spans(docs, text)
-    names = [c for c in docs.columns if c not in ("spans", "kept")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn(
-        "__k", F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))))
-    out = keyed.join(spans.withColumnRenamed("k", "__k"), "__k", "left").drop("__k")
-    schema = T.StructType([*out.schema.fields, T.StructField("kept", T.BinaryType())])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("spans", "kept")])
+    out = _with_spans(docs, text)
+    schema = T.StructType([*docs.schema.fields, out.schema["spans"], T.StructField("kept", T.BinaryType())])
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {c: i for i, c in enumerate(batch.schema.names)}
-            kept = []
-            for t, cuts in zip(batch.column(at[text]).to_pylist(), batch.column(at["spans"]).to_pylist()):
-                b = (t or "").encode("utf-8")
-                if cuts:
-                    parts, p = [], 0
-                    for c in cuts:
-                        parts.append(b[p:c["s"]])
-                        p = c["e"]
-                    b = b"".join([*parts, b[p:]])
-                kept.append(b)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], names=[*batch.schema.names, "kept"])
+            for part, kept in _kept(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], part.column(n + 1), pa.array(kept, pa.binary())], names=schema.names)
 
     return out.mapInArrow(run, schema)
 
 
 def clean_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their texts cut: a character that a removed run splits goes with it."""
-    out = remove_repeats(docs, text)
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in out.schema.fields])
+    place = docs.columns.index(text)
+    # Only the columns beside the text travel, and the text once.
+    out = _with_spans(docs, text).drop(f"c{place}")
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index(text)
-            kept = [b.decode("utf-8", "ignore") for b in batch.column(batch.schema.names.index("kept")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns)],
-                                             names=batch.schema.names)
+            for part, kept in _kept(batch):
+                cols = part.columns[:-2]
+                cols.insert(place, pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return out.mapInArrow(run, schema).select(*docs.columns)
+    return out.mapInArrow(run, schema)

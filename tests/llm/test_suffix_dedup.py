@@ -66,6 +66,7 @@ def _docs():
 
 @pytest.mark.parametrize("limits", [(50_000, 24, 34), (3, 2, 34), (2, 24, 7)])
 def test_matches_brute_force(spark, monkeypatch, limits):
+    monkeypatch.setattr(S, "CUT_BYTES", 1 << 21 if limits[0] > 100 else 3000)
     monkeypatch.setattr(S, "MAX_GROUP", limits[0])
     monkeypatch.setattr(S, "SMALL_GROUP", limits[1])
     monkeypatch.setattr(S, "GRID", limits[2])
@@ -81,3 +82,15 @@ def test_clean_texts_and_empty_table(spark):
     out = {r.doc_id: r.text for r in S.clean_texts(df).collect()}
     assert out == {1: "a", 2: "b", 3: ""}
     assert S.clean_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    """Columns of any name stay; a text of many repeated passages is one row."""
+    passage = " ".join(f"w{k}" for k in range(60))
+    long = " ".join(f"{passage} {k} {k * k}" for k in range(400))
+    df = spark.createDataFrame([(1, long, "a", "b", 5), (2, "short", None, None, None)], "doc_id long, text string, k string, key string, c0 int")
+    out = {r.doc_id: r for r in S.clean_texts(df).collect()}
+    assert S.clean_texts(df).columns == df.columns and (out[1].k, out[1].key, out[1].c0) == ("a", "b", 5)
+    (kept, spans), = brute.cut_repeats([long])
+    assert out[1].text == kept.decode() and out[2].text == "short"
+    assert len(S.remove_repeats(df).where("doc_id = 1").first().spans) == len(spans) > 300
