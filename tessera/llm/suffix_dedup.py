@@ -15,8 +15,8 @@ trie for every group that still shares a prefix.  The common prefixes of
 neighbours give the longest common stretch of two contexts and so the repeated
 bytes, without looking at all pairs of a large group.
 
-Hot anchors: occurrences are counted with map-side partial sums, the sources of
-an anchor are joined (which Spark can split), and an anchor with more than
+Hot anchors: occurrences are counted with map-side partial sums, the blocks of
+the hottest anchors found by a broadcast of bounded size, and an anchor with more than
 ``MAX_GROUP`` contexts is divided by longer strings (``GRID``), at last by whole
 windows, which need only be counted.
 
@@ -46,6 +46,7 @@ SMALL_GROUP = 24
 MAX_GROUP = 50_000
 GRID = 34
 BLOCK_BYTES = 16 << 20
+HOT_LEAST, HOT_SHARE = 1000, 10_000
 CUT_BYTES = 1 << 21  # texts cut at a time
 
 
@@ -248,10 +249,19 @@ def _anchor_rows(keyed: DataFrame) -> DataFrame:
     return keyed.select("text", "block").mapInArrow(run, "block int, akey bigint, ctx bigint")
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(akey, uniform) of the anchors that occur at least twice; uniform: all contexts are equal."""
-    return (rows.groupBy("akey").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-            .where("n > 1").select("akey", (F.col("a") == F.col("b")).alias("uniform")))
+def _repeated_by_block(rows: DataFrame) -> DataFrame:
+    """(block, akey, uniform), each once, of the anchors that occur at least twice; uniform: all contexts are equal.
+
+    Anchors with over 1 / ``HOT_SHARE`` of all rows are fewer than ``HOT_SHARE``, so they are broadcast and their rows
+    reduced to one a block within each task; the others are joined by a shuffle.
+    """
+    counted = materialise(
+        rows.groupBy("akey").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
+        .where("n > 1").select("akey", "n", (F.col("a") == F.col("b")).alias("uniform")), "repeated")
+    hot = counted.where(F.col("n") > max(HOT_LEAST, rows.count() // HOT_SHARE)).select("akey", "uniform")
+    marked = rows.select("block", "akey").join(F.broadcast(hot), "akey", "left")
+    cold = marked.where("uniform IS NULL").select("block", "akey").join(counted.select("akey", "uniform"), "akey")
+    return cold.unionByName(marked.where("uniform IS NOT NULL")).distinct()
 
 
 def _twice_per_task(keyed: DataFrame) -> DataFrame:
@@ -386,7 +396,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text) // BLOCK_BYTES))
     keyed = _keyed(docs, text, blocks)
     rows = materialise(_anchor_rows(keyed), "anchors")
-    here = rows.select("block", "akey").join(_repeated(rows), "akey").distinct()
+    here = _repeated_by_block(rows)
     found = materialise(_twice_per_task(keyed).groupBy("block").cogroup(here.groupBy("block")).applyInArrow(
         lambda texts, anchors: pa.Table.from_batches(_local_finds(texts, anchors), FOUND_ARROW), FOUND), "found")
     spans = found.where("gkey IS NULL").select("k", "s", "e")

@@ -66,6 +66,7 @@ def _docs():
 
 @pytest.mark.parametrize("limits", [(50_000, 24, 34), (3, 2, 34), (2, 24, 7)])
 def test_matches_brute_force(spark, monkeypatch, limits):
+    monkeypatch.setattr(S, "HOT_LEAST", 1000 if limits[0] > 100 else 4)
     monkeypatch.setattr(S, "CUT_BYTES", 1 << 21 if limits[0] > 100 else 3000)
     monkeypatch.setattr(S, "MAX_GROUP", limits[0])
     monkeypatch.setattr(S, "SMALL_GROUP", limits[1])
