@@ -113,11 +113,14 @@ def attr(x) -> Column:
     return F.when(F.min(x) == F.max(x), F.min(x))
 
 
-def collect_geometry(groups: Sequence[str], point: str, name: str = "points", precision: int | None = None) -> Step:
+def collect_geometry(groups: Sequence[str], point: str, name: str = "points", precision: int | None = None,
+                     chunk: int | None = None) -> Step:
     """COLLECT of a group's points as a multipoint, in order: every point, repeats
     too.  With ``precision`` it is a multipoint of the distinct points snapped to
     so many decimal degrees, found by a grouped aggregate before anything is
     collected, so a group's array is bounded by the grid cells at that precision.
+    With ``chunk`` a group of any size comes as arrays of at most so many points,
+    numbered from 0 in the column ``chunk``, and no task holds more than one of them.
     """
     def step(df: DataFrame) -> DataFrame:
         p = F.col(point)
@@ -126,7 +129,11 @@ def collect_geometry(groups: Sequence[str], point: str, name: str = "points", pr
         else:
             snapped = F.struct(F.round(p["lat"], precision).alias("lat"), F.round(p["lon"], precision).alias("lon"))
             pts = df.select(*groups, snapped.alias("_pt")).filter(F.col("_pt.lat").isNotNull()).distinct()
-        return pts.groupBy(*groups).agg(F.array_sort(F.collect_list("_pt")).alias(name))
+        keys = list(groups)
+        if chunk:
+            pts = scan.row_index(pts, "_i", groups, ["_pt"], start=0).withColumn("chunk", F.floor(F.col("_i") / chunk))
+            keys.append("chunk")
+        return pts.groupBy(*keys).agg(F.array_sort(F.collect_list("_pt")).alias(name))
     return step
 
 

@@ -156,7 +156,7 @@ def blend(secondary: DataFrame, links: Sequence[str], aggs: Sequence[Column],
 
 
 def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_point: str,
-                    radius_km: float, left_id: str, right_id: str) -> DataFrame:
+                    radius_km: float, left_id: str, right_id: str, leaf: int = 4000) -> DataFrame:
     """Pairs of points no further apart than ``radius_km`` (great-circle).
 
     An equi join on grid cells instead of a cartesian product: latitude bands
@@ -166,9 +166,14 @@ def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_po
     keyed by its own (band, cell); each left point by the 3 neighbouring bands x
     3 neighbouring cells, so every pair within the radius meets exactly once,
     and the exact haversine test follows.
+
+    A cell of more than ``leaf`` right points (a city) is a quadtree: it is halved in both directions as often as
+    its count asks for, and a left point goes only to those of its parts that reach into the radius.  So a dense
+    place is many keys, and pairs of its far ends are not compared.
     """
     km_per_degree = 2 * math.pi * EARTH_RADIUS["km"] / 360
     deg = max(radius_km / km_per_degree, 1e-6)   # degrees of latitude per radius
+    leaf = max(leaf, 1)
 
     def cells(band: Column) -> Column:
         edge = F.greatest(F.abs(band * deg), F.abs((band + 1) * deg)) + deg
@@ -180,18 +185,43 @@ def within_distance(left: DataFrame, right: DataFrame, left_point: str, right_po
 
     band = lambda p: F.floor(p["lat"] / deg)
     r = right.select(F.col(right_id).alias("_rid"), F.col(right_point).alias("_rp")).withColumn("_cy", band(F.col("_rp")))
-    r = r.withColumn("_cx", cell(F.col("_rp")["lon"], cells(F.col("_cy"))))
+    r = r.withColumn("_nx", cells(F.col("_cy"))).withColumn("_cx", cell(F.col("_rp")["lon"], F.col("_nx")))
+    # Halvings of a dense cell: each divides its points by four, if they lie evenly.
+    dense = r.groupBy("_cy", "_cx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > leaf).select(
+        "_cy", "_cx", F.pow(F.lit(2), F.least(F.ceil(F.log(4.0, F.col("_n") / leaf)), F.lit(MAX_HALVINGS))).cast("int").alias("_m"))
+    m = F.col("_m")
+    part = lambda x: F.least(F.greatest(F.floor(x * m), F.lit(0)), m - 1).cast("int")
+    r = r.join(dense, ["_cy", "_cx"], "left").withColumn("_q", F.coalesce(
+        part(F.col("_rp")["lat"] / deg - F.col("_cy")) * m + part(F.pmod(F.col("_rp")["lon"] + 180, F.lit(360.0)) / 360 * F.col("_nx") - F.col("_cx")), F.lit(0)))
+
+    def reached(q: Column) -> Column:
+        """Part ``q`` of a dense cell may hold a point within the radius: neither its latitudes nor its meridians are too far."""
+        lat, lon = F.col("_lp")["lat"], F.col("_lp")["lon"]
+        south = (F.col("_cy") + F.floor(q / m) / m) * deg
+        near_lat = (lat >= south - deg * SLACK) & (lat <= south + deg / m + deg * SLACK)
+        width = F.lit(360.0) / F.col("_nx") / m
+        ahead = F.pmod(lon + 180 - (F.col("_cx") / F.col("_nx") * 360 + (q % m) * width), F.lit(360.0))  # degrees east of the part's west edge
+        off = F.greatest(F.least(ahead - width, 360 - ahead), F.lit(0.0))  # degrees outside of it
+        # A meridian so many degrees away is this far, in degrees of a great circle; beyond 90 no bound is taken.
+        across = F.degrees(F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(off, F.lit(90.0))))))
+        return near_lat & ((off > 90) | (across <= deg * SLACK))
+
     l_ = (left.select(F.col(left_id).alias("_lid"), F.col(left_point).alias("_lp"))
           .withColumn("_cy", F.explode(F.sequence(band(F.col("_lp")) - 1, band(F.col("_lp")) + 1)))
           .withColumn("_nx", cells(F.col("_cy"))).withColumn("_c0", cell(F.col("_lp")["lon"], F.col("_nx")))
-          .withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_c0") + k, F.col("_nx")) for k in (-1, 0, 1)]))))
-          .drop("_nx", "_c0"))
-    j = l_.join(r, ["_cy", "_cx"])
+          .withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_c0") + k, F.col("_nx")) for k in (-1, 0, 1)])))))
+    l_ = l_.join(dense, ["_cy", "_cx"], "left").withColumn("_q", F.explode(
+        F.when(m.isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), m * m - 1), reached))))
+    j = l_.select("_lid", "_lp", "_cy", "_cx", "_q").join(r.select("_rid", "_rp", "_cy", "_cx", "_q"), ["_cy", "_cx", "_q"])
     d = _distance(F.col("_lp"), F.col("_rp"))
     return j.withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km).select(
         F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), "distance_km")
 
 
+# Halvings of a dense cell at most (4096 parts), and the share by which a part's distance may be rounded.
+MAX_HALVINGS, SLACK = 6, 1 + 1e-9
+
+
 def cross(right: DataFrame) -> Step:
     """Join with no key, for scaffolds of dimension members (every region x every
     segment).  Left rows are dealt to as many salts as there are shuffle

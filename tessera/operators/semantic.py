@@ -313,6 +313,71 @@ def relationship_infer(tables: Mapping[str, DataFrame]) -> DataFrame:
     })
 
 
+# Columns are compared within these families, as text.
+_FAMILIES = {"byte": "number", "short": "number", "integer": "number", "long": "number", "string": "text", "date": "date"}
+
+
+def relationship_discover(tables: Mapping[str, DataFrame], min_containment: float = 0.95, lg_k: int = 12, min_distinct: int = 2) -> DataFrame:
+    """Column pairs of different tables, whatever their names, where nearly all values of one occur in the other.
+
+    One scan of each table sketches every whole-number, text and date column (Spark's theta sketches: the smallest
+    ``2 ** lg_k`` hashes of the distinct values).  Sketches of two columns give the share of one in the other; a
+    pair is dropped if that lies four standard errors under ``min_containment``.  A second scan counts the values
+    that survivors share, exactly: each distinct value meets the numbers of its columns once, and one row of
+    counts comes back.  The driver holds one sketch per column (at most 2 ** lg_k * 8 bytes).
+
+    Rows as :func:`relationship_infer`, of the pairs whose exact containment either way is at least
+    ``min_containment``.  Nulls are no values; columns of under ``min_distinct`` values are left out.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    cols = [(t, f.name, _FAMILIES[f.dataType.typeName()]) for t, df in tables.items() for f in df.schema.fields if f.dataType.typeName() in _FAMILIES]
+    sketches, parts = {}, []
+    for t, df in tables.items():
+        own = [c for x, c, _ in cols if x == t]
+        if own:
+            aggs = [F.theta_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(lg_k)).alias(f"s{i}") for i, c in enumerate(own)]
+            parts.append(df.agg(*aggs).select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.col(f"s{i}").alias("s"))
+                                                                  for i, c in enumerate(own)])).alias("x")).select("x.*"))
+    for p in parts[1:]:
+        parts[0] = parts[0].unionByName(p)
+    schema = ("left_table string, left_column string, right_table string, right_column string, left_distinct bigint, right_distinct bigint, "
+              "shared bigint, left_in_right double, right_in_left double")
+    if not parts:
+        return spark.createDataFrame([], schema)
+    for r in parts[0].select("t", "c", "s", F.theta_sketch_estimate("s").alias("n")).collect():
+        sketches[r["t"], r["c"]] = (bytes(r["s"]), r["n"])
+    pairs = [(i, j) for i, a in enumerate(cols) for j, b in enumerate(cols) if a[0] < b[0] and a[2] == b[2]
+             and min(sketches[a[:2]][1], sketches[b[:2]][1]) >= min_distinct]
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    side = spark.createDataFrame([(i, j, bytearray(sketches[cols[i][:2]][0]), bytearray(sketches[cols[j][:2]][0]), sketches[cols[i][:2]][1],
+                                   sketches[cols[j][:2]][1]) for i, j in pairs], "i int, j int, a binary, b binary, na bigint, nb bigint")
+    both = F.theta_sketch_estimate(F.theta_intersection("a", "b"))
+    small, large = F.least("na", "nb").cast("double"), F.greatest("na", "nb")
+    # The smaller column's values among the hashes that the larger one's sketch reaches.
+    sample = F.greatest(small * F.least(F.lit(1.0), F.lit(2**lg_k) / large), F.lit(1.0))
+    near = [(r["i"], r["j"]) for r in side.where(both / small >= min_containment - 4 / F.sqrt(sample)).select("i", "j").collect()]
+    if not near:
+        return spark.createDataFrame([], schema)
+    # Exact counts of the survivors: (family, value) -> the columns that hold it.
+    used = sorted({i for p in near for i in p})
+    values = None
+    for t, df in tables.items():
+        own = [i for i in used if cols[i][0] == t]
+        if own:
+            v = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(cols[i][2]).alias("f"), F.col(f"`{cols[i][1]}`").cast("string").alias("v"))
+                                              for i in own])).alias("x")).select("x.*").where("v IS NOT NULL").distinct()
+            values = v if values is None else values.unionByName(v)
+    held = values.groupBy("f", "v").agg(F.collect_list("i").alias("at"))
+    has = lambda i: F.array_contains("at", i)
+    counts = held.agg(*[F.count_if(has(i)).alias(f"n{i}") for i in used], *[F.count_if(has(i) & has(j)).alias(f"s{i}_{j}") for i, j in near])
+    rows = [F.struct(*[F.lit(x).alias(n) for x, n in zip((*cols[i][:2], *cols[j][:2]), ("left_table", "left_column", "right_table", "right_column"))],
+                     F.col(f"n{i}").alias("left_distinct"), F.col(f"n{j}").alias("right_distinct"), F.col(f"s{i}_{j}").alias("shared")) for i, j in near]
+    out = counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumns({
+        "left_in_right": F.try_divide("shared", "left_distinct"), "right_in_left": F.try_divide("shared", "right_distinct")})
+    return out.where((F.greatest("left_in_right", "right_in_left") >= min_containment) & (F.least("left_distinct", "right_distinct") >= min_distinct))
+
+
 def relationship_cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """'one' or 'many' per side from row count vs distinct count -> 1:1, m:1, 1:m, m:n."""
     l_ = key_stats(left, [left_key]).select(F.col(f"{left_key}__rows").alias("left_rows"),

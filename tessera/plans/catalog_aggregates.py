@@ -114,6 +114,15 @@ def q_collect(spark, d):
     return c.withColumn("pt", pt).transform(A.collect_geometry(["c_nationkey"], "pt", "points"))
 
 
+@register("agg_collect_chunks", """SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, i // 10 AS chunk, list_sort(list(p)) AS points FROM (
+  SELECT c_nationkey, p, row_number() OVER (PARTITION BY c_nationkey ORDER BY p.lat, p.lon) - 1 AS i FROM (SELECT c_nationkey, struct_pack(
+  lat := CAST(c_custkey % 170 - 85 AS DOUBLE), lon := CAST(c_custkey * 7 % 340 - 170 AS DOUBLE)) AS p FROM customer)) GROUP BY 1, 2""")
+def q_collect_chunks(spark, d):
+    c = Tables(spark, d).customer
+    pt = fn.makepoint((F.col("c_custkey") % 170 - 85).cast("double"), (F.col("c_custkey") * 7 % 340 - 170).cast("double"))
+    return c.withColumn("pt", pt).transform(A.collect_geometry(["c_nationkey"], "pt", "points", chunk=10))
+
+
 @register("agg_conditional", """SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice END), 2)
   AS high_disc_sales, count(*) FILTER (WHERE l_quantity > 40) AS big_lines FROM lineitem GROUP BY l_returnflag""")
 def q_conditional(spark, d):

@@ -169,3 +169,18 @@ def q_distance(spark, d):
     s = t.supplier.select("s_suppkey", _pt("s_suppkey").alias("pt"))
     out = J.within_distance(c, s, "pt", "pt", 800.0, "c_custkey", "s_suppkey")
     return out.withColumn("distance_km", F.round("distance_km", 3))
+
+
+@register("join_distance_dense", f"""SELECT a.k AS c_custkey, b.k AS s_suppkey, round({_HAV}, 3) AS distance_km FROM
+  (SELECT c_custkey AS k, 48 + (c_custkey * 37 % 1000) / 10000.0::DOUBLE AS lat, 2 + (c_custkey * 91 % 1000) / 5000.0::DOUBLE AS lon FROM customer) a,
+  (SELECT s_suppkey AS k, 48 + (s_suppkey * 37 % 1000) / 10000.0::DOUBLE AS lat, 2 + (s_suppkey * 91 % 1000) / 5000.0::DOUBLE AS lon FROM supplier) b
+  WHERE {_HAV} <= 4""")
+def q_distance_dense(spark, d):
+    # All points in one city: a quadtree of cells instead of one key.
+    t = Tables(spark, d)
+
+    def points(df, key):
+        pt = fn.makepoint(48 + (F.col(key) * 37 % 1000) / F.lit(10000.0), 2 + (F.col(key) * 91 % 1000) / F.lit(5000.0))
+        return df.select(key, pt.alias("pt"))
+    out = J.within_distance(points(t.customer, "c_custkey"), points(t.supplier, "s_suppkey"), "pt", "pt", 4.0, "c_custkey", "s_suppkey", leaf=8)
+    return out.withColumn("distance_km", F.round("distance_km", 3))

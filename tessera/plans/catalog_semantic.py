@@ -249,6 +249,29 @@ def q_rel_infer(spark, d):
     return out.withColumns({"left_in_right": F.round("left_in_right", 8), "right_in_left": F.round("right_in_left", 8)})
 
 
+_DISCOVER = {"nation": ["n_nationkey", "n_regionkey", "n_name"], "region": ["r_regionkey", "r_name"], "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
+             "supplier": ["s_suppkey", "s_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"],
+             "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "part": ["p_partkey"]}
+
+
+def _discover_sql() -> str:
+    values = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v, typeof({c}) = 'VARCHAR' AS f FROM {t} WHERE {c} IS NOT NULL"
+                                for t, cs in _DISCOVER.items() for c in cs)
+    return f"""WITH v AS ({values}), n AS (SELECT t, c, count(*) AS n FROM v GROUP BY t, c),
+  s AS (SELECT a.t AS lt, a.c AS lc, b.t AS rt, b.c AS rc, count(*) AS shared FROM v a JOIN v b ON a.v = b.v AND a.f = b.f AND a.t < b.t GROUP BY ALL)
+SELECT lt AS left_table, lc AS left_column, rt AS right_table, rc AS right_column, a.n AS left_distinct, b.n AS right_distinct, shared,
+  round(shared / a.n, 8) AS left_in_right, round(shared / b.n, 8) AS right_in_left
+FROM s JOIN n a ON a.t = lt AND a.c = lc JOIN n b ON b.t = rt AND b.c = rc WHERE shared >= 0.95 * least(a.n, b.n) AND least(a.n, b.n) >= 2"""
+
+
+@register("sem_relationship_discover", _discover_sql())
+def q_rel_discover(spark, d):
+    # From the values alone: sketches of every column, exact counts for the pairs that survive.
+    t = Tables(spark, d)
+    out = S.relationship_discover({n: getattr(t, n).select(*cs) for n, cs in _DISCOVER.items()})
+    return out.withColumns({"left_in_right": F.round("left_in_right", 8), "right_in_left": F.round("right_in_left", 8)})
+
+
 def _card_sql() -> str:
     parts = []
     for lt, lc, rt, rc in _rel_pairs():
