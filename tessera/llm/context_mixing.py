@@ -52,9 +52,6 @@ from tessera.llm.textops import chunks, lower_table, mix, prefix_hash, space_tab
 
 END_WORD, MORE, END_TEXT = 0xFE, 0xFE, 0xFF  # bytes that UTF-8 never uses
 ORDERS = (1, 2, 3, 4, 6, 255)  # bytes of context; 255: all of the word
-# Tables of a given size, which only ``log_probs`` reads.
-TABLE_BITS = (16, 18, 19, 20, 20, 21)
-TAGGED = (4, 5)  # predictors whose slots carry a tag
 WITH_CLASS = (0, 1, 2, 5)  # predictors whose context holds the class
 CLASSES, PAIRS = 6, 512
 PACK, STARTS, STILL = 512, 4, 1e-3  # texts of a row of pair counts; sets of starts; change of a centre at which k-means ends
@@ -314,10 +311,6 @@ def _contexts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, kind: np.ndar
     return ctx, data[at].astype(np.int64), row
 
 
-def _keys(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return mix(ctx + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
     """A binary tree over the 256 bytes, with short paths for common ones: for each byte the number of
     its decisions and where they start in the lists of nodes passed and turns taken."""
@@ -351,14 +344,6 @@ def _decisions(code: dict, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return place, code["node"][at], code["turn"][at]
 
 
-def _slot(key: np.ndarray, k: int) -> np.ndarray:
-    return (key & np.uint64((1 << TABLE_BITS[k]) - 1)).astype(np.int64)
-
-
-def _tag(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(48)).astype(np.uint16)
-
-
 def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The batches in runs of so many rows."""
     held, n = [], 0
@@ -569,32 +554,7 @@ def _gates(g: dict[int, np.ndarray]) -> np.ndarray:
     return np.where(g[5] > 0, 8 + g[5], np.where(g[4] > 0, 16 + g[4], g[3])).astype(np.int64)
 
 
-def _scoring_inputs(model: dict, ctx: list[np.ndarray], place: np.ndarray, node: np.ndarray):
-    """Logits and the gate from tables of a given size, packed: logit, gate and tag of a slot in 8 bytes."""
-    x = np.empty((len(ORDERS) + 1, len(node)), np.float32)
-    x[-1] = 0.3
-    seen = {}
-    for k in range(len(ORDERS)):
-        key = _keys(ctx[k][place], node)
-        slot = model["packed"][k][_slot(key, k)]
-        if k in TAGGED:
-            slot = slot * ((slot >> np.uint64(48)) == (key >> np.uint64(48)))
-        x[k] = (slot & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
-        if k >= 3:
-            seen[k] = (slot >> np.uint64(32)) & np.uint64(255)
-    return x, _gates({k: v.astype(np.int64) for k, v in seen.items()})
-
-
-LEAST = np.float32(0.05)  # added to both counts of a slot
-
-
-def _packed(model: dict) -> list[np.ndarray]:
-    out = []
-    for k, (n0, n1) in enumerate(model["counts"]):
-        logit = np.log((n1 + LEAST) / (n0 + LEAST)).astype(np.float32).view(np.uint32).astype(np.uint64)
-        tag = model["tags"][k].astype(np.uint64) if k in TAGGED else np.zeros(len(n0), np.uint64)
-        out.append(logit | (_gate(n0 + n1).astype(np.uint64) << np.uint64(32)) | (tag << np.uint64(48)))
-    return out
+LEAST = np.float32(0.05)  # added to both counts of a bit
 
 
 SETS = 3 * GATES
@@ -662,13 +622,6 @@ def _log_mix(model: dict, x: np.ndarray, gate: np.ndarray, y: np.ndarray, row: n
     return np.bincount(row, np.log10(np.where(y == 1, p, 1 - p)), rows)
 
 
-def log_probs(model: dict, words: pa.Array, kind: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """log10 probability of every string in its class, from packed tables."""
-    ctx, byte, row = _contexts(*_strings(words, kind), kind, z)
-    place, node, y = _decisions(model["code"], byte)
-    return _log_mix(model, *_scoring_inputs(model, ctx, place, node), y, row[place], len(kind))
-
-
 def score_units(models: DataFrame, mixing: dict) -> DataFrame:
     """(kind, z, word, c, blocks, lp): lp is the log10 probability of the word in the class."""
     names = ["kind", "z", "word", "c", "blocks"]

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.storage import materialise
 from tessera.llm.textops import chunks, lower_table, non_alnum_table, permutation_constants, shingles, word_hashes
 
 SHINGLE = 5
@@ -162,6 +163,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         [old if c == "leaks" else part.column(batch.schema.names.index(c)) for c in columns], names=columns)
 
         out = out.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text, "leaks"])]).mapInArrow(run, schema)
+        if k < blocks - 1:
+            # Written before the next block: one index and one Python worker at a time.
+            out = materialise(out, "marked")
+            index.unpersist()
     return out
 
 

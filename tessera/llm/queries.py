@@ -78,11 +78,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The rules of the URL filter.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-# The small labelled URL table: hosts to block and to allow, each with a few paths.
-BLOCK_HOSTS = ("casino-win casino-slots ads-track adserver-click free-bets bet-win spam-farm link-farm "
-               "cheap-pills pills-shop adult-x xxx-cams").split()
-ALLOW_HOSTS = ("tionsh ththth therre weather library news garden school river museum cooking ththere "
-               "onand tionble thering science").split()
+# The small labelled URL table: hosts to block and to allow, each with a few paths.  None of the hosts that the pages
+# tables name is among them: what is said of those is said of hosts that training did not see.
+BLOCK_HOSTS = ("casino-slots lucky-casino best-casino online-casino ads-banner ads-server adserver-click click-track track-pixel bets-now "
+               "bet-win sport-bets free-win free-coins spam-mail mail-spam link-farm farm-links pills-shop buy-pills cheap-meds cheap-watches "
+               "adult-cams adult-chat xxx-cams xxx-videos").split()
+ALLOW_HOSTS = ("weather library news garden school river museum cooking science history market theatre nature reading weekend brother "
+               "station motion within nothing earth rather mountain another national thousand together months paths clothes truths theses "
+               "others notes stones houses lines").split()
 LABELLED_PATHS = ["/en/12.html", "/fr/804?page=2", "/es/77", "/de/410/"]
 
 

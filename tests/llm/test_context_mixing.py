@@ -53,17 +53,67 @@ def test_no_training_and_empty(spark):
     _check(spark, [])
 
 
-def test_bytes_of_a_context_share_at_most_one(spark):
-    """The probabilities of all bytes after a prefix add up to one."""
+def _units(words, counts, kind=0, z=0):
+    n = len(words)
+    return pa.table({"kind": pa.array([kind] * n, pa.int8()), "z": pa.array([z] * n, pa.int8()), "word": pa.array(words, pa.binary()),
+                     "cz": pa.array(counts, pa.int64())})
+
+
+def _random_mixing(rng, code):
+    return {"code": code, "w": rng.normal(0.3, 0.2, (M.SETS, len(M.ORDERS) + 1)), "map": rng.random((M.SETS, M.MAP_STEPS))}
+
+
+def test_bytes_of_a_context_add_up_to_one():
+    """The probabilities of all bytes after a prefix, on the path that scores: bit counts, inputs, mix."""
     rng = np.random.default_rng(1)
-    model = {"counts": [rng.integers(0, 9, (2, 1 << b)).astype(np.float32) for b in M.TABLE_BITS],
-             "tags": {k: np.zeros(1 << M.TABLE_BITS[k], np.uint16) for k in M.TAGGED},
-             "code": M.byte_code(rng.integers(0, 1000, 256)), "w": rng.normal(0.3, 0.2, (M.SETS, len(M.ORDERS) + 1)), "map": rng.random((M.SETS, M.MAP_STEPS))}
-    model["packed"] = M._packed(model)
-    words = pa.array([b"th" + bytes([b]) for b in range(256)], pa.binary())
-    kind, z = np.ones(256, np.int64), np.zeros(256, np.int64)
-    stem = M.log_probs(model, pa.array([b"th"], pa.binary()), kind[:1], z[:1])[0]
-    assert abs((10 ** (M.log_probs(model, words, kind, z) - stem)).sum() - 1) < 1e-6
+    learnt = _units([b"t" + bytes([b]) for b in (0x20, 0x41, 0x61, 0xC3, 0xFF)] + [b"the", b"a"], [3, 1, 7, 2, 1, 9, 4], kind=1)
+    keys, n = M._own_keys(learnt)
+    code = M.byte_code(rng.integers(0, 1000, 256))
+    model = M._bit_counts(keys, n, code)
+    asked = _units([b"t" + bytes([b]) for b in range(256)], [0] * 256, kind=1)
+    for mixing in (_random_mixing(rng, code) for _ in range(3)):
+        x, gate, y, row, _ = M._exact_inputs(model, asked.to_batches()[0], False)
+        assert abs((10 ** M._log_mix(mixing, x, gate, y, row, 256)).sum() - 1) < 1e-6
+
+
+def test_scores_against_plain_python():
+    """Whole counts, logits, gates, mix and map of every bit, one after the other."""
+    rng = np.random.default_rng(2)
+    words, counts = [b"the", b"then", b"a", "é".encode(), b"xyx"], [9, 2, 30, 1, 0]
+    units = _units(words, counts, z=2)
+    code = M.byte_code(rng.integers(0, 50, 256))
+    mixing = _random_mixing(rng, code)
+    keys, n = M._own_keys(units)
+    model = M._bit_counts(keys, n, code)
+    ones, zeros = Counter(), Counter()
+    path = lambda b: [(int(code["node"][i]), int(code["turn"][i])) for i in range(code["start"][b], code["start"][b] + code["size"][b])]
+
+    def contexts(w, at):
+        return [(k, w[max(0, at - o):at]) for k, o in enumerate(M.ORDERS)]  # one class here
+
+    coded = [w + bytes([M.END_WORD]) for w in words]
+    for w, c in zip(coded, counts):
+        for at, b in enumerate(w):
+            for k, ctx in contexts(w, at):
+                for node, turn in path(b):
+                    (ones if turn else zeros)[k, ctx, node] += c
+    x, gate, y, row, _ = M._exact_inputs(model, units.to_batches()[0], False)
+    got = M._log_mix(mixing, x, gate, y, row, len(words))
+    for w, lp in zip(coded, got):
+        want = 0.0
+        for at, b in enumerate(w):
+            for node, turn in path(b):
+                n1, n0 = ([t[k, ctx, node] for k, ctx in contexts(w, at)] for t in (ones, zeros))
+                logits = [math.log((p + 0.05) / (q + 0.05)) for p, q in zip(n1, n0)] + [0.3]
+                level = [min(int(math.log2(p + q + 1)), M.GATES - 1) for p, q in zip(n1, n0)]
+                g = 8 + level[5] if level[5] else 16 + level[4] if level[4] else level[3]
+                z = sum(v * u for v, u in zip(logits, mixing["w"][g]))
+                spot = (min(max(z, -7.99), 7.99) + 8) * (M.MAP_STEPS - 1) / 16
+                low = int(spot)
+                m = mixing["map"][g][low] * (1 - spot + low) + mixing["map"][g][low + 1] * (spot - low)
+                p = min(max((1 / (1 + math.exp(-z)) + m) / 2, 1e-6), 1 - 1e-6)
+                want += math.log10(p if turn else 1 - p)
+        assert abs(lp - want) < 1e-4 * max(1, abs(want)), (w, lp, want)
 
 
 def test_learns_the_corpus(spark, sf_small):
