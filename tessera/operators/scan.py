@@ -21,7 +21,7 @@ These helpers split each group into *segments* instead:
 The result is exact (same values and types as the single-window form) with work
 spread over ``n`` tasks whatever the key distribution.  ``skew_safe=False`` gives
 the single-window plan; ``None`` (default) picks it only when the whole input is
-within one task's budget (``tessera.scan.singleTaskBytes``, 32 MiB), so no group
+within one task's budget (``tessera.scan.singleTaskBytes``, 64 MiB), so no group
 can overload a task.
 """
 

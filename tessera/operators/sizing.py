@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 # operator may use a single window plan: the whole input (an upper-bound
 # estimate) fits one task, so no group can exceed it.
 SINGLE_TASK_CONF = "tessera.scan.singleTaskBytes"
-DEFAULT_SINGLE_TASK_BYTES = 32 * 1024 * 1024
+DEFAULT_SINGLE_TASK_BYTES = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
