@@ -56,12 +56,12 @@ WITH_CLASS = (0, 1, 2, 5)  # predictors whose context holds the class
 CLASSES, PAIRS = 6, 512
 PACK, STARTS, STILL = 512, 4, 1e-3  # texts of a row of pair counts; sets of starts; change of a centre at which k-means ends
 GATES = 8
+GATE_OF = np.log2(np.arange(1, (1 << GATES - 1) + 1)).astype(np.int8)  # the gate of counts up to the first of the last gate
 MAP_STEPS = 33
 BATCH_WORDS = 256
-SCORE_WORDS = 4_000
+MIX_BITS = 1 << 16
 UNITS = 20_000  # (class, word) pairs of a block of the model
 KEYS_OF_UNIT, SHARD_KEYS = 20, 1_000_000  # guess of the keys that a unit sends; keys of a shard
-PIECE_KEYS = 100_000
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
 RUN_BYTES = 1 << 18
@@ -226,8 +226,11 @@ def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
         s, e, row, tails = _pieces(data, offs)
         if len(s):
             h = span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64)
-            h, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            found.append((h, base + s[at], (e - s)[at], z[row[at]], np.bincount(inv, train[first + row], len(at))))
+            order = np.argsort(h)
+            at = np.flatnonzero(_heads(h[order]))
+            c = np.add.reduceat(train[first + row[order]].astype(np.int64), at)
+            at = order[at]
+            found.append((h[at], base + s[at], (e - s)[at], z[row[at]], c))
             texts.append(data)
             base += len(data)
         for r, key, c in tails:
@@ -239,10 +242,13 @@ def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
     word, kind, z, n = pa.array([k[1] for k in keys], pa.binary()), [k[0] for k in keys], [0] * len(keys), list(others.values())
     if found:
         h, place, size, cls, c = (np.concatenate(x) for x in zip(*found))
-        _, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        at = np.flatnonzero(_heads(h[order]))
+        c = np.add.reduceat(c[order], at)
+        at = order[at]
         word = pa.concat_arrays([_cut(np.concatenate(texts), place[at], size[at]), word])
         kind, z = np.concatenate([np.zeros(len(at)), kind]), np.concatenate([cls[at], z])
-        n = np.concatenate([np.bincount(inv, c, len(at)), n])
+        n = np.concatenate([c, n])
     return pa.table({"block": pa.array(np.full(len(word), t["block"][0].as_py()), pa.int32()), "kind": pa.array(np.asarray(kind).astype(np.int8)),
                      "z": pa.array(np.asarray(z).astype(np.int8)), "word": word, "n": pa.array(np.asarray(n).astype(np.int64))})
 
@@ -313,7 +319,8 @@ def _contexts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, kind: np.ndar
 
 def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
     """A binary tree over the 256 bytes, with short paths for common ones: for each byte the number of
-    its decisions and where they start in the lists of nodes passed and turns taken."""
+    its decisions and where they start in the lists of nodes passed and turns taken.  ``rank`` numbers
+    the leaves from left to right; ``mid`` is, beside each node passed, the first rank on its right."""
     heap = [(float(c) + 1, b, b) for b, c in enumerate(counts)]
     heapq.heapify(heap)
     parent: dict[int, tuple[int, int]] = {}
@@ -323,7 +330,7 @@ def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
         parent[left], parent[right] = (new, 0), (new, 1)
         heapq.heappush(heap, (x + y, new, new))
         new += 1
-    size, start, node, turn = [], [], [], []
+    size, start, node, turn, paths = [], [], [], [], []
     for b in range(256):
         path, at = [], b
         while at in parent:
@@ -333,7 +340,15 @@ def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
         size.append(len(path))
         node += [p[0] for p in reversed(path)]
         turn += [p[1] for p in reversed(path)]
-    return {k: np.array(v, np.int64) for k, v in (("size", size), ("start", start), ("node", node), ("turn", turn))}
+        paths.append(turn[start[-1]:])
+    leaves, rank, first = sorted(range(256), key=paths.__getitem__), [0] * 256, {}
+    for r, b in enumerate(leaves):
+        rank[b] = r
+        for i in range(start[b], start[b] + size[b]):
+            if turn[i]:
+                first.setdefault(node[i], r)
+    mid = [first[x] for x in node]
+    return {k: np.array(v, np.int64) for k, v in (("size", size), ("start", start), ("node", node), ("turn", turn), ("rank", rank), ("mid", mid))}
 
 
 def _decisions(code: dict, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,6 +373,10 @@ def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _one_batch(t: pa.Table) -> pa.RecordBatch:
+    return (t.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], t.schema)])[0]
+
+
 def _columns(batch: pa.RecordBatch, count: str = "c"):
     col = lambda c: batch.column(batch.schema.names.index(c))
     kind = col("kind").to_numpy().astype(np.int64)
@@ -391,19 +410,21 @@ def _pair_keys(ctx: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """An array by byte planes, compressed."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    """An array by byte planes, compressed, after its length."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpack(raw: bytes, dtype) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True) if raw[:8] != bytes(8) else b""
+    planes = np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
@@ -412,13 +433,22 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.append(True, x[1:] != x[:-1])[:len(x)]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[_heads(x)]
+
+
+def _asked(units: pa.RecordBatch) -> dict:
+    """The coded bytes of units: each one's row and, for every predictor, its place among the distinct keys."""
+    (ctx, byte, row), _, c = _columns(units, "cz")
+    keys, inv = np.unique(_pair_keys(ctx, byte), return_inverse=True)
+    return {"keys": keys, "inv": inv.reshape(len(ORDERS), -1), "byte": byte, "row": row, "c": c}
+
+
 def _own_keys(units: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a block's units, in order, and their training counts in it."""
-    found = []
-    for batch in _runs(iter(units.combine_chunks().to_batches()), SCORE_WORDS):
-        (ctx, byte, row), _, c = _columns(batch, "cz")
-        found.append(_summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS))))
-    return _summed(*(np.concatenate(x) for x in zip(*found)))
+    (ctx, byte, row), _, c = _columns(_one_batch(units), "cz")
+    return _summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS)))
 
 
 ANSWER = ("m", np.uint16), ("b", np.uint8), ("n", np.int64)  # bytes seen in each context, those bytes, their counts
@@ -473,85 +503,126 @@ def block_models(units: DataFrame, shards: int) -> DataFrame:
     return units.groupBy("mb").cogroup(context_counts(units, shards).groupBy("block")).applyInArrow(run, "units binary, m binary, b binary, n binary")
 
 
-def _whole_counts(row: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Units of a block, all keys of their contexts in order, and the counts."""
-    units = pa.ipc.open_stream(pa.py_buffer(row["units"])).read_all().combine_chunks()
+def _units_of(row: dict) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(row["units"])).read_all().combine_chunks()
+
+
+def _whole_counts(row: dict, own: np.ndarray | None = None) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Units of a block, all keys of their contexts in order, and the counts; ``own``: the units' keys if at hand."""
+    units = _units_of(row)
     m, b, n = (_unpack(row[c], d) for c, d in ANSWER)
-    ctx = _own_keys(units)[0] >> np.uint64(8)
+    ctx = (_asked(_one_batch(units))["keys"] if own is None else own) >> np.uint64(8)
     return units, np.repeat(ctx[_heads(ctx)], m) << np.uint64(8) | b.astype(np.uint64), n
 
 
 def _bit_counts(keys: np.ndarray, n: np.ndarray, code: dict) -> dict:
-    """Bit counts of all contexts, made in pieces of ``PIECE_KEYS`` that end with a context."""
+    """Counts of all contexts, from which ``_exact_inputs`` reads the bit counts: a node of the code holds a
+    range of ranks, so with each context's bytes in the order of their ranks its counts are a difference of sums."""
     ctx = keys >> np.uint64(8)
     new = _heads(ctx)
-    ident, cuts = np.cumsum(new) - 1, [0]
-    while cuts[-1] < len(keys):
-        cuts.append(int(np.searchsorted(ident, ident[min(cuts[-1] + PIECE_KEYS, len(keys)) - 1], "right")))
-    parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        place, node, y = _decisions(code, (keys[i:j] & np.uint64(255)).astype(np.int64))
-        nodes = ident[i:j][place] * 512 + node
-        order = np.argsort(nodes, kind="stable")
-        nodes, w, y = nodes[order], n[i:j][place[order]].astype(np.float64), y[order]
-        starts = np.flatnonzero(_heads(nodes))
-        parts.append((nodes[starts], np.add.reduceat(w * (1 - y), starts), np.add.reduceat(w * y, starts)))
-    nodes, n0, n1 = (np.concatenate(x) for x in zip(*parts))
-    return {"ctx": ctx[new], "nodes": nodes, "n0": n0, "n1": n1, "code": code}
-
-
-def _models(batches: Iterator[pa.RecordBatch], code: dict) -> Iterator[tuple[pa.Table, dict]]:
-    """The blocks of a task: units and the bit counts of their contexts, which hold until the next block."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            units, keys, n = _whole_counts({c: batch.column(c)[i].as_py() for c in batch.schema.names})
-            units = units.take(pa.array(np.random.default_rng(7).permutation(units.num_rows))).combine_chunks()
-            model = _bit_counts(keys, n, code)
-            del keys, n
-            yield units, model
-            model.clear()
+    places = (np.cumsum(new) - 1) << 8 | code["rank"][(keys & np.uint64(255)).astype(np.int64)]
+    order = np.argsort(places, kind="stable")  # nearly in order
+    return {"ctx": ctx[new], "starts": np.append(np.flatnonzero(new), len(keys)), "places": places[order],
+            "total": np.append(0, np.cumsum(n[order])), "code": code}
 
 
-def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool):
+def _models(batches: Iterator[pa.RecordBatch], code: dict, learn: bool) -> Iterator[tuple[pa.RecordBatch, dict, dict]]:
+    """The blocks of a task: units, their keys and the counts of all their contexts.  To ``learn`` from, the
+    units that training saw come alone, in a random order."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            units = _units_of(row)
+            n = units.num_rows
+            if learn:
+                order = np.random.default_rng(7).permutation(n)
+                seen = units["cz"].to_numpy()[order] > 0
+                units, n = units.take(pa.array(np.concatenate([order[seen], order[~seen]]))), int(seen.sum())
+            units = _one_batch(units)
+            asked = _asked(units)
+            yield units.slice(0, n), asked, _bit_counts(*_whole_counts(row, asked["keys"])[1:], code)
+
+
+def _node_counts(model: dict, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of both turns at every decision of the keys: those of key i from ``first[i]`` on."""
+    code, places, total, starts = model["code"], model["places"], model["total"], model["starts"]
+    n0, n1 = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    if not len(places):
+        return n0, n1
+    want, byte = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64)
+    new = _heads(want)
+    at, want = np.cumsum(new) - 1, want[new]
+    spot = np.minimum(np.searchsorted(model["ctx"], want), len(model["ctx"]) - 1)
+    live = np.flatnonzero((model["ctx"][spot] == want)[at])
+    at, byte = spot[at[live]], byte[live]
+    low, high, begin, out, left, rank = starts[at], starts[at + 1], code["start"][byte], first[live], size[live], code["rank"][byte]
+    at <<= 8
+    alone = [(np.zeros(0, np.int64),) * 4]
+    while len(left):
+        one = high - low == 1
+        seen = places[low] & 255
+        same = one & (seen == rank)  # only the key's own byte is left: all its turns have its count
+        alone.append(tuple(v[same] for v in (begin, out, left)) + (total[low[same] + 1] - total[low[same]],))
+        go = np.flatnonzero(~same)
+        at, low, high, begin, out, left, rank, one, seen = (v[go] for v in (at, low, high, begin, out, left, rank, one, seen))
+        mid, turn = code["mid"][begin], code["turn"][begin]
+        cut = np.where(seen < mid, high, low)
+        wide = np.flatnonzero(~one)
+        cut[wide] = np.searchsorted(places, at[wide] | mid[wide])
+        between = total[cut]
+        n0[out], n1[out] = between - total[low], total[high] - between
+        low, high = np.where(turn, cut, low), np.where(turn, high, cut)
+        go = np.flatnonzero((left > 1) & (high > low))  # below an empty range all counts are 0
+        at, low, high, begin, out, left, rank = at[go], low[go], high[go], begin[go] + 1, out[go] + 1, left[go] - 1, rank[go]
+    begin, out, left, n = (np.concatenate(x) for x in zip(*alone))
+    step = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left, left)
+    turn, n, out = code["turn"][np.repeat(begin, left) + step], np.repeat(n, left), np.repeat(out, left) + step
+    n1[out] = n * turn
+    n0[out] = n - n * turn
+    return n0, n1
+
+
+def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool, asked: dict | None = None):
     """Logits of all predictors and the gate at every decision, from whole counts; ``own``: without the
-    word's own occurrence.  With the turns, the row of each decision and the training counts of the rows."""
-    (ctx, byte, row), kind, c = _columns(batch, "cz")
-    code, n = model["code"], len(byte)
-    keys, inv = np.unique(_pair_keys(ctx, byte), return_inverse=True)
-    want = keys >> np.uint64(8)
-    at = np.minimum(np.searchsorted(model["ctx"], want), max(len(model["ctx"]) - 1, 0))
-    known = model["ctx"][at] == want if len(model["ctx"]) else np.zeros(len(want), bool)
-    path, node, turn = _decisions(code, (keys & np.uint64(255)).astype(np.int64))
-    query = np.where(known, at, -1)[path] * 512 + node
-    spot = np.minimum(np.searchsorted(model["nodes"], query), max(len(model["nodes"]) - 1, 0))
-    hit = (model["nodes"][spot] == query) if len(model["nodes"]) else np.zeros(len(query), bool)
-    n0, n1 = (np.where(hit, model[m][spot] if len(model["nodes"]) else 0, 0) for m in ("n0", "n1"))
+    word's own occurrence.  With the turns, the row of each decision and the training counts of the rows.
+    ``asked``: the keys of units of which ``batch`` holds the first, if at hand."""
+    asked, code = asked or _asked(batch), model["code"]
+    keys, n = asked["keys"], int(np.searchsorted(asked["row"], batch.num_rows))
+    byte, row, inv = asked["byte"][:n], asked["row"][:n], asked["inv"][:, :n]
+    coded = (keys & np.uint64(255)).astype(np.int64)
+    length = code["size"][coded]
+    first = np.cumsum(length) - length
+    n0, n1 = _node_counts(model, keys, first, length)
     if own:
+        _, _, turn = _decisions(code, coded)
         n0, n1 = np.maximum(n0 - (1 - turn), 0), np.maximum(n1 - turn, 0)
-    logit, gate = np.log((n1 + LEAST) / (n0 + LEAST)).astype(np.float32), _gate(n0 + n1).astype(np.int8)
-    first = np.cumsum(code["size"][(keys & np.uint64(255)).astype(np.int64)])
-    first = np.append(0, first[:-1])
-    place, _, y = _decisions(code, byte)
+    gate = _gate(n0 + n1)
+    logit = np.log((n1.astype(np.float32) + LEAST) / (n0.astype(np.float32) + LEAST))
+    del n0, n1
     size = code["size"][byte]
-    step = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
-    x = np.empty((len(ORDERS) + 1, len(place)), np.float32)
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    y = code["turn"][np.repeat(code["start"][byte] - begin, size) + at]
+    x = np.empty((len(ORDERS) + 1, len(at)), np.float32)
     x[-1] = 0.3
     seen = {}
     for k in range(len(ORDERS)):
-        spot = first[inv[k * n:(k + 1) * n]][place] + step
-        x[k] = logit[spot]
+        spot = np.repeat(first[inv[k]] - begin, size)
+        spot += at
+        np.take(logit, spot, out=x[k], mode="clip")
         if k >= 3:
-            seen[k] = gate[spot].astype(np.int64)
-    return x, _gates(seen), y, row[place], c
+            seen[k] = gate[spot]
+    return x, _gates(seen), y, np.repeat(row, size), asked["c"][:batch.num_rows]
 
 
 def _gate(n: np.ndarray) -> np.ndarray:
-    """0 for an unseen context up to 7 for one seen often."""
-    return np.minimum(np.log2(n + 1).astype(np.int64), GATES - 1)
+    """0 for an unseen context up to 7 for one seen often: whole part of log2(n + 1)."""
+    return GATE_OF[np.minimum(n, len(GATE_OF) - 1)]
 
 
 def _gates(g: dict[int, np.ndarray]) -> np.ndarray:
-    return np.where(g[5] > 0, 8 + g[5], np.where(g[4] > 0, 16 + g[4], g[3])).astype(np.int64)
+    eight, sixteen = np.int8(GATES), np.int8(2 * GATES)
+    return np.where(g[5] > 0, eight + g[5], np.where(g[4] > 0, sixteen + g[4], g[3])).astype(np.int64)
 
 
 LEAST = np.float32(0.05)  # added to both counts of a bit
@@ -579,28 +650,26 @@ def learn_mixing(models: DataFrame, code: dict) -> dict:
     k1 = len(ORDERS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for units, model in _models(batches, code):
-            units = units.filter(pc.greater(units["cz"], 0)).combine_chunks()
+        for units, asked, model in _models(batches, code, True):
             w = np.full((SETS, k1), 0.3)
             power = np.full((SETS, k1), 1e-3)
             hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
             bits = np.zeros(SETS)
-            for batch in _runs(iter(units.to_batches()), SCORE_WORDS):
-                all_x, all_gate, all_y, row, c = _exact_inputs(model, batch, True)
-                ends = np.searchsorted(row, np.arange(0, batch.num_rows + BATCH_WORDS, BATCH_WORDS))
-                for i, j in zip(ends[:-1], ends[1:]):
-                    x, gate, y, weight = all_x[:, i:j], all_gate[i:j], all_y[i:j], c[row[i:j]]
-                    z = np.einsum("kn,nk->n", x, w[gate])
-                    err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
-                    low, share = _place(z)
-                    cell = gate * MAP_STEPS + low + (share > 0.5)
-                    hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
-                    tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
-                    mass = np.bincount(gate, weight, SETS)
-                    grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
-                    power += grad * grad
-                    w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
-                    bits += mass
+            all_x, all_gate, all_y, row, c = _exact_inputs(model, units, True, asked)
+            ends = np.searchsorted(row, np.arange(0, units.num_rows + BATCH_WORDS, BATCH_WORDS))
+            for i, j in zip(ends[:-1], ends[1:]):
+                x, gate, y, weight = all_x[:, i:j], all_gate[i:j], all_y[i:j], c[row[i:j]]
+                z = _mixed(x, gate, w)
+                err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
+                low, share = _place(z)
+                cell = gate * MAP_STEPS + low + (share > 0.5)
+                hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
+                tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
+                mass = np.bincount(gate, weight, SETS)
+                grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
+                power += grad * grad
+                w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
+                bits += mass
             if bits.any():
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w * bits[:, None], bits, hits, tries)],
                                                  names=["w", "bits", "hits", "tries"])
@@ -616,10 +685,22 @@ def learn_mixing(models: DataFrame, code: dict) -> dict:
     return {"code": code, "w": w, "map": (hits + 8 * steps) / (tries + 8)}
 
 
+def _mixed(x: np.ndarray, gate: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of the logits, with the weights that the gate picks."""
+    out = x[0] * w[:, 0][gate]
+    for k in range(1, len(x)):
+        out += x[k] * w[:, k][gate]
+    return out
+
+
 def _log_mix(model: dict, x: np.ndarray, gate: np.ndarray, y: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    logit = np.einsum("kn,nk->n", x, model["w"][gate])
-    p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate, model["map"])
-    return np.bincount(row, np.log10(np.where(y == 1, p, 1 - p)), rows)
+    out = np.zeros(rows)
+    for i in range(0, len(y), MIX_BITS):
+        here = slice(i, i + MIX_BITS)
+        logit = _mixed(x[:, here], gate[here], model["w"])
+        p = _refined(1 / (1 + np.exp(-np.clip(logit, -30, 30))), logit, gate[here], model["map"])
+        out += np.bincount(row[here], np.log10(np.where(y[here] == 1, p, 1 - p)), rows)
+    return out
 
 
 def score_units(models: DataFrame, mixing: dict) -> DataFrame:
@@ -627,11 +708,10 @@ def score_units(models: DataFrame, mixing: dict) -> DataFrame:
     names = ["kind", "z", "word", "c", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for units, model in _models(batches, mixing["code"]):
-            for batch in _runs(iter(units.to_batches()), SCORE_WORDS):
-                x, gate, y, row, _ = _exact_inputs(model, batch, False)
-                lp = _log_mix(mixing, x, gate, y, row, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lp)], names=[*names, "lp"])
+        for units, asked, model in _models(batches, mixing["code"], False):
+            x, gate, y, row, _ = _exact_inputs(model, units, False, asked)
+            lp = _log_mix(mixing, x, gate, y, row, units.num_rows)
+            yield pa.RecordBatch.from_arrays([*[units.column(units.schema.names.index(c)) for c in names], pa.array(lp)], names=[*names, "lp"])
 
     return models.mapInArrow(run, "kind byte, z byte, word binary, c bigint, blocks array<int>, lp double")
 
@@ -659,7 +739,10 @@ def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp
         n_bytes[here] = np.diff(offs)
         score[here] += class_lp[z]
         if len(s):
-            at = np.searchsorted(h, span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64))
+            want = span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64)
+            near = np.argsort(want)  # sorted look-ups stay in the cache
+            at = np.empty(len(want), np.int64)
+            at[near] = np.searchsorted(h, want[near])
             tokens[here] += np.bincount(row, minlength=rows)
             known[here] += np.bincount(row, c[at] > 0, rows).astype(np.int64)
             base[here] += np.bincount(row, base_of(c[at]), rows)
