@@ -63,6 +63,28 @@ def _close(role: Column) -> Column:
     return out
 
 
+SUMS = "struct<total:bigint,sums:array<bigint>>"
+
+
+def _fold(sizes: Column, size) -> Column:
+    """(total, sums): the running sum before every element of a short array."""
+    return F.aggregate(
+        sizes, F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("sums")).cast(SUMS),
+        lambda acc, x: F.struct((acc["total"] + size(x)).alias("total"), F.concat(acc["sums"], F.array(acc["total"])).alias("sums")).cast(SUMS))
+
+
+def _sums_in_pieces(sizes: str) -> Column:
+    """Running sums of a long array in pieces of the root of its length, since a fold copies its array at each step."""
+    n = F.size(sizes)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    return F.transform(F.sequence(F.lit(1), n, width), lambda i: _fold(F.slice(sizes, i, width), lambda x: x))
+
+
+def _running(pieces: str) -> Column:
+    """Running sums of the whole array from those of its pieces."""
+    return F.flatten(F.zip_with(pieces, _fold(F.col(pieces), lambda x: x["total"])["sums"], lambda x, base: F.transform(x["sums"], lambda v: v + base)))
+
+
 def format_conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn",
                          role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: ``key``, ``formatted``, and ``loss_mask``, the spans of
@@ -72,42 +94,30 @@ def format_conversations(turns: DataFrame, key: str = "conv_id", turn: str = "tu
         F.struct(F.col(turn).alias("o"), F.coalesce(F.col(role), F.lit("")).alias("r"),
                  F.coalesce(F.col(text), F.lit("")).alias("t")).alias("s"))
     conv = one.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("turns"))
-    # Blocks: (role, escaped texts); a turn of the same role as the block before joins it.
-    kind = "array<struct<r:string,ts:array<string>>>"
-    blocks = F.aggregate(
-        "turns", F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["r"] == x["r"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                     F.array(F.struct(F.element_at(acc, -1)["r"].alias("r"),
-                                      F.concat(F.element_at(acc, -1)["ts"], F.array(escape(x["t"]))).alias("ts")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["r"].alias("r"), F.array(escape(x["t"])).alias("ts"))))).cast(kind))
-    conv = conv.withColumn("blocks", blocks)
+    conv = conv.withColumn("parts", F.transform("turns", lambda x: F.struct(x["r"].alias("r"), escape(x["t"]).alias("t"))))
+    # Blocks: (role, escaped texts), cut where the role differs from that of the turn before.
+    role_at = lambda i: F.get("parts", i)["r"]
+    conv = conv.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1))))
+    conv = conv.withColumn("blocks", F.transform("starts", lambda i, j: F.struct(
+        role_at(i).alias("r"),
+        F.transform(F.slice("parts", i + 1, F.coalesce(F.get("starts", j + 1), F.size("parts")) - i), lambda x: x["t"]).alias("ts"))))
     known = lambda r: r.isin(*TEMPLATE)
     line = lambda b: F.concat(
         _open(b["r"]), F.lit(" "),
         F.when(known(b["r"]), F.lit("")).otherwise(F.concat(escape(b["r"]), F.lit(f" {NEXT} "))),
         F.array_join(b["ts"], f" {NEXT} "), F.lit(" "), _close(b["r"]), F.lit("\n"))
     conv = conv.withColumn("lines", F.transform("blocks", line))
-    # Spans of assistant texts: walk over the blocks with a running offset.
-    a_open, sep = len(TEMPLATE["assistant"][0]) + 1, len(NEXT) + 2
-    spans = "array<struct<start:bigint,len:bigint>>"
-    state = f"struct<at:bigint,spans:{spans}>"
-
-    def block_spans(at, ts):
-        return F.aggregate(
-            ts, F.struct((at + a_open).cast("bigint").alias("at"), F.array().cast(spans).alias("spans")).cast(state),
-            lambda acc, t: F.struct((acc["at"] + F.length(t) + sep).cast("bigint").alias("at"),
-                                    F.concat(acc["spans"], F.array(F.struct(
-                                        acc["at"].alias("start"), F.length(t).cast("bigint").alias("len")))).alias("spans")).cast(state))["spans"]
-
-    mask = F.aggregate(
-        F.arrays_zip("blocks", "lines"), F.struct(F.lit(1).cast("bigint").alias("at"), F.array().cast(spans).alias("spans")).cast(state),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["lines"])).cast("bigint").alias("at"),
-            F.when(x["blocks"]["r"] == "assistant", F.concat(acc["spans"], block_spans(acc["at"], x["blocks"]["ts"])))
-            .otherwise(acc["spans"]).alias("spans")).cast(state),
-        lambda acc: acc["spans"])
+    # Spans of assistant texts: what stands before and after each text, and where its turn begins.
+    first, last = (lambda x, i: (i == 0) | (role_at(i - 1) != x["r"])), (lambda x, i: F.coalesce(role_at(i + 1) != x["r"], F.lit(True)))
+    before = lambda x: F.length(_open(x["r"])) + 1 + F.when(known(x["r"]), 0).otherwise(F.length(escape(x["r"])) + len(NEXT) + 2)
+    conv = conv.withColumn("steps", F.transform("parts", lambda x, i: F.struct(
+        x["r"].alias("r"), F.length(x["t"]).cast("bigint").alias("n"),
+        F.when(first(x, i), before(x)).otherwise(len(NEXT) + 2).cast("bigint").alias("before"),
+        F.when(last(x, i), F.length(_close(x["r"])) + 2).otherwise(0).cast("bigint").alias("after"))))
+    conv = conv.withColumn("sizes", F.transform("steps", lambda x: x["before"] + x["n"] + x["after"]))
+    conv = conv.withColumn("sums", _sums_in_pieces("sizes")).withColumn("at", _running("sums"))
+    spans = F.zip_with("steps", "at", lambda x, at: F.struct(x["r"].alias("r"), (at + x["before"] + 1).alias("start"), x["n"].alias("len")))
+    mask = F.transform(F.filter(spans, lambda x: x["r"] == "assistant"), lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len")))
     return conv.select(F.col("k").alias(key), F.array_join("lines", "").alias("formatted"), mask.alias("loss_mask"))
 
 
@@ -131,7 +141,10 @@ def read_back(formatted: DataFrame, column: str = "formatted", mask: str = "loss
             out = F.when(F.startswith(b, F.lit(a + " ")), turns_of(F.lit(name), texts(b, a))).otherwise(out)
         return out.cast(kind)
 
-    return (formatted
-            .withColumn("turns", F.flatten(F.transform(blocks, parse)))
-            .withColumn("loss_text", F.array_join(F.transform(
-                F.col(mask), lambda s: unescape(F.substr(F.col(column), s["start"].cast("int"), s["len"].cast("int")))), "")))
+    def text_of(wide, s):
+        return unescape(F.decode(F.substr(wide, ((s["start"] - 1) * 4 + 1).cast("int"), (s["len"] * 4).cast("int")), "UTF-32"))
+
+    # With four bytes a code point a span is found without a walk from the start; as the element of an
+    # array the bytes are handed on, not copied for each span.
+    joined = F.transform(F.array(F.encode(column, "UTF-32")), lambda wide: F.array_join(F.transform(F.col(mask), lambda s: text_of(wide, s)), ""))
+    return formatted.withColumn("turns", F.flatten(F.transform(blocks, parse))).withColumn("loss_text", F.get(joined, F.lit(0)))

@@ -36,3 +36,15 @@ def test_same_role_turns_share_a_block(spark):
 
 def test_empty(spark):
     assert _read(spark, []) == {}
+
+
+def test_long_conversations(spark):
+    """Thousands of turns, of one role or alternating: running offsets across pieces, and texts of many bytes a character."""
+    rows = [(c, t, "assistant" if c or t % 2 else "user", TEXTS[t % len(TEXTS)] * (t % 3), "x") for c in (0, 1) for t in range(3000)]
+    rows += [(2, 0, "assistant", "é日🙂" * 300_000, "x"), (2, 1, "assistant", "end", "x")]
+    out = _read(spark, rows)
+    for c in range(3):
+        want = [(r, t) for cc, _, r, t, _ in rows if cc == c]
+        assert [(x.role, x.text) for x in out[c].turns] == want
+        assert out[c].loss_text == "".join(t for r, t in want if r == "assistant")
+        assert len(out[c].loss_mask) == sum(r == "assistant" for r, _ in want)
