@@ -12,7 +12,6 @@ import datetime as _dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
 
 from tessera.functions._util import c, lit_or_col
 
@@ -195,7 +194,3 @@ def date_literal(value: str | _dt.date | _dt.datetime) -> Column:
     if isinstance(value, str):
         value = _dt.date.fromisoformat(value) if len(value) <= 10 else _dt.datetime.fromisoformat(value)
     return F.lit(value)
-
-
-def is_date_type(df, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, DateType)

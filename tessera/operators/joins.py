@@ -230,7 +230,9 @@ def cross(right: DataFrame) -> Step:
     a size limit."""
     def step(left: DataFrame) -> DataFrame:
         salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = left.withColumn("_tsr_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
+        # Maps have no hash of their own; their JSON has.
+        parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in left.schema]
+        salted = left.withColumn("_tsr_salt", F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int"))
         copies = right.withColumn("_tsr_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return salted.join(copies, "_tsr_salt").drop("_tsr_salt")
     return step

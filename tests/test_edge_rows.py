@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.operators import aggregates, analytics, reshape, scan, sizing
+from tessera.operators import aggregates, analytics, joins, reshape, scan, sizing
 from tessera.operators import tablecalc as tc
 from tessera.streaming import incremental as inc
 
@@ -166,3 +166,11 @@ def test_merge_matches_null_keys(spark):
     source = spark.createDataFrame([(None, "new"), (2, "new")], "k int, v string")
     assert rows_of(inc.merge_preserve(target, source, ["k"], ["note"])) == sorted(
         [(None, "new", "edit"), (1, "old", None), (2, "new", None)], key=str)
+
+
+def test_cross_join_with_maps_nulls_and_repeats(spark):
+    left = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"a": 1, "b": 2}), (2, None), (None, {})], "x int, m map<string,int>")
+    right = spark.createDataFrame([("p",), (None,)], "y string")
+    got = sorted(str((r.x, r.m, r.y)) for r in left.transform(joins.cross(right)).collect())
+    assert got == sorted(str((a.x, a.m, b.y)) for a in left.collect() for b in right.collect())
+    assert left.transform(joins.cross(right.limit(0))).count() == 0
