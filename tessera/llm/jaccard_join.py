@@ -3,9 +3,10 @@
 Method: every distinct text becomes a MinHash embedding of ``COORDS``
 coordinates, so that Jaccard similarity is the share of equal coordinates.
 Each run splits the texts recursively: a node of the path tree samples
-coordinates (1 / threshold of them on average, by a hash of the path) and
-passes every text on to the child of its value there.  A text may follow
-several paths or none; a pair at the threshold has one shared child on average.
+coordinates (1 / threshold of them on average and at least one, by a hash of the
+path) and passes every text on to the child of its value there.  A text may
+follow several paths; a pair at the threshold has one shared child or more on
+average.
 Buckets of one text end, buckets of at most ``LEAF`` texts are brute-forced,
 larger ones are split again up to ``DEPTH`` levels; what is still larger then
 is dense and brute-forced in pairs of blocks.  Runs are repeated until a pair
@@ -41,18 +42,31 @@ THRESHOLD = 0.8
 COORDS = 64
 LEAF = 64
 DEPTH = 4
-RECALL = 0.97
+RECALL = 0.9995
 BLOCK = 256
 # Equal coordinates below which a pair is not verified: four standard deviations under the threshold.
 MIN_EQUAL = int(THRESHOLD * COORDS - 4 * math.sqrt(COORDS * THRESHOLD * (1 - THRESHOLD)))
 
 
-def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has shared a leaf with the given probability."""
-    p = 1.0
+def meeting(share: float, depth: int = DEPTH) -> float:
+    """Probability that two texts with this share of equal coordinates have a common node ``depth`` levels
+    below a root."""
+    q, p = min(1.0, 1 / (THRESHOLD * COORDS)), 1.0
     for _ in range(depth):
-        p = 1 - math.exp(-p)  # one shared child on average at every node
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+        miss = 1 - share * p  # of one chosen coordinate
+        p = 1 - ((1 - q + q * miss) ** COORDS - (1 - q) ** COORDS * (1 - miss))
+    return p
+
+
+def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has shared a leaf with the given probability, over the
+    numbers of equal coordinates that such a pair may have."""
+    odds = [math.comb(COORDS, e) * THRESHOLD ** e * (1 - THRESHOLD) ** (COORDS - e) for e in range(COORDS + 1)]
+    apart = [1 - meeting(e / COORDS, depth) for e in range(COORDS + 1)]
+    runs = 1
+    while sum(o * a ** runs for o, a in zip(odds, apart)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def text_key(text: Column) -> Column:
@@ -99,17 +113,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _salt(coord) -> np.ndarray:
+    return (np.asarray(coord, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _children(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) for every coordinate that the rows' nodes have chosen."""
+    """(row, child path) for every coordinate that the rows' nodes have chosen; a node that chose none takes one."""
     limit = np.uint64(int((1 << 64) * min(1.0, 1 / (THRESHOLD * COORDS))) - 1)
-    rows, out = [], []
+    rows, coords, none = [], [], np.ones(len(path), bool)
     for i in range(COORDS):
-        salt = np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        hit = np.flatnonzero(_mix(path + salt) <= limit)
-        if len(hit):
-            rows.append(hit)
-            out.append(_mix(_mix(path[hit] ^ salt) + sig[hit, i].astype(np.uint64)))
-    return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        hit = np.flatnonzero(_mix(path + _salt([i])) <= limit)
+        none[hit] = False
+        rows.append(hit)
+        coords.append(np.full(len(hit), i))
+    rows.append(np.flatnonzero(none))
+    coords.append((_mix(path[none]) % np.uint64(COORDS)).astype(np.int64))
+    at, coord = np.concatenate(rows), np.concatenate(coords)
+    return at, _mix(_mix(path[at] ^ _salt(coord)) + sig[at, coord].astype(np.uint64))
 
 
 def _sig_matrix(col) -> np.ndarray:
