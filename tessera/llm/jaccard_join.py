@@ -8,9 +8,11 @@ path) and passes every text on to the child of its value there.  A text may
 follow several paths; a pair at the threshold has one shared child or more on
 average.
 Buckets of one text end, buckets of at most ``LEAF`` texts are brute-forced,
-larger ones are split again up to ``DEPTH`` levels; what is still larger then
-is dense and brute-forced in pairs of blocks.  Runs are repeated until a pair
-at the threshold is met with probability ``RECALL``.
+larger ones are split again up to ``DEPTH`` levels.  A node whose largest child
+holds the threshold's share of its texts or more is dense: splitting would only
+copy it, so it is brute-forced as it is, in pairs of blocks, like what is still
+larger at the last level.  Runs are repeated until a pair at the threshold is
+met with probability ``RECALL``.
 
 A pair is compared only in its first common bucket, so links are counted once
 without listing pairs; every candidate is verified on the whole sets of
@@ -26,6 +28,7 @@ has only its own columns, so clashing names cannot arise.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -137,7 +140,8 @@ def _sig_matrix(col) -> np.ndarray:
 
 
 def split_paths(rows: DataFrame, runs: int | None = None) -> DataFrame:
-    """(k, sig[, path]) to (k, path) one level deeper; with ``runs``, from the roots of so many runs."""
+    """(k, sig[, path]) to (k, path, up) one level deeper, ``up`` being the node above; with ``runs``, from the
+    roots of so many runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -147,25 +151,36 @@ def split_paths(rows: DataFrame, runs: int | None = None) -> DataFrame:
                 path = (np.full(len(sig), _mix(np.array([r + 1], np.uint64))[0]) if runs
                         else batch.column("path").to_numpy().astype(np.int64).view(np.uint64))
                 at, child = _children(path, sig)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(child.view(np.int64))], names=["k", "path"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(child.view(np.int64)), pa.array(path[at].view(np.int64))],
+                                                 names=["k", "path", "up"])
 
-    return rows.mapInArrow(run, "k binary, path bigint")
+    return rows.mapInArrow(run, "k binary, path bigint, up bigint")
+
+
+def _members(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, n, k): the members of these nodes, each set of members once."""
+    once = nodes.groupBy("x", "y", "n").agg(F.min("path").alias("path")).select("path", "n")
+    return rows.join(once, "path").select(F.col("path").alias("bucket"), "n", "k")
 
 
 def leaf_members(sigs: DataFrame) -> DataFrame:
     """(bucket, n, k): the members of all buckets that are to be brute-forced, each set of members once."""
-    done = None
+    done = []
     rows = materialise(split_paths(sigs, runs_for()), "paths")
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("n > 1")
-        small = sizes if level == DEPTH else sizes.where(F.col("n") <= LEAF)
-        leaves = small.groupBy("x", "y", "n").agg(F.min("path").alias("path"))
-        one = rows.join(leaves.select("path", "n"), "path").select(F.col("path").alias("bucket"), "n", "k")
-        done = one if done is None else done.unionByName(one)
-        if level < DEPTH:
-            large = sizes.where(F.col("n") > LEAF).select("path")
-            rows = materialise(split_paths(rows.join(large, "path").join(sigs, "k")), "paths")
+        nodes = materialise(rows.groupBy("path").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).where("n > 1"), "nodes")
+        if level == DEPTH:
+            done.append(_members(rows, nodes))
+            break
+        large = nodes.where(F.col("n") > LEAF)
+        below = materialise(split_paths(rows.join(large.select("path"), "path").join(sigs, "k")), "paths")
+        most = (below.groupBy("up", "path").count().groupBy("up").agg(F.max("count").alias("most"))
+                .select(F.col("up").alias("path"), "most"))
+        dense = materialise(large.join(most, "path").where(F.col("most") >= THRESHOLD * F.col("n")).drop("most"), "nodes")
+        done += [_members(rows, nodes.where(F.col("n") <= LEAF)), _members(rows, dense)]
+        rows = materialise(below.join(dense.select(F.col("path").alias("up")), "up", "left_anti").select("k", "path"), "paths")
+    done = functools.reduce(DataFrame.unionByName, done)
     # The same members may be a leaf on several levels: keep one bucket of them.
     done = materialise(done, "leaves")
     marks = done.groupBy("bucket", "n").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
