@@ -13,7 +13,7 @@ from tessera.functions.regex import (  # noqa: F401
     regexp_match, regexp_extract, regexp_extract_nth, regexp_replace,
 )
 from tessera.functions.mathfn import (  # noqa: F401
-    abs_, ceiling, floor, round_, power, sqrt, square, log, ln, exp, sign, pi, sin, cos, tan,
+    abs_, ceiling, floor, round_, round_fast, power, sqrt, square, log, ln, exp, sign, pi, sin, cos, tan,
     acos, asin, atan, cot, atan2, degrees, radians, div, mod, hexbinx, hexbiny,
 )
 from tessera.functions.dates import (  # noqa: F401

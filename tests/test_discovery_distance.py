@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import functions as fn
 from tessera.operators import aggregates as A
 from tessera.operators import joins as J
 from tessera.operators import semantic as S
@@ -72,3 +73,24 @@ def test_collect_in_chunks(spark):
     assert [(r.g, r.chunk, len(r.points)) for r in got] == [(g, c, n) for g in (None, 1) for c, n in ((0, 10), (1, 10), (2, 5))]
     whole = {r.g: r.points for r in A.collect_geometry(["g"], "p")(df).collect()}
     assert [p for r in got if r.g == 1 for p in r.points] == whole[1]
+
+
+def test_crowded_points_are_many_tasks(spark, monkeypatch):
+    """One repeated point, read as one partition: its pairs are spread over tasks, and none is lost or made twice."""
+    for name, value in (("BLOCK", 25), ("TASK_PAIRS", 5000)):
+        monkeypatch.setattr(J, name, value, raising=False)
+    r = random.Random(3)
+    pts = [(i, 48.85, 2.35) for i in range(150)] + [(150 + i, 48.85 + r.gauss(0, 0.02), 2.35 + r.gauss(0, 0.02)) for i in range(150)]
+    df = spark.createDataFrame(pts, POINT).select("id", F.struct("lat", "lon").alias("p")).coalesce(1)
+    out = J.within_distance(df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b"), "p", "p", 1.5, "a", "b", leaf=8)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    want = {(a[0], b[0]): km(a, b) for a in pts for b in pts if km(a, b) <= 1.5}
+    assert len(got) == len(want) and all(abs(want[x.a, x.b] - x.distance_km) < 1e-6 for x in got)
+    crowd = [x.task for x in got if x.a < 150 and x.b < 150]
+    assert len(crowd) == 150 * 150 and max(map(crowd.count, set(crowd))) < len(crowd) / 3
+
+
+def test_round_fast(spark):
+    xs = [2.0005, -2.0005, 0.0, 1.4994999, 20015.0868, 1e300, float("nan"), float("inf"), None, -0.25]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(fn.round_fast("x", 3).alias("f"), F.round("x", 3).alias("r"), fn.round_fast("x", 1).alias("o")).collect()
+    assert [str(g.f) for g in got] == [str(g.r) for g in got] and got[-1].o == -0.3
