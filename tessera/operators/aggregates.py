@@ -59,6 +59,19 @@ def countd(x, approx: bool = False, rsd: float = 0.05) -> Column:
     return F.approx_count_distinct(c(x), rsd) if approx else F.count_distinct(c(x))
 
 
+def countd_both(groups: Sequence[str], x: str, approx_name: str, exact_name: str, rsd: float = 0.05) -> Step:
+    """COUNTD(x) both ways, sketched and exact.  In one aggregate Spark keeps a sketch beside every (group, value) pair.
+
+    Each pair is taken once (a sketch sees no repeats) and sent to its group's task, so a group has one sketch and its
+    distinct values are streamed past it: nothing is kept but one sketch per group of the task.
+    """
+    def step(df: DataFrame) -> DataFrame:
+        pairs = df.select(*groups, c(x).alias("_tsr_x")).distinct()
+        return (pairs.repartition(*groups) if groups else pairs).groupBy(*groups).agg(
+            countd("_tsr_x", approx=True, rsd=rsd).alias(approx_name), count("_tsr_x").alias(exact_name))
+    return step
+
+
 def countd_sketch(x, lg_k: int = 12) -> Column:
     """A mergeable sketch of the distinct non-null values of ``x`` (compared as text); its standard error is about 1 / sqrt(2 ** lg_k)."""
     return F.hll_sketch_agg(c(x).cast("string"), lg_k)

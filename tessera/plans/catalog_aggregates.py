@@ -65,7 +65,7 @@ _simple("agg_of_expression",
   FROM lineitem GROUP BY l_suppkey""")
 def q_countd_approx(spark, d):
     # The sketch's value must lie within four standard errors of the exact count.
-    both = _li(spark, d).groupBy("l_suppkey").agg(A.countd("l_partkey", approx=True, rsd=0.02).alias("v"), A.countd("l_partkey").alias("exact"))
+    both = _li(spark, d).transform(A.countd_both(["l_suppkey"], "l_partkey", "v", "exact", rsd=0.02))
     return both.select("l_suppkey", "exact", (F.abs(F.col("v") - F.col("exact")) <= 1 + 0.08 * F.col("exact")).alias("within"))
 
 

@@ -225,3 +225,15 @@ def test_view_composition_order(spark):
     got = {r.d: (r.tot, r.fixed_avg) for r in view(base, spec).collect()}
     # FIXED c_tot is computed before the dimension filter: a -> 3.0, b -> 4.0
     assert got == {"x": (5.0, 3.5)}
+
+
+def test_countd_both(spark):
+    """The sketch is that of all rows, kept once per group: no aggregate holds one beside each (group, value) pair."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 400).alias("x"))
+    out = df.transform(A.countd_both(["g"], "x", "v", "n", rsd=0.02))
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    want = df.groupBy("g").agg(F.approx_count_distinct("x", 0.02), F.count_distinct("x")).collect()
+    assert got == sorted((tuple(r) for r in want), key=str) and len(got) == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=[g#" in line and "_tsr_x" in line.split("functions=")[0]]
+    assert [tuple(r) for r in df.limit(0).transform(A.countd_both([], "x", "v", "n")).collect()] == [(0, 0)]
