@@ -163,11 +163,14 @@ def row_index(df: DataFrame, name: str, partition_by=None, order_by=None, start:
     if not skew_safe:
         w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*sort_orders(order_by))
         return df.withColumn(name, (F.lit(start) + F.lit(step) * (F.row_number().over(w) - 1)).cast("long"))
-    local, parts = _local(df, parts, order_by, {}, num_segments)
-    carried = _carry(local, parts, {"_t_n": F.col(_N)}, {"_c_n": lambda w: F.sum("_t_n").over(w)})
+    seg = segment(df, parts, order_by, num_segments)
+    local = seg.withColumn(_RN, F.row_number().over(Window.partitionBy(*parts, SEG).orderBy(*sort_orders(order_by))))
+    # The rows of each segment are counted by partial aggregates: the numbering itself is sorted once.
+    before = Window.partitionBy(*parts).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carried = seg.groupBy(*parts, SEG).agg(F.count(F.lit(1)).alias("_t_n")).select(*parts, SEG, F.sum("_t_n").over(before).alias("_c_n"))
     j = _null_safe_join(local, carried, parts + [SEG])
     rn = F.col(_RN) + F.coalesce(F.col("_c_n"), F.lit(0))
-    return j.withColumn(name, (F.lit(start) + F.lit(step) * (rn - 1)).cast("long")).drop(SEG, _RN, _N, "_c_n")
+    return j.withColumn(name, (F.lit(start) + F.lit(step) * (rn - 1)).cast("long")).drop(SEG, _RN, "_c_n")
 
 
 def ranks(df: DataFrame, value: str, partition_by=None, ascending: bool = False,

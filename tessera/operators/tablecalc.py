@@ -144,15 +144,37 @@ def _half_open(df: DataFrame, agg: str, value: str, y: str | None, name: str, pa
     return out.withColumn(name, got).drop("_tsr_p", "_tsr_r", "_tsr_s", "_tsr_n", "_tsr_e", *[f"_tsr_m_{c}" for c in carry.TWO])
 
 
+# Positions of a block: within one, a group's rows are ordered in one task.
+OCCURRENCES = 1 << 20
+
+
+def _previous(seen: DataFrame, keys: list[str], skew_safe: bool) -> DataFrame:
+    """``_tsr_q``: the position of the group's row before, for rows with distinct positions ``_tsr_p``.  A group is ordered
+    within blocks of positions; of each block its first row looks back to the last row of an earlier one, and first and
+    last rows are an aggregate, so nothing is joined and no group is one task's work."""
+    lag = lambda w: F.lag("_tsr_p", 1).over(w)
+    if not skew_safe:
+        return seen.withColumn("_tsr_q", lag(Window.partitionBy(*keys).orderBy("_tsr_p")))
+    cut = seen.withColumn("_tsr_b", F.floor(F.col("_tsr_p") / OCCURRENCES))
+    inner = cut.withColumn("_tsr_q", lag(Window.partitionBy(*keys, "_tsr_b").orderBy("_tsr_p"))).where(F.col("_tsr_q").isNotNull())
+    ends = cut.groupBy(*keys, "_tsr_b").agg(F.min("_tsr_p").alias("_tsr_p"), F.max("_tsr_p").alias("_tsr_z"))
+    first = ends.withColumn("_tsr_q", F.lag("_tsr_z", 1).over(Window.partitionBy(*keys).orderBy("_tsr_b")))
+    cols = [*keys, "_tsr_p", "_tsr_q"]
+    return inner.select(*cols).unionByName(first.select(*cols))
+
+
 def _framed_countd(df: DataFrame, value: str, name: str, parts: list[str], order_by, first: int | None, last: int | None,
                    skew_safe: bool | None) -> DataFrame:
     """COUNTD over a frame: each row is its value's first one in the frames of an interval of rows, which starts after the
     frames that still hold the previous occurrence; +1 and -1 at the interval's ends, and a running sum of those."""
     skew_safe = resolve_skew_safe(df, skew_safe)
+    # Cutting into segments measures, samples and then reads its input: each input is made once, and stored.
+    once = (lambda x: stored(x, "addressed")) if skew_safe else (lambda x: x)
+    df = once(df)
     # Numbered once and stored: both uses see the same numbers, whatever the ties.
     rows = stored(scan.row_index(df, "_tsr_p", parts, order_by, skew_safe=skew_safe), "frames")
     seen = rows.where(F.col(value).isNotNull()).select(*parts, F.col(value).alias("_tsr_v"), "_tsr_p")
-    seen = scan.framed(seen, {"_tsr_q": lambda w: F.lag("_tsr_p", 1).over(w)}, [*parts, "_tsr_v"], "_tsr_p", -1, 0, skew_safe=skew_safe)
+    seen = _previous(seen, [*parts, "_tsr_v"], skew_safe)
     p, q = F.col("_tsr_p"), F.col("_tsr_q")
     # With FIRST() a frame holds every earlier occurrence, with LAST() every later one.
     start = F.lit(1) if last is None else p - last
@@ -166,7 +188,7 @@ def _framed_countd(df: DataFrame, value: str, name: str, parts: list[str], order
     events = (seen.where(live).select(*parts, F.explode(ends).alias("_tsr_x")).groupBy(*parts, F.col("_tsr_x.at").alias("_tsr_p"))
               .agg(F.sum("_tsr_x.d").alias("_tsr_d")))
     out = scan._null_safe_join(rows, events, [*parts, "_tsr_p"]).withColumn("_tsr_d", F.coalesce("_tsr_d", F.lit(0)))
-    out = scan.running(out, "_tsr_d", parts, "_tsr_p", aggs=("sum",), prefix="_tsr_r_", skew_safe=skew_safe)
+    out = scan.running(once(out), "_tsr_d", parts, "_tsr_p", aggs=("sum",), prefix="_tsr_r_", skew_safe=skew_safe)
     return out.withColumn(name, F.col("_tsr_r_sum").cast("long")).drop("_tsr_p", "_tsr_d", "_tsr_r_sum")
 
 

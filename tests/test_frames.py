@@ -143,3 +143,22 @@ def test_ties_empty_table_and_overflow(spark, skew):
         ties.transform(tc.window("median", "x", "w", None, "o", None, 0))
     with pytest.raises(ArithmeticError):
         carry._then((1e300, 0.0, -math.inf, math.inf, 0.0), (1e300, 0.0, -math.inf, math.inf, 0.0))
+
+
+def test_countd_looks_back_over_blocks(spark, monkeypatch):
+    """Hot and rare values, nulls and a null group: blocks of any size, and no full sort of a value's rows by segments."""
+    monkeypatch.setattr(tc, "OCCURRENCES", 7, raising=False)
+    rows = [(g, o, (None, 1, 1, 1, o % 5, o % 23)[(o * o + (g or 0)) % 6]) for g in (1, 2, None) for o in range(90)]
+    df = spark.createDataFrame(rows, "g int, o int, x int")
+    for first, last in ((-20, 5), (None, 0), (-1, None)):
+        out = df.transform(tc.window("countd", "x", "w", "g", "o", first, last, skew_safe=True))
+        plain = df.transform(tc.window("countd", "x", "w", "g", "o", first, last, skew_safe=False))
+        key = lambda r: (r.g or 0, r.o)
+        got = sorted(out.collect(), key=key)
+        assert got == sorted(plain.collect(), key=key)
+        for r in got:
+            lo, hi = 0 if first is None else r.o + first, 89 if last is None else r.o + last
+            assert r.w == len({x for g, o, x in rows if g == r.g and lo <= o <= hi and x is not None})
+    seen = df.where("x is not null").select("g", F.col("x").alias("_tsr_v"), F.col("o").cast("long").alias("_tsr_p"))
+    plan = tc._previous(seen, ["g", "_tsr_v"], True)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "rangepartitioning" not in plan
