@@ -13,7 +13,8 @@ at the threshold is met with probability ``RECALL``.
 
 A pair is compared only in its first common bucket, so links are counted once
 without listing pairs; every candidate is verified on the whole sets of
-shingles.  Exact copies are one text throughout: a hot group of copies is
+shingles.  Where groups are asked for and not counts of links (``deduplicate``),
+pairs of large buckets that links connect already are not compared.  Exact copies are one text throughout: a hot group of copies is
 counted before any shuffle of texts.
 
 Shingles are five words, A-Z lower-cased; words are ``[^\\x20\\x09-\\x0D]+``.
@@ -153,17 +154,40 @@ def leaf_members(sigs: DataFrame) -> DataFrame:
     return done.join(once, "bucket")
 
 
-def block_rows(members: DataFrame) -> DataFrame:
-    """Deal members to comparison groups (bucket, g, side): one group for a bucket of at most ``BLOCK``,
-    else one for every pair of its blocks."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    out = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("k", F.lit(7)), F.col("nb")).cast("int"))
-    other = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-    out = out.withColumn("other", F.explode(other))
+def _blocks(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+
+
+def _dealt(rows: DataFrame, other: Column) -> DataFrame:
+    """A row (bucket, g, side) for every block that the member's ``own`` block of ``nb`` meets."""
+    out = rows.withColumn("other", F.explode(other))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return out.withColumn("g", low * F.col("nb") + high).withColumn("side", (F.col("own") == high) & (low != high)).drop("nb", "own", "other", "n")
 
 
+def block_rows(members: DataFrame, centres: bool = False) -> DataFrame:
+    """Deal members to comparison groups (bucket, g, side): one group for a bucket of at most ``BLOCK``,
+    else one for every pair of its blocks; with ``centres``, of its first block and each."""
+    out = members.withColumn("nb", _blocks(F.col("n"))).withColumn("own", F.pmod(F.xxhash64("k", F.lit(7)), F.col("nb")).cast("int"))
+    one = (F.col("nb") == 1) | (F.col("own") > 0) if centres else F.col("nb") == 1
+    return _dealt(out, F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1)))
+
+
+def rest_rows(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Comparison groups of the pairs that ``block_rows`` with ``centres`` leaves, but for those within the component
+    (k, label) that holds most of a bucket: the other members' blocks meet each other and that component's blocks."""
+    large = members.where(F.col("n") > BLOCK).join(label, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    most = (large.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+            .groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most")).select("bucket", "most.c", F.col("most.label").alias("main")))
+    out = large.join(most, "bucket").where(F.col("c") < F.col("n"))
+    mine = F.col("label") == F.col("main")
+    out = out.withColumn("nr", _blocks(F.col("n") - F.col("c"))).withColumn("nm", _blocks(F.col("c")))
+    part = F.pmod(F.xxhash64("k", F.lit(7)), F.when(mine, F.col("nm")).otherwise(F.col("nr"))).cast("int")
+    out = out.withColumn("own", F.when(mine, F.col("nr") + part).otherwise(part)).withColumn("nb", F.col("nr") + F.col("nm"))
+    meets = F.sequence(F.lit(0), F.when(mine, F.col("nr")).otherwise(F.col("nb")) - 1)
+    return _dealt(out, meets).drop("label", "c", "main", "nr", "nm")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, int, pa.Table]]:
     """Cut batches sorted by (bucket, g) into groups; only the group at hand is held."""
     rest = None
@@ -339,29 +363,59 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), F.col("n_texts").alias("n_link_texts")))
 
 
-def text_links(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Links between different texts, (k, label, n_texts, n_docs), and classes of copies, (k, rep, copies)."""
+def _cards(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(d, text, k) of the documents, classes of copies (k, rep, copies), and the members of buckets (bucket, n, k)
+    with all their buckets and signatures."""
     keyed = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_key(F.col(text)).alias("k"))
     classes = materialise(keyed.groupBy("k").agg(F.min("d").alias("rep"), F.count("*").alias("copies")), "classes")
     sigs = materialise(signatures(keyed).groupBy("k").agg(F.first("sig").alias("sig")), "signatures")
     members = materialise(leaf_members(sigs), "members")
     met = members.groupBy("k").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # a few buckets per run at most
-    found = materialise(prune(block_rows(members).join(met, "k").join(sigs, "k")), "candidates")
+    return keyed, classes, members.join(met.join(sigs, "k"), "k")
+
+
+def _links_in(rows: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(k, n_texts, n_docs, peer): the links found in the comparison groups of ``rows``."""
+    found = materialise(prune(rows), "candidates")
     wanted = found.select("k").distinct().join(classes, "k")
     # One row of each wanted text; the id is part of the key, so copies spread over the tasks.
     same = wanted.select("k", F.col("rep").alias("d"), "copies").withColumn("d", _id_text(F.col("d")))
     texts = (keyed.withColumn("d", _id_text(F.col("d"))).join(same, ["k", "d"]).dropDuplicates(["k", "d"]).select("k", "copies", "text"))
-    checked = materialise(verify(found.join(texts, "k")), "links")
+    return materialise(verify(found.join(texts, "k")), "links")
+
+
+def text_links(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links between different texts, (k, label, n_texts, n_docs), and classes of copies, (k, rep, copies)."""
+    keyed, classes, cards = _cards(docs, doc, text)
+    checked = _links_in(block_rows(cards), keyed, classes)
     label = components(checked)
     per_text = checked.groupBy("k").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     return per_text.join(label, "k", "left"), classes
 
 
+def text_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The groups that the links of :func:`text_links` connect, (k, label), without counting them, and classes of copies.
+
+    A bucket of more than ``BLOCK`` is compared with its first block only, which connects most of a dense group
+    with rows and comparisons in proportion to it; then only the members outside its largest component are
+    compared with all others.  Pairs left out are of one component already.
+    """
+    keyed, classes, cards = _cards(docs, doc, text)
+    cards = materialise(cards, "cards")
+    links = _links_in(block_rows(cards, centres=True), keyed, classes)
+    label = components(links)
+    if cards.where(F.col("n") > BLOCK).limit(1).count():
+        more = _links_in(rest_rows(cards, label), keyed, classes)
+        if more.limit(1).count():
+            label = components(links.unionByName(more))
+    return label, classes
+
+
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group connected by links or copies the one with the
     smallest id (of several rows with that id and text, one)."""
-    links, classes = text_links(docs, doc, text)
-    label = classes.join(links.select("k", "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    links, classes = text_groups(docs, doc, text)
+    label = classes.join(links, "k", "left").withColumn("label", F.coalesce("label", "k"))
     stay = (label.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m"))
             .select(F.col("m.k").alias("__k"), _id_text(F.col("m.rep")).alias("__d")))
     keyed = docs.withColumns({"__k": text_key(F.col(text)), "__d": _id_text(F.col(doc))})

@@ -56,3 +56,35 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.join(df).count() == 0
     assert J.deduplicate(df).count() == 0
+
+
+def test_groups_of_a_dense_bucket_in_rows_that_grow_with_it(spark, monkeypatch):
+    """Groups need no comparison of linked texts: before, a bucket of n texts was dealt to n * n / BLOCK rows."""
+    monkeypatch.setattr(J, "BLOCK", 20)
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, " ".join([f"x{i}", *words])) for i in range(400)], "doc_id long, text string")
+    dealt, prune = [], J.prune
+    monkeypatch.setattr(J, "prune", lambda rows: (dealt.append((rows.count(), rows.select("bucket").distinct().count())), prune(rows))[1])
+    assert [r.doc_id for r in J.deduplicate(df).collect()] == [0]
+    assert all(rows <= 3 * 400 * buckets for rows, buckets in dealt)  # 20 rows a text and bucket before
+
+
+def test_every_pair_outside_a_component_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 5)
+    # Half of the bucket is one component, a part another one, the rest alone.
+    keys = [bytes([i]) for i in range(60)]
+    label = {k: keys[0] if i < 30 else keys[30] if i < 37 else k for i, k in enumerate(keys)}
+    members = spark.createDataFrame([(1, 60, bytearray(k)) for k in keys], "bucket bigint, n bigint, k binary")
+    linked = spark.createDataFrame([(bytearray(k), bytearray(c)) for i, (k, c) in enumerate(label.items()) if i < 37], "k binary, label binary")
+    met = set()
+    groups = {}
+    for r in J.block_rows(members, centres=True).collect():
+        groups.setdefault(("first", r.g), []).append(r)
+    for r in J.rest_rows(members, linked).collect():
+        groups.setdefault(("rest", r.g), []).append(r)
+    for rows in groups.values():
+        across = any(r.side for r in rows)
+        met |= {frozenset((bytes(a.k), bytes(b.k))) for a in rows for b in rows if a.k != b.k and (not across or a.side != b.side)}
+    assert all(frozenset((a, b)) in met for a in keys for b in keys if label[a] != label[b])
+    one = spark.createDataFrame([(bytearray(k), bytearray(keys[0])) for k in keys], "k binary, label binary")
+    assert J.rest_rows(members, one).count() == 0
