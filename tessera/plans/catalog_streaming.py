@@ -66,20 +66,30 @@ _ARRIVALS_SQL = f"""arrivals AS (SELECT e.*, CASE WHEN event_id % 10 = 0 OR ts >
  timed AS (SELECT f.*, epoch_ms(ts) AS ms, coalesce((SELECT max(top) FROM marks m WHERE m.b < f.b), 0) AS wm FROM files f)"""
 
 
-def _arrivals(spark, d) -> str:
+FILE_ROWS = 1_000_000
+
+
+def _arrivals(spark, d) -> tuple[str, int]:
+    """Folder of the three arrivals, and the number of files that each has: one task writes about ``FILE_ROWS`` rows."""
     e = Tables(spark, d).events
-    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    lo, hi, n = e.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (3 * FILE_ROWS)))
     at = lambda k: F.lit(lo + (hi - lo) * k / 3)
     b = F.when((F.col("event_id") % 10 == 0) | (F.col("ts") >= at(2)), 2).when(F.col("ts") >= at(1), 1).otherwise(0)
     path = inc.scratch_path(spark, "arrivals")
     for k in range(3):
         again = e.where((b == 0) & (F.col("event_id") % 7 == 0)) if k == 1 else e.limit(0)
-        e.where(b == k).unionByName(again).coalesce(1).write.parquet(f"{path}/file{k}")
-    return path
+        rows, folder = e.where(b == k).unionByName(again), f"{path}/file{k}"
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.parquet(folder)
+        # Partitions without rows have no file: as many files without rows instead, so that each arrival is one batch.
+        for _ in range(files - len(spark.read.schema(e.schema).parquet(folder).inputFiles())):
+            e.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return path, files
 
 
 def _arriving(spark, d):
-    return (spark.readStream.schema(Tables(spark, d).events.schema).option("maxFilesPerTrigger", 1).parquet(f"{_arrivals(spark, d)}/*"))
+    path, files = _arrivals(spark, d)
+    return spark.readStream.schema(Tables(spark, d).events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 @register("inc_append_late", f"""WITH {_ARRIVALS_SQL} SELECT event_id, CASE WHEN ms < wm THEN 'late'

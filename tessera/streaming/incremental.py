@@ -8,6 +8,7 @@ checkpoint.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -123,10 +124,20 @@ def append_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
     return q
 
 
+def _name(key):
+    """A key as a dictionary takes it: equal for equal keys, not-a-number and arrays too."""
+    try:
+        hash(key)
+    except TypeError:
+        return repr(key)
+    return key if key == key else repr(key)
+
+
 class _Sorter(StatefulProcessor):
-    """Marks the rows of a key: ``new``, ``duplicate`` (within the horizon of the last new one), ``late`` or ``no_time``.
+    """Marks the rows of a group of keys: ``new``, ``duplicate`` (within the horizon of the key's last new one), ``late`` or ``no_time``.
 
-    The state is the event time of the key's last new row; an event-time timer at the end of its horizon drops it.
+    The state is the event time of each key's last new row, all keys of the group in one value: it is read and written
+    once a batch, not once a key.  What is past its horizon is dropped on the next batch, or by an event-time timer.
     """
 
     def __init__(self, horizon_ms: int):
@@ -134,11 +145,21 @@ class _Sorter(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "at bigint")
+        self.kept = handle.getValueState("kept", "at binary")
+
+    def _read(self, watermark: int) -> tuple[int, dict]:
+        held = self.kept.get()
+        before = pickle.loads(held[0]) if held else {}
+        return len(before), {k: at for k, at in before.items() if at + self.horizon > watermark}
+
+    def _write(self, kept: dict) -> None:
+        if kept:
+            self.kept.update((pickle.dumps(kept, 4),))
+        else:
+            self.kept.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         watermark = timerValues.getCurrentWatermarkInMs()
-        kept = before = self.kept.get()[0] if self.kept.exists() else None
         on_time = []
         for row in rows:
             if row["ms"] is None:
@@ -146,19 +167,30 @@ class _Sorter(StatefulProcessor):
             elif row["ms"] < watermark:
                 yield Row(row=row["row"], status="late")
             else:
-                on_time.append((row["ms"], row["row"]))
-        # Within a batch the earliest row is the new one, whatever the order of arrival.
-        for ms, row in sorted(on_time, key=lambda r: (r[0], str(r[1]))):
-            new = kept is None or abs(ms - kept) >= self.horizon
-            kept = ms if new else kept
+                on_time.append((row["ms"], row["row"], _name(row["key"])))
+        if not on_time:
+            return
+        times = {}
+        for ms, _, k in on_time:
+            times[k, ms] = times.get((k, ms), 0) + 1
+        _, kept = self._read(watermark)
+        # Within a batch the earliest row of a key is the new one, whatever the order of arrival.
+        on_time.sort(key=lambda r: (r[0], str(r[1]) if times[r[2], r[0]] > 1 else ""))
+        latest = None
+        for ms, row, k in on_time:
+            last = kept.get(k)
+            new = last is None or abs(ms - last) >= self.horizon
+            if new:
+                kept[k] = latest = ms
             yield Row(row=row, status="new" if new else "duplicate")
-        if kept != before:
-            self.kept.update((kept,))
-            self.handle.registerTimer(kept + self.horizon)
+        if latest is not None:
+            self._write(kept)
+            self.handle.registerTimer(latest + self.horizon)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.kept.exists() and self.kept.get()[0] + self.horizon <= expiredTimerInfo.getExpiryTimeInMs():
-            self.kept.clear()
+        before, kept = self._read(expiredTimerInfo.getExpiryTimeInMs())
+        if len(kept) < before:
+            self._write(kept)
         return iter([])
 
     def close(self) -> None:
@@ -170,7 +202,7 @@ STATUS = "_status"
 
 
 def append_checked(stream: DataFrame, key: str, event_time: str, sink_path: str, checkpoint: str, delay: str = "1 day",
-                   horizon: str = "30 days"):
+                   horizon: str = "30 days", groups: int = 1 << 11):
     """Stream ingest that keeps every row: new rows of each key, and beside them those that are not.
 
     A row whose event time is before the watermark (the latest event time of earlier batches less ``delay``) is
@@ -178,17 +210,18 @@ def append_checked(stream: DataFrame, key: str, event_time: str, sink_path: str,
     one without event time is ``no_time``.  All go to ``sink_path``, by batch and status; a batch that is repeated
     overwrites its own folder.  Read them with :func:`appended` and :func:`quarantined`: together they are all
     rows.  Null keys are one key.  Keyed state is one number, dropped by an event-time timer; it lives in RocksDB, so
-    it may outgrow memory.  The rows that one key has in one batch are sorted in one task: key by something that
-    identifies a row.  Runs with ``availableNow`` and returns the finished query.
+    it may outgrow memory.  Keys are dealt to ``groups`` by a hash, and a batch reads and writes the state of each group
+    that it touches once; a checkpoint keeps its number of groups, about one for each ten thousand keys within the horizon.
+    The rows that a group has in one batch are sorted in one task: key by something that identifies a row.  Runs with ``availableNow`` and returns the finished query.
     """
     spark = stream.sparkSession
     horizon_ms = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00+00:00' + interval '{horizon}') AS ms").first()["ms"]
     fields = [f.name for f in stream.schema.fields]
     timed = stream.withColumn("_event_time", F.col(event_time).cast("timestamp")).withWatermark("_event_time", delay)
     # Without the event-time column itself the engine passes late rows on instead of dropping them.
-    rows = timed.select(F.col(key).alias("key"), F.unix_millis("_event_time").alias("ms"), F.struct(*fields).alias("row"))
+    rows = timed.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("part"), F.col(key).alias("key"), F.unix_millis("_event_time").alias("ms"), F.struct(*fields).alias("row"))
     schema = T.StructType([T.StructField("row", stream.schema), T.StructField("status", T.StringType())])
-    marked = rows.groupBy("key").transformWithState(_Sorter(horizon_ms), schema, "append", "EventTime")
+    marked = rows.groupBy("part").transformWithState(_Sorter(horizon_ms), schema, "append", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.select("row.*", F.col("status").alias(STATUS)).write.mode("overwrite").partitionBy(STATUS).parquet(f"{sink_path}/_batch={batch_id}")
