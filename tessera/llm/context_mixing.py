@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.sampling import fold
 from tessera.llm.storage import materialise, text_bytes
-from tessera.llm.textops import chunks, lower_table, mix, prefix_hash, space_table, span_hash, string_bytes, word_spans
+from tessera.llm.textops import SPACE_BYTES, chunks, lower_table, mix, prefix_hash, space_table, span_hash, string_bytes, word_spans
 
 END_WORD, MORE, END_TEXT = 0xFE, 0xFE, 0xFF  # bytes that UTF-8 never uses
 ORDERS = (1, 2, 3, 4, 6, 255)  # bytes of context; 255: all of the word
@@ -59,12 +59,14 @@ GATES = 8
 GATE_OF = np.log2(np.arange(1, (1 << GATES - 1) + 1)).astype(np.int8)  # the gate of counts up to the first of the last gate
 MAP_STEPS = 33
 BATCH_WORDS = 256
-MIX_BITS = 1 << 16
+MIX_BITS, MIX_BYTES = 1 << 16, 1 << 13
+PATH_KEYS = 1 << 15  # keys whose paths are walked together, in a core's cache
 UNITS = 20_000  # (class, word) pairs of a block of the model
 KEYS_OF_UNIT, SHARD_KEYS = 20, 1_000_000  # guess of the keys that a unit sends; keys of a shard
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
 RUN_BYTES = 1 << 18
+DEALT_WORDS = 100_000  # scored words that are dealt to blocks together
 
 
 # Classes of texts.
@@ -212,13 +214,14 @@ def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
 
 
-def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
-    """Distinct (class, word) of a block (kind 0), white space keys (kind 1, class 0) and classes of
-    texts (kind 2) with their training counts."""
+def _block_words(t: pa.Table, centres: np.ndarray, parts: int) -> pa.Table:
+    """Distinct (class, word) of a block (kind 0), white space keys (kind 1, class 0), classes of texts (kind 2)
+    and coded bytes (kind 3) with their training counts, dealt to ``parts`` by the word: a packed row for each part."""
     train = ~t["held"].to_numpy()
     found: list[tuple] = []  # per run: hashes, place, size, class and training count of its words
     texts: list[np.ndarray] = []
     others: dict[tuple[int, bytes], int] = {}
+    coded = np.zeros(256, np.int64)
     base = 0
     for first, rows, data, offs in chunks(t["text"], RUN_BYTES):
         data = lower_table()[data]
@@ -238,6 +241,13 @@ def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
         for k in range(CLASSES):
             key = (2, bytes([k]))
             others[key] = others.get(key, 0) + int(train[first:first + rows][z == k].sum())
+        coded += np.bincount(data[np.repeat(train[first:first + rows], np.diff(offs))], minlength=256)
+    coded[list(SPACE_BYTES)] = 0  # those of words; white space follows
+    coded[END_WORD] = sum(int(f[4].sum()) for f in found)
+    for (k, key), c in others.items():
+        if k == 1:
+            coded += c * np.bincount(np.frombuffer(key, np.uint8)[1:], minlength=256)
+    others |= {(3, bytes([b])): int(coded[b]) for b in np.flatnonzero(coded)}
     keys = list(others)
     word, kind, z, n = pa.array([k[1] for k in keys], pa.binary()), [k[0] for k in keys], [0] * len(keys), list(others.values())
     if found:
@@ -249,43 +259,73 @@ def _block_words(t: pa.Table, centres: np.ndarray) -> pa.Table:
         word = pa.concat_arrays([_cut(np.concatenate(texts), place[at], size[at]), word])
         kind, z = np.concatenate([np.zeros(len(at)), kind]), np.concatenate([cls[at], z])
         n = np.concatenate([c, n])
-    return pa.table({"block": pa.array(np.full(len(word), t["block"][0].as_py()), pa.int32()), "kind": pa.array(np.asarray(kind).astype(np.int8)),
-                     "z": pa.array(np.asarray(z).astype(np.int8)), "word": word, "n": pa.array(np.asarray(n).astype(np.int64))})
+    kind, z, n = np.asarray(kind).astype(np.uint8), np.asarray(z).astype(np.uint8), np.asarray(n).astype(np.int64)
+    part = (_word_hashes(word, kind) >> np.uint64(32)).astype(np.int64) * parts >> 32
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1))
+    use = np.flatnonzero(np.diff(at))
+    data, offs = string_bytes(word.take(pa.array(order)))
+    ends = np.append(at[use], len(order))
+    return pa.table({"part": pa.array(use, pa.int32()), "block": pa.array(np.full(len(use), t["block"][0].as_py()), pa.int32()),
+                     "word": _slices(data, offs[ends]), "size": _slices(np.diff(offs).astype(np.int32)[:len(order)], ends),
+                     **{c: _slices(x[order], ends) for c, x in (("kind", kind), ("z", z), ("n", n))}})
 
 
-VOCABULARY = "kind byte, word binary, c bigint, by_class array<bigint>, places array<struct<block:int,z:byte>>"
+PACKED = "part int, block int, word binary, size binary, kind binary, z binary, n binary"
 
 
-def _vocabulary(found: DataFrame) -> DataFrame:
-    """One row per (kind, word): its training count in all, by class, and the (block, class) pairs that hold it."""
-    def emit(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        n, z = t["n"].to_numpy(), t["z"].to_numpy().astype(np.int64)
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
-        by_class = np.bincount(group * CLASSES + z, n, len(starts) * CLASSES).astype(np.int64)
-        places = pa.StructArray.from_arrays([t["block"].combine_chunks(), t["z"].combine_chunks()], names=["block", "z"])
-        heads = pa.array(starts)
-        return pa.RecordBatch.from_arrays(
-            [t["kind"].combine_chunks().take(heads), t["word"].combine_chunks().take(heads), pa.array(np.add.reduceat(n, starts)),
-             pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * CLASSES, pa.int32()), pa.array(by_class)),
-             pa.ListArray.from_arrays(pa.array(np.append(starts, t.num_rows), pa.int32()), places)],
-            names=["kind", "word", "c", "by_class", "places"])
+def _slices(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of an array, cut at ``ends``, as a binary column."""
+    at = (ends * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _joined(column: pa.ChunkedArray, dtype=np.uint8) -> np.ndarray:
+    """All the rows of a column of ``_slices``, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def _binaries(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _word_hashes(words: pa.Array, kind: np.ndarray) -> np.ndarray:
+    """64-bit hash of every (kind, word)."""
+    return mix(_hashes(words) + kind)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    h = [span_hash(prefix_hash(data), offs[:-1], offs[1:]) for _, _, data, offs in chunks(words, RUN_BYTES)]
+    return np.concatenate([*h, np.zeros(0, np.uint64)])
+
+
+VOCABULARY = "kind byte, z byte, word binary, new boolean, c bigint, cz bigint, blocks array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
-            same = pc.and_(pc.equal(t["word"].slice(1), t["word"].slice(0, t.num_rows - 1)),
-                           pc.equal(t["kind"].slice(1), t["kind"].slice(0, t.num_rows - 1)))
-            starts = np.concatenate([[0], np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1]) if t.num_rows else np.zeros(0, np.int64)
-            if len(starts) > 1:
-                yield emit(t.slice(0, int(starts[-1])), starts[:-1])
-                t = t.slice(int(starts[-1]))
-            rest = t
-        if rest is not None and rest.num_rows:
-            yield emit(rest, np.zeros(1, np.int64))
 
-    return found.repartition("word", "kind").sortWithinPartitions("word", "kind").mapInArrow(run, VOCABULARY)
+def _part_words(t: pa.Table) -> pa.Table:
+    """One row per (kind, word, class) of a part: the word's training count in all and in the class, the blocks that
+    hold it; ``new`` in one row of each word."""
+    kind, z, n, size = (_joined(t[c], d) for c, d in (("kind", np.uint8), ("z", np.uint8), ("n", np.int64), ("size", np.int32)))
+    words = _binaries(_joined(t["word"]), size)
+    block = np.repeat(t["block"].to_numpy(), [len(k.as_buffer()) for k in t["kind"]])
+    low = np.uint64(15)  # holds the class
+    key = _word_hashes(words, kind) & ~low | z
+    order = np.argsort(key)
+    same = _heads(key[order] >> np.uint64(4))
+    sorted_words = words.take(pa.array(order))
+    equal = pc.equal(sorted_words[1:], sorted_words[:-1]).to_numpy(zero_copy_only=False) & (kind[order][1:] == kind[order][:-1])
+    if not (equal | same[1:]).all():  # two words with one hash
+        order = np.lexsort((z, kind, pc.rank(words, tiebreaker="min").to_numpy()))
+        sorted_words = words.take(pa.array(order))
+        equal = pc.equal(sorted_words[1:], sorted_words[:-1]).to_numpy(zero_copy_only=False) & (kind[order][1:] == kind[order][:-1])
+        same = np.append(True, ~equal)
+    kind, z, n = kind[order], z[order], n[order]
+    unit = np.flatnonzero(same | _heads(z))
+    whole = np.add.reduceat(n, np.flatnonzero(same))
+    return pa.table({"kind": pa.array(kind[unit].astype(np.int8)), "z": pa.array(z[unit].astype(np.int8)), "word": sorted_words.take(pa.array(unit)),
+                     "new": pa.array(same[unit]), "c": pa.array(whole[(np.cumsum(same) - 1)[unit]]), "cz": pa.array(np.add.reduceat(n, unit)),
+                     "blocks": pa.ListArray.from_arrays(pa.array(np.append(unit, len(n)), pa.int32()), pa.array(block[order], pa.int32()))})
 
 
 # The model.
@@ -351,14 +391,6 @@ def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in (("size", size), ("start", start), ("node", node), ("turn", turn), ("rank", rank), ("mid", mid))}
 
 
-def _decisions(code: dict, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All decisions of a byte string: place of the byte, node, turn."""
-    n = code["size"][byte]
-    place = np.repeat(np.arange(len(byte)), n)
-    at = np.arange(len(place)) + np.repeat(code["start"][byte] - (np.cumsum(n) - n), n)
-    return place, code["node"][at], code["turn"][at]
-
-
 def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The batches in runs of so many rows."""
     held, n = [], 0
@@ -384,24 +416,6 @@ def _columns(batch: pa.RecordBatch, count: str = "c"):
     return words, kind, col(count).to_numpy().astype(np.float64)
 
 
-def byte_counts(vocab: DataFrame) -> np.ndarray:
-    """How often each byte is coded, over (kind, z, word, c)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for batch in _runs(batches, 100_000):
-            col = lambda c: batch.column(batch.schema.names.index(c))
-            kind, c = col("kind").to_numpy(), col("c").to_numpy().astype(np.float64)
-            data, offs, row = _strings(col("word"), kind)
-            coded = (kind[row] == 0) | (np.arange(len(data)) > offs[:-1][row])
-            total += np.bincount(data[coded], c[row[coded]], 256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
-
-    counts = np.zeros(256)
-    for r in vocab.mapInArrow(run, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        counts[r["byte"]] = r["n"]
-    return counts
-
-
 def _pair_keys(ctx: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
     """For every predictor and coded byte: 56 bits of hash of (predictor, context), then the byte."""
     return np.concatenate([(mix(x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & ~np.uint64(255)) | byte.astype(np.uint64)
@@ -489,34 +503,47 @@ def context_counts(units: DataFrame, shards: int) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(answer, "block int, shard int, m binary, b binary, n binary")
 
 
-def block_models(units: DataFrame, shards: int) -> DataFrame:
-    """One row per block: its units in a fixed order (an Arrow stream), and the counts of their contexts."""
+def block_models(units: DataFrame, shards: int, use: Callable[..., pa.Table] | None = None,
+                 schema: str = "units binary, m binary, b binary, n binary") -> DataFrame:
+    """One row per block: its units in a fixed order (an Arrow stream), and the counts of their contexts; or what
+    ``use`` makes of the units and those counts, in the task that has them."""
     def run(u: pa.Table, a: pa.Table) -> pa.Table:
         u = u.drop_columns(["mb"]).combine_chunks().sort_by([("kind", "ascending"), ("word", "ascending"), ("z", "ascending")])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, u.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(u)
         a = a.sort_by("shard")
-        return pa.table({"units": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                         **{c: pa.array([_pack(np.concatenate([_unpack(x, d) for x in a[c].to_pylist()]))], pa.binary()) for c, d in ANSWER}})
+        counts = [np.concatenate([_unpack(x, d) for x in a[c].to_pylist()]) for c, d in ANSWER]
+        if use:
+            return use(u, *counts)
+        return pa.table({"units": pa.array([_stream(u)], pa.binary()), **{c: pa.array([_pack(x)], pa.binary()) for (c, _), x in zip(ANSWER, counts)}})
 
-    return units.groupBy("mb").cogroup(context_counts(units, shards).groupBy("block")).applyInArrow(run, "units binary, m binary, b binary, n binary")
+    return units.groupBy("mb").cogroup(context_counts(units, shards).groupBy("block")).applyInArrow(run, schema)
+
+
+def _stream(units: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, units.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(units)
+    return sink.getvalue().to_pybytes()
 
 
 def _units_of(row: dict) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(row["units"])).read_all().combine_chunks()
 
 
-def _whole_counts(row: dict, own: np.ndarray | None = None) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Units of a block, all keys of their contexts in order, and the counts; ``own``: the units' keys if at hand."""
+def _context_keys(own: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All keys of the contexts of a block's ``own`` keys, in order."""
+    ctx = own >> np.uint64(8)
+    return np.repeat(ctx[_heads(ctx)], m) << np.uint64(8) | b.astype(np.uint64)
+
+
+def _whole_counts(row: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Units of a block, all keys of their contexts in order, and the counts."""
     units = _units_of(row)
     m, b, n = (_unpack(row[c], d) for c, d in ANSWER)
-    ctx = (_asked(_one_batch(units))["keys"] if own is None else own) >> np.uint64(8)
-    return units, np.repeat(ctx[_heads(ctx)], m) << np.uint64(8) | b.astype(np.uint64), n
+    return units, _context_keys(_asked(_one_batch(units))["keys"], m, b), n
 
 
 def _bit_counts(keys: np.ndarray, n: np.ndarray, code: dict) -> dict:
-    """Counts of all contexts, from which ``_exact_inputs`` reads the bit counts: a node of the code holds a
+    """Counts of all contexts, from which ``_paths`` reads the bit counts: a node of the code holds a
     range of ranks, so with each context's bytes in the order of their ranks its counts are a difference of sums."""
     ctx = keys >> np.uint64(8)
     new = _heads(ctx)
@@ -526,79 +553,76 @@ def _bit_counts(keys: np.ndarray, n: np.ndarray, code: dict) -> dict:
             "total": np.append(0, np.cumsum(n[order])), "code": code}
 
 
-def _models(batches: Iterator[pa.RecordBatch], code: dict, learn: bool) -> Iterator[tuple[pa.RecordBatch, dict, dict]]:
-    """The blocks of a task: units, their keys and the counts of all their contexts.  To ``learn`` from, the
-    units that training saw come alone, in a random order."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            units = _units_of(row)
-            n = units.num_rows
-            if learn:
-                order = np.random.default_rng(7).permutation(n)
-                seen = units["cz"].to_numpy()[order] > 0
-                units, n = units.take(pa.array(np.concatenate([order[seen], order[~seen]]))), int(seen.sum())
-            units = _one_batch(units)
-            asked = _asked(units)
-            yield units.slice(0, n), asked, _bit_counts(*_whole_counts(row, asked["keys"])[1:], code)
-
-
-def _node_counts(model: dict, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of both turns at every decision of the keys: those of key i from ``first[i]`` on."""
+def _path_counts(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every key the count of its context, and for every decision of it the count of the side not taken;
+    that of the side taken is what the decisions before it left of the context's."""
+    size = model["code"]["size"]
+    found = [_paths(model, keys[i:i + PATH_KEYS], size) for i in range(0, len(keys), PATH_KEYS)]
+    return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (list(zip(*found)) or [(), ()]))
+
+
+def _paths(model: dict, keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code, places, total, starts = model["code"], model["places"], model["total"], model["starts"]
-    n0, n1 = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
-    if not len(places):
-        return n0, n1
     want, byte = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64)
+    left = size[byte]
+    out = np.cumsum(left) - left
+    whole, other = np.zeros(len(keys), np.int64), np.zeros(int(left.sum()), np.int64)
+    if not len(places):
+        return whole, other
     new = _heads(want)
     at, want = np.cumsum(new) - 1, want[new]
     spot = np.minimum(np.searchsorted(model["ctx"], want), len(model["ctx"]) - 1)
     live = np.flatnonzero((model["ctx"][spot] == want)[at])
     at, byte = spot[at[live]], byte[live]
-    low, high, begin, out, left, rank = starts[at], starts[at + 1], code["start"][byte], first[live], size[live], code["rank"][byte]
-    at <<= 8
-    alone = [(np.zeros(0, np.int64),) * 4]
+    low, high = starts[at], starts[at + 1]
+    whole[live] = total[high] - total[low]
+    go = np.flatnonzero((high - low > 1) | (places[low] & 255 != code["rank"][byte]))  # else only its own byte: the other side has 0
+    at, low, high, byte, out, left = at[go] << 8, low[go], high[go], byte[go], out[live[go]], left[live[go]]
+    begin, rank = code["start"][byte], code["rank"][byte]
     while len(left):
-        one = high - low == 1
         seen = places[low] & 255
-        same = one & (seen == rank)  # only the key's own byte is left: all its turns have its count
-        alone.append(tuple(v[same] for v in (begin, out, left)) + (total[low[same] + 1] - total[low[same]],))
-        go = np.flatnonzero(~same)
-        at, low, high, begin, out, left, rank, one, seen = (v[go] for v in (at, low, high, begin, out, left, rank, one, seen))
-        mid, turn = code["mid"][begin], code["turn"][begin]
-        cut = np.where(seen < mid, high, low)
-        wide = np.flatnonzero(~one)
-        cut[wide] = np.searchsorted(places, at[wide] | mid[wide])
-        between = total[cut]
-        n0[out], n1[out] = between - total[low], total[high] - between
+        mid = code["mid"][begin]
+        right = (places[high - 1] & 255) >= mid
+        cut = np.where(right, low, high)
+        both = np.flatnonzero(right & (seen < mid))
+        cut[both] += 1  # where there are two
+        many = both[(high - low)[both] > 2]
+        cut[many] = np.searchsorted(places, at[many] | mid[many])
+        turn = rank >= mid
+        other[out] = np.where(turn, total[cut] - total[low], total[high] - total[cut])
         low, high = np.where(turn, cut, low), np.where(turn, high, cut)
-        go = np.flatnonzero((left > 1) & (high > low))  # below an empty range all counts are 0
+        # Below an empty range all counts are 0; where only the key's own byte is left, those of the other sides are.
+        go = np.flatnonzero((left > 1) & (high > low) & ((high - low > 1) | ((places[np.minimum(low, len(places) - 1)] & 255) != rank)))
         at, low, high, begin, out, left, rank = at[go], low[go], high[go], begin[go] + 1, out[go] + 1, left[go] - 1, rank[go]
-    begin, out, left, n = (np.concatenate(x) for x in zip(*alone))
-    step = np.arange(int(left.sum())) - np.repeat(np.cumsum(left) - left, left)
-    turn, n, out = code["turn"][np.repeat(begin, left) + step], np.repeat(n, left), np.repeat(out, left) + step
-    n1[out] = n * turn
-    n0[out] = n - n * turn
-    return n0, n1
+    return whole, other
 
 
-def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool, asked: dict | None = None):
-    """Logits of all predictors and the gate at every decision, from whole counts; ``own``: without the
-    word's own occurrence.  With the turns, the row of each decision and the training counts of the rows.
-    ``asked``: the keys of units of which ``batch`` holds the first, if at hand."""
-    asked, code = asked or _asked(batch), model["code"]
-    keys, n = asked["keys"], int(np.searchsorted(asked["row"], batch.num_rows))
-    byte, row, inv = asked["byte"][:n], asked["row"][:n], asked["inv"][:, :n]
-    coded = (keys & np.uint64(255)).astype(np.int64)
-    length = code["size"][coded]
-    first = np.cumsum(length) - length
-    n0, n1 = _node_counts(model, keys, first, length)
-    if own:
-        _, _, turn = _decisions(code, coded)
-        n0, n1 = np.maximum(n0 - (1 - turn), 0), np.maximum(n1 - turn, 0)
-    gate = _gate(n0 + n1)
-    logit = np.log((n1.astype(np.float32) + LEAST) / (n0.astype(np.float32) + LEAST))
-    del n0, n1
+def _key_inputs(code: dict, keys: np.ndarray, whole: np.ndarray, other: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the decisions of every key begin, and at each of them the logit and the gate of its context."""
+    byte = (keys & np.uint64(255)).astype(np.int64)
+    size = code["size"][byte]
+    first = np.cumsum(size) - size
+    logit, gate = np.empty(len(other), np.float32), np.empty(len(other), np.int8)
+    for i in range(0, len(keys), PATH_KEYS):
+        n, o = size[i:i + PATH_KEYS], first[i:i + PATH_KEYS]
+        here = slice(int(o[0]), int(o[-1] + n[-1]))
+        off = other[here]
+        gone = np.append(0, np.cumsum(off))
+        o = o - o[0]
+        on = np.repeat(whole[i:i + PATH_KEYS] + gone[o], n) - gone[1:]
+        if own:
+            on = np.maximum(on - 1, 0)
+        turn = code["turn"][np.repeat(code["start"][byte[i:i + PATH_KEYS]] - o, n) + np.arange(len(off))] == 1
+        n1, n0 = np.where(turn, on, off), np.where(turn, off, on)
+        gate[here] = _gate(n0 + n1)
+        logit[here] = np.log((n1.astype(np.float32) + LEAST) / (n0.astype(np.float32) + LEAST))
+    return first, logit, gate
+
+
+def _byte_inputs(code: dict, asked: dict, inputs: tuple, i: int, j: int):
+    """Logits of all predictors, the gate, the turn and the row at every decision of the coded bytes i to j."""
+    first, logit, gate = inputs
+    byte, inv = asked["byte"][i:j], asked["inv"][:, i:j]
     size = code["size"][byte]
     begin = np.cumsum(size) - size
     at = np.arange(int(size.sum()))
@@ -612,7 +636,15 @@ def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool, asked: dict | N
         np.take(logit, spot, out=x[k], mode="clip")
         if k >= 3:
             seen[k] = gate[spot]
-    return x, _gates(seen), y, np.repeat(row, size), asked["c"][:batch.num_rows]
+    return x, _gates(seen), y, np.repeat(asked["row"][i:j], size)
+
+
+def _exact_inputs(model: dict, batch: pa.RecordBatch, own: bool):
+    """Logits of all predictors and the gate at every decision, from whole counts; ``own``: without the
+    word's own occurrence.  With the turns, the row of each decision and the training counts of the rows."""
+    asked, code = _asked(batch), model["code"]
+    inputs = _key_inputs(code, asked["keys"], *_path_counts(model, asked["keys"]), own)
+    return *_byte_inputs(code, asked, inputs, 0, len(asked["byte"])), asked["c"]
 
 
 def _gate(n: np.ndarray) -> np.ndarray:
@@ -644,37 +676,66 @@ def _refined(p: np.ndarray, z: np.ndarray, gate: np.ndarray, table: np.ndarray)
     return np.clip((p + m) / 2, 1e-6, 1 - 1e-6)
 
 
-def learn_mixing(models: DataFrame, code: dict) -> dict:
-    """Mixing weights and the adaptive map, learnt online over the training words of each block and
-    averaged over the blocks by the bits that they saw."""
-    k1 = len(ORDERS) + 1
+LEARNT = "units binary, whole binary, other binary, w binary, bits binary, hits binary, tries binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for units, asked, model in _models(batches, code, True):
-            w = np.full((SETS, k1), 0.3)
-            power = np.full((SETS, k1), 1e-3)
-            hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
-            bits = np.zeros(SETS)
-            all_x, all_gate, all_y, row, c = _exact_inputs(model, units, True, asked)
-            ends = np.searchsorted(row, np.arange(0, units.num_rows + BATCH_WORDS, BATCH_WORDS))
-            for i, j in zip(ends[:-1], ends[1:]):
-                x, gate, y, weight = all_x[:, i:j], all_gate[i:j], all_y[i:j], c[row[i:j]]
-                z = _mixed(x, gate, w)
-                err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
-                low, share = _place(z)
-                cell = gate * MAP_STEPS + low + (share > 0.5)
-                hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
-                tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
-                mass = np.bincount(gate, weight, SETS)
-                grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
-                power += grad * grad
-                w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
-                bits += mass
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w * bits[:, None], bits, hits, tries)],
-                                                 names=["w", "bits", "hits", "tries"])
-
-    rows = models.mapInArrow(run, "w binary, bits binary, hits binary, tries binary").toArrow().to_pylist()  # a row per block
+
+def _learn_block(units: pa.Table, m: np.ndarray, b: np.ndarray, n: np.ndarray, code: dict) -> pa.Table:
+    """One row: the units of a block, the counts on the paths of their keys, and the weights and the map learnt
+    online from the units that training saw, in a random order."""
+    order = np.random.default_rng(7).permutation(units.num_rows)
+    seen = units["cz"].to_numpy()[order] > 0
+    asked = _asked(_one_batch(units.take(pa.array(np.concatenate([order[seen], order[~seen]])))))
+    keys, c, rows = asked["keys"], asked["c"], int(seen.sum())
+    whole, other = _path_counts(_bit_counts(_context_keys(keys, m, b), n, code), keys)
+    inputs = _key_inputs(code, keys, whole, other, True)
+    k1 = len(ORDERS) + 1
+    w = np.full((SETS, k1), 0.3)
+    power = np.full((SETS, k1), 1e-3)
+    hits, tries = np.zeros((SETS, MAP_STEPS)), np.zeros((SETS, MAP_STEPS))
+    bits = np.zeros(SETS)
+    ends = np.searchsorted(asked["row"], np.minimum(np.arange(0, rows + BATCH_WORDS, BATCH_WORDS), rows))
+    for i, j in zip(ends[:-1], ends[1:]):
+        x, gate, y, row = _byte_inputs(code, asked, inputs, i, j)
+        weight = c[row]
+        z = _mixed(x, gate, w)
+        err = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * weight
+        low, share = _place(z)
+        cell = gate * MAP_STEPS + low + (share > 0.5)
+        hits += np.bincount(cell, weight * y, SETS * MAP_STEPS).reshape(SETS, -1)
+        tries += np.bincount(cell, weight, SETS * MAP_STEPS).reshape(SETS, -1)
+        mass = np.bincount(gate, weight, SETS)
+        grad = np.stack([np.bincount(gate, err * x[k], SETS) for k in range(k1)], 1) / np.maximum(mass, 1)[:, None]
+        power += grad * grad
+        w += RATE * grad / np.sqrt(power) * (mass > 0)[:, None]
+        bits += mass
+    learnt = (w * bits[:, None], bits, hits, tries) if bits.any() else (None,) * 4
+    return pa.table({"units": pa.array([_stream(units)], pa.binary()), "whole": pa.array([_pack(_narrow(whole))], pa.binary()),
+                     "other": pa.array([_pack(_narrow(other))], pa.binary()),
+                     **{k: pa.array([None if x is None else x.tobytes()], pa.binary()) for k, x in zip(("w", "bits", "hits", "tries"), learnt)}})
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in the least bytes that hold all of them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    """The counts of a packed array of ``n``."""
+    return _unpack(raw, f"u{int.from_bytes(raw[:8], 'little') // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def learn_blocks(units: DataFrame, shards: int, code: dict) -> DataFrame:
+    """One row per block of (kind, z, word, cz, ...): ``LEARNT``."""
+    def learn(u: pa.Table, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.Table:
+        return _learn_block(u, m, b, n, code)
+
+    return block_models(units, shards, learn, LEARNT)
+
+
+def mean_mixing(models: DataFrame, code: dict) -> dict:
+    """Mixing weights, averaged over the blocks by the bits that they saw, and the adaptive map of all blocks."""
+    k1 = len(ORDERS) + 1
+    rows = models.where("bits IS NOT NULL").select("w", "bits", "hits", "tries").toArrow().to_pylist()  # a row per block
     rows.sort(key=lambda r: (r["bits"], r["w"]))  # sums in one order
     total = {c: sum((np.frombuffer(r[c]) for r in rows), np.zeros(s)) for c, s in
              (("w", SETS * k1), ("bits", SETS), ("hits", SETS * MAP_STEPS), ("tries", SETS * MAP_STEPS))}
@@ -707,26 +768,61 @@ def score_units(models: DataFrame, mixing: dict) -> DataFrame:
     """(kind, z, word, c, blocks, lp): lp is the log10 probability of the word in the class."""
     names = ["kind", "z", "word", "c", "blocks"]
 
+    def score(units: pa.RecordBatch, whole: bytes, other: bytes) -> np.ndarray:
+        asked, code, lp = _asked(units), mixing["code"], np.zeros(units.num_rows)
+        keys = asked["keys"]
+        decisions = int(code["size"][(keys & np.uint64(255)).astype(np.int64)].sum())
+        inputs = _key_inputs(code, keys, _wide(whole, len(keys)), _wide(other, decisions), False)
+        for i in range(0, len(asked["byte"]), MIX_BYTES):
+            lp += _log_mix(mixing, *_byte_inputs(code, asked, inputs, i, i + MIX_BYTES), units.num_rows)
+        return lp
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for units, asked, model in _models(batches, mixing["code"], False):
-            x, gate, y, row, _ = _exact_inputs(model, units, False, asked)
-            lp = _log_mix(mixing, x, gate, y, row, units.num_rows)
-            yield pa.RecordBatch.from_arrays([*[units.column(units.schema.names.index(c)) for c in names], pa.array(lp)], names=[*names, "lp"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                units = _one_batch(_units_of(row))
+                lp = score(units, row["whole"], row["other"])
+                yield pa.RecordBatch.from_arrays([*[units.column(units.schema.names.index(c)) for c in names], pa.array(lp)], names=[*names, "lp"])
+
+    return models.select("units", "whole", "other").mapInArrow(run, "kind byte, z byte, word binary, c bigint, blocks array<int>, lp double")
+
+
+DEALT = "block int, h binary, c binary, lp binary, space binary, size binary, space_lp binary"
+
 
-    return models.mapInArrow(run, "kind byte, z byte, word binary, c bigint, blocks array<int>, lp double")
+def _deal(scored: pa.RecordBatch) -> pa.RecordBatch:
+    """A packed row for each block that holds some of the words: hash, count and lp of (word, class), and white space with its lp."""
+    kind, z, word, c, blocks, lp = (scored.column(scored.schema.names.index(x)) for x in ("kind", "z", "word", "c", "blocks", "lp"))
+    kind, c, lp = kind.to_numpy(), c.to_numpy(), lp.to_numpy()
+    h = _hashes(word) + z.to_numpy().astype(np.uint64)
+    block = blocks.flatten().to_numpy()
+    order = np.argsort(block, kind="stable")
+    row, block = np.repeat(np.arange(len(kind)), pc.list_value_length(blocks).to_numpy())[order], block[order]
+    use, plain = block[_heads(block)], kind[row] == 0
+    ends = [np.append(np.searchsorted(block[x], use), x.sum()) for x in (plain, ~plain)]
+    plain, space = row[plain], row[~plain]
+    data, offs = string_bytes(word.take(pa.array(space)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(use, pa.int32()), *[_slices(x[plain], ends[0]) for x in (h, c, lp)], _slices(data, offs[ends[1]]),
+         _slices(np.diff(offs).astype(np.int32), ends[1]), _slices(lp[space], ends[1])], names=[c.split()[0] for c in DEALT.split(", ")])
+
+
+def deal_scores(scored: DataFrame) -> DataFrame:
+    """(kind, z, word, c, blocks, lp) dealt to the blocks of texts: ``DEALT``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, DEALT_WORDS):
+            yield _deal(batch)
+
+    return scored.mapInArrow(run, DEALT)
 
 
 def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp: np.ndarray, n_train: int, n_types: int, n_ends: int) -> pa.Table:
     """Scores of a block's texts from the probabilities and counts of its words."""
-    kind = words["kind"].to_numpy()
-    plain = words.filter(pa.array(kind == 0))
-    data, offs = string_bytes(plain["word"])
-    data, offs = data[offs[0]:offs[-1]], offs - offs[0]
-    h = span_hash(prefix_hash(data), offs[:-1], offs[1:]) + plain["z"].to_numpy().astype(np.uint64)
+    h, c, lp = (_joined(words[x], d) for x, d in (("h", np.uint64), ("c", np.int64), ("lp", np.float64)))
     order = np.argsort(h)
-    h, c, lp = h[order], plain["c"].to_numpy()[order], plain["lp"].to_numpy()[order]
-    spaces = words.filter(pa.array(kind == 1))
-    space_lp = dict(zip(spaces["word"].to_pylist(), spaces["lp"].to_pylist()))
+    h, c, lp = h[order], c[order], lp[order]
+    space = _binaries(_joined(words["space"]), _joined(words["size"], np.int32))
+    space_lp = dict(zip(space.to_pylist(), _joined(words["space_lp"], np.float64).tolist()))
     base_of = lambda n: np.log10((n + 0.5) / (n_train + 0.5 * (n_types + 1)))
     n = docs.num_rows
     tokens, known, base, score = np.ones(n, np.int64), np.full(n, n_ends > 0, np.int64), np.full(n, base_of(n_ends)), np.zeros(n)
@@ -765,33 +861,31 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", fo
     centres = fit_classes(rows.where(~F.col("held")).select("text"))
 
     def words(t: pa.Table) -> pa.Table:
-        return _block_words(t, centres)
+        return _block_words(t, centres, blocks)
 
-    found = rows.select("block", "text", "held").groupBy("block").applyInArrow(words, "block int, kind byte, z byte, word binary, n bigint")
-    vocab = materialise(_vocabulary(found), "vocabulary")
+    found = rows.select("block", "text", "held").groupBy("block").applyInArrow(words, PACKED)
+    vocab = materialise(found.groupBy("part").applyInArrow(_part_words, VOCABULARY), "vocabulary")
     ends = docs.where(fold(F.col(doc), folds) != held_out).count()
-    sums = vocab.where("kind = 0 AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_train, n_types = sums["n"] + ends, sums["v"] + (1 if ends else 0)
-    class_n = np.zeros(CLASSES)
-    for r in vocab.where("kind = 2").select("word", "c").collect():  # at most one row per class
-        class_n[r["word"][0]] = r["c"]
+    trained = F.expr("kind = 0 AND new AND c > 0")
+    sums = vocab.agg(F.coalesce(F.sum(F.when(trained, F.col("c"))), F.lit(0)).alias("n"), F.count_if(trained).alias("v"),
+                     F.count_if(F.col("kind") < 2).alias("units")).first()
+    n_train, n_types, n_units = sums["n"] + ends, sums["v"] + (1 if ends else 0), sums["units"]
+    class_n, byte_n = np.zeros(CLASSES), np.zeros(256)
+    for r in vocab.where("kind >= 2").select("kind", "word", "c").collect():  # at most one row per class and byte
+        (class_n if r["kind"] == 2 else byte_n)[r["word"][0]] = r["c"]
     class_lp = np.log10((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES))
-    n_units = vocab.where("kind < 2").agg(F.coalesce(F.sum(F.size(F.array_distinct("places.z"))), F.lit(0)).alias("n")).first()["n"]
+    code = byte_code(byte_n)
     model_blocks = max(1, -(-n_units // UNITS), min(12, n_units // 5_000))
     shards = max(1, -(-n_units * KEYS_OF_UNIT // SHARD_KEYS), min(12, model_blocks))
-    units = (vocab.where("kind < 2").select("kind", "word", "c", "by_class", "places", F.explode(F.array_distinct("places.z")).alias("z"))
-             .select(F.pmod(F.xxhash64("kind", "word"), F.lit(model_blocks)).cast("int").alias("mb"), "kind", "z", "word", "c",
-                     F.get("by_class", F.col("z").cast("int")).alias("cz"), F.expr("transform(filter(places, p -> p.z = z), p -> p.block)").alias("blocks")))
-    learnt = units.where("cz > 0").select("kind", "z", "word", F.col("cz").alias("c"))
-    code = byte_code(byte_counts(learnt))
-    models = materialise(block_models(units, shards), "models")
-    scored = materialise(score_units(models, learn_mixing(models, code)), "scored")
-    here = scored.select(F.explode("blocks").alias("block"), "z", "kind", "word", "c", "lp")
+    units = vocab.where("kind < 2").select(F.pmod(F.xxhash64("kind", "word"), F.lit(model_blocks)).cast("int").alias("mb"),
+                                           "kind", "z", "word", "c", "cz", "blocks")
+    models = materialise(learn_blocks(units, shards, code), "models")
+    scored = materialise(score_units(models, mean_mixing(models, code)), "scored")
     kind = docs.schema[doc].dataType.simpleString()
 
     def score(t: pa.Table, w: pa.Table) -> pa.Table:
         return _block_scores(t, w, centres, class_lp, n_train, n_types, ends)
 
-    return rows.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(
+    return rows.groupBy("block").cogroup(deal_scores(scored).groupBy("block")).applyInArrow(
         score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                "base_score double, score double, bits_per_byte double")

@@ -181,3 +181,78 @@ def test_classes_come_from_all_distinct_texts(spark):
     groups = [set(z[20 * k:20 * k + 20].tolist()) for k in range(6)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 6, groups
     assert np.allclose(centres, M.fit_classes(rows.repartition(7)), atol=1e-5)
+
+
+def test_words_of_a_block_travel_packed():
+    """A block sends at most one row a part, and the parts add up to what plain Python counts."""
+    rnd = random.Random(9)
+    texts = [rnd.choice(["", " ", "\n"]) + " ".join(rnd.choice(["The", "of", "É", "x" * 40, "a.b"]) + rnd.choice(["", "1"]) for _ in range(rnd.randint(0, 30)))
+             + rnd.choice(["", "  "]) for _ in range(60)]
+    held = [i % 4 == 0 for i in range(60)]
+    centres = np.random.default_rng(4).random((M.CLASSES, M.PAIRS)).astype(np.float32)
+    sent = [M._block_words(pa.table({"block": pa.array([k] * 20, pa.int32()), "text": texts[20 * k:20 * k + 20], "held": held[20 * k:20 * k + 20]}), centres, 4)
+            for k in range(3)]
+    assert all(t.num_rows <= 4 for t in sent)
+    packed = pa.concat_tables(sent)
+    got = [r for p in range(4) for t in [packed.filter(pa.array(packed["part"].to_numpy() == p))] if t.num_rows
+           for r in M._part_words(t.drop_columns(["part"])).to_pylist()]
+    low = [brute.lower(t).encode() for t in texts]
+    z = M.classes_of(centres, np.frombuffer(b"".join(low), np.uint8), np.cumsum([0, *map(len, low)]))
+    whole, by_class, blocks, coded = Counter(), Counter(), {}, Counter()
+    for i, t in enumerate(low):
+        for w in brute.WORD.findall(t.decode()):
+            w = w.encode()
+            whole[w] += not held[i]
+            by_class[w, z[i]] += not held[i]
+            blocks.setdefault((w, z[i]), set()).add(i // 20)
+            if not held[i]:
+                coded.update(w + bytes([M.END_WORD]))
+    words = [r for r in got if r["kind"] == 0]
+    assert {(r["word"], r["z"]): (r["c"], r["cz"], set(r["blocks"])) for r in words} == {k: (whole[k[0]], by_class[k], b) for k, b in blocks.items()}
+    assert len(words) == len(blocks) and sum(r["new"] for r in words) == len(whole)
+    for r in got:
+        if r["kind"] == 1:
+            coded.update({b: r["c"] * n for b, n in Counter(r["word"][1:]).items()})
+    assert {r["word"][0]: r["c"] for r in got if r["kind"] == 3} == {b: n for b, n in coded.items() if n}
+
+
+def test_words_with_one_hash_stay_apart(monkeypatch):
+    rows = [(b"b", 0, 1, 2), (b"a", 0, 1, 3), (b"b", 0, 2, 4), (b"a", 1, 0, 5), (b"a", 0, 1, 6)]
+    word, kind, z, n = zip(*rows)
+    t = pa.table({"block": pa.array([7], pa.int32()), "word": [b"".join(word)], "size": [np.ones(5, np.int32).tobytes()],
+                  "kind": [bytes(kind)], "z": [bytes(z)], "n": [np.array(n).tobytes()]})
+    want = [(0, 1, b"a", True, 9, 9), (0, 1, b"b", True, 6, 2), (0, 2, b"b", False, 6, 4), (1, 0, b"a", True, 5, 5)]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(M, "_word_hashes", lambda words, kind: np.zeros(len(words), np.uint64))
+        got = M._part_words(t).to_pylist()
+        assert sorted((r["kind"], r["z"], r["word"], r["c"], r["cz"]) for r in got) == sorted(w[:3] + w[4:] for w in want)
+        assert Counter((r["kind"], r["word"]) for r in got if r["new"]) == Counter({(0, b"a"): 1, (0, b"b"): 1, (1, b"a"): 1})
+
+
+def test_scores_come_from_stored_paths():
+    """Learning keeps the counts on the paths; scoring reads them and gives what whole counts give."""
+    rng = np.random.default_rng(6)
+    words = sorted({bytes(rng.integers(97, 101, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)} | {"é".encode(), b"once"})
+    cz = rng.integers(0, 5, len(words))
+    units = _units(words, cz, z=1).append_column("c", pa.array(cz)).append_column("blocks", pa.array([[0]] * len(words), pa.list_(pa.int32())))
+    code = M.byte_code(rng.integers(0, 50, 256))
+    mixing = _random_mixing(rng, code)
+    keys, n = M._own_keys(units)
+    own = M._asked(units.to_batches()[0])["keys"]
+    keys, n = keys[n > 0], n[n > 0]
+    m = np.array([int(((keys >> np.uint64(8)) == c).sum()) for c in np.unique(own >> np.uint64(8))])
+    learnt = M._learn_block(units, m, (keys & np.uint64(255)).astype(np.uint8), n, code)
+
+    class Rows:
+        def select(self, *names):
+            self.names = list(names)
+            return self
+
+        def mapInArrow(self, run, schema):
+            assert not {"m", "b", "n"} & set(self.names)
+            return list(run(learnt.select(self.names).to_batches()))
+
+    got = M.score_units(Rows(), mixing)[0].column("lp").to_numpy()
+    x, gate, y, row, _ = M._exact_inputs(M._bit_counts(keys, n, code), units.to_batches()[0], False)
+    assert np.allclose(got, M._log_mix(mixing, x, gate, y, row, len(words)), atol=1e-9)
