@@ -37,7 +37,6 @@ training texts every count is 0.  The result has its own columns only.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,7 +59,7 @@ GATE_OF = np.log2(np.arange(1, (1 << GATES - 1) + 1)).astype(np.int8)  # the gat
 MAP_STEPS = 33
 BATCH_WORDS = 256
 MIX_BITS, MIX_BYTES = 1 << 16, 1 << 13
-PATH_KEYS = 1 << 15  # keys whose paths are walked together, in a core's cache
+PATH_KEYS = 1 << 13  # keys whose paths are counted together, in a core's cache
 UNITS = 20_000  # (class, word) pairs of a block of the model
 KEYS_OF_UNIT, SHARD_KEYS = 20, 1_000_000  # guess of the keys that a unit sends; keys of a shard
 RATE = 0.05
@@ -74,11 +73,13 @@ DEALT_WORDS = 100_000  # scored words that are dealt to blocks together
 def _pair_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Counts of hashed byte pairs, a row for each text."""
     rows = len(offs) - 1
-    cell = np.repeat(np.arange(rows, dtype=np.int32) * PAIRS, np.diff(offs))
+    cell = np.repeat(np.arange(rows) * PAIRS, np.diff(offs))
     pair = data.astype(np.uint16)
     cell[1:] += (pair[:-1] * np.uint16(31) + pair[1:] * np.uint16(7)) % np.uint16(PAIRS)
     starts = offs[:-1][offs[1:] > offs[:-1]]  # the first byte of a row has no pair
-    return np.bincount(np.delete(cell, starts) if len(cell) else cell, minlength=rows * PAIRS).reshape(rows, PAIRS)
+    counts = np.bincount(cell, minlength=rows * PAIRS)
+    counts[cell[starts]] -= 1
+    return counts.reshape(rows, PAIRS)
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -96,13 +97,13 @@ def _pair_table(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, data, offs in chunks(batch.column("text")):
-                v = [zlib.compress(x.tobytes(), 1) for x in _pair_counts(lower_table()[data], offs).astype(np.uint32)]
+                v = [_narrow(x).tobytes() for x in _pair_counts(lower_table()[data], offs)]
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(first, rows), pa.array(v, pa.binary())], names=["h", "v"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, PACK):
             h = b"".join(x[:8] for x in batch.column("h").to_pylist())
-            v = zlib.compress(b"".join(zlib.decompress(x) for x in batch.column("v").to_pylist()), 1)
+            v = _pack(_narrow(np.concatenate([np.frombuffer(x, f"u{len(x) // PAIRS}") for x in batch.column("v").to_pylist()])))
             yield pa.RecordBatch.from_arrays([pa.array([h], pa.binary()), pa.array([v], pa.binary())], names=["h", "v"])
 
     keyed = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("h"), "text")
@@ -122,7 +123,7 @@ def fit_classes(texts: DataFrame, rounds: int = 8) -> np.ndarray:
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for h, v in zip(batch.column("h").to_pylist(), batch.column("v").to_pylist()):
-                yield np.frombuffer(h, np.uint64), _shares(np.frombuffer(zlib.decompress(v), np.uint32).reshape(-1, PAIRS))
+                yield np.frombuffer(h, np.uint64), _shares(_counts(v, len(h) // 8 * PAIRS).reshape(-1, PAIRS))
 
     def start(sets: np.ndarray) -> np.ndarray | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +148,13 @@ def fit_classes(texts: DataFrame, rounds: int = 8) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, fit = np.zeros((STARTS, CLASSES, PAIRS)), np.zeros(STARTS)
             for _, x in rows_of(batches):
-                for r, centres in enumerate(sets):
-                    near = x @ centres.T
-                    total[r] += (near.argmax(1) == np.arange(CLASSES)[:, None]).astype(np.float32) @ x
-                    fit[r] += near.max(1).sum()
+                near = (sets.reshape(-1, PAIRS) @ x.T).reshape(STARTS, CLASSES, -1)
+                best, of = near[:, 0].copy(), np.zeros((STARTS, len(x)), np.int8)
+                for k in range(1, CLASSES):
+                    of[near[:, k] > best] = k
+                    np.maximum(best, near[:, k], out=best)
+                total += ((of[:, None] == np.arange(CLASSES)[:, None]).astype(np.float32).reshape(-1, len(x)) @ x).reshape(total.shape)
+                fit += best.sum(1)
             yield pa.RecordBatch.from_arrays([pa.array([np.append(total.ravel(), fit).tobytes()], pa.binary())], names=["x"])
 
         found = table.mapInArrow(run, "x binary").toArrow().to_pylist()  # a row per task
@@ -180,31 +184,36 @@ def classes_of(centres: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.nd
 # Words of a block.
 
 def _pieces(data: np.ndarray, offs: np.ndarray):
-    """Spans of the words, row of each, and the white space before the first and after each word as
-    (row, key): key is the byte before (0 at the start), the white space and a mark."""
+    """Spans of the words, row of each, the row and the byte before each single space between words, and the other
+    white space before the first and after each word as (row, key): key is the byte before (0 at the start), the
+    white space and a mark."""
     s, e, per_row = word_spans(data, offs, space_table())
     row = np.repeat(np.arange(len(per_row)), per_row)
     buf = data.tobytes()
-    tails: list[tuple[int, bytes, int]] = []  # row, key, how often
+    tails: list[tuple[int, bytes]] = []
+    single = row[:0], data[:0]
     last = np.ones(len(s), bool)
     if len(s):
         last[:-1] = row[1:] != row[:-1]
         nxt = np.append(s[1:], 0)
         plain = ~last & (nxt - e == 1) & (data[np.minimum(e, len(data) - 1)] == 0x20)
-        pair = row[plain] * 256 + data[e[plain] - 1]
-        keys, counts = np.unique(pair, return_counts=True)
-        tails += [(int(k) >> 8, bytes([int(k) & 255, 0x20, MORE]), int(c)) for k, c in zip(keys, counts)]
+        single = row[plain], data[e[plain] - 1]
         for i in np.flatnonzero(~plain):
             stop = int(offs[row[i] + 1]) if last[i] else int(nxt[i])
-            tails.append((int(row[i]), buf[e[i] - 1:stop] + bytes([END_TEXT if last[i] else MORE]), 1))
+            tails.append((int(row[i]), buf[e[i] - 1:stop] + bytes([END_TEXT if last[i] else MORE])))
     first = np.full(len(per_row), -1)
     if len(s):
         f = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         first[row[f]] = s[f]
     for r in range(len(per_row)):
         stop, mark = (int(first[r]), MORE) if first[r] >= 0 else (int(offs[r + 1]), END_TEXT)
-        tails.append((r, b"\0" + buf[int(offs[r]):stop] + bytes([mark]), 1))
-    return s, e, row, tails
+        tails.append((r, b"\0" + buf[int(offs[r]):stop] + bytes([mark])))
+    return s, e, row, single, tails
+
+
+def _space_after(byte: int) -> bytes:
+    """The key of a single space after that byte, before a word."""
+    return bytes([byte, 0x20, MORE])
 
 
 def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -226,7 +235,7 @@ def _block_words(t: pa.Table, centres: np.ndarray, parts: int) -> pa.Table:
     for first, rows, data, offs in chunks(t["text"], RUN_BYTES):
         data = lower_table()[data]
         z = classes_of(centres, data, offs)
-        s, e, row, tails = _pieces(data, offs)
+        s, e, row, single, tails = _pieces(data, offs)
         if len(s):
             h = span_hash(prefix_hash(data), s, e) + z[row].astype(np.uint64)
             order = np.argsort(h)
@@ -236,8 +245,11 @@ def _block_words(t: pa.Table, centres: np.ndarray, parts: int) -> pa.Table:
             found.append((h[at], base + s[at], (e - s)[at], z[row[at]], c))
             texts.append(data)
             base += len(data)
-        for r, key, c in tails:
-            others[1, key] = others.get((1, key), 0) + (c if train[first + r] else 0)
+        after = np.bincount(single[1], train[first + single[0]], 256)
+        for b in np.flatnonzero(np.bincount(single[1], minlength=256)).tolist():
+            others[1, _space_after(b)] = others.get((1, _space_after(b)), 0) + int(after[b])
+        for r, key in tails:
+            others[1, key] = others.get((1, key), 0) + int(train[first + r])
         for k in range(CLASSES):
             key = (2, bytes([k]))
             others[key] = others.get(key, 0) + int(train[first:first + rows][z == k].sum())
@@ -360,7 +372,7 @@ def _contexts(data: np.ndarray, offs: np.ndarray, row: np.ndarray, kind: np.ndar
 def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
     """A binary tree over the 256 bytes, with short paths for common ones: for each byte the number of
     its decisions and where they start in the lists of nodes passed and turns taken.  ``rank`` numbers
-    the leaves from left to right; ``mid`` is, beside each node passed, the first rank on its right."""
+    the leaves from left to right; ``parted`` is, for two ranks, the number of decisions that both share."""
     heap = [(float(c) + 1, b, b) for b, c in enumerate(counts)]
     heapq.heapify(heap)
     parent: dict[int, tuple[int, int]] = {}
@@ -381,14 +393,15 @@ def byte_code(counts: np.ndarray) -> dict[str, np.ndarray]:
         node += [p[0] for p in reversed(path)]
         turn += [p[1] for p in reversed(path)]
         paths.append(turn[start[-1]:])
-    leaves, rank, first = sorted(range(256), key=paths.__getitem__), [0] * 256, {}
+    leaves, rank = sorted(range(256), key=paths.__getitem__), [0] * 256
+    passed = np.full((256, max(size)), -1)
     for r, b in enumerate(leaves):
         rank[b] = r
-        for i in range(start[b], start[b] + size[b]):
-            if turn[i]:
-                first.setdefault(node[i], r)
-    mid = [first[x] for x in node]
-    return {k: np.array(v, np.int64) for k, v in (("size", size), ("start", start), ("node", node), ("turn", turn), ("rank", rank), ("mid", mid))}
+        passed[r, :size[b]] = node[start[b]:start[b] + size[b]]
+    parted = np.zeros((256, 256), np.uint8)
+    for d in range(1, passed.shape[1]):
+        parted += (passed[:, None, d] == passed[:, d]) & (passed[:, None, d] >= 0)  # a node has one way to it
+    return {"parted": parted, **{k: np.array(v, np.int64) for k, v in (("size", size), ("start", start), ("node", node), ("turn", turn), ("rank", rank))}}
 
 
 def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -442,6 +455,16 @@ def _unpack(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in the least bytes that hold all of them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    """A packed array of ``n`` counts, in as many bytes as they took."""
+    return _unpack(raw, f"u{int.from_bytes(raw[:8], 'little') // n}") if n else np.zeros(0, np.uint8)
+
+
 def _heads(x: np.ndarray) -> np.ndarray:
     """Where a new value begins, in order."""
     return np.append(True, x[1:] != x[:-1])[:len(x)]
@@ -452,17 +475,38 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[_heads(x)]
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of each key among them.  The upper bits of the hash, the byte and the
+    place are sorted as one number; where such bits of two contexts are the same, the keys themselves are."""
+    bits = np.uint64(len(keys).bit_length())
+    low = bits + np.uint64(8)
+    order = (keys >> low << low) | (keys & np.uint64(255)) << bits | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    in_order = keys[order]
+    if (in_order[1:] < in_order[:-1]).any():
+        order = np.argsort(keys)
+        in_order = keys[order]
+    new = _heads(in_order)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return in_order[new], place
+
+
 def _asked(units: pa.RecordBatch) -> dict:
     """The coded bytes of units: each one's row and, for every predictor, its place among the distinct keys."""
     (ctx, byte, row), _, c = _columns(units, "cz")
-    keys, inv = np.unique(_pair_keys(ctx, byte), return_inverse=True)
-    return {"keys": keys, "inv": inv.reshape(len(ORDERS), -1), "byte": byte, "row": row, "c": c}
+    found = [_ranked(k) for k in _pair_keys(ctx, byte).reshape(len(ORDERS), -1)]  # a predictor at a time stays in the cache
+    keys, place = _ranked(np.concatenate([k for k, _ in found]))
+    ends = np.cumsum([len(k) for k, _ in found])
+    return {"keys": keys, "inv": np.stack([place[e - len(k):e][inv] for e, (k, inv) in zip(ends, found)]), "byte": byte, "row": row, "c": c}
 
 
 def _own_keys(units: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a block's units, in order, and their training counts in it."""
-    (ctx, byte, row), _, c = _columns(_one_batch(units), "cz")
-    return _summed(_pair_keys(ctx, byte), np.tile(c[row].astype(np.int64), len(ORDERS)))
+    asked = _asked(_one_batch(units))
+    keys, c = asked["keys"], asked["c"][asked["row"]]
+    return keys, sum(np.bincount(inv, c, len(keys)).astype(np.int64) for inv in asked["inv"])
 
 
 ANSWER = ("m", np.uint16), ("b", np.uint8), ("n", np.int64)  # bytes seen in each context, those bytes, their counts
@@ -543,14 +587,11 @@ def _whole_counts(row: dict) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 
 
 def _bit_counts(keys: np.ndarray, n: np.ndarray, code: dict) -> dict:
-    """Counts of all contexts, from which ``_paths`` reads the bit counts: a node of the code holds a
-    range of ranks, so with each context's bytes in the order of their ranks its counts are a difference of sums."""
+    """Counts of all contexts: where each one's bytes begin, their ranks and counts."""
     ctx = keys >> np.uint64(8)
     new = _heads(ctx)
-    places = (np.cumsum(new) - 1) << 8 | code["rank"][(keys & np.uint64(255)).astype(np.int64)]
-    order = np.argsort(places, kind="stable")  # nearly in order
-    return {"ctx": ctx[new], "starts": np.append(np.flatnonzero(new), len(keys)), "places": places[order],
-            "total": np.append(0, np.cumsum(n[order])), "code": code}
+    return {"ctx": ctx[new], "starts": np.append(np.flatnonzero(new), len(keys)), "ranks": code["rank"].astype(np.uint8)[(keys & np.uint64(255)).astype(np.int64)],
+            "counts": n.astype(np.float64), "total": np.append(0, np.cumsum(n)), "code": code}
 
 
 def _path_counts(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -562,39 +603,30 @@ def _path_counts(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _paths(model: dict, keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code, places, total, starts = model["code"], model["places"], model["total"], model["starts"]
+    code, starts = model["code"], model["starts"]
     want, byte = keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64)
     left = size[byte]
     out = np.cumsum(left) - left
     whole, other = np.zeros(len(keys), np.int64), np.zeros(int(left.sum()), np.int64)
-    if not len(places):
+    if not len(model["ctx"]):
         return whole, other
     new = _heads(want)
     at, want = np.cumsum(new) - 1, want[new]
     spot = np.minimum(np.searchsorted(model["ctx"], want), len(model["ctx"]) - 1)
     live = np.flatnonzero((model["ctx"][spot] == want)[at])
     at, byte = spot[at[live]], byte[live]
-    low, high = starts[at], starts[at + 1]
-    whole[live] = total[high] - total[low]
-    go = np.flatnonzero((high - low > 1) | (places[low] & 255 != code["rank"][byte]))  # else only its own byte: the other side has 0
-    at, low, high, byte, out, left = at[go] << 8, low[go], high[go], byte[go], out[live[go]], left[live[go]]
-    begin, rank = code["start"][byte], code["rank"][byte]
-    while len(left):
-        seen = places[low] & 255
-        mid = code["mid"][begin]
-        right = (places[high - 1] & 255) >= mid
-        cut = np.where(right, low, high)
-        both = np.flatnonzero(right & (seen < mid))
-        cut[both] += 1  # where there are two
-        many = both[(high - low)[both] > 2]
-        cut[many] = np.searchsorted(places, at[many] | mid[many])
-        turn = rank >= mid
-        other[out] = np.where(turn, total[cut] - total[low], total[high] - total[cut])
-        low, high = np.where(turn, cut, low), np.where(turn, high, cut)
-        # Below an empty range all counts are 0; where only the key's own byte is left, those of the other sides are.
-        go = np.flatnonzero((left > 1) & (high > low) & ((high - low > 1) | ((places[np.minimum(low, len(places) - 1)] & 255) != rank)))
-        at, low, high, begin, out, left, rank = at[go], low[go], high[go], begin[go] + 1, out[go] + 1, left[go] - 1, rank[go]
-    return whole, other
+    low, n = starts[at], starts[at + 1] - starts[at]
+    whole[live] = model["total"][starts[at + 1]] - model["total"][low]
+    # Every byte of the context counts where its path leaves the key's; the key's own byte never does.
+    to = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+    rank, seen = np.repeat(code["rank"][byte], n), model["ranks"][to]
+    count = model["counts"][to]
+    count[seen == rank] = 0
+    rank <<= 8
+    rank |= seen
+    slot = np.repeat(out[live], n)
+    slot += code["parted"].ravel()[rank]
+    return whole, np.bincount(slot, count, len(other)).astype(np.int64)
 
 
 def _key_inputs(code: dict, keys: np.ndarray, whole: np.ndarray, other: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -714,16 +746,6 @@ def _learn_block(units: pa.Table, m: np.ndarray, b: np.ndarray, n: np.ndarray, c
                      **{k: pa.array([None if x is None else x.tobytes()], pa.binary()) for k, x in zip(("w", "bits", "hits", "tries"), learnt)}})
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """Counts in the least bytes that hold all of them."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    """The counts of a packed array of ``n``."""
-    return _unpack(raw, f"u{int.from_bytes(raw[:8], 'little') // n}").astype(np.int64) if n else np.zeros(0, np.int64)
-
-
 def learn_blocks(units: DataFrame, shards: int, code: dict) -> DataFrame:
     """One row per block of (kind, z, word, cz, ...): ``LEARNT``."""
     def learn(u: pa.Table, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.Table:
@@ -772,7 +794,7 @@ def score_units(models: DataFrame, mixing: dict) -> DataFrame:
         asked, code, lp = _asked(units), mixing["code"], np.zeros(units.num_rows)
         keys = asked["keys"]
         decisions = int(code["size"][(keys & np.uint64(255)).astype(np.int64)].sum())
-        inputs = _key_inputs(code, keys, _wide(whole, len(keys)), _wide(other, decisions), False)
+        inputs = _key_inputs(code, keys, _counts(whole, len(keys)).astype(np.int64), _counts(other, decisions).astype(np.int64), False)
         for i in range(0, len(asked["byte"]), MIX_BYTES):
             lp += _log_mix(mixing, *_byte_inputs(code, asked, inputs, i, i + MIX_BYTES), units.num_rows)
         return lp
@@ -823,6 +845,7 @@ def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp
     h, c, lp = h[order], c[order], lp[order]
     space = _binaries(_joined(words["space"]), _joined(words["size"], np.int32))
     space_lp = dict(zip(space.to_pylist(), _joined(words["space_lp"], np.float64).tolist()))
+    after = np.array([space_lp.get(_space_after(b), 0.0) for b in range(256)])
     base_of = lambda n: np.log10((n + 0.5) / (n_train + 0.5 * (n_types + 1)))
     n = docs.num_rows
     tokens, known, base, score = np.ones(n, np.int64), np.full(n, n_ends > 0, np.int64), np.full(n, base_of(n_ends)), np.zeros(n)
@@ -830,7 +853,7 @@ def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp
     for first, rows, data, offs in chunks(docs["text"]):
         data = lower_table()[data]
         z = classes_of(centres, data, offs)
-        s, e, row, tails = _pieces(data, offs)
+        s, e, row, single, tails = _pieces(data, offs)
         here = slice(first, first + rows)
         n_bytes[here] = np.diff(offs)
         score[here] += class_lp[z]
@@ -843,8 +866,9 @@ def _block_scores(docs: pa.Table, words: pa.Table, centres: np.ndarray, class_lp
             known[here] += np.bincount(row, c[at] > 0, rows).astype(np.int64)
             base[here] += np.bincount(row, base_of(c[at]), rows)
             score[here] += np.bincount(row, lp[at], rows)
-        for r, key, times in tails:
-            score[first + r] += space_lp[key] * times
+        score[here] += np.bincount(single[0], after[single[1]], rows)
+        for r, key in tails:
+            score[first + r] += space_lp[key]
     bits = np.where(n_bytes > 0, -score * np.log2(10) / np.maximum(n_bytes, 1), 0)
     return pa.table({"doc_id": docs["d"], "held_out": docs["held"], "n_tokens": tokens, "n_known": known,
                      "train_tokens": np.full(n, n_train), "base_score": base, "score": score, "bits_per_byte": bits})
