@@ -26,7 +26,11 @@ once, so counting and looking up are one shuffle of words per block, not of
 tokens.  Distinct (class, word) pairs are dealt to blocks of about ``UNITS`` by
 a hash; each sends the sums of its (predictor, context, byte) keys to shards of
 the key range, which add all blocks up and send back the whole counts of the
-block's contexts.  No task holds a table of the whole model.
+block's contexts.  No task holds a table of the whole model.  The task that gets a
+block's counts learns from them and keeps, for every key of the block, the count
+of its context and those of the sides that its path does not take; scoring reads
+these.  Words and scores travel between blocks of texts and the vocabulary's parts
+in one packed row per pair of both.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Rows: a null text counts as empty; an empty
 text is scored for its end.  Repeated rows are learnt and scored one by one; a
