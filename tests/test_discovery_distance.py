@@ -90,6 +90,48 @@ def test_crowded_points_are_many_tasks(spark, monkeypatch):
     assert len(crowd) == 150 * 150 and max(map(crowd.count, set(crowd))) < len(crowd) / 3
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of ``df`` have written in its own last run."""
+    def walk(plan):
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan") or "QueryStage" in name:
+            return walk(plan.executedPlan() if name.startswith("Adaptive") else plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def city(spark, n, seed, name):
+    r = random.Random(seed)
+    pts = [(i, 48.85 + r.uniform(0, 0.03), 2.35 + r.uniform(0, 0.03)) for i in range(n)]
+    return spark.createDataFrame(pts, POINT).select(F.col("id").alias(name), F.struct("lat", "lon").alias("p"))
+
+
+def test_copies_grow_as_the_rows(spark, monkeypatch):
+    """Twice the points of both sides are four times the pairs, but twice the rows that are shuffled."""
+    for name, value in (("TASK_PAIRS", 1_000_000), ("CORE_PAIRS", 1), ("LEAST_PAIRS", 4)):
+        monkeypatch.setattr(J, name, value, raising=False)
+    wrote = []
+    for n in (6000, 12_000):
+        out = J.within_distance(city(spark, n, 1, "a"), city(spark, n, 2, "b"), "p", "p", 30.0, "a", "b", leaf=10**6).agg(F.count(F.lit(1)), F.max("distance_km"))
+        assert out.collect()[0][0] == n * n
+        wrote.append(shuffled_rows(out))
+    assert 12_000 <= wrote[0] and wrote[1] <= 2.2 * wrote[0]
+
+
+def test_the_side_with_fewer_points_is_copied(spark):
+    """Of 8,000 and 60 points in one city the 60 are copied to the parts around them, on either side of the join."""
+    many, few = city(spark, 8000, 3, "a"), city(spark, 60, 4, "b")
+    one, other = (J.within_distance(x, y, "p", "p", 1.0, i, k, leaf=8) for x, y, i, k in ((many, few, "a", "b"), (few, many, "b", "a")))
+    assert one.columns == ["a", "b", "distance_km"] and other.columns == ["b", "a", "distance_km"]
+    got = [{(r.a, r.b): r.distance_km for r in df.collect()} for df in (one, other)]
+    right = few.collect()
+    want = {(x.a, y.b): km((0, *x.p), (0, *y.p)) for x in many.collect() for y in right}
+    same = got[0] == got[1] and got[0].keys() == {k for k, d in want.items() if d <= 1.0}
+    assert same and all(abs(want[k] - d) < 1e-6 for k, d in got[0].items())
+    assert max(shuffled_rows(df) for df in (one, other)) < 8000 + 60 * 144
+
+
 def test_round_fast(spark):
     xs = [2.0005, -2.0005, 0.0, 1.4994999, 20015.0868, 1e300, float("nan"), float("inf"), None, -0.25]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select(fn.round_fast("x", 3).alias("f"), F.round("x", 3).alias("r"), fn.round_fast("x", 1).alias("o")).collect()
